@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from reliable storage: a lost executor costs no recomputation beyond this point."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet into the shared checkpoint folder and read it back.
+
+    Like :func:`cut_lineage`, for larger tables: columnar and compressed, so it costs less disk. Spark
+    removes the checkpoint folder's contents only where the cluster is told to; so may this folder.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/loomgrad-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
