@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import exact_dedup, sharding
+from loomgrad.llm import exact_dedup, sharding, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lpt_sharding": sharding.op1_lpt_sharding,
+        "op2_simhash_anchor_cover": simhash.op2_simhash_anchor_cover,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
     }
 
 
