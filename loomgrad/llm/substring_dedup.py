@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrad.llm.common import id_and_text, read_table
-from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_min, word_hashes, word_spans
+from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_argmin, word_hashes, word_spans
 from loomgrad.session import materialise
 
 WINDOW_WORDS = 20
@@ -28,10 +28,10 @@ _RUN, _FIRST_RUN, _CONTESTED_RUN, _FIRST_WINDOW = range(4)
 def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     """The windows of some texts as runs that hang below one prefix.
 
-    The prefix of a window is the one with the least hash among the prefixes that start in it and fit
-    into it. It depends on the window's words alone, so equal windows have equal prefixes, and
-    neighbouring windows mostly share one: a run. Returns (prefix, path, text, first window, windows)
-    arrays, one entry a run; path is the hash of all words of the run.
+    The prefix of a window is the one with the least hash among those that start in it and fit into
+    it (the leftmost of equal ones). It depends on the window's words alone, so equal windows have
+    equal prefixes at equal distances, and neighbouring windows mostly share one: a run. Returns
+    (prefix, path, text, first window, windows) arrays, one entry a run; path hashes the whole run.
     """
     starts, ends, doc = word_spans(raw, bounds)
     words = word_hashes(raw, starts, ends)
@@ -39,19 +39,21 @@ def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     if len(words) < window:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     inside = doc[: len(words) - window + 1] == doc[window - 1 :]
-    keys = sliding_min(mix(run_hashes(words, prefix)), window - prefix + 1)
+    prefixes = mix(run_hashes(words, prefix))
+    least = sliding_argmin(prefixes, window - prefix + 1)
     nodes = mix(run_hashes(words, window))
     at = np.flatnonzero(inside)
     if not len(at):
         return none.view(np.uint64), none.view(np.uint64), none, none, none
-    key, owner = keys[at], doc[at]
-    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+    anchor = least[at]  # differs between texts, and between the repeats of a periodic text
+    begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.concatenate([begins, [len(at)]]))
     # The path of a run: its windows' hashes, each mixed with its place, summed.
     place = np.arange(len(at)) - np.repeat(begins, n)
     path = np.add.reduceat(mix(nodes[at] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begins)
-    text_start = np.searchsorted(doc, owner[begins], side="left")
-    return key[begins], mix(path + n.astype(np.uint64)), owner[begins], at[begins] - text_start, n
+    owner = doc[at[begins]]
+    text_start = np.searchsorted(doc, owner, side="left")
+    return prefixes[anchor[begins]], mix(path + n.astype(np.uint64)), owner, at[begins] - text_start, n
 
 
 def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:

@@ -94,14 +94,17 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` consecutive values."""
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` consecutive values is; the leftmost of equal ones."""
     if len(values) < width:
-        return values[:0]
-    step = 1
-    least = values
+        return np.empty(0, dtype=np.int64)
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
+    least, step = np.arange(len(values)), 1
     while step * 2 <= width:
-        least = np.minimum(least[: len(least) - step], least[step:])
+        least = lesser(least[: len(least) - step], least[step:])
         step *= 2
     n, rest = len(values) - width + 1, width - step
-    return np.minimum(least[:n], least[rest : rest + n])
+    return lesser(least[:n], least[rest : rest + n])
