@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import exact_dedup, sharding, simhash, substring_dedup
+from loomgrad.llm import exact_dedup, language_id, secrets, sharding, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lpt_sharding": sharding.op1_lpt_sharding,
         "op2_simhash_anchor_cover": simhash.op2_simhash_anchor_cover,
+        "op3_rank_order_language": language_id.op3_rank_order_language,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_entropy_secrets": secrets.op7_entropy_secrets,
         "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
     }
 
