@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import exact_dedup, language_id, secrets, sharding, simhash, substring_dedup
+from loomgrad.llm import decontamination, exact_dedup, language_id, mixing, secrets, sharding, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rank_order_language": language_id.op3_rank_order_language,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_entropy_secrets": secrets.op7_entropy_secrets,
+        "op8_raked_mixture": mixing.op8_raked_mixture,
+        "op9_bm25_decontamination": decontamination.op9_bm25_decontamination,
         "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_raked_mixture": mixing.OP8_SQL}

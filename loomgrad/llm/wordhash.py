@@ -9,7 +9,9 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 PIECE_BYTES = 4_000_000
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Bytes between words: white space, or all of ASCII but letters and digits.
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POSITIONS = 32
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(_POSITIONS, 256), dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15  # odd, so multiplication by it is invertible
@@ -44,12 +46,12 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word ``[^\\x20\\x09-\\x0D]+``, and the text it is in."""
+def word_spans(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word (a run without bytes of ``between``), and the text it is in."""
     if not len(raw):
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    space = _SPACE[raw]
+    space = between[raw]
     before, after = np.empty(len(raw), dtype=bool), np.empty(len(raw), dtype=bool)
     before[0], before[1:] = True, space[:-1]
     after[-1], after[:-1] = True, space[1:]
@@ -61,14 +63,14 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = SPACE) -> np.ndarray:
     """Tabulation hash of each word's bytes."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    letters = raw[~_SPACE[raw]]
+    letters = raw[~between[raw]]
     value = _TABLE[place % _POSITIONS, letters]
     if int(lengths.max()) > _POSITIONS:
         value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
