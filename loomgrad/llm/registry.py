@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import decontamination, exact_dedup, language_id, mixing, secrets, sharding, simhash, substring_dedup
+from loomgrad.llm import decontamination, exact_dedup, language_id, licenses, mixing, secrets, sharding, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lpt_sharding": sharding.op1_lpt_sharding,
         "op2_simhash_anchor_cover": simhash.op2_simhash_anchor_cover,
         "op3_rank_order_language": language_id.op3_rank_order_language,
+        "op4_dice_licences": licenses.op4_dice_licences,
+        "op5_length_histogram": token_counts.op5_length_histogram,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_entropy_secrets": secrets.op7_entropy_secrets,
         "op8_raked_mixture": mixing.op8_raked_mixture,
