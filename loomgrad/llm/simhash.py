@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loomgrad.llm.common import fresh_name, id_and_text, read_table, unsigned_hex
 from loomgrad.llm.components import connected_components
+from loomgrad.llm.wordhash import mix
 from loomgrad.session import cut_lineage
 
 HASH_SEED = 42
@@ -39,26 +40,36 @@ def shingle_hashes(text: str, shingle_words: int) -> list[int]:
     return [hash64(joined[s : e - 1], HASH_SEED) for s, e in zip(starts, starts[shingle_words:], strict=False)]
 
 
-def fingerprint(text: str, shingle_words: int) -> int:
-    """A bit is 1 if it is set in over half of the shingle hashes; no words: zero. As a signed long."""
+def fingerprints(text: str, shingle_words: int, n_prints: int = 1) -> list[int]:
+    """``n_prints`` fingerprints as signed longs: the first from the shingle hashes, the others from remixed ones.
+
+    A bit is 1 if it is set in over half of the hashes; no words: zero.
+    """
     hashes = np.array(shingle_hashes(text, shingle_words), dtype=np.uint64)
     if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_bits = (ones * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
-
-
-def fingerprint_column(text: Column, shingle_words: int) -> Column:
-    @F.pandas_udf(T.LongType())
-    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return [0] * n_prints
+    out = []
+    for number in range(n_prints):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            if number:
+                part = mix(part ^ np.uint64(number * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprint_column(text: Column, shingle_words: int, n_prints: int = 1) -> Column:
+    """array<long> of the fingerprints of each whole text."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint(t, shingle_words) for t in texts], dtype="int64")
+            yield pd.Series([fingerprints(t, shingle_words, n_prints) for t in texts], dtype="object")
 
-    return fingerprints(text)
+    return column(text)
 
 
 # --- anchors ----------------------------------------------------------------------------------
@@ -68,7 +79,7 @@ def fingerprint_column(text: Column, shingle_words: int) -> Column:
 # The anchors of a 23-bit block are the words of the code Hamming(15,11) x {0,1}^8: covering radius 1,
 # each block value has one nearest anchor, its home. A fingerprint is replicated to every anchor
 # within radius + threshold = 2 that can be the home of a value within 1 bit. Two linked fingerprints
-# meet at the home of either; pairs are compared once per home, on all 64 bits.
+# meet at the home of either; pairs are compared once per home, on all bits.
 
 _BLOCKS = ((0, 23), (23, 23))
 _EXACT_BLOCK = (46, 18)
@@ -90,136 +101,160 @@ def _home(value: np.ndarray) -> np.ndarray:
 
 
 def anchor_entries(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, is home, fingerprint) rows of distinct uint64 fingerprints; one row per pair."""
+    """(anchor, is home, row) of an (n, prints) matrix of fingerprints; an entry per pair."""
     anchors, homes, owners = [], [], []
     index = np.arange(len(prints))
-    for number, (shift, width) in enumerate(_BLOCKS):
-        value = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        own = _home(value)
-        reached = np.stack([own] + [_home(value ^ np.uint64(1 << i)) for i in range(width)], axis=1)
-        reached.sort(axis=1)
-        fresh = np.ones(reached.shape, dtype=bool)
-        fresh[:, 1:] = reached[:, 1:] != reached[:, :-1]
-        owner = np.broadcast_to(index[:, None], reached.shape)[fresh]
-        anchor = reached[fresh]
-        anchors.append(anchor | np.uint64(number << 32))
-        homes.append(anchor == own[owner])
-        owners.append(owner)
-    shift, width = _EXACT_BLOCK
-    anchors.append(((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)) | np.uint64(len(_BLOCKS) << 32))
-    homes.append(np.ones(len(prints), dtype=bool))
-    owners.append(index)
-    return np.concatenate(anchors), np.concatenate(homes), prints[np.concatenate(owners)]
-
-
-_ENTRIES = T.StructType(
-    [T.StructField("anchor", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType())]
-)
-
-
-def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for at in range(0, len(prints), 20_000):
-            anchor, home, owner = anchor_entries(prints[at : at + 20_000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(home), pa.array(owner.view(np.int64))], names=["anchor", "home", "fp"]
-            )
+    for p in range(prints.shape[1]):
+        name = p * (len(_BLOCKS) + 1)  # anchors of different fingerprints and blocks never meet
+        for number, (shift, width) in enumerate(_BLOCKS):
+            value = (prints[:, p] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            own = _home(value)
+            reached = np.stack([own] + [_home(value ^ np.uint64(1 << i)) for i in range(width)], axis=1)
+            reached.sort(axis=1)
+            fresh = np.ones(reached.shape, dtype=bool)
+            fresh[:, 1:] = reached[:, 1:] != reached[:, :-1]
+            owner = np.broadcast_to(index[:, None], reached.shape)[fresh]
+            anchor = reached[fresh]
+            anchors.append(anchor | np.uint64(name + number << 32))
+            homes.append(anchor == own[owner])
+            owners.append(owner)
+        shift, width = _EXACT_BLOCK
+        value = (prints[:, p] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        anchors.append(value | np.uint64(name + len(_BLOCKS) << 32))
+        homes.append(np.ones(len(prints), dtype=bool))
+        owners.append(index)
+    return np.concatenate(anchors), np.concatenate(homes), np.concatenate(owners)
+
+
+def _longs(batch: pa.RecordBatch, columns: range) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in columns], axis=1)
+
+
+def _to_anchors(names: list[str], n_prints: int):
+    """``names``: the columns that describe a node; the last ``n_prints`` are its fingerprints."""
+
+    def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = _longs(batch, range(len(names)))
+            for at in range(0, len(nodes), 10_000):
+                part = nodes[at : at + 10_000]
+                anchor, home, owner = anchor_entries(part[:, len(names) - n_prints :].view(np.uint64))
+                columns = [pa.array(anchor.view(np.int64)), pa.array(home), *(pa.array(part[owner, i]) for i in range(len(names)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", *names])
+
+    return to_anchors
 
 
 # --- comparison per anchor --------------------------------------------------------------------
 
 
-def spanning_links(homes: np.ndarray, others: np.ndarray, max_distance: int = MAX_DISTANCE) -> list[tuple[int, int]]:
+def distances(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints ^ other).sum(axis=-1, dtype=np.int64)
+
+
+def spanning_links(
+    homes: np.ndarray, home_nodes: np.ndarray, others: np.ndarray, other_nodes: np.ndarray, max_distance: int = MAX_DISTANCE
+) -> list[tuple[int, int]]:
     """Links that connect all that the pairs (home, other) within the distance connect: a spanning forest.
 
-    A search from each home: what it reaches leaves the unvisited sets, so a dense group costs a few
-    scans and yields at most as many links as it has members, never all its pairs.
+    Fingerprints are (n, prints) matrices. A search from each home: what it reaches leaves the
+    unvisited sets, so a dense group costs a few scans and yields at most as many links as it has
+    members, never all its pairs.
     """
     links: list[tuple[int, int]] = []
-    left_homes, left_others = homes, others
-    while len(left_homes):
-        front = [(int(left_homes[0]), True)]
-        left_homes = left_homes[1:]
+    left = {True: np.arange(len(homes)), False: np.arange(len(others))}  # unvisited homes and others
+    prints, nodes = {True: homes, False: others}, {True: home_nodes, False: other_nodes}
+    while len(left[True]):
+        front = [(int(left[True][0]), True)]
+        left[True] = left[True][1:]
         while front:
             at, is_home = front.pop()
-            left = left_others if is_home else left_homes
-            if not len(left):
+            unvisited = left[not is_home]
+            if not len(unvisited):
                 continue
-            near = np.bitwise_count(left ^ np.uint64(at)) <= max_distance
+            near = distances(prints[not is_home][unvisited], prints[is_home][at]) <= max_distance
             if not near.any():
                 continue
-            for y in left[near].tolist():
-                if y != at:
-                    links.append((at, y))
+            for y in unvisited[near].tolist():
+                if nodes[is_home][at] != nodes[not is_home][y]:
+                    links.append((int(nodes[is_home][at]), int(nodes[not is_home][y])))
                 front.append((y, not is_home))
-            if is_home:
-                left_others = left[~near]
-            else:
-                left_homes = left[~near]
+            left[not is_home] = unvisited[~near]
     return links
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell (an anchor, or a part of its grid); emits the links of each cell."""
+def _compare(n_columns: int, n_prints: int, max_distance: int):
+    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, node columns."""
 
-    def links_of(cell: np.ndarray, home: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, prints = rows[:, 0], rows[:, n_columns - n_prints :].view(np.uint64)
         edge = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
-        begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
+        begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
         n_home = np.add.reduceat(home.astype(np.int64), begins)
         size = ends - begins
-        us, vs = [], []
+        us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         small = (n_home > 0) & (size > 1) & (n_home * size <= 4096)
         if small.any():  # many small cells at once: each home row against each row of its cell
             cell_of = np.repeat(np.arange(len(begins)), size)
-            rows = np.flatnonzero(home & small[cell_of])
-            for part in np.array_split(rows, max(1, int((size[cell_of[rows]].sum()) // 2_000_000) + 1)):
+            lines = np.flatnonzero(home & small[cell_of])
+            for part in np.array_split(lines, max(1, int((size[cell_of[lines]].sum()) // 1_000_000) + 1)):
                 reps = size[cell_of[part]]
                 left = np.repeat(part, reps)
                 ahead = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
                 right = np.repeat(begins[cell_of[part]], reps) + ahead
-                near = (np.bitwise_count(fp[left] ^ fp[right]) <= MAX_DISTANCE) & (left != right)
-                near &= ~(home[right] & (left > right))
-                us.append(fp[left[near]])
-                vs.append(fp[right[near]])
+                near = distances(prints[left], prints[right]) <= max_distance
+                near &= (node[left] != node[right]) & ~(home[right] & (left > right))
+                us.append(node[left[near]])
+                vs.append(node[right[near]])
         for k in np.flatnonzero((n_home > 0) & (size > 1) & ~small):
-            f, h = fp[begins[k] : ends[k]], home[begins[k] : ends[k]]
-            if found := spanning_links(np.unique(f[h]), np.unique(f)):
-                pair = np.array(found, dtype=np.uint64)
+            mine, own = slice(begins[k], ends[k]), home[begins[k] : ends[k]]
+            if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], max_distance):
+                pair = np.array(found, dtype=np.int64)
                 us.append(pair[:, 0])
                 vs.append(pair[:, 1])
-        empty = np.empty(0, dtype=np.uint64)
-        return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
-
-    def result(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-        home = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-        fp = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        if kept:
-            cell, home, fp = (np.concatenate([k, x]) for k, x in zip(kept, (cell, home, fp), strict=True))
-        last = np.flatnonzero(np.any(cell != cell[-1], axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
-        if cut:
-            yield result(*links_of(cell[:cut], home[:cut], fp[:cut]))
-        kept = [cell[cut:], home[cut:], fp[cut:]]
-    if kept and len(kept[2]):
-        yield result(*links_of(*kept))
-
-
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """(u, v): links that connect exactly the distinct fingerprints (long column fp) at most 4 bits apart.
+        return np.concatenate(us), np.concatenate(vs)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (
+                _longs(batch, range(3)),
+                batch.column(3).to_numpy(zero_copy_only=False).astype(bool),
+                _longs(batch, range(4, 4 + n_columns)),
+            )
+            if kept is not None:
+                now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
+            cell = now[0]
+            last = np.flatnonzero(np.any(cell != cell[-1], axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
+            if cut:
+                u, v = links_of(*(x[:cut] for x in now))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            kept = tuple(x[cut:] for x in now)
+        if kept is not None and len(kept[0]):
+            u, v = links_of(*kept)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return compare
+
+
+def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(u, v): links between nodes that share an anchor and differ in at most ``max_distance`` of all bits.
+
+    ``nodes``: a long column ``node`` and, with several fingerprints, longs f0, f1, ...; one
+    fingerprint is the node itself. The links connect exactly the nodes with such a path. One
+    fingerprint and a distance of at most 4 bits miss no pair; with several, a pair is missed only if
+    no block of any of them is near enough.
 
     Hot anchors: the rows of an anchor are counted first (partial aggregation). One with more than
     ANCHOR_ROWS becomes a grid of cells, its homes against its rows, so a cell is bounded and no pair
     of the anchor is left out.
     """
-    entries = prints.select("fp").mapInArrow(_to_anchors, _ENTRIES)
+    names = ["node", *(f"f{i}" for i in range(n_prints))] if n_prints > 1 else ["node"]
+    schema = "anchor long, home boolean, " + ", ".join(f"{c} long" for c in names)
+    entries = nodes.select(*names).mapInArrow(_to_anchors(names, n_prints), schema)
     hot = (
         entries.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
@@ -232,61 +267,73 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     )
     spread = entries.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
     lines, columns = F.coalesce(F.greatest("lines", F.lit(1)), F.lit(1)), F.coalesce("columns", F.lit(1))
-    own_line, own_column = F.pmod(F.xxhash64("fp"), lines).cast("int"), F.pmod(F.xxhash64("fp"), columns).cast("int")
-    # A home row goes along its line, and every row goes along its column as a row to compare with.
+    own_line, own_column = F.pmod(F.xxhash64("node"), lines).cast("int"), F.pmod(F.xxhash64("node"), columns).cast("int")
+    alone = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("column"), F.col("home").alias("home")))
+    # In a grid, a home row goes along its line, and every row along its column as one to compare with.
+    along_line = F.when(
+        F.col("home"),
+        F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.struct(own_line.alias("line"), c.alias("column"), F.lit(True).alias("home"))),
+    ).otherwise(F.array().cast("array<struct<line:int,column:int,home:boolean>>"))
+    along_column = F.transform(
+        F.sequence(F.lit(0), lines - 1), lambda r: F.struct(r.alias("line"), own_column.alias("column"), F.lit(False).alias("home"))
+    )
     cells = spread.select(
-        "anchor",
-        "fp",
-        F.explode(
-            F.when(columns == 1, F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("column"), F.col("home").alias("home")))).otherwise(
-                F.concat(
-                    F.when(
-                        F.col("home"),
-                        F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.struct(own_line.alias("line"), c.alias("column"), F.lit(True).alias("home"))),
-                    ).otherwise(F.array().cast("array<struct<line:int,column:int,home:boolean>>")),
-                    F.transform(F.sequence(F.lit(0), lines - 1), lambda r: F.struct(r.alias("line"), own_column.alias("column"), F.lit(False).alias("home"))),
-                )
-            )
-        ).alias("cell"),
-    ).select("anchor", "cell.line", "cell.column", "cell.home", "fp")
+        "anchor", *names, F.explode(F.when(columns == 1, alone).otherwise(F.concat(along_line, along_column))).alias("cell")
+    ).select("anchor", "cell.line", "cell.column", "cell.home", *names)
     dealt = cells.repartition("anchor", "line", "column").sortWithinPartitions("anchor", "line", "column")
-    return dealt.mapInArrow(_compare, "u long, v long")
+    return dealt.mapInArrow(_compare(len(names), n_prints, max_distance), "u long, v long")
 
 
 # --- the operator -----------------------------------------------------------------------------
 
 
 def simhash_components(
-    docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shingle_words: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n_prints: int = 1,
+    max_distance: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """doc_id, fp (long), component_id of every row: the smallest id reachable over links of fingerprints.
+    """doc_id, fp (long, the first fingerprint), component_id of every row: the smallest id reachable.
 
-    Fingerprints link at 4 or fewer differing bits. Documents with one fingerprint are one node, so
-    copies cost nothing beyond the partial aggregation that merges them.
+    Fingerprints link at ``max_distance`` or fewer differing bits over all ``n_prints`` of a document.
+    Documents with equal fingerprints are one node, so copies cost nothing beyond the partial
+    aggregation that merges them.
 
     Null or wordless text has fingerprint zero and links like any other. Null ids are never a
     component_id unless all ids of the component are null. Repeated rows share a component. Other
     columns are ignored. No rows in, no rows out.
     """
     base = id_and_text(docs, id_col, text_col)
-    printed = base.select("doc_id", fingerprint_column(F.col("text"), shingle_words).alias("fp"))
-    printed = cut_lineage(printed)  # texts are hashed once, and lost executors don't hash them again
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(nodes))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    printed = base.select("doc_id", fingerprint_column(F.col("text"), shingle_words, n_prints).alias("f"))
+    prints = [F.col("f")[i].alias(f"f{i}") for i in range(n_prints)]
+    node = F.col("f")[0] if n_prints == 1 else F.xxhash64(*[F.col("f")[i] for i in range(n_prints)])
+    printed = cut_lineage(printed.select("doc_id", node.alias("node"), *prints))  # lost executors don't hash texts again
+    nodes = printed.groupBy("node", *[f"f{i}" for i in range(n_prints)]).agg(F.min("doc_id").alias("first_id"))
+    roots = connected_components(fingerprint_links(nodes, n_prints, max_distance)).withColumnRenamed("node", "linked")
+    rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(
+        "node", "first_id", F.coalesce("root", "node").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
-    classes = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("class_fp"), "component_id")
-    return printed.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    classes = rooted.join(named, F.col("root") == F.col("r")).select(F.col("node").alias("class_node"), "component_id")
+    return printed.join(classes, F.col("node") == F.col("class_node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
+
+
+#: Near duplicates by similarity: three fingerprints of 64 bits that differ in at most 32 bits.
+#: Shingle sets with Jaccard similarity J have an angle with cosine near 2J / (1 + J), and bits
+#: differ at angle / pi: 28 of 192 for J = 0.8.
+SIMILAR_PRINTS = 3
+SIMILAR_DISTANCE = 32
 
 
 def keep_one_per_component(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate component; all columns stay.
+    """The rows of ``docs`` whose id is the smallest of its component of similar texts; all columns stay.
 
-    Of repeated rows with one id, one stays. Rows without an id can't be named and all stay.
+    Similar: word shingles with a similarity of about 0.8 or more, as SIMILAR_PRINTS fingerprints
+    estimate it. Of repeated rows with one id, one stays. Rows without an id can't be named and stay.
     """
-    found = simhash_components(docs, shingle_words, id_col, text_col)
+    found = simhash_components(docs, shingle_words, id_col, text_col, SIMILAR_PRINTS, SIMILAR_DISTANCE)
     stays = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     id_name = fresh_name(docs, "_kept_id")
     kept = cut_lineage(found.filter(stays).groupBy(F.col("doc_id").alias(id_name)).agg(F.count(F.lit(1)).alias("n")))

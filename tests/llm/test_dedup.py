@@ -157,7 +157,7 @@ def classes_of(links, nodes):
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, anchor_rows):
     monkeypatch.setattr(simhash, "ANCHOR_ROWS", anchor_rows)  # 7: nearly every anchor becomes a grid
     prints = planted_prints(1, 400)
-    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "node long")
     rows = simhash.fingerprint_links(table).collect()
     links = [(r["u"] & (2**64 - 1), r["v"] & (2**64 - 1)) for r in rows]
     assert all(bin(u ^ v).count("1") <= 4 for u, v in links)
@@ -167,7 +167,8 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, anchor_rows):
 
 def test_spanning_links_are_few_and_connect():
     prints = planted_prints(2, 600)
-    links = simhash.spanning_links(prints, prints)
+    nodes = prints.view(np.int64)
+    links = [(u & (2**64 - 1), v & (2**64 - 1)) for u, v in simhash.spanning_links(prints[:, None], nodes, prints[:, None], nodes)]
     brute = [(int(x), int(y)) for i, x in enumerate(prints) for y in prints[i + 1 :][np.bitwise_count(prints[i + 1 :] ^ x) <= 4]]
     assert classes_of(links, prints) == classes_of(brute, prints)
     assert len(links) <= 2 * len(prints)
@@ -188,6 +189,28 @@ def test_simhash_edges(spark):
     assert sorted(ids, key=str) == sorted([1, 3, None, None, 6, 8, 9, 10, -11], key=str)
 
 
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    """Copies of 150 words with some words changed: nearly all of those above 0.9 go, none of the unrelated."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, size=n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, similar, clean = [], [], []
+    for k in range(120):
+        a = words(150)
+        b = list(a)
+        for i in rng.choice(150, size=1 + k % 2, replace=False):
+            b[i] = "changed"
+        x, y = shingles(a), shingles(b)
+        docs += [(3 * k, " ".join(a)), (3 * k + 1, " ".join(b)), (3 * k + 2, " ".join(words(150)))]
+        clean += [3 * k, 3 * k + 2]
+        if len(x & y) / len(x | y) >= 0.85:
+            similar.append(3 * k + 1)
+    kept = {r["doc_id"] for r in simhash.keep_one_per_component(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(clean) <= kept
+    gone = [d for d in similar if d not in kept]
+    assert len(similar) > 100 and len(gone) >= 0.9 * len(similar)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (1001, 1000)]
