@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -54,6 +55,46 @@ def batches_pass(
     return w, b, squares
 
 
+#: Rows of an SGD block: its inner products are one matrix product.
+SGD_BLOCK = 32
+
+
+def row_by_row_pass(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, link: str, lr: float, penalty: float, regularise_bias: bool
+) -> tuple[np.ndarray, float, float]:
+    """What :func:`batches_pass` does with batches of one row, for the 'linear' and 'logistic' links.
+
+    Within a block the output of row i depends on earlier rows only through inner products:
+    z_i = a^i x_i.w + c^i b - lr * sum over j < i of e_j (a^(i-1-j) x_i.x_j + c^(i-1-j)), where a and c
+    are what an update leaves of the weights and the bias. One product gives all of them; what stays
+    sequential is a short dot product a row, or a triangular system if the link is linear.
+    """
+    keep = 1.0 - lr * penalty
+    keep_bias = keep if regularise_bias else 1.0
+    back = np.subtract.outer(np.arange(SGD_BLOCK), np.arange(SGD_BLOCK)) - 1
+    fade, fade_bias = (np.where(back >= 0, k ** np.maximum(back, 0).astype(float), 0.0) for k in (keep, keep_bias))
+    left, left_bias = keep ** np.arange(SGD_BLOCK + 1.0), keep_bias ** np.arange(SGD_BLOCK + 1.0)
+    squares = 0.0
+    for at in range(0, len(y), SGD_BLOCK):
+        part, target = x[at : at + SGD_BLOCK], y[at : at + SGD_BLOCK]
+        n = len(target)
+        first = left[:n] * (part @ w) + left_bias[:n] * b
+        pull = lr * (fade[:n, :n] * (part @ part.T) + fade_bias[:n, :n])
+        if link == "linear":
+            e = np.linalg.solve(np.eye(n) + pull, first - target)
+        else:
+            e, starts, targets = np.zeros(n), first.tolist(), target.tolist()
+            for i in range(n):
+                z = starts[i] - float(pull[i, :i] @ e[:i])
+                grown = math.exp(-abs(z))
+                e[i] = (1.0 if z >= 0 else grown) / (1.0 + grown) - targets[i]
+        squares += float(e @ e)
+        weights = left[n - 1 :: -1][:n] if n else e
+        w = left[n] * w - lr * (part.T @ (weights * e))
+        b = left_bias[n] * b - lr * float((left_bias[n - 1 :: -1][:n]) @ e)
+    return w, float(b), squares
+
+
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -93,6 +134,37 @@ def network_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float) -> tup
     return layers, squares
 
 
+def network_streams_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float, streams: int) -> tuple[Layers, float]:
+    """``streams`` copies of the network learn from consecutive shares of the rows side by side, one row
+    each per step, and are averaged by rows at the end. One stream is :func:`network_pass`."""
+    n = len(y)
+    streams = max(1, min(streams, n))
+    if streams == 1:
+        return network_pass(x, y, layers, lr)
+    short, longer = divmod(n, streams)
+    lengths = np.full(streams, short) + (np.arange(streams) < longer)
+    starts = np.cumsum(lengths) - lengths
+    copies = [(np.repeat(w[None], streams, axis=0), np.repeat(b[None], streams, axis=0)) for w, b in layers]
+    squares = 0.0
+    for step in range(short + (longer > 0)):
+        k = streams if step < short else longer  # the longer streams come first
+        rows = starts[:k] + step
+        outputs = [x[rows]]
+        for w, b in copies:
+            outputs.append(stable_sigmoid(np.matmul(outputs[-1][:, None, :], w[:k])[:, 0] + b[:k]))
+        delta = outputs[-1] - y[rows][:, None]
+        squares += float((delta * delta).sum())
+        for layer in range(len(copies) - 1, -1, -1):
+            w, b = copies[layer]
+            below = outputs[layer]
+            passed = np.matmul(w[:k], delta[:, :, None])[:, :, 0] * below * (1.0 - below) if layer else None
+            w[:k] -= lr * below[:, :, None] * delta[:, None, :]
+            b[:k] -= lr * delta
+            delta = passed
+    share = lengths / n
+    return [(np.tensordot(share, w, 1), share @ b) for w, b in copies], squares
+
+
 def flatten(layers: Layers) -> np.ndarray:
     return np.concatenate([part.ravel() for w, b in layers for part in (w, b)])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrad.functions.kernels import Hypothesis, batches_pass, gradient_sums, linear
+from loomgrad.functions.kernels import Hypothesis, batches_pass, gradient_sums, linear, logistic, row_by_row_pass
 from loomgrad.operators.splits import order_key
 
 #: Features up to which the linear statistics, (d + 2) squared numbers a task, are worth one pass.
@@ -223,6 +223,7 @@ class _Sequential:
     def _optimise(self, train, start, predict, on_epoch, batch: int, rate: Callable[[int], float]) -> Trained:
         options = self.options
         dealt = deal_rows(train, self.num_partitions)
+        link = {linear: "linear", logistic: "logistic"}.get(predict) if batch == 1 else None
         try:
             n = dealt.count()
             penalty = options.l2 / n
@@ -232,7 +233,10 @@ class _Sequential:
                 w, b, lr = flat[:d].copy(), float(flat[d]), rate(epoch)
 
                 def update(x: np.ndarray, y: np.ndarray, w=w, b=b, lr=lr) -> tuple[np.ndarray, float]:
-                    got, bias, squares = batches_pass(x, y, w, b, predict, batch, lr, penalty, options.regularise_bias)
+                    if link:
+                        got, bias, squares = row_by_row_pass(x, y, w, b, link, lr, penalty, options.regularise_bias)
+                    else:
+                        got, bias, squares = batches_pass(x, y, w, b, predict, batch, lr, penalty, options.regularise_bias)
                     return np.concatenate([got, [bias]]), squares
 
                 flat, squares, _ = averaged_pass(dealt.sortWithinPartitions(*key), update, d + 1)

@@ -28,14 +28,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as compressed Parquet into the shared checkpoint folder and read it back.
 
-    Like :func:`cut_lineage`, for larger tables: columnar and compressed, so it costs less disk. Spark
-    removes the checkpoint folder's contents only where the cluster is told to; so may this folder.
+    Like :func:`cut_lineage`, for larger tables: columnar and compressed, so it costs less disk. The
+    files stay until :func:`release_materialised`, as results that build on them read them late.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/loomgrad-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_materialised(spark: SparkSession) -> int:
+    """Delete what :func:`materialise` has written in this process; results built on it end with it."""
+    context, count = spark.sparkContext, len(_written)
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return count

@@ -47,7 +47,7 @@ def read_labelled_csv(spark: SparkSession, path: str, delimiter: str = ",", has_
     if has_header:
         # A header is the first line of a file's first block; blocks may be read in any order.
         headers = lines.filter("block = 0").groupBy("file").agg(F.min("id").alias("header_id")).select("header_id")
-        lines = lines.join(F.broadcast(headers), F.col("id") == F.col("header_id"), "left_anti")  # one row a file
+        lines = lines.join(headers, F.col("id") == F.col("header_id"), "left_anti")  # one row a file
     head = lines.orderBy("id").limit(1).collect()
     if not head:
         raise ValueError(f"{path} has no samples")

@@ -220,6 +220,30 @@ def test_one_partition_is_the_sequential_rule(spark):
     assert [*got.parameters.weights, got.parameters.bias] == pytest.approx([*w, b])
 
 
+@pytest.mark.parametrize("link,predict", [("linear", kernels.linear), ("logistic", kernels.logistic)])
+@pytest.mark.parametrize("penalty,bias_too", [(0.0, False), (0.03, False), (0.03, True)])
+def test_blocks_of_rows_are_the_same_updates(link, predict, penalty, bias_too):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 31, 32, 75):
+        x, y, w = rng.normal(size=(n, 4)), (rng.random(n) > 0.5).astype(float), rng.normal(size=4)
+        a = kernels.batches_pass(x, y, w, 0.3, predict, 1, 0.1, penalty, bias_too)
+        b = kernels.row_by_row_pass(x, y, w, 0.3, link, 0.1, penalty, bias_too)
+        assert b[0] == pytest.approx(a[0]) and b[1:] == pytest.approx(a[1:])
+
+
+def test_streams_are_networks_of_their_own():
+    rng = np.random.default_rng(7)
+    x, y, layers = rng.normal(size=(23, 3)), rng.random(23), kernels.glorot_layers((3, 4, 2, 1), 1)
+    one, _ = kernels.network_streams_pass(x, y, layers, 0.2, 1)
+    assert kernels.flatten(one) == pytest.approx(kernels.flatten(kernels.network_pass(x, y, layers, 0.2)[0]))
+    got, squares = kernels.network_streams_pass(x, y, layers, 0.2, 5)
+    bounds, mean, total = [0, 5, 10, 15, 19, 23], 0.0, 0.0
+    for a, b in zip(bounds, bounds[1:]):
+        own, s = kernels.network_pass(x[a:b], y[a:b], layers, 0.2)
+        mean, total = mean + kernels.flatten(own) * (b - a) / 23, total + s
+    assert kernels.flatten(got) == pytest.approx(mean) and squares == pytest.approx(total)
+
+
 def test_averaged_training_is_repeatable(spark):
     df = table(spark, [((i / 50,), 3 * i / 50 + 2) for i in range(50)])
     optimiser = training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 3), num_partitions=4)
