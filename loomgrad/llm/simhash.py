@@ -21,6 +21,8 @@ HASH_SEED = 42
 MAX_DISTANCE = 4
 #: Rows of an anchor that one task compares with each other; larger anchors are cut into a grid.
 ANCHOR_ROWS = 4096
+#: Hot anchors up to this many are broadcast: 16 bytes each.
+HOT_BROADCAST = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -61,13 +63,24 @@ def fingerprints(text: str, shingle_words: int, n_prints: int = 1) -> list[int]:
     return out
 
 
+def node_ids(prints: np.ndarray) -> np.ndarray:
+    """One long per row of an (n, prints) matrix: the fingerprint itself, or a hash of several."""
+    if prints.shape[1] == 1:
+        return prints[:, 0].astype(np.uint64).view(np.int64)
+    h = np.zeros(len(prints), dtype=np.uint64)
+    for column in prints.T:
+        h = mix(h + column)
+    return h.view(np.int64)
+
+
 def fingerprint_column(text: Column, shingle_words: int, n_prints: int = 1) -> Column:
-    """array<long> of the fingerprints of each whole text."""
+    """array<long> of each whole text: its fingerprints and, last, its node id."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprints(t, shingle_words, n_prints) for t in texts], dtype="object")
+            prints = np.array([fingerprints(t, shingle_words, n_prints) for t in texts], dtype=np.int64).reshape(-1, n_prints)
+            yield pd.Series(list(np.column_stack([prints, node_ids(prints.view(np.uint64))])), dtype="object")
 
     return column(text)
 
@@ -130,15 +143,15 @@ def _longs(batch: pa.RecordBatch, columns: range) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in columns], axis=1)
 
 
-def _to_anchors(names: list[str], n_prints: int):
-    """``names``: the columns that describe a node; the last ``n_prints`` are its fingerprints."""
+def _to_anchors(names: list[str]):
+    """``names``: the fingerprint columns."""
 
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = _longs(batch, range(len(names)))
-            for at in range(0, len(nodes), 10_000):
-                part = nodes[at : at + 10_000]
-                anchor, home, owner = anchor_entries(part[:, len(names) - n_prints :].view(np.uint64))
+            prints = _longs(batch, range(len(names)))
+            for at in range(0, len(prints), 10_000):
+                part = prints[at : at + 10_000]
+                anchor, home, owner = anchor_entries(part.view(np.uint64))
                 columns = [pa.array(anchor.view(np.int64)), pa.array(home), *(pa.array(part[owner, i]) for i in range(len(names)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", *names])
 
@@ -183,13 +196,14 @@ def spanning_links(
     return links
 
 
-def _compare(n_columns: int, n_prints: int, max_distance: int):
-    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, node columns."""
+def _compare(n_prints: int, max_distance: int):
+    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, fingerprints."""
 
     def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node, prints = rows[:, 0], rows[:, n_columns - n_prints :].view(np.uint64)
+        prints = np.ascontiguousarray(rows).view(np.uint64)
+        node = node_ids(prints)
         edge = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
-        begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
+        begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(prints)]])
         n_home = np.add.reduceat(home.astype(np.int64), begins)
         size = ends - begins
         us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
@@ -222,7 +236,7 @@ def _compare(n_columns: int, n_prints: int, max_distance: int):
             now = (
                 _longs(batch, range(3)),
                 batch.column(3).to_numpy(zero_copy_only=False).astype(bool),
-                _longs(batch, range(4, 4 + n_columns)),
+                _longs(batch, range(4, 4 + n_prints)),
             )
             if kept is not None:
                 now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
@@ -243,19 +257,18 @@ def _compare(n_columns: int, n_prints: int, max_distance: int):
 def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(u, v): links between nodes that share an anchor and differ in at most ``max_distance`` of all bits.
 
-    ``nodes``: a long column ``node`` and, with several fingerprints, longs f0, f1, ...; one
-    fingerprint is the node itself. The links connect exactly the nodes with such a path. One
-    fingerprint and a distance of at most 4 bits miss no pair; with several, a pair is missed only if
-    no block of any of them is near enough.
+    ``nodes``: longs f0, f1, ... and one row per combination; u and v are their :func:`node_ids`. The
+    links connect exactly the nodes with such a path. One fingerprint and a distance of at most 4 bits
+    miss no pair; with several, a pair is missed only if no block of any of them is near enough.
 
     Hot anchors: the rows of an anchor are counted first (partial aggregation). One with more than
     ANCHOR_ROWS becomes a grid of cells, its homes against its rows, so a cell is bounded and no pair
-    of the anchor is left out.
+    of the anchor is left out. The list of hot anchors is broadcast while it is short, else joined.
     """
-    names = ["node", *(f"f{i}" for i in range(n_prints))] if n_prints > 1 else ["node"]
+    names = [f"f{i}" for i in range(n_prints)]
     schema = "anchor long, home boolean, " + ", ".join(f"{c} long" for c in names)
-    entries = nodes.select(*names).mapInArrow(_to_anchors(names, n_prints), schema)
-    hot = (
+    entries = nodes.select(*names).mapInArrow(_to_anchors(names), schema)
+    hot = cut_lineage(
         entries.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
         .filter(F.col("n") > ANCHOR_ROWS)
@@ -265,9 +278,11 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
             F.ceil(F.col("n_home") / ANCHOR_ROWS).cast("int").alias("lines"),
         )
     )
+    if hot.count() <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
     spread = entries.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
     lines, columns = F.coalesce(F.greatest("lines", F.lit(1)), F.lit(1)), F.coalesce("columns", F.lit(1))
-    own_line, own_column = F.pmod(F.xxhash64("node"), lines).cast("int"), F.pmod(F.xxhash64("node"), columns).cast("int")
+    own_line, own_column = F.pmod(F.xxhash64(*names), lines).cast("int"), F.pmod(F.xxhash64(*names), columns).cast("int")
     alone = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("column"), F.col("home").alias("home")))
     # In a grid, a home row goes along its line, and every row along its column as one to compare with.
     along_line = F.when(
@@ -281,7 +296,7 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
         "anchor", *names, F.explode(F.when(columns == 1, alone).otherwise(F.concat(along_line, along_column))).alias("cell")
     ).select("anchor", "cell.line", "cell.column", "cell.home", *names)
     dealt = cells.repartition("anchor", "line", "column").sortWithinPartitions("anchor", "line", "column")
-    return dealt.mapInArrow(_compare(len(names), n_prints, max_distance), "u long, v long")
+    return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -308,8 +323,7 @@ def simhash_components(
     base = id_and_text(docs, id_col, text_col)
     printed = base.select("doc_id", fingerprint_column(F.col("text"), shingle_words, n_prints).alias("f"))
     prints = [F.col("f")[i].alias(f"f{i}") for i in range(n_prints)]
-    node = F.col("f")[0] if n_prints == 1 else F.xxhash64(*[F.col("f")[i] for i in range(n_prints)])
-    printed = cut_lineage(printed.select("doc_id", node.alias("node"), *prints))  # lost executors don't hash texts again
+    printed = cut_lineage(printed.select("doc_id", F.col("f")[n_prints].alias("node"), *prints))  # lost executors don't hash texts again
     nodes = printed.groupBy("node", *[f"f{i}" for i in range(n_prints)]).agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(fingerprint_links(nodes, n_prints, max_distance)).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, F.col("node") == F.col("linked"), "left").select(

@@ -1,8 +1,8 @@
 """Substring deduplication: a word suffix tree, cut at the window depth and built level by level.
 
-Level 1 is keyed by variable suffixes' short prefixes, level 2 by the whole path of a run, level 3 by
-the 20-word node. Only suffixes below a node with two or more leaves go on to the next level, so each
-shuffle carries the repeated part of the corpus and not one row per word.
+Prefixes have three lengths: six words at level 1, the whole path of a run of windows (20 to 34 words)
+at level 2, the 20-word node at level 3. Only suffixes below a node with two or more leaves go on to
+the next level, so each shuffle carries the repeated part of the corpus and not one row per word.
 """
 
 from __future__ import annotations

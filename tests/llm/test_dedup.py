@@ -153,11 +153,12 @@ def classes_of(links, nodes):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("anchor_rows", [4096, 7])
-def test_links_connect_what_all_pairs_connect(spark, monkeypatch, anchor_rows):
+@pytest.mark.parametrize("anchor_rows,broadcast", [(4096, 100_000), (7, 100_000), (7, 0)])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, anchor_rows, broadcast):
     monkeypatch.setattr(simhash, "ANCHOR_ROWS", anchor_rows)  # 7: nearly every anchor becomes a grid
+    monkeypatch.setattr(simhash, "HOT_BROADCAST", broadcast)  # 0: joined instead
     prints = planted_prints(1, 400)
-    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "node long")
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "f0 long")
     rows = simhash.fingerprint_links(table).collect()
     links = [(r["u"] & (2**64 - 1), r["v"] & (2**64 - 1)) for r in rows]
     assert all(bin(u ^ v).count("1") <= 4 for u, v in links)
