@@ -208,6 +208,7 @@ def _compare(n_prints: int, max_distance: int):
         size = ends - begins
         us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         small = (n_home > 0) & (size > 1) & (n_home * size <= 4096)
+        dense = (n_home > 0) & (size > 1) & ~small
         if small.any():  # many small cells at once: each home row against each row of its cell
             cell_of = np.repeat(np.arange(len(begins)), size)
             lines = np.flatnonzero(home & small[cell_of])
@@ -218,9 +219,13 @@ def _compare(n_prints: int, max_distance: int):
                 right = np.repeat(begins[cell_of[part]], reps) + ahead
                 near = distances(prints[left], prints[right]) <= max_distance
                 near &= (node[left] != node[right]) & ~(home[right] & (left > right))
-                us.append(node[left[near]])
-                vs.append(node[right[near]])
-        for k in np.flatnonzero((n_home > 0) & (size > 1) & ~small):
+                left, right = left[near], right[near]
+                # A cell with more near pairs than rows is a dense group: a forest will do.
+                dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
+                few = ~dense[cell_of[left]]
+                us.append(node[left[few]])
+                vs.append(node[right[few]])
+        for k in np.flatnonzero(dense):
             mine, own = slice(begins[k], ends[k]), home[begins[k] : ends[k]]
             if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], max_distance):
                 pair = np.array(found, dtype=np.int64)
