@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -187,7 +187,7 @@ _MATCHES = "doc_id long, item_id {}, score double, question_overlap double, answ
 
 def _find(shared, item_type: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        index = Index(*shared.value)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             best: dict[tuple, tuple] = {}
@@ -284,7 +284,9 @@ def contaminated(
             continue
         own = mine.select(F.explode("words").alias("term")).distinct()
         df = {r["term"]: r["df"] for r in frequency.join(own, "term").collect()}
-        shared = spark.sparkContext.broadcast(build_index(rows, n, mean_words, df))
+        index = build_index(rows, n, mean_words, df)
+        # A plain tuple: executors without a copy of this package can read it.
+        shared = spark.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(Index)))
         item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
         part = texts.mapInArrow(_find(shared, item_type), schema)
         found = part if found is None else found.unionByName(part)
