@@ -5,14 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-import loomgrad
-
-# Functions of this package travel to the executors by value, so a cluster needs no copy of it.
-cloudpickle.register_pickle_by_value(loomgrad)
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; only where none is named (tests), a new local folder."""
