@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from loomgrad.llm.common import fresh_name, id_and_text, read_table, unsigned_hex
 from loomgrad.llm.components import connected_components
 from loomgrad.llm.wordhash import mix
-from loomgrad.session import cut_lineage
+from loomgrad.session import cut_lineage, materialise
 
 HASH_SEED = 42
 MAX_DISTANCE = 4
@@ -47,7 +47,10 @@ def fingerprints(text: str, shingle_words: int, n_prints: int = 1) -> list[int]:
 
     A bit is 1 if it is set in over half of the hashes; no words: zero.
     """
-    hashes = np.array(shingle_hashes(text, shingle_words), dtype=np.uint64)
+    return _prints_of(np.array(shingle_hashes(text, shingle_words), dtype=np.uint64), n_prints)
+
+
+def _prints_of(hashes: np.ndarray, n_prints: int) -> list[int]:
     if not len(hashes):
         return [0] * n_prints
     out = []
@@ -143,17 +146,18 @@ def _longs(batch: pa.RecordBatch, columns: range) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in columns], axis=1)
 
 
-def _to_anchors(names: list[str]):
-    """``names``: the fingerprint columns."""
+def _to_anchors(names: list[str], n_prints: int, carried: list[str], everywhere: bool):
+    """``names``: columns, fingerprints first. Entries hold the ``carried`` ones; ``everywhere``: all are homes."""
 
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = _longs(batch, range(len(names)))
-            for at in range(0, len(prints), 10_000):
-                part = prints[at : at + 10_000]
-                anchor, home, owner = anchor_entries(part.view(np.uint64))
-                columns = [pa.array(anchor.view(np.int64)), pa.array(home), *(pa.array(part[owner, i]) for i in range(len(names)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", *names])
+            rows = _longs(batch, range(len(names)))
+            for at in range(0, len(rows), 10_000):
+                part = rows[at : at + 10_000]
+                anchor, home, owner = anchor_entries(np.ascontiguousarray(part[:, :n_prints]).view(np.uint64))
+                home |= everywhere
+                columns = [pa.array(anchor.view(np.int64)), pa.array(home), *(pa.array(part[owner, names.index(c)]) for c in carried)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", *carried])
 
     return to_anchors
 
@@ -196,18 +200,26 @@ def spanning_links(
     return links
 
 
-def _compare(n_prints: int, max_distance: int):
-    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, fingerprints."""
+def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bool = False):
+    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, fingerprints.
 
-    def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints = np.ascontiguousarray(rows).view(np.uint64)
-        node = node_ids(prints)
+    ``named``: a column with the node's id follows, and the links of dense cells are marked.
+    ``labelled``: so does a label; all pairs with different labels are links, dense cells or not.
+    """
+    bound = ANCHOR_ROWS * ANCHOR_ROWS if named else 4096
+    n_columns = n_prints + named + labelled
+    schema_names = ["u", "v", "dense"] if named else ["u", "v"]
+
+    def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        prints = np.ascontiguousarray(rows[:, :n_prints]).view(np.uint64)
+        node = np.ascontiguousarray(rows[:, n_prints]) if named else node_ids(prints)
+        label = np.ascontiguousarray(rows[:, n_prints + 1]) if labelled else node
         edge = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
         begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(prints)]])
         n_home = np.add.reduceat(home.astype(np.int64), begins)
         size = ends - begins
         us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        small = (n_home > 0) & (size > 1) & (n_home * size <= 4096)
+        small = (n_home > 0) & (size > 1) & ((n_home * size <= bound) | labelled)
         dense = (n_home > 0) & (size > 1) & ~small
         if small.any():  # many small cells at once: each home row against each row of its cell
             cell_of = np.repeat(np.arange(len(begins)), size)
@@ -218,20 +230,25 @@ def _compare(n_prints: int, max_distance: int):
                 ahead = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
                 right = np.repeat(begins[cell_of[part]], reps) + ahead
                 near = distances(prints[left], prints[right]) <= max_distance
-                near &= (node[left] != node[right]) & ~(home[right] & (left > right))
+                near &= (label[left] != label[right]) & ~(home[right] & (left > right))
                 left, right = left[near], right[near]
                 # A cell with more near pairs than rows is a dense group: a forest will do.
-                dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
+                if not labelled:
+                    dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
                 few = ~dense[cell_of[left]]
                 us.append(node[left[few]])
                 vs.append(node[right[few]])
+        plain = sum(map(len, us))
         for k in np.flatnonzero(dense):
             mine, own = slice(begins[k], ends[k]), home[begins[k] : ends[k]]
-            if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], max_distance):
-                pair = np.array(found, dtype=np.int64)
-                us.append(pair[:, 0])
-                vs.append(pair[:, 1])
-        return np.concatenate(us), np.concatenate(vs)
+            # Named nodes are verified afterwards: a forest of close ones holds when one of far ones does not.
+            for reach in (max_distance // 4, max_distance) if named else (max_distance,):
+                if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], reach):
+                    pair = np.array(found, dtype=np.int64)
+                    us.append(pair[:, 0])
+                    vs.append(pair[:, 1])
+        out = [np.concatenate(us), np.concatenate(vs)]
+        return [*out, np.arange(len(out[0])) >= plain] if named else out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -241,7 +258,7 @@ def _compare(n_prints: int, max_distance: int):
             now = (
                 _longs(batch, range(3)),
                 batch.column(3).to_numpy(zero_copy_only=False).astype(bool),
-                _longs(batch, range(4, 4 + n_prints)),
+                _longs(batch, range(4, 4 + n_columns)),
             )
             if kept is not None:
                 now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
@@ -249,12 +266,12 @@ def _compare(n_prints: int, max_distance: int):
             last = np.flatnonzero(np.any(cell != cell[-1], axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
             if cut:
-                u, v = links_of(*(x[:cut] for x in now))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                found = links_of(*(x[:cut] for x in now))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema_names)
             kept = tuple(x[cut:] for x in now)
         if kept is not None and len(kept[0]):
-            u, v = links_of(*kept)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            found = links_of(*kept)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema_names)
 
     return compare
 
@@ -271,8 +288,14 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
     of the anchor is left out. The list of hot anchors is broadcast while it is short, else joined.
     """
     names = [f"f{i}" for i in range(n_prints)]
+    dealt = _dealt(nodes.select(*names), n_prints, names, False)
+    return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
+
+
+def _dealt(nodes: DataFrame, n_prints: int, names: list[str], everywhere: bool) -> DataFrame:
+    """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`_compare`."""
     schema = "anchor long, home boolean, " + ", ".join(f"{c} long" for c in names)
-    entries = nodes.select(*names).mapInArrow(_to_anchors(names), schema)
+    entries = nodes.mapInArrow(_to_anchors(nodes.columns, n_prints, names, everywhere), schema)
     hot = cut_lineage(
         entries.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
@@ -300,8 +323,7 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
     cells = spread.select(
         "anchor", *names, F.explode(F.when(columns == 1, alone).otherwise(F.concat(along_line, along_column))).alias("cell")
     ).select("anchor", "cell.line", "cell.column", "cell.home", *names)
-    dealt = cells.repartition("anchor", "line", "column").sortWithinPartitions("anchor", "line", "column")
-    return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
+    return cells.repartition("anchor", "line", "column").sortWithinPartitions("anchor", "line", "column")
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -339,27 +361,118 @@ def simhash_components(
     return printed.join(classes, F.col("node") == F.col("class_node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-#: Near duplicates by similarity: three fingerprints of 64 bits that differ in at most 32 bits.
-#: Shingle sets with Jaccard similarity J have an angle with cosine near 2J / (1 + J), and bits
-#: differ at angle / pi: 28 of 192 for J = 0.8.
+#: Near duplicates by similarity. Shingle sets with Jaccard similarity J have an angle with cosine near
+#: 2J / (1 + J), and bits differ at angle / pi: 0.1515 for J = 0.8. Texts that share any anchor of any of
+#: SIMILAR_PRINTS fingerprints are candidates if COMPARED_PRINTS of them (128 bits, 19 expected to
+#: differ at J = 0.8) are near; exact similarity decides.
 SIMILAR_PRINTS = 3
-SIMILAR_DISTANCE = 32
+COMPARED_PRINTS = 2
+SIMILAR_DISTANCE = 38
+
+
+def shingle_set(text: str, shingle_words: int) -> np.ndarray:
+    """The distinct shingle hashes of the text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, shingle_words), dtype=np.uint64))
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    """One long per shingle set: texts with equal sets are one node."""
+    whole = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
+    return int(mix(np.array([whole], dtype=np.uint64)).view(np.int64)[0])
+
+
+def _set_print_column(text: Column, shingle_words: int) -> Column:
+    """array<long> of each text: the fingerprints of its shingle set and, last, its node id."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            sets = (shingle_set(t, shingle_words) for t in texts)
+            yield pd.Series([np.array([*_prints_of(x, SIMILAR_PRINTS), _set_id(x)], dtype=np.int64) for x in sets], dtype="object")
+
+    return column(text)
+
+
+def _set_column(text: Column, shingle_words: int) -> Column:
+    """array<long> of each text: its shingle set and, first, its node id."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            sets = (shingle_set(t, shingle_words) for t in texts)
+            yield pd.Series([np.concatenate([[_set_id(x)], x.view(np.int64)]).astype(np.int64) for x in sets], dtype="object")
+
+    return column(text)
+
+
+def _verified(links: DataFrame, nodes: DataFrame, base: DataFrame, shingle_words: int) -> DataFrame:
+    """The links (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, by exact intersection.
+
+    Only the text of one document of a linked node is read again, by its id; another text under the
+    same id has another node id and is left out.
+    """
+    linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
+    sets = base.join(wanted, "doc_id").select("node", _set_column(F.col("text"), shingle_words).alias("s"))
+    sets = sets.filter(F.col("s")[0] == F.col("node")).groupBy("node").agg(F.first("s").alias("s"))
+    sets = materialise(sets.select("node", F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("s")))
+    left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    both = links.join(left, "u").join(right, "v")
+    shared = F.size(F.array_intersect("a", "b"))  # shared / (a + b - shared) >= 4 / 5
+    return cut_lineage(both.filter(shared * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
+
+
+def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row with an id: the smallest id that links of similarity 0.8 or more reach.
+
+    Candidates are pairs that share an anchor; each is verified by exact similarity before it links.
+    A dense cell first yields forests of candidates. What they leave apart once verified goes round
+    again: then every candidate pair of its nodes that is not yet in one component is verified.
+    """
+    base = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    prints = [f"f{i}" for i in range(SIMILAR_PRINTS)]
+    printed = base.select("doc_id", _set_print_column(F.col("text"), shingle_words).alias("f"))
+    printed = cut_lineage(printed.select("doc_id", F.col("f")[SIMILAR_PRINTS].alias("node"), *[F.col("f")[i].alias(c) for i, c in enumerate(prints)]))
+    nodes = printed.groupBy("node", *prints).agg(F.min("doc_id").alias("first_id"))
+    carried = [*prints[:COMPARED_PRINTS], "node"]
+    dealt = _dealt(nodes.select(*prints, "node"), SIMILAR_PRINTS, carried, False)
+    found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), "u long, v long, dense boolean")
+    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    links = cut_lineage(found.select(*ordered, "dense").groupBy("u", "v").agg(F.max("dense").alias("dense")))
+    true_links = _verified(links.select("u", "v"), nodes, base, shingle_words)
+    roots = connected_components(true_links)
+    crowd = links.filter("dense")
+    crowd = crowd.select(F.col("u").alias("node")).unionByName(crowd.select(F.col("v").alias("node"))).distinct()
+    again = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left").select(*prints, "node", F.coalesce("root", "node").alias("label"))
+    again = cut_lineage(again)
+    if again.limit(1).count():
+        dealt = _dealt(again, SIMILAR_PRINTS, [*carried, "label"], False)
+        found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), "u long, v long, dense boolean")
+        more = cut_lineage(found.select(*ordered).distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"))
+        if more.limit(1).count():
+            roots = connected_components(true_links.unionByName(_verified(more, nodes, base, shingle_words)))
+    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = rooted.join(named, "root").select("node", "component_id")
+    return printed.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component of similar texts; all columns stay.
 
-    Similar: word shingles with a similarity of about 0.8 or more, as SIMILAR_PRINTS fingerprints
-    estimate it. Of repeated rows with one id, one stays. Rows without an id can't be named and stay.
+    Similar: sets of word shingles with a Jaccard similarity of 0.8 or more. Of repeated rows with one
+    id, one stays. Rows without an id can't be named and stay.
     """
-    found = simhash_components(docs, shingle_words, id_col, text_col, SIMILAR_PRINTS, SIMILAR_DISTANCE)
-    stays = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    found = similar_components(docs, shingle_words, id_col, text_col)
     id_name = fresh_name(docs, "_kept_id")
+    stays = F.col("doc_id") == F.col("component_id")
     kept = cut_lineage(found.filter(stays).groupBy(F.col("doc_id").alias(id_name)).agg(F.count(F.lit(1)).alias("n")))
     rows, named = docs, F.col(id_col).isNotNull()
-    if kept.filter(F.col(id_name).isNotNull() & (F.col("n") > 1)).limit(1).count():  # only then whole rows are grouped
+    if kept.filter(F.col("n") > 1).limit(1).count():  # only then whole rows are grouped
         rows = docs.filter(named).dropDuplicates([id_col]).unionByName(docs.filter(~named))
-    return rows.join(kept.select(id_name), F.col(id_col).cast("long").eqNullSafe(F.col(id_name)), "left_semi")
+    here = F.col(id_col).cast("long")
+    nameless = docs.sparkSession.createDataFrame([(None,)], f"{id_name} long")
+    return rows.join(kept.select(id_name).unionByName(nameless), here.eqNullSafe(F.col(id_name)), "left_semi")
 
 
 def op2_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,32 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     assert len(similar) > 100 and len(gone) >= 0.9 * len(similar)
 
 
+def edited_pairs(seed: int, n: int, low: float, high: float) -> list[tuple[str, str]]:
+    """Unrelated pairs of texts whose five-word shingle sets have a similarity from ``low`` to under ``high``."""
+    rng = np.random.default_rng(seed)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out = []
+    while len(out) < n:
+        a = [f"w{i}" for i in rng.integers(0, 50_000, size=int(rng.integers(60, 300)))]
+        b = list(a)
+        for i in rng.choice(len(a), size=int(rng.integers(1, 10)), replace=False):
+            b[i] = f"c{rng.integers(0, 50_000)}"
+        x, y = shingles(a), shingles(b)
+        if low <= len(x & y) / len(x | y) < high:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def kept_of(spark, texts: list[str]) -> set[int]:
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.keep_one_per_component(table).collect()}
+
+
+def test_pairs_under_the_threshold_both_stay(spark):
+    texts = [t for pair in edited_pairs(12, 200, 0.65, 0.80) for t in pair]
+    assert kept_of(spark, texts) == set(range(400))
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (1001, 1000)]
