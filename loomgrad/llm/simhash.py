@@ -365,7 +365,7 @@ def simhash_components(
 #: 2J / (1 + J), and bits differ at angle / pi: 0.1515 for J = 0.8. Texts that share any anchor of any of
 #: SIMILAR_PRINTS fingerprints are candidates if COMPARED_PRINTS of them (128 bits, 19 expected to
 #: differ at J = 0.8) are near; exact similarity decides.
-SIMILAR_PRINTS = 3
+SIMILAR_PRINTS = 5
 COMPARED_PRINTS = 2
 SIMILAR_DISTANCE = 38
 
@@ -435,7 +435,7 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "d
     printed = cut_lineage(printed.select("doc_id", F.col("f")[SIMILAR_PRINTS].alias("node"), *[F.col("f")[i].alias(c) for i, c in enumerate(prints)]))
     nodes = printed.groupBy("node", *prints).agg(F.min("doc_id").alias("first_id"))
     carried = [*prints[:COMPARED_PRINTS], "node"]
-    dealt = _dealt(nodes.select(*prints, "node"), SIMILAR_PRINTS, carried, False)
+    dealt = _dealt(nodes.select(*prints, "node"), SIMILAR_PRINTS, carried, True)
     found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), "u long, v long, dense boolean")
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     links = cut_lineage(found.select(*ordered, "dense").groupBy("u", "v").agg(F.max("dense").alias("dense")))
@@ -446,7 +446,7 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "d
     again = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left").select(*prints, "node", F.coalesce("root", "node").alias("label"))
     again = cut_lineage(again)
     if again.limit(1).count():
-        dealt = _dealt(again, SIMILAR_PRINTS, [*carried, "label"], False)
+        dealt = _dealt(again, SIMILAR_PRINTS, [*carried, "label"], True)
         found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), "u long, v long, dense boolean")
         more = cut_lineage(found.select(*ordered).distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"))
         if more.limit(1).count():

@@ -233,11 +233,42 @@ def kept_of(spark, texts: list[str]) -> set[int]:
     return {r["doc_id"] for r in simhash.keep_one_per_component(table).collect()}
 
 
+def test_isolated_pairs_just_above_the_threshold_meet(spark):
+    texts = [t for pair in edited_pairs(11, 400, 0.80, 0.85) for t in pair]
+    kept = kept_of(spark, texts)
+    assert set(range(0, 800, 2)) <= kept
+    assert len(set(range(1, 800, 2)) - kept) >= 0.985 * 400
+
+
 def test_pairs_under_the_threshold_both_stay(spark):
     texts = [t for pair in edited_pairs(12, 200, 0.65, 0.80) for t in pair]
     assert kept_of(spark, texts) == set(range(400))
 
 
+@pytest.mark.parametrize("anchor_rows", [4096, 7])
+def test_template_families_fall_into_their_exact_components(spark, monkeypatch, anchor_rows):
+    """Forests of dense cells, once verified, still connect what all similar pairs connect, and no more."""
+    monkeypatch.setattr(simhash, "ANCHOR_ROWS", anchor_rows)
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, size=120)]
+    texts = []
+    for _ in range(150):
+        b = list(words)
+        for i in rng.choice(120, size=int(rng.integers(1, 6)), replace=False):
+            b[i] = f"c{rng.integers(0, 50_000)}"
+        texts.append(" ".join(b))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    parent = {i: i for i in range(150)}
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    firsts = {find(parent, i) for i in range(150)}
+    assert 1 < len(firsts) < 150
+    assert kept_of(spark, texts) == firsts
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (1001, 1000)]
