@@ -15,6 +15,8 @@ NO_VALUE = "(none)"
 #: Exponent of the observed token shares that makes the default targets: 1 keeps them, 0 evens them out.
 TEMPERATURE = 0.7
 SWEEPS = 8
+#: Share of the tokens of a corpus that the pipeline's mixture keeps.
+KEPT_SHARE = 0.6
 SEED = 17
 #: Cell tables up to this many rows are kept in one partition, so that sweeps need no exchange.
 ONE_PARTITION_CELLS = 100_000
@@ -78,11 +80,31 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int, one_pa
     return cut_lineage(cells)
 
 
+def capped_total(fitted: DataFrame, kept_share: float) -> float | None:
+    """The c at which the cells' min(tokens, c * w) sum to that share of all tokens; None: every cell is whole.
+
+    Cells that c fills are taken whole and c is solved for the others, until no further cell fills: c only
+    grows, and each round is one aggregate.
+    """
+    wanted = kept_share * float(fitted.agg(F.sum("cell_tokens")).first()[0] or 0)
+    c, n_full = 0.0, -1
+    while True:
+        full = F.col("cell_tokens") <= F.col("w") * F.lit(c)
+        live = fitted.filter("w > 0 AND cell_tokens > 0")
+        count, whole, rest = live.agg(F.count_if(full), F.sum(F.when(full, F.col("cell_tokens"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not rest:
+            return None
+        if count == n_full:
+            return c
+        c, n_full = max(c, (wanted - float(whole or 0)) / float(rest)), count
+
+
 def cell_probabilities(
     rows: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = TEMPERATURE,
     sweeps: int = SWEEPS,
+    kept_share: float | None = None,
 ) -> DataFrame:
     """One row per combination of source, language and topic: its tokens, fitted share and probability.
 
@@ -91,6 +113,10 @@ def cell_probabilities(
     probability of a cell is the largest total times its share over its tokens: the total at which
     no probability exceeds 1, so expected tokens meet the fitted shares exactly. Values without a
     positive weight, and cells without tokens, get probability 0.
+
+    With ``kept_share`` the total is that share of all tokens instead, so that no rare cell can set it:
+    cells that hold too little are taken whole, the others are scaled up, and ``unmet_tokens`` is what
+    the fitted share of a cell would ask beyond its tokens.
     """
     cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("cell_tokens"))
     cells = cut_lineage(cells)
@@ -98,10 +124,22 @@ def cell_probabilities(
     wanted = {m: _targets(cells, m, (targets or {}).get(m), temperature) for m in MARGINS}
     fitted = rake(cells.withColumn("w", F.col("cell_tokens").cast("double")), wanted, sweeps, one_partition)
     w_sum, least = fitted.agg(F.sum("w"), F.min(F.when(F.col("w") > 0, F.col("cell_tokens") / F.col("w")))).first()
+    share = (F.col("w") / F.lit(float(w_sum or 1.0))).alias("share")
+    if kept_share is not None:
+        total = capped_total(fitted, kept_share)
+        part = F.lit(1.0) if total is None else F.least(F.lit(1.0), F.col("w") * F.lit(total) / F.col("cell_tokens"))
+        wanted = F.lit(kept_share * float(fitted.agg(F.sum("cell_tokens")).first()[0] or 0))
+        return fitted.select(
+            *MARGINS,
+            "cell_tokens",
+            share,
+            F.when((F.col("w") > 0) & (F.col("cell_tokens") > 0), part).otherwise(0.0).alias("probability"),
+            F.greatest(F.lit(0.0), share * wanted - F.col("cell_tokens")).alias("unmet_tokens"),
+        )
     return fitted.select(
         *MARGINS,
         "cell_tokens",
-        (F.col("w") / F.lit(float(w_sum or 1.0))).alias("share"),
+        share,
         F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(float(least or 0.0)) / F.col("cell_tokens")))
         .otherwise(0.0)
         .alias("probability"),
@@ -150,8 +188,13 @@ def mixture(
     )
 
 
-def sample_to_targets(docs: DataFrame, temperature: float = TEMPERATURE, id_col: str = "doc_id") -> DataFrame:
-    """The sampled rows of ``docs``; all columns stay. Rows without an id are sampled by their cell too."""
+def sample_to_targets(
+    docs: DataFrame, temperature: float = TEMPERATURE, id_col: str = "doc_id", kept_share: float = KEPT_SHARE
+) -> DataFrame:
+    """The sampled rows of ``docs``; all columns stay. Rows without an id are sampled by their cell too.
+
+    About ``kept_share`` of the tokens stay, whatever the rarest cell holds.
+    """
     names = {m: fresh_name(docs, f"_mix_{m}") for m in MARGINS}
     keyed = docs.withColumns(
         {
@@ -161,7 +204,7 @@ def sample_to_targets(docs: DataFrame, temperature: float = TEMPERATURE, id_col:
         }
     )
     rows = keyed.select(*(F.col(names[m]).alias(m) for m in MARGINS), word_count(F.col("text")).alias("tokens"))
-    cells = cell_probabilities(rows, temperature=temperature)
+    cells = cell_probabilities(rows, temperature=temperature, kept_share=kept_share)
     chance = fresh_name(docs, "_mix_probability")
     cells = cells.select(*(F.col(m).alias(names[m]) for m in MARGINS), F.col("probability").alias(chance))
     return _join_cells(keyed, cells, list(names.values())).filter(uniform(F.col(id_col), SEED) < F.col(chance)).select(*docs.columns)

@@ -52,6 +52,26 @@ def test_mixture_edges(spark):
     assert kept.columns == docs.columns and kept.count() <= 14
 
 
+def test_a_rare_cell_does_not_set_the_total(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stray = docs.limit(1).select(
+        *[F.lit(v).cast(docs.schema[c].dataType).alias(c) if (v := {"doc_id": -1, "text": "five words of a stray", "lang": "xx", "source": "stray"}.get(c)) else c for c in docs.columns]
+    )
+    tokens = lambda df: df.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    for temperature in (0.9, 0.7):
+        for table in (docs, docs.unionByName(stray)):
+            kept = mixing.sample_to_targets(table, temperature)
+            assert tokens(kept) == pytest.approx(0.6 * tokens(table), rel=0.1)
+    rows = docs.unionByName(stray).select(
+        F.col("source"), F.col("lang").alias("language"), mixing.style_topic(F.col("text")).alias("topic"), mixing.word_count(F.col("text")).alias("tokens")
+    ).fillna("(none)", ["source", "language"])
+    cells = mixing.cell_probabilities(rows, temperature=0.7, kept_share=0.6).collect()
+    whole = sum(c["cell_tokens"] for c in cells)
+    assert sum(c["cell_tokens"] * c["probability"] for c in cells) == pytest.approx(0.6 * whole)
+    assert [c["probability"] for c in cells if c["source"] == "stray"] == [1.0]
+    assert all(c["unmet_tokens"] > 0 for c in cells if c["source"] == "stray")
+
+
 # --- op9 --------------------------------------------------------------------------------------
 
 
