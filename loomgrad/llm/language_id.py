@@ -22,6 +22,9 @@ MAX_N = 4
 TRAINING_DOCUMENTS = 1000
 #: Languages that are learned: the most frequent labels.
 MAX_LANGUAGES = 500
+#: A text is of a language if it scores this share of what all but 1 in 100 of its labelled texts score.
+#: Random letters score about half of that, letters of another script nothing.
+LEAST_SHARE = 0.58
 
 
 def letter_words(text: str) -> Counter:
@@ -67,6 +70,18 @@ def learn_profiles(
     it. Counting is distributed; the driver gets the profiles only, at most MAX_LANGUAGES *
     PROFILE_GRAMS rows.
     """
+    sample = _labelled_sample(labelled, key, lang_col, text_col)
+    counts = sample.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_count = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("rank", by_count).filter(F.col("rank") <= PROFILE_GRAMS).collect()
+    profiles: dict[str, list[str]] = {}
+    for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return profiles
+
+
+def _labelled_sample(labelled: DataFrame, key: Column | None, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, text) of the documents that :func:`learn_profiles` learns from."""
     rows = labelled.select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"),
@@ -76,14 +91,7 @@ def learn_profiles(
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     least = rows.select("lang", "key").withColumn("rank", rank).filter(F.col("rank") <= TRAINING_DOCUMENTS)
     cut = least.groupBy("lang").agg(F.max("key").alias("last_key")).join(known, "lang")
-    sample = rows.join(F.broadcast(cut), "lang").filter("key <= last_key").select("lang", "text")
-    counts = sample.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_count = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", by_count).filter(F.col("rank") <= PROFILE_GRAMS).collect()
-    profiles: dict[str, list[str]] = {}
-    for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
-        profiles.setdefault(r["lang"], []).append(r["gram"])
-    return profiles
+    return rows.join(F.broadcast(cut), "lang").filter("key <= last_key").select("lang", "text")
 
 
 # --- prediction -------------------------------------------------------------------------------
@@ -195,8 +203,28 @@ def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reject_undetermined(docs: DataFrame, profiles: dict[str, list[str]], least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language can be told with at least that score; columns stay as they are."""
+def least_scores(
+    labelled: DataFrame, profiles: dict[str, list[str]], key: Column | None = None, lang_col: str = "lang", text_col: str = "text"
+) -> dict[str, float]:
+    """Language -> LEAST_SHARE of the score that 99 of 100 labelled texts reach that are recognised as it.
+
+    Scored are the documents that :func:`learn_profiles` learns from; the driver gets a number a language.
+    """
+    told = identify(_labelled_sample(labelled, key, lang_col, text_col), profiles, out="language").filter("language.lang_pred = lang")
+    scores = told.groupBy("lang").agg(F.percentile_approx("language.score", 0.01, 10_000).alias("low")).collect()
+    return {r["lang"]: LEAST_SHARE * r["low"] for r in scores}
+
+
+def reject_undetermined(docs: DataFrame, profiles: dict[str, list[str]], least_score: float | dict[str, float] = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language can be told with at least that score; columns stay as they are.
+
+    ``least_score``: one for all, or one per language (a language without one: 0).
+    """
     out = fresh_name(docs, "_language")
-    told = (F.col(f"{out}.lang_pred") != UNDETERMINED) & (F.col(f"{out}.score") >= least_score)
-    return identify(docs, profiles, out=out).filter(told).drop(out)
+    pred, score = F.col(f"{out}.lang_pred"), F.col(f"{out}.score")
+    if isinstance(least_score, dict):
+        per_language = F.create_map(*[F.lit(x) for pair in least_score.items() for x in pair]) if least_score else None
+        least = F.lit(0.0) if per_language is None else F.coalesce(per_language[pred], F.lit(0.0))
+    else:
+        least = F.lit(float(least_score))
+    return identify(docs, profiles, out=out).filter((pred != UNDETERMINED) & (score >= least)).drop(out)

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from llm.helpers import documents, edge_documents, empty_documents
 from loomgrad.llm import language_id, secrets
 
@@ -68,6 +69,20 @@ def test_language_edges(spark, sf_dir):
     assert kept.columns == edge.columns and {3, 4, 5, 10}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_the_pipeline_rejects_noise_with_letters(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(0)
+    noise = []
+    for k, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрстуфхцчшщ"]):
+        for n in (20, 200, 1000):
+            words = ["".join(rng.choice(list(letters), size=int(rng.integers(2, 10)))) for _ in range(n)]
+            noise.append((-10 * n - k - 1, " ".join(words), None))
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), sf_dir)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert ids == clean
+
+
 # --- op7 --------------------------------------------------------------------------------------
 
 
