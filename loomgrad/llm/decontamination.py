@@ -45,6 +45,11 @@ def trigrams(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(run_hashes(words, min(GRAM, len(words))))) if len(words) else words
 
 
+def gram_length(n_words: int) -> int:
+    """Words of the runs that a part of so many words is compared by."""
+    return min(GRAM, max(1, n_words))
+
+
 # --- index ------------------------------------------------------------------------------------
 
 
@@ -81,6 +86,7 @@ class Index:
     items: list
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    lengths: list[tuple[int, int]]  # words of the runs in question and answer
     terms: np.ndarray  # sorted hashes
     posting_at: np.ndarray
     posting_entry: np.ndarray
@@ -125,6 +131,7 @@ def build_index(rows: list, n_entries: int, mean_words: float, frequency: dict[i
         items=[r[0] for r in rows],
         questions=[trigrams(w[: r[2]]) for w, r in zip(arrays, rows, strict=True)],
         answers=[trigrams(w[r[2] :]) for w, r in zip(arrays, rows, strict=True)],
+        lengths=[(gram_length(r[2]), gram_length(len(w) - r[2])) for w, r in zip(arrays, rows, strict=True)],
         terms=terms,
         posting_at=posting_at,
         posting_entry=entry,
@@ -208,8 +215,12 @@ def _find(shared, item_type: pa.DataType):
                 for p, e, score in zip(passages.tolist(), entries.tolist(), scores.tolist(), strict=True):
                     d = int(np.searchsorted(passage_at, p, side="right")) - 1
                     start = first[d] + (p - passage_at[d]) * ENTRY_WORDS
-                    there = trigrams(words[start : min(start + 2 * ENTRY_WORDS, first[d + 1])])
-                    q, a = overlap(index.questions[e], there), overlap(index.answers[e], there)
+                    passage = words[start : min(start + 2 * ENTRY_WORDS, first[d + 1])]
+                    # A part of one or two words is a run of that length, and so are the passage's runs then.
+                    q, a = (
+                        overlap(part, mix(run_hashes(passage, n)))
+                        for part, n in zip((index.questions[e], index.answers[e]), index.lengths[e], strict=True)
+                    )
                     if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP:
                         key = (row + d, e)
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))

@@ -157,3 +157,15 @@ def test_question_and_answer_columns(spark):
     items = spark.createDataFrame([("a", "What is the capital of France?", "It is called Paris by all.")], "item_id string, q string, a string")
     got = decontamination.contaminated(docs, items, question_col="q", answer_col="a").collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, "a")]
+
+
+def test_answers_of_one_or_two_words_match(spark):
+    docs = [(1, "we ask what is the capital city of france and it is paris for all of us"), (2, "what is the capital city of france nobody knows it")]
+    items = [("a", "What is the capital city of France?", "Paris."), ("b", "What is the capital city of France?", "Is Paris."), ("c", "What is the capital city of France?", "Is Rome.")]
+    long = [f"w{i}" for i in range(63)]
+    docs.append((3, " ".join([*long, "one two three four five"])))
+    items.append(("d", " ".join(long), "one two three four five"))
+    got = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, q string, a string"), question_col="q", answer_col="a"
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, "a"), (1, "b"), (3, "d")]
