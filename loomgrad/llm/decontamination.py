@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -24,6 +23,8 @@ ENTRY_WORDS = 64
 INDEX_ENTRIES = 20_000
 #: An item with fewer words than this is no evidence and never matches.
 LEAST_WORDS = 5
+#: A last entry with fewer words than this is evidence only together with the words before it.
+LEAST_TAIL = 13
 K1, B = 1.2, 0.75
 #: Share of an entry's own BM25 score that a passage must reach to be a candidate.
 LEAST_SCORE = 0.5
@@ -31,7 +32,6 @@ LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.6
 GRAM = 3
 BLOCK_ENTRIES = 8
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -54,16 +54,20 @@ def gram_length(n_words: int) -> int:
 
 
 def split_question(text: str) -> tuple[str, str]:
-    """A text without separate columns: its last sentence is the answer if both parts have LEAST_WORDS words."""
-    parts = _SENTENCE.split(text.strip())
-    question, answer = " ".join(parts[:-1]), parts[-1]
-    if min(len(question.split()), len(answer.split())) < LEAST_WORDS:
-        return text, ""
-    return question, answer
+    """Question and answer of a text without separate columns: nothing tells an answer, so all is question."""
+    return text, ""
+
+
+#: Kinds of entries: cut from the start of an item, bridging two of those, and short tails.
+CUT, BRIDGE, TAIL = 0, 1, 2
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Items as entries: word hashes, and how many of them belong to the question."""
+    """Items as entries: word hashes, how many of them belong to the question, and the kind.
+
+    Items over ENTRY_WORDS words also give bridges, full entries half way between two others and at
+    the end, so a quote of ENTRY_WORDS words shares three quarters of some entry wherever it begins.
+    """
     for batch in batches:
         rows = []
         for item, question, answer in zip(batch["item_id"], batch["question"], batch["answer"], strict=True):
@@ -75,8 +79,14 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at in range(0, len(words), ENTRY_WORDS):
                 part = words[at : at + ENTRY_WORDS]
                 if len(part) >= LEAST_WORDS:
-                    rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part)))))
-        yield pd.DataFrame(rows, columns=["item_id", "words", "n_question"])
+                    kind = TAIL if at and len(part) < LEAST_TAIL else CUT
+                    rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), kind))
+            last = len(words) - ENTRY_WORDS
+            for at in sorted({*range(ENTRY_WORDS // 2, last, ENTRY_WORDS), last} if last > 0 else ()):
+                if at % ENTRY_WORDS:
+                    part = words[at : at + ENTRY_WORDS]
+                    rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), BRIDGE))
+        yield pd.DataFrame(rows, columns=["item_id", "words", "n_question", "kind"])
 
 
 @dataclass(frozen=True)
@@ -84,6 +94,7 @@ class Index:
     """Impact-ordered facts of an inverted index. Weights are shares of the entry's own score."""
 
     items: list
+    kinds: list[int]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     lengths: list[tuple[int, int]]  # words of the runs in question and answer
@@ -99,16 +110,16 @@ class Index:
 
 
 def build_index(rows: list, n_entries: int, mean_words: float, frequency: dict[int, int]) -> Index:
-    """``rows``: (item_id, words, n_question). Statistics are those of all entries, of this index or not."""
+    """``rows``: (item_id, words, n_question, kind). Statistics are those of all entries but bridges, of this index or not."""
     entry, term, tf, lengths = [], [], [], []
-    for i, (_, words, _) in enumerate(rows):
+    for i, (_, words, _, _) in enumerate(rows):
         distinct, counts = np.unique(np.array(words, dtype=np.int64), return_counts=True)
         entry.append(np.full(len(distinct), i))
         term.append(distinct)
         tf.append(counts)
         lengths.append(np.full(len(distinct), len(words)))
     entry, term, tf, lengths = (np.concatenate(x) for x in (entry, term, tf, lengths))
-    df = np.array([frequency[t] for t in term.tolist()], dtype=np.float64)
+    df = np.array([frequency.get(t, 1) for t in term.tolist()], dtype=np.float64)
     weight = np.log(1 + (n_entries - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean_words))
     weight = weight / np.bincount(entry, weights=weight)[entry]
     terms, ids = np.unique(term.view(np.uint64), return_inverse=True)
@@ -126,9 +137,10 @@ def build_index(rows: list, n_entries: int, mean_words: float, frequency: dict[i
         if (mass[entry[where]] + weight[where]).max() <= LEAST_SCORE / 2:
             mass[entry[where]] += weight[where]
             common[t] = True
-    arrays = [np.array(w, dtype=np.int64).view(np.uint64) for _, w, _ in rows]
+    arrays = [np.array(w, dtype=np.int64).view(np.uint64) for _, w, _, _ in rows]
     return Index(
         items=[r[0] for r in rows],
+        kinds=[r[3] for r in rows],
         questions=[trigrams(w[: r[2]]) for w, r in zip(arrays, rows, strict=True)],
         answers=[trigrams(w[r[2] :]) for w, r in zip(arrays, rows, strict=True)],
         lengths=[(gram_length(r[2]), gram_length(len(w) - r[2])) for w, r in zip(arrays, rows, strict=True)],
@@ -190,6 +202,7 @@ def overlap(wanted: np.ndarray, there: np.ndarray) -> float:
 
 
 _MATCHES = "doc_id long, item_id {}, score double, question_overlap double, answer_overlap double"
+_FOUND = _MATCHES + ", kind int"
 
 
 def _find(shared, item_type: pa.DataType):
@@ -229,8 +242,9 @@ def _find(shared, item_type: pa.DataType):
                     pa.array([doc_ids[d] for d, _ in best], pa.int64()),
                     pa.array([index.items[e] for _, e in best], item_type),
                     *(pa.array([v[i] for v in best.values()], pa.float64()) for i in range(3)),
+                    pa.array([index.kinds[e] for _, e in best], pa.int32()),
                 ],
-                names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind"],
             )
 
     return find
@@ -248,8 +262,7 @@ def contaminated(
 ) -> DataFrame:
     """One row per (document, item) whose passage passes retrieval and verification, with its best scores.
 
-    Items with a question and an answer column use them; a lone text is split by
-    :func:`split_question`. Words are lower-cased runs of letters and digits, over whole texts. The
+    Items with a question and an answer column use them; a lone text is compared as a whole. Words are lower-cased runs of letters and digits, over whole texts. The
     items are cut into indexes of INDEX_ENTRIES entries, so what is broadcast is bounded; statistics
     are those of all items. Documents are neither shuffled nor collected.
 
@@ -278,19 +291,20 @@ def contaminated(
     elif answer_col is None:
         item = item.withColumn("answer", F.lit(""))
     kind = item.schema["item_id"].dataType.simpleString()
-    entries = item.mapInPandas(_entries, f"item_id {kind}, words array<long>, n_question int")
+    entries = item.mapInPandas(_entries, f"item_id {kind}, words array<long>, n_question int, kind int")
     entries = cut_lineage(entries.withColumn("shard_key", F.xxhash64("item_id", "words")))
-    n, mean_words = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    counted = entries.filter(F.col("kind") != BRIDGE)
+    n, mean_words = counted.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     schema = _MATCHES.format(kind)
     if not n:
         return spark.createDataFrame([], schema)
-    n_indexes = -(-n // INDEX_ENTRIES)
-    frequency = entries.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_indexes = -(-entries.count() // INDEX_ENTRIES)
+    frequency = counted.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     texts = id_and_text(docs, id_col, text_col)
     found = None
     for k in range(n_indexes):
         mine = entries.filter(F.pmod("shard_key", F.lit(n_indexes)) == k)
-        rows = [(r["item_id"], r["words"], r["n_question"]) for r in mine.orderBy("item_id", "shard_key").collect()]
+        rows = [(r["item_id"], r["words"], r["n_question"], r["kind"]) for r in mine.orderBy("item_id", "shard_key").collect()]
         if not rows:
             continue
         own = mine.select(F.explode("words").alias("term")).distinct()
@@ -299,12 +313,15 @@ def contaminated(
         # A plain tuple: executors without a copy of this package can read it.
         shared = spark.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(Index)))
         item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-        part = texts.mapInArrow(_find(shared, item_type), schema)
+        part = texts.mapInArrow(_find(shared, item_type), _FOUND.format(kind))
         found = part if found is None else found.unionByName(part)
-    # An item with several entries gives one row.
-    return found.groupBy("doc_id", "item_id").agg(
-        *(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap"))
+    # An item with several entries gives one row; bridges give figures only if nothing else matches.
+    columns = ("score", "question_overlap", "answer_overlap")
+    whole = found.groupBy("doc_id", "item_id").agg(
+        *(F.coalesce(F.max(F.when(F.col("kind") != BRIDGE, F.col(c))), F.max(c)).alias(c) for c in columns),
+        F.bool_or(F.col("kind") != TAIL).alias("evidence"),
     )
+    return whole.filter("evidence").drop("evidence")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,3 +169,16 @@ def test_answers_of_one_or_two_words_match(spark):
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, q string, a string"), question_col="q", answer_col="a"
     ).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, "a"), (1, "b"), (3, "d")]
+
+
+def test_quotes_over_the_boundary_of_entries_match_and_short_tails_alone_do_not(spark):
+    item = [f"w{i}" for i in range(133)]  # entries of 64, 64 and 5 words
+    other = [f"x{i}" for i in range(60)]
+    quotes = [[*other, *item[at : at + 64], *other] for at in range(0, 70)]
+    docs = [(at, " ".join(q)) for at, q in enumerate(quotes)] + [(100, " ".join([*other, *item[129:], *other])), (101, " ".join([*other, *item[128:], *other]))]
+    lone = "The question goes on for some more words than five here. The answer has these six words."
+    docs.append((102, " ".join(other) + " the question goes on for some more words than five here the answer has other words"))
+    got = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, lone)], "item_id long, text string")
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [*((at, 1) for at in range(70)), (102, 2)]
