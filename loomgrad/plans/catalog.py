@@ -477,13 +477,13 @@ def sequential_sql(rows: str, batch: int, lr: float, decay: float, epochs: int,
 
 @query(sequential_sql(doc_label_sql(), 16, 0.02, 0.0, 2, 1.5))
 def t2_minibatch(spark, sf_dir):
-    optimiser = MiniBatchGradientDescent(options=MiniBatchOptions(0.02, 2, l2=1.5, batch_size=16), num_partitions=1)
+    optimiser = MiniBatchGradientDescent(options=MiniBatchOptions(0.02, 2, l2=1.5, batch_size=16))
     return _weights(spark, optimiser.optimise(doc_label(spark, sf_dir), Parameters.zeros(4)))
 
 
 @query(sequential_sql(doc_label_sql(), 1, 0.005, 0.5, 2, 1.5))
 def t3_stochastic(spark, sf_dir):
-    optimiser = StochasticGradientDescent(options=StochasticOptions(0.005, 2, l2=1.5, decay=0.5), num_partitions=1)
+    optimiser = StochasticGradientDescent(options=StochasticOptions(0.005, 2, l2=1.5, decay=0.5))
     return _weights(spark, optimiser.optimise(doc_label(spark, sf_dir), Parameters.zeros(4)))
 
 
@@ -615,7 +615,8 @@ def _fold_scaled(d: int, held: int) -> str:
     )
 )
 def l6_cross_validated_logistic(spark, sf_dir):
-    per_fold, _ = crossval.cross_validate(event_flag(spark, sf_dir), {"logistic": crossval.logistic_trainer(0.5, 3)})
+    optimiser = BatchGradientDescent(GradientDescentOptions(0.5, 3))
+    per_fold, _ = crossval.cross_validate_distributed(event_flag(spark, sf_dir), {"logistic": lambda: LogisticBinaryClassifier(optimiser)})
     return _rounded(per_fold)
 
 

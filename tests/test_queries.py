@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
+from loomgrad.operators import training
 from loomgrad.plans import catalog
 from oracle import differences
 
@@ -19,6 +20,21 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_l6_and_sequential_queries_bound_no_fold_or_table_to_a_task(spark, sf_dir, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("a whole fold in one task")
+
+    monkeypatch.setattr(catalog.crossval, "train_groups", refuse)
+    assert catalog.queries()["l6_cross_validated_logistic"](spark, sf_dir).count() == 5
+    dealt = []
+    monkeypatch.setattr(training, "ROWS_PER_PARTITION", 100)
+    deal = training.deal_rows
+    monkeypatch.setattr(training, "deal_rows", lambda train, n: dealt.append(deal(train, n)) or dealt[-1])
+    for name in ("t2_minibatch", "t3_stochastic"):
+        assert catalog.queries()[name](spark, sf_dir).count() > 0
+    assert all(d.rdd.getNumPartitions() > 1 for d in dealt) and len(dealt) == 2
+
+
 def test_entry_and_names(spark):
     row = __spark_entry__.entry(spark).first()
     assert 0 <= row["accuracy"] <= 1
