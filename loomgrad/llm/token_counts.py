@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrad.llm.common import read_table
+from loomgrad.session import cut_lineage
 
 #: Byte-level BPE ranks: lines of base64 token and rank. A path is a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -83,9 +84,9 @@ def context_report(histogram: DataFrame) -> DataFrame:
     of documents of at most L tokens. A limit between two lengths follows from the row below it.
 
     Suffix sums run over buckets of BUCKET lengths first, then within each, so the histogram is not
-    sorted by one task.
+    sorted by one task. It is stored first: texts are encoded once. An empty histogram gives no rows.
     """
-    rows = histogram.select(
+    rows = cut_lineage(histogram).select(
         "tokens", "documents", (F.col("tokens") * F.col("documents")).alias("mass"), F.floor(F.col("tokens") / BUCKET).alias("bucket")
     )
     per_bucket = rows.groupBy("bucket").agg(F.sum("documents").alias("d"), F.sum("mass").alias("m"))
