@@ -32,6 +32,15 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Rows of a stored list of ids that are broadcast; a longer list is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``stored``, a table of few narrow columns that is already written, as a broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def unsigned_hex(value: Column) -> Column:
     """The 64 bits of a long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

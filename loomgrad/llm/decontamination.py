@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrad.llm.common import fresh_name, id_and_text, read_table
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loomgrad.llm.common import broadcast_if_small, fresh_name, id_and_text, read_table
 from loomgrad.llm.wordhash import NOT_ALPHANUMERIC, mix, pieces, run_hashes, word_hashes, word_spans
 from loomgrad.session import cut_lineage
 
@@ -99,10 +101,10 @@ class Index:
     answers: list[np.ndarray]
     lengths: list[tuple[int, int]]  # words of the runs in question and answer
     terms: np.ndarray  # sorted hashes
-    posting_at: np.ndarray
     posting_entry: np.ndarray
     posting_weight: np.ndarray
-    block_at: np.ndarray
+    block_at: np.ndarray  # blocks of a term, and
+    block_posting_at: np.ndarray  # the postings of each of them
     block_of: np.ndarray
     block_weight: np.ndarray
     rare_weight: np.ndarray  # largest weight of a term; 0 for common terms
@@ -145,10 +147,10 @@ def build_index(rows: list, n_entries: int, mean_words: float, frequency: dict[i
         answers=[trigrams(w[r[2] :]) for w, r in zip(arrays, rows, strict=True)],
         lengths=[(gram_length(r[2]), gram_length(len(w) - r[2])) for w, r in zip(arrays, rows, strict=True)],
         terms=terms,
-        posting_at=posting_at,
         posting_entry=entry,
         posting_weight=weight,
         block_at=np.searchsorted(ids[first], np.arange(len(terms) + 1)),
+        block_posting_at=np.concatenate([first, [len(entry)]]),
         block_of=blocks[first],
         block_weight=block_weight,
         rare_weight=np.where(common, 0.0, np.maximum.reduceat(weight, posting_at[:-1])),
@@ -171,8 +173,8 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndar
 
     Block-max WAND over a batch of passages. Pivot: passages whose rare terms can't make up what
     common terms leave open are skipped. Blocks: the block maxima of a passage's terms bound the score
-    of all entries of a block, and only blocks whose bound reaches the threshold are opened. Both
-    bounds are never below the score, so nothing above the threshold is lost.
+    of all entries of a block, and only the postings of blocks whose bound reaches the threshold are
+    read. Both bounds are never below the score, so nothing above the threshold is lost.
     """
     slack = 1e-9
     rare = np.bincount(passage, weights=index.rare_weight[term]) if len(passage) else np.empty(0)
@@ -184,14 +186,14 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndar
         return none, none, np.empty(0)
     n_blocks = int(index.block_of.max()) + 1
     at, owner = _ranges(index.block_at, term)
-    cell, where = np.unique(passage[owner] * n_blocks + index.block_of[at], return_inverse=True)
+    _, where = np.unique(passage[owner] * n_blocks + index.block_of[at], return_inverse=True)
     bound = np.bincount(where, weights=index.block_weight[at])
-    opened = cell[bound >= LEAST_SCORE - slack]
-    at, owner = _ranges(index.posting_at, term)
-    entry = index.posting_entry[at]
-    inside = np.isin(passage[owner] * n_blocks + entry // BLOCK_ENTRIES, opened)
-    at, owner, entry = at[inside], owner[inside], entry[inside]
-    pair, where = np.unique(passage[owner] * len(index.items) + entry, return_inverse=True)
+    opened = bound[where] >= LEAST_SCORE - slack
+    if not opened.any():
+        return none, none, np.empty(0)
+    from_passage = passage[owner[opened]]
+    at, owner = _ranges(index.block_posting_at, at[opened])
+    pair, where = np.unique(from_passage[owner] * len(index.items) + index.posting_entry[at], return_inverse=True)
     score = np.bincount(where, weights=index.posting_weight[at], minlength=len(pair))
     good = score >= LEAST_SCORE - slack
     return pair[good] // len(index.items), pair[good] % len(index.items), score[good]
@@ -312,7 +314,7 @@ def contaminated(
         index = build_index(rows, n, mean_words, df)
         # A plain tuple: executors without a copy of this package can read it.
         shared = spark.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(Index)))
-        item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+        item_type = to_arrow_type(item.schema["item_id"].dataType)
         part = texts.mapInArrow(_find(shared, item_type), _FOUND.format(kind))
         found = part if found is None else found.unionByName(part)
     # An item with several entries gives one row; bridges give figures only if nothing else matches.
@@ -325,10 +327,13 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a match; all columns stay. Rows without an id can't be named and stay."""
+    """The rows of ``docs`` without a match; all columns stay. Rows without an id can't be named and stay.
+
+    Null or empty texts match nothing and stay. Rows that repeat an id go together. No rows in, none out.
+    """
     name = fresh_name(docs, "_contaminated_id")
     bad = cut_lineage(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(bad, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    return docs.join(broadcast_if_small(bad), F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 4_000_000
+#: Bytes of text that are worked on at once; a longer text is a piece of its own. A hash takes some 40
+#: bytes of working memory per byte, so this bounds what a task needs beside its batch.
+PIECE_BYTES = 500_000
 #: Bytes between words: white space, or all of ASCII but letters and digits.
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POSITIONS = 32
-_TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(_POSITIONS, 256), dtype=np.uint64)
+_TABLE, _OTHER_TABLE = (np.random.Generator(np.random.PCG64(s)).integers(0, 2**64, size=(_POSITIONS, 256), dtype=np.uint64) for s in (20, 21))
 _STEP = 0x9E3779B97F4A7C15  # odd, so multiplication by it is invertible
 
 
@@ -65,16 +66,29 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE)
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = SPACE) -> np.ndarray:
     """Tabulation hash of each word's bytes."""
+    return _word_hashes(raw, starts, ends, between, (_TABLE,))[0]
+
+
+def word_hash_pairs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word: 128 bits for runs of words that must not be confused."""
+    return _word_hashes(raw, starts, ends, SPACE, (_TABLE, _OTHER_TABLE))
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray, tables: tuple[np.ndarray, ...]):
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
+        return tuple(np.empty(0, dtype=np.uint64) for _ in tables)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
     letters = raw[~between[raw]]
-    value = _TABLE[place % _POSITIONS, letters]
-    if int(lengths.max()) > _POSITIONS:
-        value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
-    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(_STEP))
+    slot, long = place % _POSITIONS, int(lengths.max()) > _POSITIONS
+    out = []
+    for table in tables:
+        value = table[slot, letters]
+        if long:
+            value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
+        out.append(mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(_STEP)))
+    return tuple(out)
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
