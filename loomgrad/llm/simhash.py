@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrad.llm.common import fresh_name, id_and_text, read_table, unsigned_hex
+from loomgrad.llm.common import broadcast_if_small, fresh_name, id_and_text, read_table, unsigned_hex
 from loomgrad.llm.components import connected_components
-from loomgrad.llm.wordhash import mix
+from loomgrad.llm.wordhash import mix, pieces, run_hashes, word_hashes, word_spans
 from loomgrad.session import cut_lineage, materialise
 
 HASH_SEED = 42
@@ -47,23 +47,26 @@ def fingerprints(text: str, shingle_words: int, n_prints: int = 1) -> list[int]:
 
     A bit is 1 if it is set in over half of the hashes; no words: zero.
     """
-    return _prints_of(np.array(shingle_hashes(text, shingle_words), dtype=np.uint64), n_prints)
-
-
-def _prints_of(hashes: np.ndarray, n_prints: int) -> list[int]:
-    if not len(hashes):
-        return [0] * n_prints
-    out = []
-    for number in range(n_prints):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            if number:
-                part = mix(part ^ np.uint64(number * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0]))
-    return out
+    hashes = np.array(shingle_hashes(text, shingle_words), dtype=np.uint64)
+    return majority(bit_counts(hashes, n_prints)[None], np.array([len(hashes)]))[0].view(np.int64).tolist()
+
+
+def bit_counts(hashes: np.ndarray, n_prints: int) -> np.ndarray:
+    """How many of the hashes have each bit: (prints, 64)."""
+    counts = np.zeros(64 * n_prints, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        many = np.stack([part, *(mix(part ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) for k in range(1, n_prints))], axis=1)
+        bits = np.unpackbits(many.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # as many as a byte can count
+            counts += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
+    return counts.reshape(n_prints, 64)
+
+
+def majority(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, prints) fingerprints of (texts, prints, 64) counts among ``n`` hashes a text."""
+    ones = counts * 2 > n[:, None, None]
+    return np.packbits(ones, axis=2, bitorder="little").view("<u8")[:, :, 0].astype(np.uint64, copy=False)
 
 
 def node_ids(prints: np.ndarray) -> np.ndarray:
@@ -146,18 +149,25 @@ def _longs(batch: pa.RecordBatch, columns: range) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in columns], axis=1)
 
 
-def _to_anchors(names: list[str], n_prints: int, carried: list[str], everywhere: bool):
-    """``names``: columns, fingerprints first. Entries hold the ``carried`` ones; ``everywhere``: all are homes."""
+#: Rows (n, columns) -> (anchor, is home, row) of their entries.
+Entries = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _covering(n_prints: int) -> Entries:
+    return lambda rows: anchor_entries(np.ascontiguousarray(rows[:, :n_prints]).view(np.uint64))
+
+
+def _to_anchors(entries: Entries, names: list[str], carried: list[str]):
+    """``names``: the columns of the rows. Their entries hold the ``carried`` ones; ``part`` is 1 at home, else 0."""
 
     def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _longs(batch, range(len(names)))
-            for at in range(0, len(rows), 10_000):
-                part = rows[at : at + 10_000]
-                anchor, home, owner = anchor_entries(np.ascontiguousarray(part[:, :n_prints]).view(np.uint64))
-                home |= everywhere
-                columns = [pa.array(anchor.view(np.int64)), pa.array(home), *(pa.array(part[owner, names.index(c)]) for c in carried)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", *carried])
+            for at in range(0, len(rows), 4_000):
+                part = rows[at : at + 4_000]
+                anchor, home, owner = entries(part)
+                columns = [pa.array(anchor.view(np.int64)), pa.array(home.astype(np.int64)), *(pa.array(part[owner, names.index(c)]) for c in carried)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "part", *carried])
 
     return to_anchors
 
@@ -201,14 +211,15 @@ def spanning_links(
 
 
 def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bool = False):
-    """Rows come sorted by cell (an anchor, or a part of its grid): three columns, home, fingerprints.
+    """Rows come sorted by cell: the anchor, the part of its grid (with the lowest bit: home), fingerprints.
 
-    ``named``: a column with the node's id follows, and the links of dense cells are marked.
-    ``labelled``: so does a label; all pairs with different labels are links, dense cells or not.
+    ``named``: a column with the node's id follows; links have their distance, and those of dense
+    cells are marked. ``labelled``: a label follows too; all pairs with different labels are links,
+    dense cells or not.
     """
     bound = ANCHOR_ROWS * ANCHOR_ROWS if named else 4096
     n_columns = n_prints + named + labelled
-    schema_names = ["u", "v", "dense"] if named else ["u", "v"]
+    schema_names = ["u", "v", "dense", "apart"] if named else ["u", "v"]
 
     def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         prints = np.ascontiguousarray(rows[:, :n_prints]).view(np.uint64)
@@ -218,7 +229,7 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
         begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(prints)]])
         n_home = np.add.reduceat(home.astype(np.int64), begins)
         size = ends - begins
-        us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        us, vs, far = ([np.empty(0, dtype=np.int64)] for _ in range(3))
         small = (n_home > 0) & (size > 1) & ((n_home * size <= bound) | labelled)
         dense = (n_home > 0) & (size > 1) & ~small
         if small.any():  # many small cells at once: each home row against each row of its cell
@@ -229,15 +240,16 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
                 left = np.repeat(part, reps)
                 ahead = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
                 right = np.repeat(begins[cell_of[part]], reps) + ahead
-                near = distances(prints[left], prints[right]) <= max_distance
-                near &= (label[left] != label[right]) & ~(home[right] & (left > right))
-                left, right = left[near], right[near]
+                apart = distances(prints[left], prints[right])
+                near = (apart <= max_distance) & (label[left] != label[right]) & ~(home[right] & (left > right))
+                left, right, apart = left[near], right[near], apart[near]
                 # A cell with more near pairs than rows is a dense group: a forest will do.
                 if not labelled:
                     dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
                 few = ~dense[cell_of[left]]
                 us.append(node[left[few]])
                 vs.append(node[right[few]])
+                far.append(apart[few])
         plain = sum(map(len, us))
         for k in np.flatnonzero(dense):
             mine, own = slice(begins[k], ends[k]), home[begins[k] : ends[k]]
@@ -247,19 +259,17 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
                     pair = np.array(found, dtype=np.int64)
                     us.append(pair[:, 0])
                     vs.append(pair[:, 1])
+                    far.append(np.full(len(pair), reach))
         out = [np.concatenate(us), np.concatenate(vs)]
-        return [*out, np.arange(len(out[0])) >= plain] if named else out
+        return [*out, np.arange(len(out[0])) >= plain, np.concatenate(far).astype(np.int32)] if named else out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (
-                _longs(batch, range(3)),
-                batch.column(3).to_numpy(zero_copy_only=False).astype(bool),
-                _longs(batch, range(4, 4 + n_columns)),
-            )
+            cell = _longs(batch, range(2))
+            now = (cell >> np.array([0, 1]), (cell[:, 1] & 1).astype(bool), _longs(batch, range(2, 2 + n_columns)))
             if kept is not None:
                 now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
             cell = now[0]
@@ -288,42 +298,41 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
     of the anchor is left out. The list of hot anchors is broadcast while it is short, else joined.
     """
     names = [f"f{i}" for i in range(n_prints)]
-    dealt = _dealt(nodes.select(*names), n_prints, names, False)
+    dealt = _dealt(nodes.select(*names), _covering(n_prints), names)
     return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
 
 
-def _dealt(nodes: DataFrame, n_prints: int, names: list[str], everywhere: bool) -> DataFrame:
-    """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`_compare`."""
-    schema = "anchor long, home boolean, " + ", ".join(f"{c} long" for c in names)
-    entries = nodes.mapInArrow(_to_anchors(nodes.columns, n_prints, names, everywhere), schema)
+def _dealt(nodes: DataFrame, entries_of: Entries, names: list[str]) -> DataFrame:
+    """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`_compare`.
+
+    ``part`` is 2 * (line * 2**31 + column) of the anchor's grid, plus 1 for a home row.
+    """
+    schema = "anchor long, part long, " + ", ".join(f"{c} long" for c in names)
+    entries = nodes.mapInArrow(_to_anchors(entries_of, nodes.columns, names), schema)
     hot = cut_lineage(
         entries.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("n_home"))
         .filter(F.col("n") > ANCHOR_ROWS)
         .select(
             F.col("anchor").alias("hot_anchor"),
             F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("columns"),
-            F.ceil(F.col("n_home") / ANCHOR_ROWS).cast("int").alias("lines"),
+            F.greatest(F.ceil(F.col("n_home") / ANCHOR_ROWS).cast("int"), F.lit(1)).alias("lines"),
         )
     )
-    if hot.count() <= HOT_BROADCAST:
-        hot = F.broadcast(hot)
-    spread = entries.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-    lines, columns = F.coalesce(F.greatest("lines", F.lit(1)), F.lit(1)), F.coalesce("columns", F.lit(1))
-    own_line, own_column = F.pmod(F.xxhash64(*names), lines).cast("int"), F.pmod(F.xxhash64(*names), columns).cast("int")
-    alone = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("column"), F.col("home").alias("home")))
-    # In a grid, a home row goes along its line, and every row along its column as one to compare with.
-    along_line = F.when(
-        F.col("home"),
-        F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.struct(own_line.alias("line"), c.alias("column"), F.lit(True).alias("home"))),
-    ).otherwise(F.array().cast("array<struct<line:int,column:int,home:boolean>>"))
-    along_column = F.transform(
-        F.sequence(F.lit(0), lines - 1), lambda r: F.struct(r.alias("line"), own_column.alias("column"), F.lit(False).alias("home"))
-    )
-    cells = spread.select(
-        "anchor", *names, F.explode(F.when(columns == 1, alone).otherwise(F.concat(along_line, along_column))).alias("cell")
-    ).select("anchor", "cell.line", "cell.column", "cell.home", *names)
-    return cells.repartition("anchor", "line", "column").sortWithinPartitions("anchor", "line", "column")
+    n_hot = hot.count()
+    if n_hot:
+        spread = entries.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, F.col("anchor") == F.col("hot_anchor"), "left")
+        home = F.col("part") == 1
+        place = F.xxhash64(*names)
+        cell = lambda line, column, at_home: F.lit(2) * (line.cast("long") * F.lit(2**31) + column.cast("long")) + F.lit(at_home)
+        # In a grid, a home row goes along its line, and every row along its column as one to compare with.
+        along_line = F.when(
+            home, F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: cell(F.pmod(place, F.col("lines")), c, 1))
+        ).otherwise(F.array().cast("array<long>"))
+        along_column = F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda r: cell(r, F.pmod(place, F.col("columns")), 0))
+        parts = F.when(F.col("hot_anchor").isNull(), F.array("part")).otherwise(F.concat(along_line, along_column))
+        entries = spread.select("anchor", F.explode(parts).alias("part"), *names)
+    return entries.repartition("anchor", F.shiftright("part", 1)).sortWithinPartitions("anchor", "part")
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -361,18 +370,45 @@ def simhash_components(
     return printed.join(classes, F.col("node") == F.col("class_node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-#: Near duplicates by similarity. Shingle sets with Jaccard similarity J have an angle with cosine near
-#: 2J / (1 + J), and bits differ at angle / pi: 0.1515 for J = 0.8. Texts that share any anchor of any of
-#: SIMILAR_PRINTS fingerprints are candidates if COMPARED_PRINTS of them (128 bits, 19 expected to
-#: differ at J = 0.8) are near; exact similarity decides.
-SIMILAR_PRINTS = 5
+# --- near duplicates by similarity ------------------------------------------------------------
+#
+# Shingle sets with Jaccard similarity J have an angle with cosine near 2J / (1 + J), and bits differ at
+# angle / pi: 0.1515 for J = 0.8. The bits that differ are mostly those that nearly half of the shingles
+# have. So the anchors are all values of a block of BLOCK_BITS bits, and a fingerprint goes to its own
+# value and to those within reach over its WEAK_BITS least certain bits. Two texts meet in a block if
+# each bit that differs is a weak one of either. For J = 0.8 that is 38 % a block (normal margins), and
+# 99.7 % over the 12 blocks of four fingerprints. Candidates are pairs that meet and are near in
+# COMPARED_PRINTS of them (128 bits, 19.4 +- 4.1 expected at J = 0.8); exact similarity decides.
+
+SIMILAR_PRINTS = 4
 COMPARED_PRINTS = 2
-SIMILAR_DISTANCE = 38
+SIMILAR_DISTANCE = 32
+BLOCK_BITS = 20
+WEAK_BITS = 3
+_PER_PRINT = 64 // BLOCK_BITS
+_LOWER_TABLE = np.frombuffer(_LOWER, dtype=np.uint8)
+
+
+def shingle_sets(texts: pa.Array, shingle_words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, distinct shingle hashes, sorted) of each text with A-Z lower-cased. Fewer words: all of them are one shingle."""
+    none = np.empty(0, dtype=np.uint64)
+    for row, end, raw, bounds in pieces(texts):
+        raw = _LOWER_TABLE[raw]
+        starts, ends, doc = word_spans(raw, bounds)
+        words = word_hashes(raw, starts, ends)
+        runs = mix(run_hashes(words, shingle_words))
+        first = np.searchsorted(doc, np.arange(end - row + 1)).tolist()
+        for d in range(end - row):
+            a, b = first[d], first[d + 1]
+            if b - a >= shingle_words:
+                yield row + d, np.unique(runs[a : b - shingle_words + 1])
+            else:
+                yield row + d, mix(run_hashes(words[a:b], b - a)) if b > a else none
 
 
 def shingle_set(text: str, shingle_words: int) -> np.ndarray:
     """The distinct shingle hashes of the text, sorted."""
-    return np.unique(np.array(shingle_hashes(text, shingle_words), dtype=np.uint64))
+    return next(shingle_sets(pa.array([text]), shingle_words))[1]
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -381,76 +417,139 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([whole], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _set_print_column(text: Column, shingle_words: int) -> Column:
-    """array<long> of each text: the fingerprints of its shingle set and, last, its node id."""
+def weak_bits(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, prints) masks of the WEAK_BITS bits of each block whose counts are nearest to half of ``n``."""
+    margin = np.abs(2 * counts - n[:, None, None])[:, :, : _PER_PRINT * BLOCK_BITS].reshape(*counts.shape[:2], _PER_PRINT, BLOCK_BITS)
+    weak = np.argsort(margin, axis=3, kind="stable")[..., :WEAK_BITS] + BLOCK_BITS * np.arange(_PER_PRINT)[:, None]
+    return (np.uint64(1) << weak.astype(np.uint64)).sum(axis=(2, 3), dtype=np.uint64)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            sets = (shingle_set(t, shingle_words) for t in texts)
-            yield pd.Series([np.array([*_prints_of(x, SIMILAR_PRINTS), _set_id(x)], dtype=np.int64) for x in sets], dtype="object")
 
-    return column(text)
+def _set_prints(shingle_words: int):
+    """doc_id, node, fingerprints and weak bits of the shingle set of each text."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = np.zeros((part.num_rows, SIMILAR_PRINTS, 64), dtype=np.int64)
+                n, node = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows, dtype=np.int64)
+                for row, found in shingle_sets(part.column(1), shingle_words):
+                    counts[row], n[row], node[row] = bit_counts(found, SIMILAR_PRINTS), len(found), _set_id(found)
+                both = np.concatenate([majority(counts, n), weak_bits(counts, n)], axis=1).view(np.int64)
+                names = ["doc_id", "node", *_PRINTS, *_WEAK]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *(pa.array(c) for c in both.T.copy())], names=names)
+
+    return emit
+
+
+_PRINTS = [f"f{i}" for i in range(SIMILAR_PRINTS)]
+_WEAK = [f"w{i}" for i in range(SIMILAR_PRINTS)]
+
+
+def weak_entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, is home, row) of rows that begin with SIMILAR_PRINTS fingerprints and their weak bits. All are homes."""
+    bits = np.ascontiguousarray(rows[:, : 2 * SIMILAR_PRINTS]).view(np.uint64)
+    anchors = []
+    for p in range(SIMILAR_PRINTS):
+        for block in range(_PER_PRINT):
+            shift, width = np.uint64(block * BLOCK_BITS), np.uint64((1 << BLOCK_BITS) - 1)
+            reached, weak = [(bits[:, p] >> shift) & width], (bits[:, SIMILAR_PRINTS + p] >> shift) & width
+            for _ in range(WEAK_BITS):
+                lowest = weak & (~weak + np.uint64(1))
+                weak = weak ^ lowest
+                reached += [r ^ lowest for r in reached]
+            anchors += [r | np.uint64(p * _PER_PRINT + block << 32) for r in reached]
+    owner = np.tile(np.arange(len(rows)), len(anchors))
+    return np.concatenate(anchors), np.ones(len(owner), dtype=bool), owner
+
+
+def _emit_sets(shingle_words: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, out = batch.column(0).to_numpy(zero_copy_only=False), []
+            for row, found in shingle_sets(batch.column(1), shingle_words):
+                if _set_id(found) == node[row]:
+                    out.append((node[row], found.view(np.int64)))
+            columns = [pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "s"])
 
-def _set_column(text: Column, shingle_words: int) -> Column:
-    """array<long> of each text: its shingle set and, first, its node id."""
+    return emit
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            sets = (shingle_set(t, shingle_words) for t in texts)
-            yield pd.Series([np.concatenate([[_set_id(x)], x.view(np.int64)]).astype(np.int64) for x in sets], dtype="object")
 
-    return column(text)
+def _sets_of(linked: DataFrame, nodes: DataFrame, base: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, s): the shingle sets of the ``linked`` nodes, stored.
 
+    The text of one document of a node is read again, by its id; another text under the same id has
+    another node id and is left out.
+    """
+    wanted = cut_lineage(nodes.join(linked, "node", "left_semi").select("node", F.col("first_id").alias("doc_id")))
+    texts = base.join(broadcast_if_small(wanted), "doc_id").select("node", "text")
+    return materialise(texts.mapInArrow(_emit_sets(shingle_words), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
 
-def _verified(links: DataFrame, nodes: DataFrame, base: DataFrame, shingle_words: int) -> DataFrame:
-    """The links (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, by exact intersection.
 
-    Only the text of one document of a linked node is read again, by its id; another text under the
-    same id has another node id and is left out.
-    """
-    linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
-    sets = base.join(wanted, "doc_id").select("node", _set_column(F.col("text"), shingle_words).alias("s"))
-    sets = sets.filter(F.col("s")[0] == F.col("node")).groupBy("node").agg(F.first("s").alias("s"))
-    sets = materialise(sets.select("node", F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("s")))
+def _verified(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, by exact intersection."""
     left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     both = links.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))  # shared / (a + b - shared) >= 4 / 5
     return cut_lineage(both.filter(shared * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
 
 
+def _both_ways(links: DataFrame, *more: str) -> DataFrame:
+    return links.select("u", "v", *more).unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
+
+
+def _nearest(links: DataFrame) -> DataFrame:
+    """The link of each node to the nearest other: at most as many links as nodes."""
+    best = _both_ways(links, "apart").groupBy("u").agg(F.min(F.struct("apart", "v")).alias("b"))
+    return best.select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
+
+
+def _crossing(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links between nodes that are not yet in one component."""
+    of_u, of_v = roots.toDF("u", "root_u"), roots.toDF("v", "root_v")
+    joined = links.join(of_u, "u", "left").join(of_v, "v", "left")
+    return joined.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
+
+
 def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id that links of similarity 0.8 or more reach.
 
-    Candidates are pairs that share an anchor; each is verified by exact similarity before it links.
-    A dense cell first yields forests of candidates. What they leave apart once verified goes round
-    again: then every candidate pair of its nodes that is not yet in one component is verified.
+    Candidates are pairs that share an anchor and are near; each is verified by exact similarity before
+    it links. Only what can change a component is verified: first the nearest candidate of each node,
+    then every candidate between nodes that are still apart. A dense cell first yields forests of
+    candidates; what they leave apart goes round again, when every candidate pair of its nodes that is
+    not yet in one component is verified.
+
+    Null or wordless texts have the empty set and are one node. Repeated rows share a component. Other
+    columns are ignored. No rows in, no rows out.
     """
     base = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    prints = [f"f{i}" for i in range(SIMILAR_PRINTS)]
-    printed = base.select("doc_id", _set_print_column(F.col("text"), shingle_words).alias("f"))
-    printed = cut_lineage(printed.select("doc_id", F.col("f")[SIMILAR_PRINTS].alias("node"), *[F.col("f")[i].alias(c) for i, c in enumerate(prints)]))
-    nodes = printed.groupBy("node", *prints).agg(F.min("doc_id").alias("first_id"))
-    carried = [*prints[:COMPARED_PRINTS], "node"]
-    dealt = _dealt(nodes.select(*prints, "node"), SIMILAR_PRINTS, carried, True)
-    found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), "u long, v long, dense boolean")
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "node", *_PRINTS, *_WEAK))
+    printed = cut_lineage(base.mapInArrow(_set_prints(shingle_words), longs))
+    nodes = cut_lineage(printed.groupBy("node", *_PRINTS, *_WEAK).agg(F.min("doc_id").alias("first_id")))
+    carried = [*_PRINTS[:COMPARED_PRINTS], "node"]
+    schema = "u long, v long, dense boolean, apart int"
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    links = cut_lineage(found.select(*ordered, "dense").groupBy("u", "v").agg(F.max("dense").alias("dense")))
-    true_links = _verified(links.select("u", "v"), nodes, base, shingle_words)
-    roots = connected_components(true_links)
-    crowd = links.filter("dense")
-    crowd = crowd.select(F.col("u").alias("node")).unionByName(crowd.select(F.col("v").alias("node"))).distinct()
-    again = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left").select(*prints, "node", F.coalesce("root", "node").alias("label"))
-    again = cut_lineage(again)
-    if again.limit(1).count():
-        dealt = _dealt(again, SIMILAR_PRINTS, [*carried, "label"], True)
-        found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), "u long, v long, dense boolean")
+    dealt = _dealt(nodes.select(*_PRINTS, *_WEAK, "node"), weak_entries, carried)
+    found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), schema)
+    links = cut_lineage(found.select(*ordered, "dense", "apart").groupBy("u", "v").agg(F.max("dense").alias("dense"), F.min("apart").alias("apart")))
+    sets = _sets_of(_both_ways(links).select(F.col("u").alias("node")).distinct(), nodes, base, shingle_words)
+    roots = connected_components(_verified(_nearest(links), sets))
+    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    still = cut_lineage(_crossing(links, roots).select("u", "v"))
+    if still.limit(1).count():
+        roots = connected_components(joined.unionByName(_verified(still, sets)))
+        joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    crowd = _both_ways(links.filter("dense")).select(F.col("u").alias("node")).distinct()
+    labelled = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left")
+    again = cut_lineage(labelled.select(*_PRINTS, *_WEAK, "node", F.coalesce("root", "node").alias("label")))
+    if again.select("label").distinct().limit(2).count() > 1:
+        dealt = _dealt(again, weak_entries, [*carried, "label"])
+        found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), schema)
         more = cut_lineage(found.select(*ordered).distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"))
         if more.limit(1).count():
-            roots = connected_components(true_links.unionByName(_verified(more, nodes, base, shingle_words)))
+            roots = connected_components(joined.unionByName(_verified(more, sets)))
     rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(named, "root").select("node", "component_id")
@@ -461,18 +560,17 @@ def keep_one_per_component(docs: DataFrame, shingle_words: int = 5, id_col: str
     """The rows of ``docs`` whose id is the smallest of its component of similar texts; all columns stay.
 
     Similar: sets of word shingles with a Jaccard similarity of 0.8 or more. Of repeated rows with one
-    id, one stays. Rows without an id can't be named and stay.
+    id, one stays. Rows without an id can't be named and stay. No rows in, no rows out.
     """
     found = similar_components(docs, shingle_words, id_col, text_col)
-    id_name = fresh_name(docs, "_kept_id")
-    stays = F.col("doc_id") == F.col("component_id")
-    kept = cut_lineage(found.filter(stays).groupBy(F.col("doc_id").alias(id_name)).agg(F.count(F.lit(1)).alias("n")))
+    id_name = fresh_name(docs, "_gone_id")
+    by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = cut_lineage(by_id.filter("NOT stays OR n > 1"))
     rows, named = docs, F.col(id_col).isNotNull()
-    if kept.filter(F.col("n") > 1).limit(1).count():  # only then whole rows are grouped
+    if marked.filter("stays").limit(1).count():  # only then whole rows are grouped
         rows = docs.filter(named).dropDuplicates([id_col]).unionByName(docs.filter(~named))
-    here = F.col(id_col).cast("long")
-    nameless = docs.sparkSession.createDataFrame([(None,)], f"{id_name} long")
-    return rows.join(kept.select(id_name).unionByName(nameless), here.eqNullSafe(F.col(id_name)), "left_semi")
+    gone = broadcast_if_small(cut_lineage(marked.filter("NOT stays").select(F.col("doc_id").alias(id_name))))
+    return rows.join(gone, F.col(id_col).cast("long") == F.col(id_name), "left_anti")
 
 
 def op2_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
