@@ -1,8 +1,10 @@
-"""Substring deduplication: a word suffix tree, cut at the window depth and built level by level.
+"""Substring deduplication: prefix-partitioned suffix trees over words.
 
-Prefixes have three lengths: six words at level 1, the whole path of a run of windows (20 to 34 words)
-at level 2, the 20-word node at level 3. Only suffixes below a node with two or more leaves go on to
-the next level, so each shuffle carries the repeated part of the corpus and not one row per word.
+Suffixes are sampled: of each window, the one that begins at its least-hash prefix of six words. Equal
+windows have it at equal distances, so no repeat is lost, and neighbouring windows share it: a run. The
+prefix says in which subtree a run hangs. Subtrees that hold several different runs and fit into memory
+are built in tasks, on the words themselves. Where a prefix has more runs than that, it is lengthened to
+the whole window for each of its windows.
 """
 
 from __future__ import annotations
@@ -15,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrad.llm.common import id_and_text, read_table
-from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_argmin, word_hashes, word_spans
+from loomgrad.llm.common import broadcast_if_small, id_and_text, read_table
+from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_argmin, word_hash_pairs, word_spans
 from loomgrad.session import materialise
 
 WINDOW_WORDS = 20
 PREFIX_WORDS = 6
+#: Different runs (of up to 2 * window - prefix words) that make a subtree of one task.
+SUBTREE_RUNS = 4096
+#: Runs whose subtrees are built together.
+CHUNK_RUNS = 8192
 _NO_ID = -(2**63)
-_RUN, _FIRST_RUN, _CONTESTED_RUN, _FIRST_WINDOW = range(4)
+_RUN, _FIRST_RUN, _CROWDED_RUN, _FIRST_WINDOW, _COVERED = range(5)
 
 
 def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
@@ -31,29 +37,31 @@ def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     The prefix of a window is the one with the least hash among those that start in it and fit into
     it (the leftmost of equal ones). It depends on the window's words alone, so equal windows have
     equal prefixes at equal distances, and neighbouring windows mostly share one: a run. Returns
-    (prefix, path, text, first window, windows) arrays, one entry a run; path hashes the whole run.
+    (prefix, path, other path, text, first window, windows) arrays, one entry a run; the paths are two
+    independent hashes of the whole run.
     """
     starts, ends, doc = word_spans(raw, bounds)
-    words = word_hashes(raw, starts, ends)
+    words, other = word_hash_pairs(raw, starts, ends)
     none = np.empty(0, dtype=np.int64)
+    empty = (*(none.view(np.uint64) for _ in range(3)), none, none, none)
     if len(words) < window:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return empty
     inside = doc[: len(words) - window + 1] == doc[window - 1 :]
-    prefixes = mix(run_hashes(words, prefix))
-    least = sliding_argmin(prefixes, window - prefix + 1)
-    nodes = mix(run_hashes(words, window))
     at = np.flatnonzero(inside)
     if not len(at):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
-    anchor = least[at]  # differs between texts, and between the repeats of a periodic text
+        return empty
+    prefixes = mix(run_hashes(words, prefix))
+    anchor = sliding_argmin(prefixes, window - prefix + 1)[at]  # differs between texts, and between the repeats of a periodic text
     begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.concatenate([begins, [len(at)]]))
     # The path of a run: its windows' hashes, each mixed with its place, summed.
-    place = np.arange(len(at)) - np.repeat(begins, n)
-    path = np.add.reduceat(mix(nodes[at] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begins)
+    place = (np.arange(len(at)) - np.repeat(begins, n)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    paths = (
+        mix(np.add.reduceat(mix(mix(run_hashes(w, window))[at] + place), begins) + n.astype(np.uint64)) for w in (words, other)
+    )
     owner = doc[at[begins]]
     text_start = np.searchsorted(doc, owner, side="left")
-    return prefixes[anchor[begins]], mix(path + n.astype(np.uint64)), owner, at[begins] - text_start, n
+    return prefixes[anchor[begins]], *paths, owner, at[begins] - text_start, n
 
 
 def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -66,63 +74,143 @@ def _emit_runs(window: int, prefix: int):
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
             for row, _, raw, bounds in pieces(batch.column(2)):
-                key, path, doc, start, n = _runs_of(raw, bounds, window, prefix)
+                *keys, doc, start, n = _runs_of(raw, bounds, window, prefix)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key.view(np.int64)),
-                        pa.array(path.view(np.int64)),
+                        *(pa.array(k.view(np.int64)) for k in keys),
                         pa.array(did[doc + row]),
                         pa.array(_place(th[doc + row], start)),
                         pa.array(n.astype(np.int32)),
                     ],
-                    names=["prefix", "path", "did", "place", "n"],
+                    names=["prefix", "path", "path2", "did", "place", "n"],
                 )
 
     return emit
 
 
-def _emit_windows(window: int):
-    """The 20-word nodes of the contested runs of each text."""
+# --- subtrees ---------------------------------------------------------------------------------
+
+
+def _emit_leaves(window: int):
+    """The contested runs of each text: a row with the words of the run, or one per window if its prefix is crowded.
+
+    Keys are the prefix and 0, or two hashes of the window, which is then the prefix.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "key2", "did", "place", "n", "words"]
         for batch in batches:
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
             list_at = lists.offsets.to_numpy()
-            first, count = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            prefix, first, count, crowded = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for row, end, raw, bounds in pieces(batch.column(2)):
                 starts, ends, doc = word_spans(raw, bounds)
-                nodes = mix(run_hashes(word_hashes(raw, starts, ends), window))
                 text_start = np.searchsorted(doc, np.arange(end - row), side="left")
-                lo, hi = int(list_at[row]), int(list_at[end])
-                n = count[lo:hi].astype(np.int64)
-                owner = np.repeat(np.repeat(np.arange(end - row), np.diff(list_at[row : end + 1])), n)
-                start = np.repeat(first[lo:hi].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(nodes[text_start[owner] + start].view(np.int64)),
-                        pa.array(did[owner + row]),
-                        pa.array(_place(th[owner + row], start)),
-                    ],
-                    names=["node", "did", "place"],
-                )
+                mine = slice(int(list_at[row]), int(list_at[end]))
+                owner = np.repeat(np.arange(end - row), np.diff(list_at[row : end + 1]))
+                whole = ~crowded[mine].astype(bool)
+                start, n = first[mine][whole].astype(np.int64), count[mine][whole]
+                at = text_start[owner[whole]] + start
+                data = raw.tobytes()
+                words = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True)]
+                who = owner[whole] + row
+                columns = [prefix[mine][whole], np.zeros(len(at), dtype=np.int64), did[who], _place(th[who], start), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=names)
+                if not whole.all():
+                    n = count[mine][~whole].astype(np.int64)
+                    who = np.repeat(owner[~whole], n)
+                    start = np.repeat(first[mine][~whole].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    at = text_start[who] + start
+                    nodes = [mix(run_hashes(w, window))[at].view(np.int64) for w in word_hash_pairs(raw, starts, ends)]
+                    columns = [*nodes, did[who + row], _place(th[who + row], start), np.ones(len(at), dtype=np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names=names)
 
     return emit
 
 
+def suffix_nodes(words: np.ndarray, depth: int) -> np.ndarray:
+    """The node at ``depth`` on the path of each suffix of ``words`` (integers) that is so long.
+
+    Nodes at depths 1, 2, 4 ... are the pairs of nodes at half the depth, so equal numbers mean equal
+    words, not hashes. This is the suffix tree, cut at the depth, by prefix doubling.
+    """
+    node, at = np.unique(words, return_inverse=True)[1], 1
+    while at < depth:
+        step = min(at, depth - at)
+        node = np.unique(node[: len(node) - step] * (int(node.max()) + 1) + node[step:], return_inverse=True)[1]
+        at += step
+    return node
+
+
+def repeated_windows(texts: list[bytes], did: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, offset) of the windows of some runs that also occur earlier among them: by did, then place.
+
+    A node at the window depth with several leaves is a repeat; all its leaves but the first are it.
+    """
+    split = [t.split() for t in texts]
+    numbers: dict[bytes, int] = {}
+    flat = np.array([numbers.setdefault(w, len(numbers)) for s in split for w in s], dtype=np.int64)
+    lengths = np.array([len(s) for s in split])
+    n = lengths - window + 1
+    run = np.repeat(np.arange(len(texts)), n)
+    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    node = suffix_nodes(flat, window)[(np.cumsum(lengths) - lengths)[run] + offset]
+    order = np.lexsort((place[run] + offset, did[run], node))
+    again = order[1:][node[order[1:]] == node[order[:-1]]]
+    again.sort()
+    return run[again], offset[again]
+
+
+def _grow_subtrees(window: int):
+    """Rows (key, did, place, words) come sorted: the covered windows of complete groups, as spans."""
+
+    def covered(rows: pa.Table) -> pa.RecordBatch:
+        did, place = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        # A repeated row of the input is the same leaf.
+        fresh = np.concatenate([[True], (did[1:] != did[:-1]) | (place[1:] != place[:-1])])
+        did, place, words = did[fresh], place[fresh], rows.column(3).filter(pa.array(fresh)).to_pylist()
+        run, offset = repeated_windows(words, did, place, window)
+        begins = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(run) else run
+        n = np.diff(np.concatenate([begins, [len(run)]])).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(did[run[begins]]), pa.array(place[run[begins]] + offset[begins]), pa.array(n)], names=["did", "place", "n"]
+        )
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            waiting = now if waiting is None else pa.concat_tables([waiting, now])
+            if waiting.num_rows >= CHUNK_RUNS:
+                keys = waiting.column(0).to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last group may go on in the next batch
+                if cut:
+                    yield covered(waiting.slice(0, cut))
+                    waiting = waiting.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield covered(waiting)
+
+    return grow
+
+
+# --- marks ------------------------------------------------------------------------------------
+
+
 def covered_windows(n_windows: int, kind: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Which windows of a text occur earlier, from its marks.
 
-    A run that isn't the first with its path is covered whole. A first run whose prefix has no other
-    path is uncovered whole. In a contested first run, the windows that aren't first are covered.
+    A run that isn't the first with its path is covered whole. A first run is uncovered, but for the
+    windows that its subtree found to repeat. In a first run of a crowded prefix, the windows that are
+    first with their words are uncovered.
     """
     out = np.zeros(n_windows, dtype=bool)
-    for s, k in zip(start[kind == _RUN].tolist(), n[kind == _RUN].tolist(), strict=True):
-        out[s : s + k] = True
-    for s, k in zip(start[kind == _FIRST_RUN].tolist(), n[kind == _FIRST_RUN].tolist(), strict=True):
-        out[s : s + k] = False
-    out[start[kind == _FIRST_WINDOW]] = False
+    for marked, value in ((_RUN, True), (_FIRST_RUN, False), (_CROWDED_RUN, True), (_FIRST_WINDOW, False), (_COVERED, True)):
+        for s, k in zip(start[kind == marked].tolist(), n[kind == marked].tolist(), strict=True):
+            out[s : s + k] = value
     return out
 
 
@@ -181,12 +269,12 @@ def remove_repeated_windows(
     A window is ``window_words`` consecutive words ``[^\\x20\\x09-\\x0D]+``. Every word goes that lies
     in a window whose words also start earlier: at a smaller id, or earlier in the same text.
 
-    How: suffixes below prefixes with one leaf stop at level 1. Level 2 groups the remaining runs by
-    their whole path; all but the first of a path repeat it. Level 3 compares, window by window, the
-    first runs of prefixes that have several paths. Groups are found by counts and minima only
-    (partially aggregated) and rows return to their text by id, so a passage that a third of all
-    documents share is never gathered in one task. Paths are compared as 64-bit hashes: among N
-    compared windows the chance of a false match is below N * N / 2**65.
+    How: runs below prefixes with one leaf stop there. Of runs with the same path (128 bits of hash
+    over all their words) all but the first repeat it. The first runs of prefixes that have several
+    paths form subtrees of at most SUBTREE_RUNS runs, built in tasks on the words: the nodes at the
+    window depth that have several leaves are the repeats, which join to maximal spans. A prefix with
+    more paths is lengthened to the window. Counts and minima are partially aggregated and rows return to
+    their text by id, so a passage that a third of all documents share is never gathered in one task.
 
     Null or empty text has no words. Null ids come first. Rows with one id and different texts are
     ordered by a text hash; fully repeated rows count as one document and get equal results. Other
@@ -201,43 +289,46 @@ def remove_repeated_windows(
         "text",
     )
     runs = texts.mapInArrow(
-        _emit_runs(window_words, prefix_words), "prefix long, path long, did long, place long, n int"
+        _emit_runs(window_words, prefix_words), "prefix long, path long, path2 long, did long, place long, n int"
     )
-    branching = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1")
-    branching = branching.select(F.col("prefix").alias("branch"))
-    repeated = materialise(runs.join(branching, F.col("prefix") == F.col("branch")).drop("branch"))
+    shared = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("prefix")
+    repeated = materialise(runs.join(broadcast_if_small(materialise(shared)), "prefix"))
 
-    firsts = repeated.groupBy("prefix", "path").agg(F.min(F.struct("did", "place", "n")).alias("at"))
-    many = firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1")
-    many = many.select(F.col("prefix").alias("branch"))
     firsts = materialise(
-        firsts.join(many, F.col("prefix") == F.col("branch"), "left").select(
-            "at.did", "at.place", "at.n", F.col("branch").isNotNull().alias("contested")
-        )
+        repeated.groupBy("prefix", "path", "path2").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
     )
+    many = materialise(
+        firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded"))
+    )
+    contested = materialise(firsts.join(broadcast_if_small(many), "prefix"))
 
     th = F.shiftright("place", 32).cast("int").alias("th")
     start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
-    contested = (
-        firsts.filter("contested").select("did", th, start, "n").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    by_text = (
+        contested.select("did", th, "prefix", start, "n", "crowded")
+        .groupBy("did", "th")
+        .agg(F.collect_list(F.struct("prefix", "start", "n", "crowded")).alias("runs"))
     )
-    windows = (
-        texts.join(contested, ["did", "th"])
+    leaves = materialise(
+        texts.join(by_text, ["did", "th"])
         .select("did", "th", "text", "runs")
-        .mapInArrow(_emit_windows(window_words), "node long, did long, place long")
+        .mapInArrow(_emit_leaves(window_words), "key long, key2 long, did long, place long, n int, words binary")
     )
-    first_windows = windows.groupBy("node").agg(F.min(F.struct("did", "place")).alias("at")).select("at.did", "at.place")
+    subtrees = leaves.filter("words IS NOT NULL").select("key", "did", "place", "words")
+    covered = subtrees.repartition("key").sortWithinPartitions("key", "did", "place").mapInArrow(_grow_subtrees(window_words), "did long, place long, n int")
     marks = (
         repeated.select("did", th, F.lit(_RUN).alias("kind"), start, "n")
-        .unionByName(
-            firsts.select(
-                "did", th, F.when(F.col("contested"), F.lit(_CONTESTED_RUN)).otherwise(F.lit(_FIRST_RUN)).alias("kind"), start, "n"
-            )
-        )
-        .unionByName(first_windows.select("did", th, F.lit(_FIRST_WINDOW).alias("kind"), start, F.lit(1).alias("n")))
-        .groupBy("did", "th")
-        .agg(F.collect_list(F.struct("kind", "start", "n")).alias("marks"))
+        .unionByName(firsts.select("did", th, F.lit(_FIRST_RUN).alias("kind"), start, "n"))
+        .unionByName(covered.select("did", th, F.lit(_COVERED).alias("kind"), start, "n"))
     )
+    if contested.filter("crowded").limit(1).count():
+        windows = leaves.filter("words IS NULL")
+        ends = windows.groupBy("key", "key2").agg(F.min(F.struct("did", "place")).alias("at")).select("at.did", "at.place", F.lit(1).alias("n"))
+        crowded = contested.filter("crowded").select("did", "place", "n", F.lit(_CROWDED_RUN).alias("kind"))
+        marks = marks.unionByName(crowded.select("did", th, "kind", start, "n")).unionByName(
+            ends.select("did", th, F.lit(_FIRST_WINDOW).alias("kind"), start, "n")
+        )
+    marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("kind", "start", "n")).alias("marks"))
     none = F.array().cast("array<struct<kind:int,start:int,n:int>>")
     return (
         texts.join(marks, ["did", "th"], "left")
