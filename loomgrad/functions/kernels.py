@@ -59,6 +59,17 @@ def batches_pass(
 SGD_BLOCK = 32
 
 
+_BACK = np.subtract.outer(np.arange(SGD_BLOCK), np.arange(SGD_BLOCK)) - 1
+_STEPS = np.arange(SGD_BLOCK + 1.0)
+
+
+def _block_terms(part: np.ndarray, lr: float, keep: float, keep_bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How the residual of each earlier row of a block pulls on a later output, and what k updates leave of weights and bias."""
+    n = len(part)
+    fade, fade_bias = (np.tril(np.ones((n, n)), -1) if k == 1.0 else np.where(_BACK >= 0, k ** np.maximum(_BACK, 0), 0.0)[:n, :n] for k in (keep, keep_bias))
+    return lr * (fade * (part @ part.T) + fade_bias), keep**_STEPS, keep_bias**_STEPS
+
+
 def row_by_row_pass(
     x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, link: str, lr: float, penalty: float, regularise_bias: bool
 ) -> tuple[np.ndarray, float, float]:
@@ -71,15 +82,12 @@ def row_by_row_pass(
     """
     keep = 1.0 - lr * penalty
     keep_bias = keep if regularise_bias else 1.0
-    back = np.subtract.outer(np.arange(SGD_BLOCK), np.arange(SGD_BLOCK)) - 1
-    fade, fade_bias = (np.where(back >= 0, k ** np.maximum(back, 0).astype(float), 0.0) for k in (keep, keep_bias))
-    left, left_bias = keep ** np.arange(SGD_BLOCK + 1.0), keep_bias ** np.arange(SGD_BLOCK + 1.0)
     squares = 0.0
     for at in range(0, len(y), SGD_BLOCK):
         part, target = x[at : at + SGD_BLOCK], y[at : at + SGD_BLOCK]
         n = len(target)
+        pull, left, left_bias = _block_terms(part, lr, keep, keep_bias)
         first = left[:n] * (part @ w) + left_bias[:n] * b
-        pull = lr * (fade[:n, :n] * (part @ part.T) + fade_bias[:n, :n])
         if link == "linear":
             e = np.linalg.solve(np.eye(n) + pull, first - target)
         else:
@@ -95,6 +103,83 @@ def row_by_row_pass(
     return w, float(b), squares
 
 
+def affine_start(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The map that changes nothing, and no squares yet: see :func:`affine_pass`."""
+    return np.eye(d + 1, d + 2), np.zeros((d + 2, d + 2))
+
+
+def affine_pass(
+    x: np.ndarray, y: np.ndarray, state: tuple[np.ndarray, np.ndarray], batch: int, lr: float, penalty: float, regularise_bias: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Composes the updates of a linear model over rows without knowing the parameters that they start from.
+
+    An update is affine in t = [weights, bias, 1], so any run of updates is a (d + 1, d + 2) matrix Z with
+    [weights, bias] = Z t, and its squared residuals sum to t' S t. Z and S of consecutive runs compose,
+    so runs can be worked on side by side and the result is that of the sequential rule.
+    """
+    z, s = state
+    if not len(y):
+        return z, s
+    d = x.shape[1]
+    keep = 1.0 - lr * penalty
+    keep_bias = keep if regularise_bias else 1.0
+    if batch > 1:
+        fade = np.append(np.full(d, keep), keep_bias)[:, None]
+        rows = np.column_stack([x, np.ones(len(y))])
+        for at in range(0, len(y), batch):
+            part = rows[at : at + batch]
+            e = part @ z
+            e[:, -1] -= y[at : at + batch]
+            s = s + e.T @ e
+            z = fade * z - (lr / len(part)) * (part.T @ e)
+        return z, s
+    w, b = z[:d], z[d]
+    for at in range(0, len(y), SGD_BLOCK):
+        part = x[at : at + SGD_BLOCK]
+        n = len(part)
+        pull, left, left_bias = _block_terms(part, lr, keep, keep_bias)
+        e = left[:n, None] * (part @ w) + left_bias[:n, None] * b
+        e[:, -1] -= y[at : at + SGD_BLOCK]
+        e = np.linalg.solve(np.eye(n) + pull, e)
+        s = s + e.T @ e
+        w = left[n] * w - lr * (part.T @ (left[n - 1 :: -1][:n, None] * e))
+        b = left_bias[n] * b - lr * (left_bias[n - 1 :: -1][:n] @ e)
+    return np.vstack([w, b]), s
+
+
+def _stream_plan(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each stream, longest stream first; the order of streams; streams still going at each step)."""
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    going = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+    return starts, order, going
+
+
+def logistic_streams_pass(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, lengths: np.ndarray, lr: float, penalty: float, regularise_bias: bool
+) -> tuple[np.ndarray, float]:
+    """One update per row in each of the consecutive streams, side by side.
+
+    Returns the sum over streams of [weights, bias] times its rows, and the squared residuals.
+    """
+    starts, order, going = _stream_plan(lengths)
+    rows = np.column_stack([x, np.ones(len(y))])
+    copies = np.tile(np.append(w, b), (len(lengths), 1))
+    fade = np.full(len(w) + 1, 1.0 - lr * penalty)
+    if not regularise_bias:
+        fade[-1] = 1.0
+    squares = 0.0
+    for step, k in enumerate(going.tolist()):
+        at = starts[:k] + step
+        part = rows[at]
+        e = stable_sigmoid(np.einsum("ij,ij->i", part, copies[:k])) - y[at]
+        squares += float(e @ e)
+        if penalty:
+            copies[:k] *= fade
+        copies[:k] -= lr * e[:, None] * part
+    return lengths[order] @ copies, squares
+
+
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -114,54 +199,71 @@ def network_forward(x: np.ndarray, layers: Layers) -> np.ndarray:
     return x[:, 0]
 
 
+def _sigmoid_in_place(z: np.ndarray) -> None:
+    z *= 0.5
+    np.tanh(z, out=z)
+    z += 1.0
+    z *= 0.5
+
+
 def network_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float) -> tuple[Layers, float]:
     """One back-propagation update per row, in the given order; gradients use the weights before it."""
     layers = [(w.copy(), b.copy()) for w, b in layers]
+    outputs = [np.empty(len(b)) for _, b in layers]
+    steps = [np.empty_like(w) for w, _ in layers]
     squares = 0.0
-    for row, target in zip(x, y, strict=True):
-        outputs = [row]
-        for w, b in layers:
-            outputs.append(stable_sigmoid(outputs[-1] @ w + b))
-        delta = outputs[-1] - target
-        squares += float(delta @ delta)
+    for row, target in zip(x, y.tolist(), strict=True):
+        below = row
+        for (w, b), out in zip(layers, outputs, strict=True):
+            np.dot(below, w, out=out)
+            out += b
+            _sigmoid_in_place(out)
+            below = out
+        delta = below - target
+        squares += float(delta[0]) ** 2
         for k in range(len(layers) - 1, -1, -1):
             w, b = layers[k]
-            below = outputs[k]
-            passed = (w @ delta) * below * (1.0 - below) if k else None
-            w -= lr * np.outer(below, delta)
-            b -= lr * delta
+            below = outputs[k - 1] if k else row
+            passed = np.dot(w, delta) * below * (1.0 - below) if k else None
+            delta *= lr
+            np.multiply(below[:, None], delta, out=steps[k])
+            w -= steps[k]
+            b -= delta
             delta = passed
     return layers, squares
 
 
-def network_streams_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float, streams: int) -> tuple[Layers, float]:
-    """``streams`` copies of the network learn from consecutive shares of the rows side by side, one row
-    each per step, and are averaged by rows at the end. One stream is :func:`network_pass`."""
-    n = len(y)
-    streams = max(1, min(streams, n))
-    if streams == 1:
+def network_streams_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float, streams: int | np.ndarray) -> tuple[Layers, float]:
+    """Copies of the network learn from consecutive shares of the rows side by side, one row each per step,
+    and are averaged by rows at the end. ``streams``: their lengths, or a number of nearly equal shares.
+    One stream is :func:`network_pass`."""
+    if isinstance(streams, int):
+        short, longer = divmod(len(y), max(1, min(streams, len(y))))
+        streams = np.full(max(1, min(streams, len(y))), short) + (np.arange(max(1, min(streams, len(y)))) < longer)
+    if len(streams) == 1:
         return network_pass(x, y, layers, lr)
-    short, longer = divmod(n, streams)
-    lengths = np.full(streams, short) + (np.arange(streams) < longer)
-    starts = np.cumsum(lengths) - lengths
-    copies = [(np.repeat(w[None], streams, axis=0), np.repeat(b[None], streams, axis=0)) for w, b in layers]
+    starts, order, going = _stream_plan(streams)
+    copies = [(np.repeat(w[None], len(streams), axis=0), np.repeat(b[None], len(streams), axis=0)) for w, b in layers]
     squares = 0.0
-    for step in range(short + (longer > 0)):
-        k = streams if step < short else longer  # the longer streams come first
+    for step, k in enumerate(going.tolist()):
         rows = starts[:k] + step
         outputs = [x[rows]]
         for w, b in copies:
-            outputs.append(stable_sigmoid(np.matmul(outputs[-1][:, None, :], w[:k])[:, 0] + b[:k]))
+            out = np.matmul(outputs[-1][:, None, :], w[:k])[:, 0]
+            out += b[:k]
+            _sigmoid_in_place(out)
+            outputs.append(out)
         delta = outputs[-1] - y[rows][:, None]
         squares += float((delta * delta).sum())
         for layer in range(len(copies) - 1, -1, -1):
             w, b = copies[layer]
             below = outputs[layer]
             passed = np.matmul(w[:k], delta[:, :, None])[:, :, 0] * below * (1.0 - below) if layer else None
-            w[:k] -= lr * below[:, :, None] * delta[:, None, :]
-            b[:k] -= lr * delta
+            delta *= lr
+            w[:k] -= below[:, :, None] * delta[:, None, :]
+            b[:k] -= delta
             delta = passed
-    share = lengths / n
+    share = streams[order] / len(y)
     return [(np.tensordot(share, w, 1), share @ b) for w, b in copies], squares
 
 

@@ -102,23 +102,22 @@ class NetworkOptions:
 class DeepNeuralNetwork:
     """A sigmoid network with topology (features, hidden ..., 1); ``probability`` is its output.
 
-    One back-propagation update per row in the order of ids. With one partition this is the plain
-    sequential rule; with more, each epoch averages what the partitions learned, weighted by rows.
-    ``streams`` does the same within a partition, for speed: that many copies learn side by side.
+    One back-propagation update per row in the order of ids. One stream, the default, is the plain
+    sequential rule in one task, for a bounded number of rows. More ``streams`` are asked for by the
+    caller: rows are dealt by a hash of their id, and each epoch averages what the streams learned,
+    weighted by rows. ``start`` replaces the random weights that training begins with.
     """
 
     output = "probability"
 
-    def __init__(
-        self, topology: tuple[int, ...], options: NetworkOptions | None = None, num_partitions: int | None = None, streams: int = 1
-    ) -> None:
+    def __init__(self, topology: tuple[int, ...], options: NetworkOptions | None = None, streams: int = 1, start: Layers | None = None) -> None:
         if len(topology) < 2 or min(topology) < 1 or topology[-1] != 1:
             raise ValueError("a topology has at least two positive sizes and ends in 1")
-        self.topology = tuple(topology)
-        self.options = options or NetworkOptions()
         if streams < 1:
             raise ValueError("at least one stream is needed")
-        self.num_partitions, self.streams = num_partitions, streams
+        self.topology = tuple(topology)
+        self.options = options or NetworkOptions()
+        self.streams, self.start = streams, start
         self.layers: Layers | None = None
         self.costs: tuple[float, ...] = ()
 
@@ -127,23 +126,25 @@ class DeepNeuralNetwork:
         d = validated_features or validate_training_table(train, caller=type(self).__name__).features
         if d != self.topology[0]:
             raise ValueError(f"the table has {d} features, the topology {self.topology[0]}")
-        topology, lr, streams, costs = self.topology, self.options.learning_rate, self.streams, []
-        flat = flatten(glorot_layers(topology, self.options.seed))
-        dealt = deal_rows(train, self.num_partitions)
+        topology, lr, costs = self.topology, self.options.learning_rate, []
+        flat = flatten(self.start if self.start is not None else glorot_layers(topology, self.options.seed))
+        dealt, n = deal_rows(train.select("id", "features", "target"), self.streams)
+        ordered = dealt.sortWithinPartitions("stream", "id").persist()  # once, as every epoch has the same order
         try:
             for epoch in range(self.options.epochs):
 
-                def update(x: np.ndarray, y: np.ndarray, flat=flat) -> tuple[np.ndarray, float]:
-                    layers, squares = network_streams_pass(x, y, unflatten(flat, topology), lr, streams)
-                    return flatten(layers), squares
+                def update(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, flat=flat) -> tuple[np.ndarray, float]:
+                    layers, squares = network_streams_pass(x, y, unflatten(flat, topology), lr, lengths)
+                    return flatten(layers) * len(y), squares
 
-                flat, squares, n = averaged_pass(dealt.sortWithinPartitions("id"), update, len(flat))
+                flat, squares = averaged_pass(ordered, update, len(flat), n)
                 costs.append(squares / n)
                 if not np.all(np.isfinite(flat)):
                     raise FloatingPointError(f"training diverged in epoch {epoch}")
                 if on_epoch:
                     on_epoch(epoch, costs[-1])
         finally:
+            ordered.unpersist()
             dealt.unpersist()
         self.layers, self.costs = unflatten(flat, topology), tuple(costs)
         return self
@@ -177,12 +178,10 @@ class DeepNeuralNetwork:
 class BasicNeuralNetwork(DeepNeuralNetwork):
     """One hidden layer; its input size follows the table."""
 
-    def __init__(
-        self, hidden_size: int, options: NetworkOptions | None = None, num_partitions: int | None = None, streams: int = 1
-    ) -> None:
+    def __init__(self, hidden_size: int, options: NetworkOptions | None = None, streams: int = 1, start: Layers | None = None) -> None:
         if hidden_size < 1:
             raise ValueError("the hidden layer needs at least one unit")
-        super().__init__((1, hidden_size, 1), options, num_partitions, streams)
+        super().__init__((1, hidden_size, 1), options, streams, start)
 
     def fit(self, train: DataFrame, on_epoch: EpochCallback | None = None, validated_features: int | None = None):
         self.layers = None

@@ -11,13 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrad.functions.kernels import Hypothesis, batches_pass, gradient_sums, linear, logistic, row_by_row_pass
+from loomgrad.functions.kernels import (
+    Hypothesis,
+    affine_pass,
+    affine_start,
+    batches_pass,
+    gradient_sums,
+    linear,
+    logistic,
+    logistic_streams_pass,
+    row_by_row_pass,
+)
+from loomgrad.operators.ranking import rank_in_groups
 from loomgrad.operators.splits import order_key
 
 #: Features up to which the linear statistics, (d + 2) squared numbers a task, are worth one pass.
 GRAM_FEATURES = 2000
-#: Rows whose updates follow each other in one task, unless the caller asks for other partitions.
-ROWS_PER_PARTITION = 100_000
+#: Features up to which the updates of a linear model are composed as matrices.
+AFFINE_FEATURES = 200
+#: Rows of a stream at most: its updates follow each other in one task.
+STREAM_ROWS = 1_000_000
+#: Numbers that each task returns to the driver at most; wider arrays are added up by Spark.
+DRIVER_WIDTH = 500
 
 
 @dataclass(frozen=True)
@@ -101,12 +116,17 @@ def summed(df: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray
                 total += partial(*matrix_of(batch))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-    parts = df.select("features", "target").mapInArrow(per_partition, "sums array<double>")
-    if width <= 200:
-        return np.array(parts.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)])).first()[0])
-    rows = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    return _added(df.select("features", "target").mapInArrow(per_partition, "sums array<double>"), width)
+
+
+def _added(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of the arrays ``sums``, one row a task."""
     out = np.zeros(width)
-    for r in rows:
+    if width <= DRIVER_WIDTH:
+        for r in parts.collect():
+            out += r["sums"]
+        return out
+    for r in parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -182,71 +202,161 @@ class BatchGradientDescent:
         return Trained(Parameters(tuple(theta[:-1].tolist()), float(theta[-1])), tuple(costs))
 
 
-def deal_rows(train: DataFrame, num_partitions: int | None) -> DataFrame:
-    """id, features, target, persisted in partitions by id: the same ones for each epoch and each run."""
-    rows = train.select("id", "features", "target")
-    return rows.repartition(num_partitions or max(1, math.ceil(rows.count() / ROWS_PER_PARTITION)), "id").persist()
+def stream_of(streams: int, id_col: str = "id"):
+    """The stream of a row: a hash of its id, modulo ``streams``."""
+    digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":stream"))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(streams)).cast("int")
+
+
+def deal_rows(train: DataFrame, streams: int) -> tuple[DataFrame, int]:
+    """(id, stream, features, target and other columns; number of rows), persisted with each stream whole in one partition.
+
+    Streams longer than STREAM_ROWS on average are an error: the rule is never changed for a large table.
+    """
+    if streams < 1:
+        raise ValueError("at least one stream is needed")
+    n = train.count()
+    if n > streams * STREAM_ROWS:
+        raise ValueError(f"{n} rows in {streams} stream(s): at most {STREAM_ROWS} a stream; more streams are averaged each epoch")
+    tasks = min(streams, max(train.sparkSession.sparkContext.defaultParallelism, math.ceil(n / STREAM_ROWS)))
+    rows = train.withColumn("stream", stream_of(streams) if streams > 1 else F.lit(0))
+    return (rows.repartitionByRange(tasks, "stream") if tasks > 1 else rows.repartition(1)).persist(), n
+
 
+def stream_lengths(streams: np.ndarray) -> np.ndarray:
+    """Rows of each of the consecutive streams."""
+    edges = np.flatnonzero(np.concatenate([[True], streams[1:] != streams[:-1], [True]]))
+    return np.diff(edges)
 
-def averaged_pass(rows: DataFrame, update: Callable, width: int) -> tuple[np.ndarray, float, int]:
-    """Each partition runs ``update(features, target)`` -> (flat parameters, squares) over its rows in
-    their order; returns the row-weighted mean of the parameters, all squares and all rows."""
+
+def averaged_pass(rows: DataFrame, update: Callable, width: int, n: int) -> tuple[np.ndarray, float]:
+    """``update(features, target, lengths)`` -> (sum of stream parameters times stream rows, squares) on each
+    partition, in its order; returns the mean of the parameters by rows, and all squares."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The update chain needs a partition's rows together: they are a bounded share of the table.
-        parts = [matrix_of(b) for b in batches if b.num_rows]
+        parts = [(*matrix_of(b), b.column(b.schema.get_field_index("stream")).to_numpy()) for b in batches if b.num_rows]
         if parts:
-            x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            flat, squares = update(x, y)
-            weighted = np.concatenate([flat * len(y), [squares, len(y)]])
-            yield pa.RecordBatch.from_arrays([pa.array([weighted.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-    sums = rows.mapInArrow(per_partition, "sums array<double>")
-    if width + 2 <= 200:
-        total = np.array(sums.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 2)])).first()[0])
+            x, y, streams = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            total, squares = update(x, y, stream_lengths(streams))
+            yield pa.RecordBatch.from_arrays([pa.array([[*total.tolist(), squares]], pa.list_(pa.float64()))], names=["sums"])
+
+    total = _added(rows.select("stream", "features", "target").mapInArrow(per_partition, "sums array<double>"), width + 1)
+    return total[:width] / n, float(total[-1])
+
+
+def _composed(rows: DataFrame, d: int, batch: int, lr: float, penalty: float, regularise_bias: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The composed updates of each range of ``rows`` (key, place, features, target), in their order."""
+
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, state, rest = None, affine_start(d), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if first is None:
+                first = (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+            now = matrix_of(b)
+            x, y = now if rest is None else tuple(np.concatenate([r, v]) for r, v in zip(rest, now, strict=True))
+            cut = len(y) // batch * batch  # a batch may go on in the next Arrow batch, never in another partition
+            state, rest = affine_pass(x[:cut], y[:cut], state, batch, lr, penalty, regularise_bias), (x[cut:], y[cut:])
+        if first is not None:
+            z, s = affine_pass(*rest, state, batch, lr, penalty, regularise_bias)
+            columns = [[first[0]], [first[1]], [z.ravel().tolist()], [s.ravel().tolist()]]
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "place", "z", "s"])
+
+    by = ["key", "place"] if batch == 1 else [F.floor(F.col("place") / batch)]
+    ordered = rows.select("key", "place", "features", "target").repartitionByRange(*by).sortWithinPartitions("key", "place")
+    got = ordered.mapInArrow(per_partition, "key string, place long, z array<double>, s array<double>").collect()
+    got.sort(key=lambda r: (r["key"], r["place"]))
+    return [(np.array(r["z"]).reshape(d + 1, d + 2), np.array(r["s"]).reshape(d + 2, d + 2)) for r in got]
+
+
+def _in_order(rows: DataFrame, seed: int | None, epoch: int, batch: int) -> DataFrame:
+    """``rows`` with key and place, whose order is that of the epoch (ids without a seed); places count rows if batches need it."""
+    key = F.lit("") if seed is None else order_key(seed, epoch)
+    if batch == 1:
+        return rows.withColumns({"key": key, "place": F.col("id").cast("long")})
+    if seed is None:
+        cuts = sorted(set(rows.approxQuantile("id", [i / 1000 for i in range(1, 1000)], 0.0005)))
+        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+        order = [F.col("id")]
     else:
-        total = np.zeros(width + 2)
-        for r in sums.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-            total[r["i"]] = r["v"]
-    n = int(total[-1])
-    return total[:width] / n, float(total[-2]), n
+        rows = rows.withColumn("order_key", key)
+        bucket, order = F.substring("order_key", 1, 3), [F.col("order_key"), F.col("id")]
+    return rank_in_groups(rows.withColumn("key", F.lit("")), ["key"], bucket, order, "place")
 
 
 @dataclass(frozen=True)
 class _Sequential:
-    """Updates within a partition follow each other; partitions start each epoch from the same
-    parameters, which are then averaged weighted by rows. One partition is the plain sequential rule;
-    more are an approximation that scales. By default a partition has about ROWS_PER_PARTITION rows."""
+    """Updates follow each other in the order of the epoch.
+
+    A linear model of up to AFFINE_FEATURES features trains exactly on any number of rows: ranges of rows
+    are composed side by side (see :func:`affine_pass`), and the driver chains one matrix a range.
+
+    Other hypotheses run in ``streams``. One stream is the plain sequential rule, for at most
+    STREAM_ROWS rows. More are an approximation that scales and that the caller asks for: streams, made
+    by a hash of the id, start each epoch from the same parameters, which are then averaged weighted by
+    rows. The result depends on the number of streams, never on partitions.
+    """
 
-    num_partitions: int | None = None
+    streams: int = 1
 
     def _optimise(self, train, start, predict, on_epoch, batch: int, rate: Callable[[int], float]) -> Trained:
-        options = self.options
-        dealt = deal_rows(train, self.num_partitions)
-        link = {linear: "linear", logistic: "logistic"}.get(predict) if batch == 1 else None
+        flat = np.array([*start.weights, start.bias])
+        epochs = self._linear_epochs if predict is linear and len(flat) <= AFFINE_FEATURES + 1 else self._stream_epochs
+        costs = []
+        for epoch, (flat, squares, n) in enumerate(epochs(train, flat, predict, batch, rate)):
+            _require_finite(flat, epoch)
+            costs.append(squares / n)
+            if on_epoch:
+                on_epoch(epoch, costs[-1])
+        return Trained(Parameters(tuple(flat[:-1].tolist()), float(flat[-1])), tuple(costs))
+
+    def _linear_epochs(self, train, flat, predict, batch, rate):
+        options, d = self.options, len(flat) - 1
+        rows = train.select("id", "features", "target").persist()
+        try:
+            n, seed, parts = rows.count(), options.seed if options.shuffle else None, None
+            for epoch in range(options.epochs):
+                if parts is None or options.shuffle or rate(epoch) != rate(epoch - 1):
+                    ordered = _in_order(rows, seed, epoch, batch)
+                    parts = _composed(ordered, d, batch, rate(epoch), options.l2 / n, options.regularise_bias)
+                squares = 0.0
+                for z, s in parts:
+                    one = np.append(flat, 1.0)
+                    squares += float(one @ s @ one)
+                    flat = z @ one
+                yield flat, squares, n
+        finally:
+            rows.unpersist()
+
+    def _stream_epochs(self, train, flat, predict, batch, rate):
+        options, d = self.options, len(flat) - 1
+        dealt, n = deal_rows(train.select("id", "features", "target"), self.streams)
+        penalty, bias_too = options.l2 / n, options.regularise_bias
         try:
-            n = dealt.count()
-            penalty = options.l2 / n
-            flat, d, costs = np.array([*start.weights, start.bias]), len(start.weights), []
             for epoch in range(options.epochs):
                 key = [order_key(options.seed, epoch), F.col("id")] if options.shuffle else [F.col("id")]
                 w, b, lr = flat[:d].copy(), float(flat[d]), rate(epoch)
 
-                def update(x: np.ndarray, y: np.ndarray, w=w, b=b, lr=lr) -> tuple[np.ndarray, float]:
-                    if link:
-                        got, bias, squares = row_by_row_pass(x, y, w, b, link, lr, penalty, options.regularise_bias)
-                    else:
-                        got, bias, squares = batches_pass(x, y, w, b, predict, batch, lr, penalty, options.regularise_bias)
-                    return np.concatenate([got, [bias]]), squares
-
-                flat, squares, _ = averaged_pass(dealt.sortWithinPartitions(*key), update, d + 1)
-                _require_finite(flat, epoch)
-                costs.append(squares / n)
-                if on_epoch:
-                    on_epoch(epoch, costs[-1])
+                def update(x, y, lengths, w=w, b=b, lr=lr) -> tuple[np.ndarray, float]:
+                    if predict is logistic and batch == 1 and len(lengths) > 1:
+                        return logistic_streams_pass(x, y, w, b, lengths, lr, penalty, bias_too)
+                    total, squares, at = np.zeros(d + 1), 0.0, 0
+                    for k in lengths.tolist():
+                        part, target = x[at : at + k], y[at : at + k]
+                        if predict is logistic and batch == 1:
+                            got, bias, s = row_by_row_pass(part, target, w, b, "logistic", lr, penalty, bias_too)
+                        else:
+                            got, bias, s = batches_pass(part, target, w, b, predict, batch, lr, penalty, bias_too)
+                        total, squares, at = total + k * np.append(got, bias), squares + s, at + k
+                    return total, squares
+
+                flat, squares = averaged_pass(dealt.sortWithinPartitions("stream", *key), update, d + 1, n)
+                yield flat, squares, n
         finally:
             dealt.unpersist()
-        return Trained(Parameters(tuple(flat[:d].tolist()), float(flat[d])), tuple(costs))
 
 
 @dataclass(frozen=True)

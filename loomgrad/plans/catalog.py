@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgrad.functions import activations as act
 from loomgrad.functions import metrics
+from loomgrad.functions.kernels import glorot_layers, logistic
 from loomgrad.functions.vectors import linear_output
 from loomgrad.operators.models import BasicNeuralNetwork, DeepNeuralNetwork, LinearRegression, LogisticBinaryClassifier, NetworkOptions
 from loomgrad.operators.ranking import rank_in_groups
@@ -442,8 +443,6 @@ def logistic_descent_sql(rows: str, d: int, lr: float, epochs: int) -> str:
     f"WITH {logistic_descent_sql(EVENT_FLAG_SQL, 3, 0.5, 3)} SELECT 0 AS epoch, round(cost, 6) AS cost FROM e1 UNION ALL SELECT 1, round(cost, 6) FROM e2 UNION ALL SELECT 2, round(cost, 6) FROM e3"
 )
 def t1_t4_batch_logistic_trace(spark, sf_dir):
-    from loomgrad.functions.kernels import logistic
-
     trained = BatchGradientDescent(GradientDescentOptions(0.5, 3)).optimise(event_flag(spark, sf_dir), Parameters.zeros(3), logistic)
     return _rounded(trained.trace(spark))
 
@@ -487,11 +486,52 @@ def t3_stochastic(spark, sf_dir):
     return _weights(spark, optimiser.optimise(doc_label(spark, sf_dir), Parameters.zeros(4)))
 
 
-@query()
+def _streams_sql(rows: str, streams: int, order: str) -> str:
+    """``rows`` with the stream of each row, its place in the stream and the stream's size."""
+    stream = f"(('0x' || substr(md5(id || ':stream'), 1, 8))::UBIGINT % {streams})::INT"
+    return f"""SELECT *, row_number() OVER (PARTITION BY stream ORDER BY {order}) - 1 AS place, count(*) OVER (PARTITION BY stream) AS stream_rows
+    FROM (SELECT *, {stream} AS stream FROM ({rows}))"""
+
+
+def averaged_sql(rows: str, streams: int, names: list[str], start: list[float], steps: list[str], update: dict[str, str], epochs: int, order) -> str:
+    """CTEs (recursive) that end in ``a<epochs>`` with the averaged parameters ``names`` and the epoch's ``cost``.
+
+    ``steps``: expressions in turn, each may use those before; the first ones use the parameters and the row.
+    ``update``: parameter -> its value after a row. Streams advance side by side, a row each per recursion.
+    """
+    out = [f"a0 AS (SELECT {', '.join(f'{v!r}::DOUBLE AS {k}' for k, v in zip(names, start, strict=True))}, 0.0::DOUBLE AS cost)"]
+    for e in range(epochs):
+        inner = f"SELECT p.stream, p.k, p.squares, r.target, {', '.join(f'p.{n}' for n in names)}, {', '.join(f'r.x{j}' for j in range(4))} FROM p{e} p JOIN r{e} r ON r.stream = p.stream AND r.place = p.k"
+        for step in steps:
+            inner = f"SELECT *, {step} FROM ({inner})"
+        moved = ", ".join(f"{update[n]} AS {n}" for n in names)
+        out += [
+            f"r{e} AS MATERIALIZED ({_streams_sql(rows, streams, order(e))})",
+            f"p{e} AS (SELECT DISTINCT stream, 0::BIGINT AS k, 0.0::DOUBLE AS squares, {', '.join(f'a.{n}' for n in names)} FROM r{e}, a{e} a "
+            f"UNION ALL SELECT stream, k + 1, squares + residual * residual, {moved} FROM ({inner}))",
+            f"a{e + 1} AS MATERIALIZED (SELECT {', '.join(f'sum({n} * k) / sum(k) AS {n}' for n in names)}, sum(squares) / sum(k) AS cost "
+            f"FROM p{e} JOIN (SELECT DISTINCT stream, stream_rows FROM r{e}) USING (stream) WHERE k = stream_rows)",
+        ]
+    return ",\n".join(out)
+
+
+def _sigmoid_sql(z: str) -> str:
+    return f"CASE WHEN {z} >= 0 THEN 1 / (1 + exp(-({z}))) ELSE exp({z}) / (1 + exp({z})) END"
+
+
+SGD_NAMES = ["w0", "w1", "w2", "w3", "b"]
+SGD_STEPS = ["b + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 AS z", f"{_sigmoid_sql('z')} - target AS residual"]
+SGD_UPDATE = {n: f"{n} - 0.05 * residual * {x}" for n, x in zip(SGD_NAMES, ["x0", "x1", "x2", "x3", "1"], strict=True)}
+
+
+@query(
+    f"WITH RECURSIVE {averaged_sql(doc_label_sql(), 4, SGD_NAMES, [0.0] * 5, SGD_STEPS, SGD_UPDATE, 2, lambda e: _order(42, e))} SELECT {SCALED_WEIGHTS}, round(a1.cost, 6) AS cost0, round(a2.cost, 6) AS cost1 FROM a2, (SELECT cost FROM a1) a1"
+)
 def t3_stochastic_averaged(spark, sf_dir):
-    """The form for large tables: partitions pass over their rows, then average."""
-    optimiser = StochasticGradientDescent(options=StochasticOptions(0.01, 3), num_partitions=8)
-    return optimiser.optimise(event_flag(spark, sf_dir), Parameters.zeros(3)).trace(spark)
+    """The form for large tables of a hypothesis that isn't linear: streams pass over their rows, then average."""
+    optimiser = StochasticGradientDescent(options=StochasticOptions(0.05, 2), streams=4)
+    trained = optimiser.optimise(doc_label(spark, sf_dir), Parameters.zeros(4), logistic)
+    return _weights(spark, trained).withColumns({f"cost{i}": F.lit(round(c, 6)) for i, c in enumerate(trained.costs)})
 
 
 @query(f"WITH RECURSIVE {linear_descent_sql(ORDER_VALUE_SQL, 4, 0.05, 100)} SELECT id, round({_dot([f'x{j}' for j in range(4)], [f'w{j}' for j in range(4)])} + b, 6) AS prediction FROM ({ORDER_VALUE_SQL}), descent WHERE epoch = 100")
@@ -529,18 +569,72 @@ def t7_t8_network_forward(spark, sf_dir):
     return net.predict(doc_label(spark, sf_dir)).select("id", F.round("probability", 6).alias("probability"))
 
 
-@query()
+def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs: int, streams: int) -> str:
+    """Back-propagation by averaged streams from given weights, and the probabilities of the rows."""
+    names, start, forward, update = [], [], [], {}
+    below = [f"x{j}" for j in range(topology[0])]
+    sums, outputs = [], [below]
+    for k, (w, b) in enumerate(layers):
+        here = [f"o{k}_{j}" for j in range(topology[k + 1])]
+        for j in range(topology[k + 1]):
+            for i in range(topology[k]):
+                names.append(f"v{k}_{i}_{j}")
+                start.append(float(w[i, j]))
+            names.append(f"c{k}_{j}")
+            start.append(float(b[j]))
+        sums.append(", ".join(f"c{k}_{j} + {' + '.join(f'v{k}_{i}_{j} * {o}' for i, o in enumerate(below))} AS z{k}_{j}" for j in range(topology[k + 1])))
+        forward += [sums[-1], ", ".join(f"{_sigmoid_sql(f'z{k}_{j}')} AS {o}" for j, o in enumerate(here))]
+        outputs.append(here)
+        below = here
+    steps = [*forward, f"{below[0]} - target AS residual", f"residual AS d{len(layers) - 1}_0"]
+    for k in range(len(layers) - 1, 0, -1):
+        steps.append(
+            ", ".join(
+                f"({' + '.join(f'v{k}_{i}_{j} * d{k}_{j}' for j in range(topology[k + 1]))}) * {o} * (1 - {o}) AS d{k - 1}_{i}"
+                for i, o in enumerate(outputs[k])
+            )
+        )
+    for k in range(len(layers)):
+        for j in range(topology[k + 1]):
+            update |= {f"v{k}_{i}_{j}": f"v{k}_{i}_{j} - {lr} * {o} * d{k}_{j}" for i, o in enumerate(outputs[k])}
+            update[f"c{k}_{j}"] = f"c{k}_{j} - {lr} * d{k}_{j}"
+    trained = averaged_sql("SELECT * FROM scaled", streams, names, start, steps, update, epochs, lambda e: "id")
+    scored = f"SELECT id, target, {', '.join(f'x{j}' for j in range(topology[0]))}, {', '.join(names)} FROM scaled, a{epochs}"
+    for step in forward:
+        scored = f"SELECT *, {step} FROM ({scored})"
+    z = ", ".join(f"(h.x{j} - s.m{j}) / s.d{j} AS x{j}" for j in range(topology[0]))
+    stats = ", ".join(f"avg(x{j}) AS m{j}, stddev_pop(x{j}) AS d{j}" for j in range(topology[0]))
+    return f"""WITH RECURSIVE given AS MATERIALIZED ({rows}),
+    scaled AS MATERIALIZED (SELECT id, target, {z} FROM given h, (SELECT {stats} FROM given) s),
+    {trained}
+    SELECT id, target, round({below[0]}, 6) AS probability FROM ({scored})"""
+
+
+TWO_LAYERS, DEEP = (4, 8, 1), (4, 5, 3, 1)
+
+
+@query(network_sql(doc_label_sql(), TWO_LAYERS, glorot_layers(TWO_LAYERS, 7), 0.05, 2, 4))
 def t7_basic_network(spark, sf_dir):
     data = doc_label(spark, sf_dir)
     scaled = Scaler("z_score").fit(data).transform(data)
-    return BasicNeuralNetwork(8, NetworkOptions(0.05, 5)).fit(scaled).predict(scaled).select("id", "target", "probability")
+    net = BasicNeuralNetwork(8, NetworkOptions(0.05, 2), streams=4, start=glorot_layers(TWO_LAYERS, 7))
+    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
 
 
-@query()
+@query(network_sql(doc_label_sql(), DEEP, glorot_layers(DEEP, 42), 0.1, 2, 3))
 def t8_deep_network(spark, sf_dir):
-    data = vec_label(spark, sf_dir, 16)
+    data = doc_label(spark, sf_dir)
+    scaled = Scaler("z_score").fit(data).transform(data)
+    net = DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2), streams=3)
+    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+
+
+@query()
+def t8_wide_deep_network(spark, sf_dir):
+    """All 64 features of the embeddings."""
+    data = vec_label(spark, sf_dir)
     scaled = Scaler("z_score").fit(data).transform(data)
-    net = DeepNeuralNetwork((16, 8, 4, 1), NetworkOptions(0.05, 5), num_partitions=4)
+    net = DeepNeuralNetwork((64, 16, 8, 1), NetworkOptions(0.05, 5), streams=32)
     return net.fit(scaled).predict(scaled).select("id", "target", "probability")
 
 
@@ -591,13 +685,13 @@ def l5_score_binary_model(spark, sf_dir):
 
 @query()
 def t9_l6_cross_validation(spark, sf_dir):
-    """Three models per fold, trained side by side; mean and deviation of their metrics."""
-    models = {
-        "logistic": crossval.logistic_trainer(0.1, 100),
-        "two_layer": crossval.network_trainer((8,), 0.05, 3),
-        "deep": crossval.network_trainer((16, 8), 0.05, 3),
+    """Three per-row models under one budget, all folds side by side; mean and deviation of their metrics."""
+    learners = {
+        "logistic": crossval.StochasticLogistic(0.05, 5),
+        "two_layer": crossval.SigmoidNetwork((8,), 0.05, 5),
+        "deep": crossval.SigmoidNetwork((16, 8), 0.05, 5),
     }
-    _, summary = crossval.cross_validate(vec_label(spark, sf_dir, 16), models)
+    _, summary = crossval.cross_validate(vec_label(spark, sf_dir), learners, streams=16)
     return summary
 
 
@@ -615,8 +709,7 @@ def _fold_scaled(d: int, held: int) -> str:
     )
 )
 def l6_cross_validated_logistic(spark, sf_dir):
-    optimiser = BatchGradientDescent(GradientDescentOptions(0.5, 3))
-    per_fold, _ = crossval.cross_validate_distributed(event_flag(spark, sf_dir), {"logistic": lambda: LogisticBinaryClassifier(optimiser)})
+    per_fold, _ = crossval.cross_validate(event_flag(spark, sf_dir), {"logistic": crossval.BatchLogistic(0.5, 3)})
     return _rounded(per_fold)
 
 

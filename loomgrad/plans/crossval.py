@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import hashlib
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrad.functions.kernels import batches_pass, flatten, glorot_layers, logistic, network_forward, network_pass, unflatten
+from loomgrad.functions.kernels import (
+    flatten,
+    glorot_layers,
+    gradient_sums,
+    logistic,
+    logistic_streams_pass,
+    network_forward,
+    network_streams_pass,
+    row_by_row_pass,
+    unflatten,
+)
 from loomgrad.functions.metrics import METRIC_COLUMNS, binary_metrics, fold_summary
 from loomgrad.operators.scaling import Scaler, training_statistics_per_fold
 from loomgrad.operators.splits import stratified_kfold, test_of, train_of, training_views
+from loomgrad.operators.training import _added, deal_rows, matrix_of, stream_lengths
 from loomgrad.operators.validate import validate_training_table
 
-#: A group that trains in one task has at most this many rows.
-GROUP_ROWS = 1_000_000
-
 
 def scaled_views(folded: DataFrame, n_features: int, folds: int) -> tuple[DataFrame, DataFrame]:
     """(training rows per eval_fold, test rows per eval_fold), Z-scored by training rows of the fold only.
@@ -39,91 +50,190 @@ def scaled_views(folded: DataFrame, n_features: int, folds: int) -> tuple[DataFr
     return scaled(training_views(folded, folds)), scaled(folded.withColumn("eval_fold", F.col("fold")))
 
 
-# --- many small models side by side -----------------------------------------------------------
+# --- many models side by side -----------------------------------------------------------------
 
-#: A trainer: features and targets in the order of ids -> flat parameters. And its scorer.
-Trainer = Callable[[np.ndarray, np.ndarray], np.ndarray]
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
+class Learner(Protocol):
+    """A model that trains by additive contributions of partitions, one round an epoch."""
 
-def logistic_trainer(learning_rate: float, epochs: int, batch_size: int | None = None, seed: int | None = None) -> tuple[Trainer, Scorer]:
-    """All rows per update without a batch size, else consecutive batches, shuffled if a seed is given."""
+    epochs: int
 
-    def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        w, b = np.zeros(x.shape[1]), 0.0
-        rng = None if seed is None else np.random.Generator(np.random.PCG64(seed))
-        for _ in range(epochs):
-            order = slice(None) if rng is None else rng.permutation(len(y))
-            w, b, _ = batches_pass(x[order], y[order], w, b, logistic, batch_size or len(y), learning_rate, 0.0, False)
-        return np.concatenate([w, [b]])
+    def start(self, d: int) -> np.ndarray:
+        """The parameters before the first epoch."""
 
-    return train, lambda x, flat: logistic(x, flat[:-1], float(flat[-1]))
+    def contribute(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, streams: np.ndarray, flat: np.ndarray, epoch: int) -> np.ndarray:
+        """What some rows, sorted by stream and id, add to the epoch."""
 
+    def finish(self, total: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
+        """The parameters after the epoch, from the contributions of all ``n`` training rows."""
 
-def network_trainer(hidden: tuple[int, ...], learning_rate: float, epochs: int, seed: int = 42) -> tuple[Trainer, Scorer]:
-    def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        layers = glorot_layers((x.shape[1], *hidden, 1), seed)
-        for _ in range(epochs):
-            layers, _ = network_pass(x, y, layers, learning_rate)
-        return flatten(layers)
+    def score(self, x: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Probabilities."""
 
-    return train, lambda x, flat: network_forward(x, unflatten(flat, (x.shape[1], *hidden, 1)))
 
+@dataclass(frozen=True)
+class BatchLogistic:
+    """All rows per update."""
 
-def train_groups(views: DataFrame, models: Mapping[str, tuple[Trainer, Scorer]], group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(model, eval_fold, parameters): one exact sequential training per model and fold, groups in parallel.
+    learning_rate: float
+    epochs: int
 
-    A group trains in one task. Larger groups than ``group_rows`` are an error: train those with a
-    distributed optimiser, see :func:`cross_validate_distributed`.
-    """
-    largest = views.groupBy("eval_fold").count().agg(F.max("count")).first()[0] or 0
-    if largest > group_rows:
-        raise ValueError(f"a fold has {largest} training rows, more than {group_rows} for one task")
-    trainers = {name: train for name, (train, _) in models.items()}
-    named = views.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    def start(self, d: int) -> np.ndarray:
+        return np.zeros(d + 1)
+
+    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
+        return gradient_sums(x, y, flat[:-1], float(flat[-1]), logistic)[:-1]
+
+    def finish(self, total, flat, n) -> np.ndarray:
+        return flat - self.learning_rate / n * total
+
+    def score(self, x, flat) -> np.ndarray:
+        return logistic(x, flat[:-1], float(flat[-1]))
+
+
+@dataclass(frozen=True)
+class StochasticLogistic(BatchLogistic):
+    """One update per row in each stream, in an order of its own each epoch; streams are averaged by rows."""
+
+    seed: int = 42
+    decay: float = 0.0
+
+    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
+        keys = np.array([hashlib.md5(f"{i}:{self.seed}:{epoch}".encode()).digest() for i in ids.tolist()], dtype="S16")
+        order, lr, lengths = np.lexsort((ids, keys, streams)), self.learning_rate / (1 + self.decay * epoch), stream_lengths(streams)
+        w, b = flat[:-1], float(flat[-1])
+        if len(lengths) > 1:
+            return logistic_streams_pass(x[order], y[order], w, b, lengths, lr, 0.0, False)[0]
+        got, bias, _ = row_by_row_pass(x[order], y[order], w, b, "logistic", lr, 0.0, False)
+        return len(y) * np.append(got, bias)
+
+    def finish(self, total, flat, n) -> np.ndarray:
+        return total / n
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        x, y = np.stack(group["features"].to_numpy()), group["target"].to_numpy()
-        name, held = group["model"].iloc[0], group["eval_fold"].iloc[0]
-        return pd.DataFrame({"model": [name], "eval_fold": [held], "parameters": [trainers[name](x, y).tolist()]})
 
-    return named.select("model", "eval_fold", "id", "features", "target").groupBy("model", "eval_fold").applyInPandas(
-        fit, "model string, eval_fold int, parameters array<double>"
-    )
+@dataclass(frozen=True)
+class SigmoidNetwork:
+    """One back-propagation update per row in each stream, in the order of ids; streams are averaged by rows."""
 
+    hidden: tuple[int, ...]
+    learning_rate: float
+    epochs: int
+    seed: int = 42
 
-def score_groups(test: DataFrame, parameters: DataFrame, models: Mapping[str, tuple[Trainer, Scorer]]) -> DataFrame:
-    """``test`` rows with model and probability: models * folds parameter rows, joined on the fold."""
-    scorers = {name: score for name, (_, score) in models.items()}
+    def _topology(self, d: int) -> tuple[int, ...]:
+        return (d, *self.hidden, 1)
 
-    @F.pandas_udf("double")
-    def probability(model: pd.Series, features: pd.Series, flat: pd.Series) -> pd.Series:
-        out = np.empty(len(model))
-        keys = model + ":" + flat.map(lambda f: str(hash(f.tobytes())))
-        for _, at in pd.Series(range(len(model))).groupby(keys.to_numpy()).groups.items():
-            rows = np.asarray(at)
-            out[rows] = scorers[model.iloc[rows[0]]](np.stack(features.iloc[rows].to_numpy()), np.asarray(flat.iloc[rows[0]]))
-        return pd.Series(out)
+    def start(self, d: int) -> np.ndarray:
+        return flatten(glorot_layers(self._topology(d), self.seed))
 
-    joined = test.join(F.broadcast(parameters), "eval_fold")  # one row per model and fold
-    return joined.withColumn("probability", probability("model", "features", "parameters")).drop("parameters")
+    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
+        layers = unflatten(flat, self._topology(x.shape[1]))
+        return len(y) * flatten(network_streams_pass(x, y, layers, self.learning_rate, stream_lengths(streams))[0])
+
+    def finish(self, total, flat, n) -> np.ndarray:
+        return total / n
+
+    def score(self, x, flat) -> np.ndarray:
+        return network_forward(x, unflatten(flat, self._topology(x.shape[1])))
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+#: Fold -> (centre, scale) of its training rows.
+Scales = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def train_side_by_side(dealt: DataFrame, scales: Scales, n_train: Mapping[int, int], learners: Mapping[str, Learner]) -> dict[tuple[str, int], np.ndarray]:
+    """(model, fold) -> parameters: every model on the rows of the other folds, scaled by the statistics of those.
+
+    All models of all folds train in the same job, one an epoch: a task passes over its own rows only and
+    returns one array, so no fold is copied, shuffled or held by a task. ``dealt``: rows of
+    :func:`~loomgrad.operators.training.deal_rows` with ``fold``, sorted by stream and id.
+    """
+    d = len(next(iter(scales.values()))[0])
+    now = {(name, held): learner.start(d) for name, learner in learners.items() for held in scales}
+    for epoch in range(max(learner.epochs for learner in learners.values())):
+        going = {key: flat for key, flat in now.items() if epoch < learners[key[0]].epochs}
+        sizes = [len(flat) for flat in going.values()]
+        at = dict(zip(going, np.cumsum(sizes) - sizes, strict=True))
+
+        def per_partition(batches: Iterator[pa.RecordBatch], going=going, at=at, width=sum(sizes), epoch=epoch) -> Iterator[pa.RecordBatch]:
+            parts = [(*matrix_of(b), *(_column(b, c) for c in ("id", "stream", "fold"))) for b in batches if b.num_rows]
+            if not parts:
+                return
+            x, y, ids, streams, fold = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            total = np.zeros(width)
+            for held, (centre, scale) in scales.items():
+                mine = fold != held
+                if not mine.any():
+                    continue
+                z = (x[mine] - centre) / scale
+                for (name, of), flat in going.items():
+                    if of == held:
+                        total[at[name, of] : at[name, of] + len(flat)] = learners[name].contribute(ids[mine], z, y[mine], streams[mine], flat, epoch)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        columns = dealt.select("id", "stream", "fold", "features", "target")
+        total = _added(columns.mapInArrow(per_partition, "sums array<double>"), sum(sizes))
+        for (name, held), flat in going.items():
+            start = at[name, held]
+            after = learners[name].finish(total[start : start + len(flat)], flat, n_train[held])
+            if not np.all(np.isfinite(after)):
+                raise FloatingPointError(f"{name}, fold {held}: training diverged in epoch {epoch}")
+            now[name, held] = after
+    return now
+
+
+def score_side_by_side(folded: DataFrame, scales: Scales, parameters: Mapping[tuple[str, int], np.ndarray], learners: Mapping[str, Learner]) -> DataFrame:
+    """model, eval_fold, id, target, probability: each row scored by the models that haven't seen its fold."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (x, y), ids, fold = matrix_of(b), _column(b, "id"), _column(b, "fold")
+            for held, (centre, scale) in scales.items():
+                mine = fold == held
+                z = (x[mine] - centre) / scale
+                for name, learner in learners.items() if mine.any() else ():
+                    p = learner.score(z, parameters[name, held])
+                    columns = [pa.array([name] * len(p)), pa.array(np.full(len(p), held, dtype=np.int32)), *map(pa.array, (ids[mine], y[mine], p))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["model", "eval_fold", "id", "target", "probability"])
+
+    rows = folded.select("id", "fold", "features", "target")
+    return rows.mapInArrow(per_batch, "model string, eval_fold int, id long, target double, probability double")
 
 
 def cross_validate(
-    df: DataFrame, models: Mapping[str, tuple[Trainer, Scorer]], folds: int = 5, seed: int = 42
+    df: DataFrame, learners: Mapping[str, Learner], folds: int = 5, seed: int = 42, streams: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per model and fold, mean and sample deviation per model).
 
     Folds are stratified; each fold's rows are scored by models, and scaled by statistics, that have
-    seen the other folds only.
+    seen the other folds only. Sequential learners run in ``streams``, see
+    :class:`~loomgrad.operators.training.StochasticGradientDescent`; batch learners don't depend on them.
     """
     facts = validate_training_table(df, binary=True, caller="cross_validate")
     folded = stratified_kfold(df.select("id", "features", "target"), folds, seed).persist()
-    train, test = scaled_views(folded, facts.features, folds)
-    parameters = train_groups(train, models).persist()
-    scored = score_groups(test, parameters, models)
-    per_fold = binary_metrics(scored, group_cols=("model", "eval_fold"))
+    scaler, scales = Scaler("z_score"), {}
+    for r in training_statistics_per_fold(folded, facts.features).collect():
+        fitted = scaler.from_statistics(r["lows"], r["highs"], r["means"], r["variances"])
+        scales[r["eval_fold"]] = (np.array(fitted.centre), np.array(fitted.scale))
+    counts = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    n_train = {held: sum(counts.values()) - counts[held] for held in counts}
+    # Batch learners need no streams, so their rows stay as they are.
+    sequential = any(type(learner) is not BatchLogistic for learner in learners.values())
+    dealt = deal_rows(folded, streams)[0] if sequential else folded.withColumn("stream", F.lit(0))
+    ordered = dealt.sortWithinPartitions("stream", "id").persist() if sequential else dealt
+    try:
+        parameters = train_side_by_side(ordered, scales, n_train, learners)
+    finally:
+        if sequential:
+            ordered.unpersist()
+            dealt.unpersist()
+    per_fold = binary_metrics(score_side_by_side(folded, scales, parameters, learners), group_cols=("model", "eval_fold"))
     return per_fold, fold_summary(per_fold)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -209,7 +210,7 @@ def test_three_optimisers_agree(spark):
 def test_one_partition_is_the_sequential_rule(spark):
     rows = [((float(i % 5), float(i % 3)), float(i % 2)) for i in range(40)]
     options = training.StochasticOptions(0.05, 2, l2=0.5, shuffle=False, decay=0.3)
-    got = training.StochasticGradientDescent(options=options, num_partitions=1).optimise(table(spark, rows), training.Parameters.zeros(2), kernels.logistic)
+    got = training.StochasticGradientDescent(options=options).optimise(table(spark, rows), training.Parameters.zeros(2), kernels.logistic)
     w, b = np.zeros(2), 0.0
     for epoch in range(2):
         lr = 0.05 / (1 + 0.3 * epoch)
@@ -220,6 +221,65 @@ def test_one_partition_is_the_sequential_rule(spark):
     assert [*got.parameters.weights, got.parameters.bias] == pytest.approx([*w, b])
 
 
+@pytest.mark.parametrize("batch,shuffle", [(1, True), (1, False), (7, True), (7, False)])
+def test_linear_updates_compose_to_the_sequential_rule(spark, batch, shuffle):
+    """Ranges of rows in many partitions give what one loop over all rows gives."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(230, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) + 3
+    df = table(spark, list(zip(x.tolist(), y)))
+    if batch == 1:
+        options = training.StochasticOptions(0.05, 3, l2=2.0, regularise_bias=True, shuffle=shuffle, decay=0.3)
+        optimiser, rate = training.StochasticGradientDescent(options=options), lambda e: 0.05 / (1 + 0.3 * e)
+    else:
+        options = training.MiniBatchOptions(0.05, 3, l2=2.0, regularise_bias=True, shuffle=shuffle, batch_size=batch)
+        optimiser, rate = training.MiniBatchGradientDescent(options=options), lambda e: 0.05
+    w, b, costs = np.zeros(3), 0.0, []
+    for epoch in range(3):
+        order = sorted(range(230), key=lambda i: (hashlib.md5(f"{i}:42:{epoch}".encode()).hexdigest(), i) if shuffle else i)
+        w, b, squares = kernels.batches_pass(x[order], y[order], w, b, kernels.linear, batch, rate(epoch), 2.0 / 230, True)
+        costs.append(squares / 230)
+    for n in (1, 6):
+        got = optimiser.optimise(df.repartition(n), training.Parameters.zeros(3))
+        assert [*got.parameters.weights, got.parameters.bias] == pytest.approx([*w, b])
+        assert got.costs == pytest.approx(costs)
+
+
+def test_logistic_streams_are_runs_of_their_own():
+    rng = np.random.default_rng(9)
+    x, y, w, lengths = rng.normal(size=(40, 3)), (rng.random(40) > 0.5).astype(float), rng.normal(size=3), np.array([9, 17, 14])
+    for penalty, bias_too in ((0.0, False), (0.02, False), (0.02, True)):
+        total, squares, at = np.zeros(4), 0.0, 0
+        for k in lengths.tolist():
+            got, bias, s = kernels.batches_pass(x[at : at + k], y[at : at + k], w, 0.3, kernels.logistic, 1, 0.1, penalty, bias_too)
+            total, squares, at = total + k * np.append(got, bias), squares + s, at + k
+        found = kernels.logistic_streams_pass(x, y, w, 0.3, lengths, 0.1, penalty, bias_too)
+        assert found[0] == pytest.approx(total) and found[1] == pytest.approx(squares)
+
+
+def test_a_table_too_large_for_a_stream_is_refused_and_never_averaged_unasked(spark, monkeypatch):
+    monkeypatch.setattr(training, "STREAM_ROWS", 30)
+    df = table(spark, [((i / 50,), i % 2) for i in range(50)])
+    with pytest.raises(ValueError, match="streams"):
+        training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1)).optimise(df, training.Parameters.zeros(1), kernels.logistic)
+    assert training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1), streams=2).optimise(df, training.Parameters.zeros(1), kernels.logistic)
+    assert training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1)).optimise(df, training.Parameters.zeros(1))
+
+
+def test_averaged_quality_is_near_the_exact_rule(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2000, 3))
+    y = (rng.random(2000) < 1 / (1 + np.exp(-(x @ np.array([2.0, -1.0, 0.5]))))).astype(float)
+    df = table(spark, list(zip(x.tolist(), y)))
+    losses = []
+    for streams in (1, 8):
+        options = training.StochasticOptions(0.05, 3)
+        p = training.StochasticGradientDescent(options=options, streams=streams).optimise(df, training.Parameters.zeros(3), kernels.logistic).parameters
+        q = kernels.logistic(x, np.array(p.weights), p.bias)
+        losses.append(float(-np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))))
+    assert losses[1] == pytest.approx(losses[0], rel=0.03)
+
+
 @pytest.mark.parametrize("link,predict", [("linear", kernels.linear), ("logistic", kernels.logistic)])
 @pytest.mark.parametrize("penalty,bias_too", [(0.0, False), (0.03, False), (0.03, True)])
 def test_blocks_of_rows_are_the_same_updates(link, predict, penalty, bias_too):
@@ -246,9 +306,9 @@ def test_streams_are_networks_of_their_own():
 
 def test_averaged_training_is_repeatable(spark):
     df = table(spark, [((i / 50,), 3 * i / 50 + 2) for i in range(50)])
-    optimiser = training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 3), num_partitions=4)
-    first = optimiser.optimise(df, training.Parameters.zeros(1)).parameters
-    second = optimiser.optimise(df.repartition(9), training.Parameters.zeros(1)).parameters
+    optimiser = training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 3), streams=4)
+    first = optimiser.optimise(df, training.Parameters.zeros(1), kernels.logistic).parameters
+    second = optimiser.optimise(df.repartition(9), training.Parameters.zeros(1), kernels.logistic).parameters
     assert [*first.weights, first.bias] == pytest.approx([*second.weights, second.bias])
 
 
@@ -271,6 +331,24 @@ def test_bad_options_are_refused(make):
         make()
 
 
+def test_own_hypotheses_and_callbacks_on_every_optimiser(spark):
+    """A hypothesis of the caller (here: exponential), a callback, and an L2 term on the bias."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 2)) / 3
+    y = np.exp(x @ np.array([0.5, -0.3]) + 0.2)
+    predict = lambda a, w, b: np.exp(a @ w + b)
+    df = table(spark, list(zip(x.tolist(), y)))
+    for optimiser in (
+        training.BatchGradientDescent(training.GradientDescentOptions(0.3, 30)),
+        training.MiniBatchGradientDescent(options=training.MiniBatchOptions(0.3, 10, batch_size=8), streams=2),
+        training.StochasticGradientDescent(options=training.StochasticOptions(0.1, 8, l2=0.001, regularise_bias=True)),
+    ):
+        seen = []
+        trained = optimiser.optimise(df, training.Parameters.zeros(2), predict, lambda e, c: seen.append((e, c)))
+        assert [c for _, c in seen] == list(trained.costs) and trained.costs[-1] < trained.costs[0] / 4
+        assert trained.trace(spark).count() == len(seen)
+
+
 def test_divergence_is_an_error(spark):
     with pytest.raises(FloatingPointError):
         training.BatchGradientDescent(training.GradientDescentOptions(10.0, 500)).optimise(line(spark), training.Parameters.zeros(1))
@@ -304,7 +382,7 @@ def test_networks_separate_small_tables(spark):
     assert max(p[:2]) < 0.5 < min(p[2:])
     # The same rule on a table, in the order of ids.
     df = table(spark, list(zip(x.tolist(), y)))
-    net = models.BasicNeuralNetwork(4, models.NetworkOptions(0.5, 3), 1).fit(df.repartition(3))
+    net = models.BasicNeuralNetwork(4, models.NetworkOptions(0.5, 3)).fit(df.repartition(3))
     layers = start
     for _ in range(3):
         layers, _ = kernels.network_pass(x, y, layers, 0.5)
@@ -366,14 +444,26 @@ def test_cross_validation_forms_agree(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 2))
     df = table(spark, list(zip(x.tolist(), (x[:, 0] + 0.3 * rng.normal(size=120) > 0.4).astype(float))))
-    one, summary = crossval.cross_validate(df, {"m": crossval.logistic_trainer(0.5, 20)}, folds=3)
+    one, summary = crossval.cross_validate(df.repartition(4), {"m": crossval.BatchLogistic(0.5, 20)}, folds=3)
     options = training.BatchGradientDescent(training.GradientDescentOptions(0.5, 20))
     two, _ = crossval.cross_validate_distributed(df, {"m": lambda: models.LogisticBinaryClassifier(options)}, folds=3)
     a, b = ({r["eval_fold"]: [r[c] for c in metrics.METRIC_COLUMNS] for r in t.collect()} for t in (one, two))
     assert set(a) == {0, 1, 2} and all(a[k] == pytest.approx(b[k]) for k in a)
     assert summary.first()["folds"] == 3
-    with pytest.raises(ValueError):
-        crossval.train_groups(splits.training_views(splits.stratified_kfold(df, 3), 3), {"m": crossval.logistic_trainer(0.5, 1)}, group_rows=10)
+
+
+@pytest.mark.parametrize("streams", [1, 3])
+def test_sequential_models_side_by_side_are_those_trained_alone(spark, streams):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2))
+    df = table(spark, list(zip(x.tolist(), (x[:, 0] > 0.4).astype(float))))
+    learners = {"sgd": crossval.StochasticLogistic(0.2, 3, decay=0.1), "net": crossval.SigmoidNetwork((3,), 0.3, 2)}
+    one, _ = crossval.cross_validate(df.repartition(4), learners, folds=3, streams=streams)
+    sgd = training.StochasticGradientDescent(options=training.StochasticOptions(0.2, 3, decay=0.1), streams=streams)
+    factories = {"sgd": lambda: models.LogisticBinaryClassifier(sgd), "net": lambda: models.BasicNeuralNetwork(3, models.NetworkOptions(0.3, 2), streams=streams)}
+    two, _ = crossval.cross_validate_distributed(df, factories, folds=3)
+    a, b = ({(r["model"], r["eval_fold"]): [r[c] for c in metrics.METRIC_COLUMNS] for r in t.collect()} for t in (one, two))
+    assert len(a) == 6 and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
 # --- sources and streams ----------------------------------------------------------------------
@@ -388,10 +478,10 @@ def csv(tmp_path, text):
 @pytest.mark.parametrize(
     "text,options,rows",
     [
-        ("feature1,feature2,target\n1.0,2.0,5.0\n3.0,4.0,10.0\n", {}, [([1, 2], 5), ([3, 4], 10)]),
-        ("1.5,2.5,0.0\n3.5,4.5,1.0\n", {"has_header": False}, [([1.5, 2.5], 0), ([3.5, 4.5], 1)]),
-        ("f1;f2;target\n10.0;20.0;1.0\n", {"delimiter": ";"}, [([10, 20], 1)]),
-        ("a,b,c\r\n1.0,2.0,5.0\r\n3e2,-.5,+10.\r\n", {}, [([1, 2], 5), ([300, -0.5], 10)]),
+        ("width,height,area\n6,7.5,45\n-8.25,2,-16.5\n", {}, [([6, 7.5], 45), ([-8.25, 2], -16.5)]),
+        ("0.125,9\n7.75,-4\n", {"has_header": False}, [([0.125], 9), ([7.75], -4)]),
+        ("u|v|w|z\n31|62.5|93|0.5\n", {"delimiter": "|"}, [([31, 62.5, 93], 0.5)]),
+        ("a,b,c\r\n17,18.5,2\r\n3e2,-.5,+10.\r\n", {}, [([17, 18.5], 2), ([300, -0.5], 10)]),
     ],
 )
 def test_csv_reads(spark, tmp_path, text, options, rows):
@@ -401,13 +491,23 @@ def test_csv_reads(spark, tmp_path, text, options, rows):
 
 @pytest.mark.parametrize(
     "text",
-    ["", "a,b\n", "a,b,c\n1.0,abc,5.0\n", "a\n1.0\n", "a,b,c\n1.0,2.0,5.0,\n", "a,b,c\n1,2,3\n1,2,3,4\n", "a,b\n1,2\n\n3,4\n", "a,b\n1,NaN\n", "a,b\n1,1e400\n", "a,b\n1, 2\n", "a,b\n1d,2\n", "a,b\n,2\n"],
+    ["", "a,b\n", "a,b,c\n8,eight,9\n", "a\n8.5\n", "a,b,c\n8,9,10,\n", "a,b,c\n11,12,13\n14,15,16,17\n", "a,b\n1,2\n\n3,4\n", "a,b\n1,NaN\n", "a,b\n1,1e400\n", "a,b\n1, 2\n", "a,b\n1d,2\n", "a,b\n,2\n"],
 )
 def test_bad_csv_is_refused(spark, tmp_path, text):
     with pytest.raises(ValueError):
         tables.read_labelled_csv(spark, csv(tmp_path, text))
 
 
+def test_csv_errors_name_the_line(spark, tmp_path):
+    text = "a,b\n" + "".join(f"{i},{i}\n" for i in range(2000)) + "7,x\n" + "".join(f"{i},{i}\n" for i in range(500)) + "8,y\n"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several blocks
+    try:
+        with pytest.raises(ValueError, match="2 bad lines; line 2002 has a value that isn't a number: '7,x'"):
+            tables.read_labelled_csv(spark, csv(tmp_path, text))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_writers(spark, tmp_path):
     scored = spark.createDataFrame([(4.0, 5.0), (8.0, 7.0)], "target double, prediction double")
     tables.write_regression(scored, str(tmp_path / "r"))
