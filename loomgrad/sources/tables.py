@@ -29,7 +29,7 @@ def _problem(tokens: Column, n_columns: int) -> Column:
 def read_labelled_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True) -> DataFrame:
     """id, features, target from delimited numbers; the last column is the target.
 
-    Refused with ValueError and example lines: no data rows, a header or data with fewer than two
+    Refused with ValueError, the line's number and text: no data rows, a header or data with fewer than two
     columns, blank lines, trailing delimiters, empty or non-numeric or non-finite values, lines with
     another number of values than the first. CRLF is fine; there is no quoting. ``id`` is a stable
     number of the line's place in the files, as read by this call's partitions.
@@ -44,6 +44,7 @@ def read_labelled_csv(spark: SparkSession, path: str, delimiter: str = ",", has_
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
+    whole = lines
     if has_header:
         # A header is the first line of a file's first block; blocks may be read in any order.
         headers = lines.filter("block = 0").groupBy("file").agg(F.min("id").alias("header_id")).select("header_id")
@@ -55,12 +56,15 @@ def read_labelled_csv(spark: SparkSession, path: str, delimiter: str = ",", has_
     if n_columns < 2:
         raise ValueError(f"{path}: at least one feature and a target are needed")
     tokens = F.split("value", f"\\Q{delimiter}\\E", -1)
-    checked = lines.select("id", "value", tokens.alias("tokens")).withColumn("problem", _problem(F.col("tokens"), n_columns))
+    checked = lines.select("file", "block", "id", "value", tokens.alias("tokens")).withColumn("problem", _problem(F.col("tokens"), n_columns))
     bad = checked.filter("problem IS NOT NULL").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "problem", F.substring("value", 1, 80).alias("line"))).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "block", "id", "problem", F.substring("value", 1, 80).alias("line"))).alias("first")
     ).first()
     if bad["n"]:
-        raise ValueError(f"{path}: {bad['n']} bad lines; the first has {bad['first']['problem']}: {bad['first']['line']!r}")
+        first = bad["first"]
+        before = (F.col("block") < first["block"]) | ((F.col("block") == first["block"]) & (F.col("id") <= first["id"]))
+        number = whole.filter((F.col("file") == first["file"]) & before).count()
+        raise ValueError(f"{first['file']}: {bad['n']} bad lines; line {number} has {first['problem']}: {first['line']!r}")
     numbers = F.transform("tokens", lambda t: t.cast("double"))
     return checked.select(
         "id", F.slice(numbers, 1, n_columns - 1).alias("features"), F.element_at(numbers, n_columns).alias("target")
