@@ -16,10 +16,14 @@ def order_key(seed: int, epoch: int | None = None, id_col: str = "id") -> Column
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(tail)))
 
 
-def _ranked(df: DataFrame, keys: list[str], seed: int, id_col: str) -> DataFrame:
-    """Buckets are the first three hex digits: they lead the order, so ranks equal a plain row_number."""
+def _ranked(df: DataFrame, keys: list[str], seed: int, id_col: str, n: int) -> DataFrame:
+    """Buckets are the first hex digits, as many as give about a million rows a bucket of a group of ``n`` rows.
+
+    They lead the order, so ranks equal a plain row_number whatever their number.
+    """
+    digits = max(3, math.ceil(math.log(max(n, 1) / 1_000_000, 16)))
     keyed = df.withColumn("_lg_key", order_key(seed, id_col=id_col))
-    return rank_in_groups(keyed, keys, F.substring("_lg_key", 1, 3), [F.col("_lg_key"), F.col(id_col)], "_lg_rank").drop("_lg_key")
+    return rank_in_groups(keyed, keys, F.substring("_lg_key", 1, digits), [F.col("_lg_key"), F.col(id_col)], "_lg_rank").drop("_lg_key")
 
 
 def _check_ratio(ratio: float) -> float:
@@ -40,7 +44,7 @@ def train_test_split(df: DataFrame, training_ratio: float = 0.8, seed: int = 42,
     if not 0 < n_train < n:
         raise ValueError(f"{n} rows cannot be split at {ratio}: a side is empty")
     split = F.when(F.col("_lg_rank") < n_train, "train").otherwise("test")
-    return _ranked(df, [], seed, id_col).withColumn("split", split).drop("_lg_rank")
+    return _ranked(df, [], seed, id_col, n).withColumn("split", split).drop("_lg_rank")
 
 
 def _strata(df: DataFrame, target: str) -> DataFrame:
@@ -52,10 +56,10 @@ def stratified_split(df: DataFrame, training_ratio: float = 0.8, seed: int = 42,
     ratio = _check_ratio(training_ratio)
     size = F.floor(F.col("_lg_n").cast("double") * F.lit(ratio))
     strata = _strata(df, target).withColumn("_lg_train", size)
-    facts = strata.agg(F.count(F.lit(1)), F.count_if((F.col("_lg_train") < 1) | (F.col("_lg_train") >= F.col("_lg_n")))).first()
+    facts = strata.agg(F.count(F.lit(1)), F.count_if((F.col("_lg_train") < 1) | (F.col("_lg_train") >= F.col("_lg_n"))), F.max("_lg_n")).first()
     if not facts[0] or facts[1]:
         raise ValueError(f"{facts[1]} of {facts[0]} strata would have an empty side")
-    joined = _ranked(df, [target], seed, id_col).join(strata, F.col(target).eqNullSafe(F.col("_lg_target")))
+    joined = _ranked(df, [target], seed, id_col, facts[2]).join(strata, F.col(target).eqNullSafe(F.col("_lg_target")))
     split = F.when(F.col("_lg_rank") < F.col("_lg_train"), "train").otherwise("test")
     return joined.withColumn("split", split).drop("_lg_rank", "_lg_target", "_lg_n", "_lg_train")
 
@@ -69,12 +73,12 @@ def stratified_kfold(df: DataFrame, folds: int = 5, seed: int = 42, id_col: str
     if folds < 2:
         raise ValueError("at least two folds are needed")
     strata = _strata(df, target)
-    facts = strata.agg(F.count(F.lit(1)), F.min("_lg_n")).first()
+    facts = strata.agg(F.count(F.lit(1)), F.min("_lg_n"), F.max("_lg_n")).first()
     if not facts[0] or facts[1] < folds:
         raise ValueError(f"every stratum needs at least {folds} rows")
     lower = Window.orderBy("_lg_target").rowsBetween(Window.unboundedPreceding, -1)  # one row per stratum
     offsets = strata.select("_lg_target", F.coalesce(F.sum("_lg_n").over(lower), F.lit(0)).alias("_lg_lower"))
-    joined = _ranked(df, [target], seed, id_col).join(offsets, F.col(target).eqNullSafe(F.col("_lg_target")))
+    joined = _ranked(df, [target], seed, id_col, facts[2]).join(offsets, F.col(target).eqNullSafe(F.col("_lg_target")))
     fold = F.pmod(F.col("_lg_lower") + F.col("_lg_rank"), F.lit(folds)).cast("int")
     return joined.withColumn("fold", fold).drop("_lg_rank", "_lg_target", "_lg_lower")
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is named (tests), a new local folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only in local mode, where none is named, a new local folder:
+    on a cluster executors would not share it, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgrad-checkpoint-"))
 
 
