@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrad.llm.common import WHITE_SPACE, id_and_text, read_table
+from loomgrad.llm.common import WHITE_SPACE, broadcast_if_small, id_and_text, read_table
+from loomgrad.session import materialise
 
 
 def content_hash_128(normalised: Column) -> Column:
@@ -27,8 +28,10 @@ def exact_duplicates(
     are equal: colliding hashes never merge texts. The longest original (code points), then the
     smallest id stays.
 
-    Skew: copies collapse before the shuffle (partial aggregation), and the answer returns to the rows
-    by a join on short digests, whose hot keys adaptive execution splits. Texts are shuffled once.
+    Skew: digests of the rows are stored, and only texts whose hash repeats are compared. While the list
+    of those hashes is short it is broadcast, and unique texts never move; a longer one is joined. Copies
+    collapse before the shuffle (partial aggregation), and the answer returns to the rows by a join on
+    short digests, whose hot keys adaptive execution splits.
 
     Null text counts as empty; all empty texts form one group. A null id loses against any other id.
     Rows that repeat both the id and the length of the row that stays are all marked kept. Other
@@ -36,21 +39,29 @@ def exact_duplicates(
     """
     base = id_and_text(docs, id_col, text_col)
     normal = base.select("doc_id", F.length("text").alias("n_chars"), F.translate("text", WHITE_SPACE, "").alias("normal"))
+    digest = F.unhex(F.sha2("normal", 256)).alias("sha")
     keyed = normal.withColumn("h", content_hash(F.col("normal")))
-    by_bytes = keyed.groupBy("h", "normal", "n_chars").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")
+    rows = materialise(keyed.select("doc_id", "n_chars", "h", digest))
+    repeated = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h"))
+    by_bytes = (
+        keyed.join(broadcast_if_small(repeated), "h", "left_semi")
+        .groupBy("h", "normal", "n_chars")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
     )
-    by_length = by_bytes.select("h", F.unhex(F.sha2("normal", 256)).alias("sha"), "n_chars", "n", "first_id")
-    groups = by_length.groupBy("h", "sha").agg(
-        F.sum("n").alias("group_size"),
-        F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("first_id").isNull().alias("b"), F.col("first_id").alias("c"))).alias("best"),
+    groups = (
+        by_bytes.select("h", digest, "n_chars", "n", "first_id")
+        .groupBy("h", "sha")
+        .agg(
+            F.sum("n").alias("group_size"),
+            F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("first_id").isNull().alias("b"), F.col("first_id").alias("c"))).alias("best"),
+        )
     )
-    rows = keyed.select("doc_id", "n_chars", "h", F.unhex(F.sha2("normal", 256)).alias("sha"))
-    return rows.join(groups, ["h", "sha"]).select(
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, ["h", "sha"], "left").select(
         "doc_id",
-        F.col("best.c").alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a"))).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.c")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
