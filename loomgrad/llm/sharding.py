@@ -3,65 +3,61 @@
 from __future__ import annotations
 
 import heapq
-import math
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgrad.llm.common import id_and_text, read_table
 from loomgrad.operators.ranking import rank_in_groups
+from loomgrad.session import materialise
 
-#: Sizes below 2**EXACT_BITS have a class each; larger sizes keep this many leading bits. At most
-#: 2**14 + 49 * 2**13 classes exist for any input: the proven bound of what the driver plans with.
-EXACT_BITS = 14
 RANK_BUCKETS = 1024
 ROW_OVERHEAD = 16
 
 
-def size_class(size: F.Column) -> F.Column:
-    """The size with all but its leading EXACT_BITS bits cleared (an error under 1 part in 8192)."""
-    bits = F.length(F.bin(size))
-    drop = F.greatest(bits - EXACT_BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+def plan_longest_first(sizes: np.ndarray, counts: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest-processing-time placement of ``counts`` groups of each of the distinct ``sizes`` on ``n_shards`` shards.
 
-
-def plan_longest_first(classes: list[tuple[int, int, int]], n_shards: int) -> list[tuple[int, list[int], list[int]]]:
-    """Longest-processing-time placement of (class, groups, bytes) rows on ``n_shards`` shards.
-
-    Groups of a class count as equal. The result has, for each class, the ranks at which a new shard
-    begins and those shards. One by one through a heap, c equal groups would go to the c smallest of
-    the loads L[s] + k * w; a class with many groups takes all that lie under a level at once and
-    only the rest through the heap, so the work follows the classes and shards, not the groups.
+    Returns (size, start, shard) rows: groups of a size with ranks from ``start`` on, up to the next
+    start of that size, go to ``shard``. The loads are those of a plain heap, which takes one group after
+    the other, largest first, to the least-loaded shard: equal groups w fill the smallest of the loads
+    L[s] + k * w, so a size with many groups takes all that lie under a level at once, and only the
+    rest goes through the heap. The work follows sizes and shards, not groups.
     """
-    loads = [0.0] * n_shards
-    plan = []
-    for key, count, total in sorted(classes, reverse=True):
-        each = total / count
+    loads = np.zeros(n_shards, dtype=np.int64)
+    heap = [(0, s) for s in range(n_shards)]
+    out_size, out_start, out_shard = array("q"), array("q"), array("i")
+    order = np.argsort(-sizes, kind="stable")
+    for size, count in zip(sizes[order].tolist(), counts[order].tolist(), strict=True):
         taken = [0] * n_shards
-        if count > n_shards and each > 0:
-            low, high = min(loads), max(loads) + each * count
-            fits = lambda level: sum(max(0, math.ceil((level - x) / each)) for x in loads)
-            for _ in range(64):
-                mid = (low + high) / 2
-                low, high = (mid, high) if fits(mid) <= count else (low, mid)
-            taken = [max(0, math.ceil((low - x) / each)) for x in loads]
-        rest = count - sum(taken)
-        heap = [(loads[s] + taken[s] * each, s) for s in range(n_shards)]
-        heapq.heapify(heap)
+        rest = count
+        if count > n_shards and size > 0:
+            fits = lambda level: np.maximum(0, -((loads - level) // size))  # noqa: B023, E731  places under the level
+            low, high = int(loads.min()), int(loads.max()) + size * count
+            while high - low > 1 and high - low > size // 2:
+                mid = (low + high) // 2
+                low, high = (mid, high) if int(fits(mid).sum()) <= count else (low, mid)
+            under = fits(low)
+            taken, rest = under.tolist(), count - int(under.sum())
+            heap = [(x + k * size, s) for s, (x, k) in enumerate(zip(loads.tolist(), taken, strict=True))]
+            heapq.heapify(heap)
+        touched = {s for s in range(n_shards) if taken[s]} if rest < count else set()
         for _ in range(rest):
             load, s = heap[0]
             taken[s] += 1
-            heapq.heapreplace(heap, (load + each, s))
-        starts, shards, at = [], [], 0
-        for s in range(n_shards):
-            if taken[s]:
-                starts.append(at)
-                shards.append(s)
-                at += taken[s]
-                loads[s] += taken[s] * each
-        plan.append((key, starts, shards))
-    return plan
+            touched.add(s)
+            heapq.heapreplace(heap, (load + size, s))
+        start = 0
+        for s in sorted(touched):
+            out_size.append(size)
+            out_start.append(start)
+            out_shard.append(s)
+            start += taken[s]
+            loads[s] += taken[s] * size
+    return np.array(out_size, dtype=np.int64), np.array(out_start, dtype=np.int64), np.array(out_shard, dtype=np.int32)
 
 
 def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,9 +67,10 @@ def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     first, to the least-loaded shard. ``slot`` counts the rows of a shard from 0 without gaps, in an
     order that depends on ids only.
 
-    The driver sees the histogram of group sizes (bounded, see EXACT_BITS), never groups. Ranks within
-    a size class and within a shard come from bucket counts, so no task holds a class or a shard.
-    A group larger than an even share makes its shard larger than the others: it has to stay together.
+    The driver sees the histogram of exact group sizes, never groups: D distinct sizes need at least
+    D * D / 2 bytes of text, so a hundred terabytes have at most 14 million of them, at 16 bytes each.
+    Ranks within a size and within a shard come from bucket counts, so no task holds a size or a shard.
+    Texts are read once. A group larger than an even share makes its shard larger than the others: it has to stay together.
 
     Null text counts as empty and shares the group of empty texts. Repeated rows get a slot each.
     Null ids sort first. Other columns are ignored. No rows in, no rows out.
@@ -81,41 +78,28 @@ def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     spark = docs.sparkSession
-    base = id_and_text(docs, id_col, text_col).select(
-        "doc_id",
-        (F.octet_length("text") + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        F.unhex(F.md5("text")).alias("group_key"),
+    base = materialise(
+        id_and_text(docs, id_col, text_col).select(
+            "doc_id",
+            (F.octet_length("text") + ROW_OVERHEAD).cast("long").alias("size"),
+            F.crc32("text").alias("text_crc32"),
+            F.unhex(F.md5("text")).alias("group_key"),
+        )
     )
-    groups = (
-        base.groupBy("group_key")
-        .agg(F.sum("size").alias("group_bytes"))
-        .withColumn("size_class", size_class(F.col("group_bytes")))
-    )
-    histogram = groups.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("group_bytes").alias("b"))
-    plan = plan_longest_first([(r["size_class"], r["n"], r["b"]) for r in histogram.collect()], n_shards)
-    placed = spark.createDataFrame(
-        plan,
-        T.StructType(
-            [
-                T.StructField("class_key", T.LongType()),
-                T.StructField("starts", T.ArrayType(T.LongType())),
-                T.StructField("shards", T.ArrayType(T.IntegerType())),
-            ]
-        ),
+    groups = materialise(base.groupBy("group_key").agg(F.sum("size").alias("group_bytes")))
+    histogram = groups.groupBy("group_bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    planned = plan_longest_first(histogram["group_bytes"].to_numpy(), histogram["n"].to_numpy(), n_shards)
+    placed = (
+        spark.createDataFrame(pa.table(list(planned), names=["class_size", "start", "shard"]))
+        .groupBy("class_size")  # at most one row for each shard
+        .agg(F.sort_array(F.collect_list(F.struct("start", "shard"))).alias("homes"))
     )
     ranked = rank_in_groups(
-        groups.select("group_key", "size_class"),
-        ["size_class"],
-        F.pmod(F.xxhash64("group_key"), F.lit(RANK_BUCKETS)),
-        [F.col("group_key")],
-        "group_rank",
-    )
-    at = F.size(F.filter("starts", lambda x: x <= F.col("group_rank")))
-    homes = ranked.join(placed, F.col("size_class") == F.col("class_key")).select(
-        F.col("group_key").alias("home_key"), F.element_at("shards", at).alias("shard")
+        groups, ["group_bytes"], F.pmod(F.xxhash64("group_key"), F.lit(RANK_BUCKETS)), [F.col("group_key")], "group_rank"
     )
-    sharded = base.join(homes, F.col("group_key") == F.col("home_key")).drop("home_key")
+    home = F.element_at(F.filter("homes", lambda x: x["start"] <= F.col("group_rank")), -1)["shard"]
+    homes = ranked.join(placed, F.col("group_bytes") == F.col("class_size")).select(F.col("group_key").alias("home_key"), home.alias("shard"))
+    sharded = materialise(base.join(homes, F.col("group_key") == F.col("home_key")).drop("home_key"))
     return rank_in_groups(
         sharded,
         ["shard"],
