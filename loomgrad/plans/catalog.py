@@ -403,7 +403,7 @@ def _dot(a: list[str], b: list[str]) -> str:
     return " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True))
 
 
-def linear_descent_sql(rows: str, d: int, lr: float, epochs: int, l2: float = 0.0) -> str:
+def linear_descent_sql(rows: str, d: int, lr: float, epochs: int, l2: float = 0.0, bias_too: bool = False) -> str:
     """CTEs (first one recursive) that end in ``descent(epoch, w0.., b, cost)`` from the sums of ``rows``."""
     z = [f"x{j}" for j in range(d)] + ["1"]
     w = [f"w{j}" for j in range(d)] + ["b"]
@@ -412,7 +412,7 @@ def linear_descent_sql(rows: str, d: int, lr: float, epochs: int, l2: float = 0.
     g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
     residual = [f"({_dot([g(i, j) for j in range(d + 1)], w)} - c{i})" for i in range(d + 1)]
     quadratic = " + ".join(f"{w[i]} * ({_dot([g(i, j) for j in range(d + 1)], w)})" for i in range(d + 1))
-    update = [f"{w[i]} - {lr} * ({residual[i]} / n{f' + {l2} / n * {w[i]}' if l2 and i < d else ''}) AS {w[i]}" for i in range(d + 1)]
+    update = [f"{w[i]} - {lr} * ({residual[i]} / n{f' + {l2} / n * {w[i]}' if l2 and (i < d or bias_too) else ''}) AS {w[i]}" for i in range(d + 1)]
     zeros = ", ".join(f"0.0::DOUBLE AS {x}" for x in w)
     return f"""sums AS MATERIALIZED (SELECT {', '.join(sums)} FROM ({rows})),
     descent AS (SELECT 0 AS epoch, {zeros} UNION ALL SELECT epoch + 1, {', '.join(update)} FROM descent, sums WHERE epoch < {epochs}),
@@ -713,6 +713,50 @@ def l6_cross_validated_logistic(spark, sf_dir):
     return _rounded(per_fold)
 
 
+# --- the caller's own parts -------------------------------------------------------------------
+
+
+@query(
+    f"WITH RECURSIVE {linear_descent_sql(ORDER_VALUE_SQL, 4, 0.05, 8, 3.0, True)} SELECT epoch::INT AS epoch, round(cost, 6) AS cost FROM traced WHERE epoch < 8"
+)
+def u1_u2_own_hypothesis_and_callback(spark, sf_dir):
+    """A hypothesis of the caller, so a job an epoch, with the L2 term on the bias too; rows are what the callback saw."""
+    seen: list[tuple[int, float]] = []
+    options = GradientDescentOptions(0.05, 8, l2=3.0, regularise_bias=True)
+    BatchGradientDescent(options).optimise(
+        order_value(spark, sf_dir), Parameters.zeros(4), lambda x, w, b: x @ w + b, lambda epoch, cost: seen.append((epoch, cost))
+    )
+    return _rounded(spark.createDataFrame(seen, "epoch int, cost double"))
+
+
+@query(SQL["l6_cross_validated_logistic"])
+def u3_model_factory(spark, sf_dir):
+    """A fresh model of the caller's for every fold."""
+    optimiser = BatchGradientDescent(GradientDescentOptions(0.5, 3))
+    per_fold, _ = crossval.cross_validate_distributed(event_flag(spark, sf_dir), {"logistic": lambda: LogisticBinaryClassifier(optimiser)})
+    return _rounded(per_fold)
+
+
+def _own_parts_sql() -> str:
+    z = ", ".join(f"(h.x{j} - s.m{j}) / (s.d{j} - s.m{j}) AS x{j}" for j in range(4))
+    stats = ", ".join(f"min(x{j}) AS m{j}, max(x{j}) AS d{j}" for j in range(4))
+    return f"""WITH RECURSIVE halves AS MATERIALIZED (SELECT *, {SPLIT_SQL} FROM ({ORDER_VALUE_SQL})),
+    stats AS MATERIALIZED (SELECT {stats} FROM halves WHERE split = 'train'),
+    scaled AS MATERIALIZED (SELECT id, target, split, {z} FROM halves h, stats s),
+    {linear_descent_sql("SELECT * FROM scaled WHERE split = 'train'", 4, 0.2, 40, 1.0)}
+    SELECT {REGRESSION_METRICS_SQL} FROM (SELECT target AS t, b + {_dot([f'x{j}' for j in range(4)], [f'w{j}' for j in range(4)])} AS p
+      FROM scaled, descent WHERE epoch = 40 AND split = 'test')"""
+
+
+@query(_own_parts_sql())
+def u4_swapped_parts(spark, sf_dir):
+    """A pipeline with another scaler and another optimiser."""
+    split = train_test_split(order_value(spark, sf_dir)).persist()
+    pipeline = RegressionPipeline(Scaler("min_max"), BatchGradientDescent(GradientDescentOptions(0.2, 40, l2=1.0)))
+    pipeline.fit(split.filter("split = 'train'"))
+    return _rounded(pipeline.evaluate(split.filter("split = 'test'")))
+
+
 @query(
     f"""WITH f AS ({FOLD_SQL}) SELECT a.n_train, a.n_test, b.target_mean FROM
     (SELECT count(*) FILTER (fold <> 2) AS n_train, count(*) FILTER (fold = 2) AS n_test FROM f) a, (SELECT round(avg(target), 6) AS target_mean FROM f WHERE fold <> 2) b"""
