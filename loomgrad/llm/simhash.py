@@ -21,6 +21,8 @@ HASH_SEED = 42
 MAX_DISTANCE = 4
 #: Rows of an anchor that one task compares with each other; larger anchors are cut into a grid.
 ANCHOR_ROWS = 4096
+#: Pairs that a task compares at once: what bounds its memory.
+PAIRS_AT_ONCE = 100_000
 #: Hot anchors up to this many are broadcast: 16 bytes each.
 HOT_BROADCAST = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -235,7 +237,7 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
         if small.any():  # many small cells at once: each home row against each row of its cell
             cell_of = np.repeat(np.arange(len(begins)), size)
             lines = np.flatnonzero(home & small[cell_of])
-            for part in np.array_split(lines, max(1, int((size[cell_of[lines]].sum()) // 1_000_000) + 1)):
+            for part in np.array_split(lines, max(1, int((size[cell_of[lines]].sum()) // PAIRS_AT_ONCE) + 1)):
                 reps = size[cell_of[part]]
                 left = np.repeat(part, reps)
                 ahead = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
@@ -302,16 +304,20 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
     return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
 
 
-def _dealt(nodes: DataFrame, entries_of: Entries, names: list[str]) -> DataFrame:
+def _dealt(nodes: DataFrame, entries_of: Entries, names: list[str], counted: int = 1) -> DataFrame:
     """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`_compare`.
 
-    ``part`` is 2 * (line * 2**31 + column) of the anchor's grid, plus 1 for a home row.
+    ``part`` is 2 * (line * 2**31 + column) of the anchor's grid, plus 1 for a home row. Hot anchors are
+    found on one of ``counted`` nodes, by the hash of the first column: what a count gets wrong changes
+    the size of cells, never which rows meet.
     """
     schema = "anchor long, part long, " + ", ".join(f"{c} long" for c in names)
-    entries = nodes.mapInArrow(_to_anchors(entries_of, nodes.columns, names), schema)
+    emit = _to_anchors(entries_of, nodes.columns, names)
+    entries = nodes.mapInArrow(emit, schema)
+    some = entries if counted == 1 else nodes.filter(F.pmod(F.xxhash64(nodes.columns[0]), F.lit(counted)) == 0).mapInArrow(emit, schema)
     hot = cut_lineage(
-        entries.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("n_home"))
+        some.groupBy("anchor")
+        .agg((F.count(F.lit(1)) * counted).alias("n"), (F.sum("part") * counted).alias("n_home"))
         .filter(F.col("n") > ANCHOR_ROWS)
         .select(
             F.col("anchor").alias("hot_anchor"),
@@ -386,6 +392,11 @@ SIMILAR_DISTANCE = 32
 BLOCK_BITS = 20
 WEAK_BITS = 3
 _PER_PRINT = 64 // BLOCK_BITS
+#: Nodes whose entries one task makes (some 5 kB a node), up to a number of tasks.
+ENTRY_NODES = 20_000
+ENTRY_TASKS = 100_000
+#: One of so many nodes is counted to find hot anchors.
+COUNTED_NODES = 16
 _LOWER_TABLE = np.frombuffer(_LOWER, dtype=np.uint8)
 
 
@@ -526,14 +537,15 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "d
     """
     base = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     longs = ", ".join(f"{c} long" for c in ("doc_id", "node", *_PRINTS, *_WEAK))
-    printed = cut_lineage(base.mapInArrow(_set_prints(shingle_words), longs))
-    nodes = cut_lineage(printed.groupBy("node", *_PRINTS, *_WEAK).agg(F.min("doc_id").alias("first_id")))
+    printed = materialise(base.mapInArrow(_set_prints(shingle_words), longs))
+    tasks = min(ENTRY_TASKS, -(-printed.count() // ENTRY_NODES)) or 1
+    nodes = materialise(printed.groupBy("node", *_PRINTS, *_WEAK).agg(F.min("doc_id").alias("first_id")).repartition(tasks, "node"))
     carried = [*_PRINTS[:COMPARED_PRINTS], "node"]
     schema = "u long, v long, dense boolean, apart int"
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    dealt = _dealt(nodes.select(*_PRINTS, *_WEAK, "node"), weak_entries, carried)
+    dealt = _dealt(nodes.select(*_PRINTS, *_WEAK, "node"), weak_entries, carried, COUNTED_NODES)
     found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), schema)
-    links = cut_lineage(found.select(*ordered, "dense", "apart").groupBy("u", "v").agg(F.max("dense").alias("dense"), F.min("apart").alias("apart")))
+    links = materialise(found.select(*ordered, "dense", "apart").groupBy("u", "v").agg(F.max("dense").alias("dense"), F.min("apart").alias("apart")))
     sets = _sets_of(_both_ways(links).select(F.col("u").alias("node")).distinct(), nodes, base, shingle_words)
     roots = connected_components(_verified(_nearest(links), sets))
     joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -543,9 +555,9 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "d
         joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     crowd = _both_ways(links.filter("dense")).select(F.col("u").alias("node")).distinct()
     labelled = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left")
-    again = cut_lineage(labelled.select(*_PRINTS, *_WEAK, "node", F.coalesce("root", "node").alias("label")))
+    again = materialise(labelled.select(*_PRINTS, *_WEAK, "node", F.coalesce("root", "node").alias("label")))
     if again.select("label").distinct().limit(2).count() > 1:
-        dealt = _dealt(again, weak_entries, [*carried, "label"])
+        dealt = _dealt(again, weak_entries, [*carried, "label"], COUNTED_NODES)
         found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), schema)
         more = cut_lineage(found.select(*ordered).distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"))
         if more.limit(1).count():
