@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrad.llm.common import broadcast_if_small, id_and_text, read_table
+from loomgrad.llm.common import id_and_text, read_table
 from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_argmin, word_hash_pairs, word_spans
 from loomgrad.session import materialise
 
@@ -37,13 +37,13 @@ def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     The prefix of a window is the one with the least hash among those that start in it and fit into
     it (the leftmost of equal ones). It depends on the window's words alone, so equal windows have
     equal prefixes at equal distances, and neighbouring windows mostly share one: a run. Returns
-    (prefix, path, other path, text, first window, windows) arrays, one entry a run; the paths are two
-    independent hashes of the whole run.
+    (prefix, path, text, first window, windows) arrays, one entry a run; path is a hash of the whole run,
+    independent of that of the prefix.
     """
     starts, ends, doc = word_spans(raw, bounds)
     words, other = word_hash_pairs(raw, starts, ends)
     none = np.empty(0, dtype=np.int64)
-    empty = (*(none.view(np.uint64) for _ in range(3)), none, none, none)
+    empty = (none.view(np.uint64), none.view(np.uint64), none, none, none)
     if len(words) < window:
         return empty
     inside = doc[: len(words) - window + 1] == doc[window - 1 :]
@@ -56,12 +56,10 @@ def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     n = np.diff(np.concatenate([begins, [len(at)]]))
     # The path of a run: its windows' hashes, each mixed with its place, summed.
     place = (np.arange(len(at)) - np.repeat(begins, n)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    paths = (
-        mix(np.add.reduceat(mix(mix(run_hashes(w, window))[at] + place), begins) + n.astype(np.uint64)) for w in (words, other)
-    )
+    path = mix(np.add.reduceat(mix(mix(run_hashes(other, window))[at] + place), begins) + n.astype(np.uint64))
     owner = doc[at[begins]]
     text_start = np.searchsorted(doc, owner, side="left")
-    return prefixes[anchor[begins]], *paths, owner, at[begins] - text_start, n
+    return prefixes[anchor[begins]], path, owner, at[begins] - text_start, n
 
 
 def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -82,7 +80,7 @@ def _emit_runs(window: int, prefix: int):
                         pa.array(_place(th[doc + row], start)),
                         pa.array(n.astype(np.int32)),
                     ],
-                    names=["prefix", "path", "path2", "did", "place", "n"],
+                    names=["prefix", "path", "did", "place", "n"],
                 )
 
     return emit
@@ -269,8 +267,9 @@ def remove_repeated_windows(
     A window is ``window_words`` consecutive words ``[^\\x20\\x09-\\x0D]+``. Every word goes that lies
     in a window whose words also start earlier: at a smaller id, or earlier in the same text.
 
-    How: runs below prefixes with one leaf stop there. Of runs with the same path (128 bits of hash
-    over all their words) all but the first repeat it. The first runs of prefixes that have several
+    How: runs below prefixes with one leaf stop there. Of runs with the same prefix and path (two
+    independent 64-bit hashes; 1e13 runs, at most SUBTREE_RUNS different ones a prefix, expect 0.001 false
+    matches) all but the first repeat it. The first runs of prefixes that have several
     paths form subtrees of at most SUBTREE_RUNS runs, built in tasks on the words: the nodes at the
     window depth that have several leaves are the repeats, which join to maximal spans. A prefix with
     more paths is lengthened to the window. Counts and minima are partially aggregated and rows return to
@@ -289,18 +288,18 @@ def remove_repeated_windows(
         "text",
     )
     runs = texts.mapInArrow(
-        _emit_runs(window_words, prefix_words), "prefix long, path long, path2 long, did long, place long, n int"
+        _emit_runs(window_words, prefix_words), "prefix long, path long, did long, place long, n int"
     )
     shared = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("prefix")
-    repeated = materialise(runs.join(broadcast_if_small(materialise(shared)), "prefix"))
+    repeated = materialise(runs.join(materialise(shared), "prefix"))  # both sides are plain shuffles, so skew is split
 
     firsts = materialise(
-        repeated.groupBy("prefix", "path", "path2").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
+        repeated.groupBy("prefix", "path").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
     )
     many = materialise(
         firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded"))
     )
-    contested = materialise(firsts.join(broadcast_if_small(many), "prefix"))
+    contested = materialise(firsts.join(many, "prefix"))
 
     th = F.shiftright("place", 32).cast("int").alias("th")
     start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
