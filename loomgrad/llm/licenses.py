@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,6 @@ from loomgrad.llm.wordhash import NOT_ALPHANUMERIC, mix, pieces, run_hashes, wor
 
 #: Least Dice coefficient of a match.
 LEAST_DICE = 0.8
-#: Where sentences and lines end.
-_UNIT = re.compile(r"(?<=[.!?])\s+|\n+")
 
 # Notices and short texts of public licences.
 NOTICES = {
@@ -39,7 +37,18 @@ NOTICES = {
         "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
         "DEALINGS IN THE SOFTWARE.",
     ],
+    "MIT-0": [
+        "SPDX-License-Identifier: MIT-0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
     "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+        "REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -48,7 +57,43 @@ NOTICES = {
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License v2.0.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details. You should have received a copy of the GNU General Public License along with this "
+        "program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA.",
+    ],
+    "LGPL-2.1": [
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Lesser General Public License for more details.",
+    ],
+    "LGPL-3.0": [
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    ],
+    "AGPL-3.0": [
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero "
+        "General Public License for more details.",
+    ],
     "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License v3.0.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -67,14 +112,78 @@ NOTICES = {
         "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
         "PERFORMANCE OF THIS SOFTWARE.",
     ],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written permission. THIS "
+        "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING "
+        "IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "0BSD": [
+        "SPDX-License-Identifier: 0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "Zlib": [
+        "SPDX-License-Identifier: Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+        "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not "
+        "be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any "
+        "person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+        "(the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare "
+        "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+        "subject to the following:",
+    ],
+    "EPL-2.0": [
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
     "MPL-2.0": [
+        "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -98,7 +207,7 @@ class Template:
     licence: str
     number: int
     n_words: int
-    bigrams: Counter = field(repr=False)
+    bigrams: Counter
 
     @property
     def size(self) -> int:
@@ -128,59 +237,99 @@ def size_bounds(size: int, least: float) -> tuple[int, int]:
     return int(np.ceil(size * least / (2 - least) - 1e-9)), int(np.floor(size * (2 - least) / least + 1e-9))
 
 
-def units_of(text: str) -> list[list[bytes]]:
-    """The words of the sentences and lines of a text, without empty ones."""
-    return [words for part in _UNIT.split(text) if (words := normalised(part))]
+class Matcher:
+    """Compares every window of words of a text with all templates."""
+
+    def __init__(self, templates: list[Template], least: float) -> None:
+        self.templates, self.least = templates, least
+        self.known = np.unique(np.array([g for t in templates for g in t.bigrams], dtype=np.uint64))
+        self.times = np.zeros((len(templates), len(self.known)), dtype=np.int64)  # of a bigram in a template
+        for row, t in enumerate(templates):
+            self.times[row, np.searchsorted(self.known, np.array(list(t.bigrams), dtype=np.uint64))] = list(t.bigrams.values())
+        self.within = (self.times > 0).T.astype(np.float32)
+        # Shared bigrams of the smallest window that can match.
+        self.need = np.array([int(np.ceil(least * (size_bounds(t.size, least)[0] + t.size) / 2 - 1e-9)) for t in templates])
+
+    def hits(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number) of the bigrams that some template has."""
+        number = np.minimum(np.searchsorted(self.known, bigrams), len(self.known) - 1)
+        at = np.flatnonzero(self.known[number] == bigrams)
+        return at, number[at]
+
+    def best(self, at: np.ndarray, number: np.ndarray) -> dict[str, tuple[float, int, int, int]]:
+        """Licence -> (coefficient, template, first word, end word) of its best window, from the hits of a text.
+
+        A best window begins and ends with a shared bigram. Ties: the earliest, then the shortest window,
+        then the first template. A licence whose best window overlaps that of a better match is left out.
+        """
+        if len(at) < self.need.min():
+            return {}
+        best: dict[str, tuple] = {}
+        for row in np.flatnonzero(self.within[number].sum(axis=0) >= self.need).tolist():
+            template = self.templates[row]
+            mine = self.times[row, number] > 0
+            for key in self._windows(at[mine], number[mine], row):
+                if template.licence not in best or key < best[template.licence]:
+                    best[template.licence] = key
+        # Licences that share their words find the same notice: it belongs to the one that it is most like.
+        out: dict[str, tuple] = {}
+        for licence, (score, start, size, template) in sorted(best.items(), key=lambda item: item[1]):
+            end = start + size + 1
+            if all(end <= other[2] or start >= other[3] for other in out.values()):
+                out[licence] = (-score, template, start, end)
+        return out
+
+    def _windows(self, at: np.ndarray, number: np.ndarray, row: int) -> Iterator[tuple[float, int, int, int]]:
+        template = self.templates[row]
+        low, high = size_bounds(template.size, self.least)
+        index = np.arange(len(at))
+        last = np.searchsorted(at, at + high, side="left") - 1  # of the windows within the size bound
+        starts = np.flatnonzero(last - index + 1 >= self.need[row])
+        if not len(starts):
+            return
+        # A hit counts in a window if fewer than the template's times of its bigram come before it there:
+        # ``before`` is the hit that has to lie outside.
+        order = np.lexsort((index, number))
+        group = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+        first = np.repeat(group, np.diff(np.concatenate([group, [len(at)]])))
+        back = index - self.times[row, number[order]]
+        before = np.empty(len(at), dtype=np.int64)
+        before[order] = np.where(back >= first, order[np.maximum(back, 0)], -1)
+        for i in starts.tolist():
+            j = int(last[i]) + 1
+            size = at[i:j] - at[i] + 1
+            score = 2 * np.cumsum(before[i:j] < i) / (size + template.size)
+            score[size < low] = 0.0
+            k = int(np.argmax(score))
+            if score[k] >= self.least - 1e-9:
+                yield -float(score[k]), int(at[i]), int(size[k]), template.number
 
 
 def best_matches(text: str, templates: list[Template], least: float) -> dict[str, tuple[float, int, int, int]]:
-    """Licence -> (coefficient, template, first word, end word) of its best run of sentences or lines.
-
-    Runs of consecutive units are compared whose size lies within the template's bounds. A best run
-    begins and ends in a unit that shares a bigram with the template, so only those are tried. Ties:
-    the earliest, then the shortest run, then the first template.
-    """
-    units = units_of(text)
-    first = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(int)
-    if first[-1] < 2:
-        return {}
-    bigrams = mix(run_hashes(_hashes([w for u in units for w in u]), 2)).tolist()
-    best: dict[str, tuple] = {}
-    for template in templates:
-        low, high = size_bounds(template.size, least)
-        hits = [i for i, g in enumerate(bigrams) if g in template.bigrams]
-        touched = sorted({int(u) for i in hits for u in np.searchsorted(first, [i, i + 1], side="right") - 1})
-        for at, i in enumerate(touched):
-            for j in touched[at:]:
-                size = int(first[j + 1] - first[i]) - 1
-                if size > high:
-                    break
-                if size < low:
-                    continue
-                score = dice(Counter(bigrams[first[i] : first[j + 1] - 1]), template.bigrams)
-                key = (-score, int(first[i]), size, template.number)
-                if score >= least - 1e-9 and (template.licence not in best or key < best[template.licence]):
-                    best[template.licence] = key
-    return {licence: (-k[0], k[3], k[1], k[1] + k[2] + 1) for licence, k in best.items()}
+    """:meth:`Matcher.best` of one text."""
+    matcher, words = Matcher(templates, least), _hashes(normalised(text))
+    return matcher.best(*matcher.hits(mix(run_hashes(words, 2)))) if len(words) > 1 else {}
 
 
 def _scan(notices: dict[str, list[str]], least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = load_templates(notices)
-        known = np.unique(np.array([g for t in templates for g in t.bigrams], dtype=np.uint64))
-        # Shared bigrams of the smallest run that can match some template.
-        need = min(int(np.ceil(least * (size_bounds(t.size, least)[0] + t.size) / 2 - 1e-9)) for t in templates)
+        matcher = Matcher(load_templates(notices), least)
         for batch in batches:
-            ids, texts, out = batch.column(0).to_pylist(), batch.column(1), []
-            for row, end, raw, bounds in pieces(pc.utf8_lower(texts)):
+            ids, out = batch.column(0).to_pylist(), []
+            for row, end, raw, bounds in pieces(pc.utf8_lower(batch.column(1))):
                 starts, ends, doc = word_spans(raw, bounds, NOT_ALPHANUMERIC)
                 if len(doc) < 2:
                     continue
-                bigrams = mix(run_hashes(word_hashes(raw, starts, ends, NOT_ALPHANUMERIC), 2))
-                hit = np.isin(bigrams, known) & (doc[:-1] == doc[1:])
-                for d in np.flatnonzero(np.bincount(doc[:-1][hit], minlength=end - row) >= need).tolist():
-                    for licence, found in best_matches(texts[row + d].as_py(), templates, least).items():
-                        out.append((ids[row + d], licence, *found))
+                at, number = matcher.hits(mix(run_hashes(word_hashes(raw, starts, ends, NOT_ALPHANUMERIC), 2)))
+                inside = doc[at] == doc[at + 1]
+                at, number = at[inside], number[inside]
+                text_start = np.searchsorted(doc, np.arange(end - row))
+                edges = np.searchsorted(doc[at], np.arange(end - row + 1)).tolist()
+                for d in range(end - row):
+                    a, b = edges[d], edges[d + 1]
+                    if b > a:
+                        for licence, found in matcher.best(at[a:b] - text_start[d], number[a:b]).items():
+                            out.append((ids[row + d], licence, *found))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -200,10 +349,10 @@ def scan_licences(
 ) -> DataFrame:
     """doc_id, licence, dice, template, start_word, end_word: the best match of each licence in each row.
 
-    Words are lower-cased runs of letters and digits of the whole text. Runs of sentences or lines are
-    compared with the templates of ``notices`` (licence -> texts; the driver's argument, shipped with
-    the tasks) as bags of word bigrams. A row of ``docs`` without enough known bigrams is passed over
-    after one vectorised test; nothing is shuffled.
+    Words are lower-cased runs of letters and digits of the whole text. All windows of words within the
+    size bounds are compared with the templates of ``notices`` (licence -> texts; the driver's argument,
+    shipped with the tasks) as bags of word bigrams; of overlapping matches the best stays. A row of ``docs`` without enough known bigrams is
+    passed over after one vectorised test; nothing is shuffled.
 
     Null or empty texts match nothing. Repeated rows are matched alike; null ids stay null. Templates
     under two words are left out; with none, nothing matches. Other columns are ignored. No rows in,
