@@ -18,10 +18,8 @@ UNDETERMINED = "und"
 PROFILE_GRAMS = 400
 DOCUMENT_GRAMS = 300
 MAX_N = 4
-#: Labelled documents per language that profiles are counted from: those with the least id hash.
+#: Labelled documents per language, about, that profiles are counted from: those with the least hash of their id.
 TRAINING_DOCUMENTS = 1000
-#: Languages that are learned: the most frequent labels.
-MAX_LANGUAGES = 500
 #: A text is of a language if it scores this share of what all but 1 in 100 of its labelled texts score.
 #: Random letters score about half of that, letters of another script nothing.
 LEAST_SHARE = 0.58
@@ -64,11 +62,12 @@ def learn_profiles(
 ) -> dict[str, list[str]]:
     """Language -> its PROFILE_GRAMS most frequent n-grams, most frequent first (ties by n-gram).
 
-    Learns from the TRAINING_DOCUMENTS documents of each label with the least ``key`` (default: a hash
-    of the text; ties stay together), for the MAX_LANGUAGES most frequent labels. Rows with a null
-    label or text are left out. The sample is found on (label, key) rows, texts are not shuffled for
-    it. Counting is distributed; the driver gets the profiles only, at most MAX_LANGUAGES *
-    PROFILE_GRAMS rows.
+    Learns from about TRAINING_DOCUMENTS documents of each label: those whose ``key``, a 64-bit hash
+    (default: of the text; copies stay together), lies under that share of the label's rows. A label with
+    fewer gives all. Rows with a null label or text are left out. No labels, no profiles.
+
+    One aggregate counts the labels, and the rows of the sample pass a filter: nothing but n-gram counts is
+    shuffled. The driver gets the profiles only, PROFILE_GRAMS rows a language.
     """
     sample = _labelled_sample(labelled, key, lang_col, text_col)
     counts = sample.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -87,11 +86,10 @@ def _labelled_sample(labelled: DataFrame, key: Column | None, lang_col: str, tex
         F.col(text_col).cast("string").alias("text"),
         (F.xxhash64(F.col(text_col)) if key is None else key).alias("key"),
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    least = rows.select("lang", "key").withColumn("rank", rank).filter(F.col("rank") <= TRAINING_DOCUMENTS)
-    cut = least.groupBy("lang").agg(F.max("key").alias("last_key")).join(known, "lang")
-    return rows.join(F.broadcast(cut), "lang").filter("key <= last_key").select("lang", "text")
+    # The hash is uniform, so a bound on it is a share of the rows; no row is ranked against others.
+    counts = rows.groupBy("lang").count().select("lang", (F.lit(float(TRAINING_DOCUMENTS)) / F.col("count")).alias("share"))
+    place = (F.col("key").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return rows.join(F.broadcast(counts), "lang").filter(place < F.col("share")).select("lang", "text")  # one row a language
 
 
 # --- prediction -------------------------------------------------------------------------------
@@ -99,8 +97,6 @@ def _labelled_sample(labelled: DataFrame, key: Column | None, lang_col: str, tex
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-#: N-grams of a document are counted in so many hash buckets; two that share one count together.
-BUCKETS = 1 << 16
 _EDGE = ord("_")
 
 
@@ -112,13 +108,40 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
 
 
-def _bucket(grams: list[np.ndarray]) -> np.ndarray:
-    """Bucket of n-grams given as their n columns of code points."""
-    h = np.full(len(grams[0]), len(grams), dtype=np.uint64)
-    for column in grams:
-        h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(13)) & np.uint64(BUCKETS - 1)
+class _Packing:
+    """N-grams of up to four characters as exact 64-bit numbers, 16 bits a character.
+
+    The profiles' characters come first, so known n-grams have the same number in every text. Other
+    characters of a text get numbers of its own, above those, in the order of their code points: two
+    n-grams of a text never share a number. (A text with over 65,535 different letters is cut to its
+    own numbers modulo what is left; no script has so many lower-case letters in the basic plane.)
+    """
+
+    def __init__(self, known: list[str]) -> None:
+        self._number = np.zeros(0x110000, dtype=np.uint64)
+        self._known = sorted({c for gram in known for c in gram} | {"_"})
+        for i, c in enumerate(self._known):
+            self._number[ord(c)] = i + 1
+
+    def numbers(self, points: np.ndarray) -> np.ndarray:
+        found = self._number[points]
+        if not found.all():
+            new = found == 0
+            own, place = np.unique(points[new], return_inverse=True)
+            room = 0xFFFF - len(self._known)
+            found[new] = (place % room + len(self._known) + 1).astype(np.uint64)
+        return found
+
+    def gram(self, gram: str) -> int:
+        return int(_pack([self._number[np.array([ord(c)])] for c in gram])[0])
+
+
+def _pack(columns: list[np.ndarray]) -> np.ndarray:
+    """One number per n-gram, given as its columns of character numbers; no number is 0, so lengths differ too."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = (out << np.uint64(16)) | c
+    return out
 
 
 class RankOrder:
@@ -127,42 +150,48 @@ class RankOrder:
     def __init__(self, profiles: dict[str, list[str]]) -> None:
         self.languages = sorted(profiles)
         self._letter = _letter_table()
-        self._place = np.full((BUCKETS, max(1, len(self.languages))), PROFILE_GRAMS, dtype=np.int64)
+        known = sorted({g for profile in profiles.values() for g in profile})
+        self._packing = _Packing(known)
+        packed = np.array([self._packing.gram(g) for g in known], dtype=np.uint64)
+        row = np.argsort(packed)
+        self._known = packed[row]
+        # The last row is that of every n-gram that no profile has.
+        self._place = np.full((len(known) + 1, max(1, len(self.languages))), PROFILE_GRAMS, dtype=np.int64)
+        at = {known[i]: k for k, i in enumerate(row.tolist())}
         for column, lang in enumerate(self.languages):
-            for rank, gram in reversed(list(enumerate(profiles[lang]))):
-                self._place[int(_bucket([_code_points(c).astype(np.uint64) for c in gram])[0]), column] = rank
+            for rank, gram in enumerate(profiles[lang]):
+                self._place[at[gram], column] = rank
         self._best = self._place.min(axis=1)
 
-    def buckets(self, text: str) -> np.ndarray:
-        """The buckets of all n-grams of the text's words, as often as they occur."""
+    def grams(self, text: str) -> np.ndarray:
+        """The packed n-grams of the text's words, as often as they occur."""
         points = _code_points(text.lower())
         letter = self._letter[points]
         # Runs of other characters become one edge; there is an edge at either end.
         before = np.concatenate([[False], letter[:-1]])
         line = np.where(letter, points, _EDGE)[letter | before]
-        line = np.concatenate([[_EDGE], line, [_EDGE]]).astype(np.uint64)
-        edge = line == _EDGE
-        found = [_bucket([line[1:-1][~edge[1:-1]]])]
+        line = np.concatenate([[_EDGE], line, [_EDGE]])
+        edge, line = line == _EDGE, self._packing.numbers(line)
+        found = [line[~edge]]
         for n in range(2, MAX_N + 1):
-            columns = [line[i : len(line) - n + 1 + i] for i in range(n)]
             within = np.ones(max(0, len(line) - n + 1), dtype=bool)
             for i in range(1, n - 1):
                 within &= ~edge[i : len(line) - n + 1 + i]
             if n == 2:
                 within &= ~(edge[:-1] & edge[1:])
-            found.append(_bucket([c[within] for c in columns]))
-        return np.concatenate(found).astype(np.int64)
+            found.append(_pack([line[i : len(line) - n + 1 + i][within] for i in range(n)]))
+        return np.concatenate(found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not self._letter[_code_points(text)].any():
+        if not text or not len(self._known) or not self._letter[_code_points(text)].any():
             return UNDETERMINED, 0.0
-        totals = np.bincount(self.buckets(text), minlength=BUCKETS)
-        ids = np.flatnonzero(totals)
-        # Most frequent first; ties go to the one that a profile ranks higher, then by bucket.
-        keys = ((totals.max() - totals[ids]) * (PROFILE_GRAMS + 1) + self._best[ids]) * BUCKETS + ids
-        if len(keys) > DOCUMENT_GRAMS:
-            keys = np.partition(keys, DOCUMENT_GRAMS - 1)[:DOCUMENT_GRAMS]
-        there = self._place[np.sort(keys) % BUCKETS]
+        ids, totals = np.unique(self.grams(text), return_counts=True)
+        row = np.searchsorted(self._known, ids)
+        row[row == len(self._known)] = 0
+        row[self._known[row] != ids] = len(self._known)
+        # Most frequent first; ties go to the one that a profile ranks higher, then by number.
+        order = np.lexsort((ids, self._best[row], -totals))[:DOCUMENT_GRAMS]
+        there = self._place[row[order]]
         here = np.arange(len(there))[:, None]
         apart = np.where(there < PROFILE_GRAMS, np.abs(there - here), PROFILE_GRAMS).sum(axis=0)
         at = int(np.argmin(apart))
@@ -178,7 +207,8 @@ def predict_column(text: Column, profiles: dict[str, list[str]]) -> Column:
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return predict(text)
+    # Declared so that a plan that filters by the result and shows it too evaluates it once.
+    return predict.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", out: str = "language") -> DataFrame:
@@ -215,10 +245,14 @@ def least_scores(
     return {r["lang"]: LEAST_SHARE * r["low"] for r in scores}
 
 
-def reject_undetermined(docs: DataFrame, profiles: dict[str, list[str]], least_score: float | dict[str, float] = 0.0) -> DataFrame:
+def keep_identified(
+    docs: DataFrame, profiles: dict[str, list[str]], least_score: float | dict[str, float] = 0.0, lang_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` whose language can be told with at least that score; columns stay as they are.
 
-    ``least_score``: one for all, or one per language (a language without one: 0).
+    ``least_score``: one for all, or one per language (a language without one: 0). With ``lang_col`` that
+    column becomes the prediction. Null texts, and texts without a letter, are never identified and go.
+    Repeated rows and rows without an id are judged alike. No rows in, no rows out.
     """
     out = fresh_name(docs, "_language")
     pred, score = F.col(f"{out}.lang_pred"), F.col(f"{out}.score")
@@ -227,4 +261,10 @@ def reject_undetermined(docs: DataFrame, profiles: dict[str, list[str]], least_s
         least = F.lit(0.0) if per_language is None else F.coalesce(per_language[pred], F.lit(0.0))
     else:
         least = F.lit(float(least_score))
-    return identify(docs, profiles, out=out).filter((pred != UNDETERMINED) & (score >= least)).drop(out)
+    kept = identify(docs, profiles, out=out).filter((pred != UNDETERMINED) & (score >= least))
+    return (kept if lang_col is None else kept.withColumn(lang_col, pred)).drop(out)
+
+
+def reject_undetermined(docs: DataFrame, profiles: dict[str, list[str]], least_score: float | dict[str, float] = 0.0) -> DataFrame:
+    """:func:`keep_identified` with the labels of ``docs`` left alone."""
+    return keep_identified(docs, profiles, least_score)

@@ -3,11 +3,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.helpers import documents, edge_documents, empty_documents
@@ -16,15 +18,21 @@ from loomgrad.llm import language_id, secrets
 # --- op3 --------------------------------------------------------------------------------------
 
 
-def plain_prediction(text: str, profiles: dict[str, list[str]]) -> str:
+def plain_prediction(text: str, profiles: dict) -> str:
     grams: Counter = Counter()
     for word, n in language_id.letter_words(text).items():
         for g in language_id.grams_of_word(word):
             grams[g] += n
-    best = {g: min(p.index(g) if g in p else 400 for p in profiles.values()) for g in grams}
-    top = sorted(grams, key=lambda g: (-grams[g], best[g], g))[: language_id.DOCUMENT_GRAMS]
+    profiles = {lang: {g: i for i, g in enumerate(p)} for lang, p in profiles.items()}
+    if not grams:
+        return "und"
+    best = {g: min(p.get(g, 400) for p in profiles.values()) for g in grams}
+    number = {c: i for i, c in enumerate(sorted({c for p in profiles.values() for g in p for c in g} | {"_"}))}
+    # Ties of unknown n-grams cannot change a distance, and those of known ones go by number.
+    tie = lambda g: (len(g), [number.get(c, 1 << 17) for c in g])
+    top = sorted(grams, key=lambda g: (-grams[g], best[g], tie(g)))[: language_id.DOCUMENT_GRAMS]
     apart = {
-        lang: sum(abs(p.index(g) - i) if g in p else language_id.PROFILE_GRAMS for i, g in enumerate(top))
+        lang: sum(abs(p[g] - i) if g in p else language_id.PROFILE_GRAMS for i, g in enumerate(top))
         for lang, p in profiles.items()
     }
     return min(sorted(apart), key=apart.get)
@@ -57,6 +65,36 @@ def test_language_profiles_and_distances_equal_plain_python(spark, sf_dir):
     assert [model.predict(r["text"])[0] for r in rows] == [plain_prediction(r["text"], profiles) for r in rows]
 
 
+def test_language_query_equals_plain_python_on_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    profiles = language_id.learn_profiles(docs.filter(~language_id.held_out()), F.xxhash64("doc_id"))
+    texts = dict(documents(spark, sf_dir))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.op3_rank_order_language(spark, sf_dir).collect()}
+    places = {lang: {g: i for i, g in enumerate(p)} for lang, p in profiles.items()}
+    assert got == {d: plain_prediction(t, places) for d, t in texts.items()}
+
+
+def test_packed_grams_are_exact():
+    model = language_id.RankOrder({"en": ["_t", "th", "e"]})
+    rng = np.random.default_rng(4)
+    letters = [*"abcxyz", "é", "ß", "東", "京", "\U00010428", "\U00020000", *map(chr, range(0x4E00, 0x5E00))]
+    for size in (1, 30, 3000):
+        text = " ".join("".join(rng.choice(letters, size=int(rng.integers(1, 9)))) for _ in range(size))
+        counts: Counter = Counter()
+        for word, n in language_id.letter_words(text).items():
+            for g in language_id.grams_of_word(word):
+                counts[g] += n
+        packed = np.unique(model.grams(text), return_counts=True)[1]
+        assert sorted(packed.tolist()) == sorted(counts.values())
+
+
+def test_training_sample_is_about_the_stated_size(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAINING_DOCUMENTS", 300)
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, "de").otherwise("en").alias("lang"), F.lit("text").alias("text"))
+    sample = language_id._labelled_sample(rows, F.xxhash64("id"), "lang", "text").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == {"de": 200, "en": pytest.approx(300, rel=0.3)}
+
+
 def test_language_edges(spark, sf_dir):
     edge, profiles = edge_documents(spark), {"en": ["_t", "th", "e"], "fr": ["_l", "le", "é"]}
     got = {r["doc_id"]: r["language"] for r in language_id.identify(edge, profiles).collect()}
@@ -148,6 +186,63 @@ def test_entropy_adds_random_keys_and_leaves_plain_strings():
         assert secrets.scan(plain)[1] == []
 
 
+def plain_entropy(text: str) -> list[tuple[str, int, int]]:
+    """All windows of all candidates, one by one, and every base span against every added one."""
+    base, added = plain_base(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        c = m.group()
+        least = 3.0 if re.fullmatch("[0-9a-fA-F]+", c) else 3.8
+        plain = (
+            not any(x.isdigit() for x in c)
+            or re.search("(?i)example|placeholder|changeme|dummy|xxxx|your[-_]", c)
+            or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+", c)
+        )
+        marked = [False] * len(c)
+        for i in range(0 if not plain else len(c), len(c) - 19):
+            counts = Counter(c[i : i + 20]).values()
+            if -sum(k / 20 * math.log2(k / 20) for k in counts) >= least - 1e-9:
+                marked[i : i + 20] = [True] * 20
+        # Windows that touch merge; two that don't are two spans.
+        for span in re.finditer("1+", "".join("01"[x] for x in marked)):
+            a, b = m.start() + span.start(), m.start() + span.end()
+            if not any(s <= a and b <= e for _, s, e in base):
+                added.append(("entropy", a, b))
+    return added
+
+
+def test_secret_query_has_all_spans(spark, sf_dir):
+    texts = dict(documents(spark, sf_dir))
+    for r in secrets.op7_entropy_secrets(spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        added = plain_entropy(text)
+        spans = sorted([*plain_base(text), *added], key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in spans) and r["n_entropy"] == len(added)
+
+
+def test_entropy_of_generated_texts_equals_brute_force():
+    rng = np.random.default_rng(11)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEFabcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1-"]
+    found = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(int(rng.integers(1, 6))):
+            key = "".join(rng.choice(list(alphabets[rng.integers(0, 5)]), size=int(rng.integers(5, 90))))
+            parts.append(str(rng.choice(["", "token=", "password: ", "AKIA", "a" * 30, "example_"])) + key)
+        text = " ".join(parts)
+        added = plain_entropy(text)
+        assert secrets.scan(text) == (plain_base(text), added)
+        found += len(added)
+    assert found > 100
+
+
+@pytest.mark.parametrize("text", ["ab" + "-ab" * 300_000 + "9", "Ab/" * 300_000 + "9", "key = " + "secret=abcdef0 " * 60_000, "x" + "0a1b" * 5_000 + " " + "0f" * 30 * 2_000])
+def test_secret_scan_of_long_texts_ends(text):
+    began = time.time()
+    base, added = secrets.scan(text)
+    assert time.time() - began < 30
+    assert all(0 <= s < e <= len(text) for _, s, e in [*base, *added])
+
+
 def test_secret_edges(spark):
     rows = secrets.find_secrets(edge_documents(spark)).collect()
     assert len(rows) == 14 and all(r["spans"] == "" for r in rows)
