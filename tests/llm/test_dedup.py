@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm.helpers import documents, edge_documents, empty_documents
-from loomgrad.llm import components, exact_dedup, sharding, simhash, substring_dedup
+from loomgrad.llm import common, components, exact_dedup, sharding, simhash, substring_dedup
 from oracle import differences
 
 
@@ -57,16 +57,25 @@ def plain_longest_first(sizes: list[int], n: int) -> list[int]:
     return sorted(load for load, _ in heap)
 
 
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_exact_dedup_with_and_without_a_broadcast(spark, monkeypatch, rows):
+    monkeypatch.setattr(exact_dedup, "broadcast_if_small", lambda df: common.broadcast_if_small(df, rows))
+    docs = [(i, "same  text" if i % 3 else f"text {i // 2}", None) for i in range(50)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(spark.createDataFrame(docs, "doc_id long, text string, h string")).collect()}
+    assert got == {i: (1, 33, i == 1) if i % 3 else (i, 1, True) for i in range(50)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_has_the_loads_of_a_plain_heap(seed):
     rng = np.random.default_rng(seed)
     sizes = rng.integers(17, 60 if seed % 2 else 6000, size=3000).tolist() + ([200_000] if seed == 3 else [])
     classes = Counter(sizes)
-    plan = sharding.plan_longest_first([(k, c, k * c) for k, c in classes.items()], 40)
+    plan = sharding.plan_longest_first(np.array(list(classes)), np.array(list(classes.values())), 40)
+    rows = list(zip(*(x.tolist() for x in plan)))
     loads = [0] * 40
-    for key, starts, shards in plan:
-        for at, (a, s) in enumerate(zip(starts, shards)):
-            loads[s] += key * ((starts[at + 1] if at + 1 < len(starts) else classes[key]) - a)
+    for at, (key, start, s) in enumerate(rows):
+        end = rows[at + 1][1] if at + 1 < len(rows) and rows[at + 1][0] == key else classes[key]
+        loads[s] += key * (end - start)
     assert sorted(loads) == plain_longest_first(sizes, 40)
 
 
@@ -84,7 +93,7 @@ def test_sharding_query(spark, sf_dir):
         groups[texts[r["doc_id"]]] += r["size"]
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sorted(loads.values()) == pytest.approx(plain_longest_first(list(groups.values()), 40), rel=0.01)
+    assert sorted(loads.values()) == plain_longest_first(list(groups.values()), 40)
 
 
 def test_sharding_edges(spark):
@@ -245,6 +254,56 @@ def test_pairs_under_the_threshold_both_stay(spark):
     assert kept_of(spark, texts) == set(range(400))
 
 
+def test_weak_anchors_hold_the_own_value_and_all_flips():
+    rng = np.random.default_rng(3)
+    counts, n = rng.integers(0, 300, size=(20, simhash.SIMILAR_PRINTS, 64)), np.full(20, 300)
+    rows = np.concatenate([simhash.majority(counts, n), simhash.weak_bits(counts, n)], axis=1).view(np.int64)
+    anchors, homes, owner = simhash.weak_entries(rows)
+    for t in range(20):
+        want = set()
+        for p in range(simhash.SIMILAR_PRINTS):
+            for block in range(3):
+                bits = range(20 * block, 20 * block + 20)
+                weak = sorted(bits, key=lambda b: abs(2 * counts[t, p, b] - 300))[:3]
+                own = sum(1 << (b - 20 * block) for b in bits if 2 * counts[t, p, b] > 300)
+                for flips in range(8):
+                    value = own
+                    for k in range(3):
+                        value ^= (flips >> k & 1) << (weak[k] - 20 * block)
+                    want.add(value | (3 * p + block) << 32)
+        assert set(anchors[owner == t].tolist()) == want and homes.all()
+
+
+def test_the_table_loses_few_similar_pairs(spark, sf_dir):
+    """Recall of links among all pairs of the documents table, by their similarity."""
+    texts = documents(spark, sf_dir)
+    sets = [np.sort(simhash.shingle_set(t, 5)) for _, t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            holders[x].append(i)
+    shared: Counter = Counter()
+    for found in holders.values():
+        shared.update((a, b) for k, a in enumerate(found) for b in found[k + 1 :])
+    similar = [(a, b) for (a, b), n in shared.items() if n * 9 >= (len(sets[a]) + len(sets[b])) * 4]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    linked = sum(got[texts[a][0]] == got[texts[b][0]] for a, b in similar)
+    assert len(similar) > 50 and linked >= 0.99 * len(similar)
+    # No link joins what all similar pairs leave apart.
+    parent = list(range(len(texts)))
+    for a, b in similar:
+        parent[find(parent, a)] = find(parent, b)
+    by_set = {}
+    for i, s in enumerate(sets):
+        if s.tobytes() in by_set:
+            parent[find(parent, i)] = find(parent, by_set[s.tobytes()])
+        by_set[s.tobytes()] = i
+    roots = defaultdict(set)
+    for i, (d, _) in enumerate(texts):
+        roots[got[d]].add(find(parent, i))
+    assert all(len(r) == 1 for r in roots.values())
+
+
 @pytest.mark.parametrize("anchor_rows", [4096, 7])
 def test_template_families_fall_into_their_exact_components(spark, monkeypatch, anchor_rows):
     """Forests of dense cells, once verified, still connect what all similar pairs connect, and no more."""
@@ -300,8 +359,10 @@ def test_repeated_windows_query(spark, sf_dir):
     assert got == plain_removal(documents(spark, sf_dir), 20)
 
 
+@pytest.mark.parametrize("subtree_runs", [4096, 2, 0])
 @pytest.mark.parametrize("window,prefix", [(4, 2), (5, 5), (3, 1)])
-def test_repeated_windows_of_few_words(spark, window, prefix):
+def test_repeated_windows_of_few_words(spark, monkeypatch, window, prefix, subtree_runs):
+    monkeypatch.setattr(substring_dedup, "SUBTREE_RUNS", subtree_runs)  # few: prefixes are lengthened
     rng = np.random.default_rng(window)
     docs = [(int(i), " ".join(rng.choice(["a", "b", "c", "dd"], size=int(rng.integers(0, 40))))) for i in range(60)]
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
@@ -312,6 +373,29 @@ def test_repeated_windows_of_few_words(spark, window, prefix):
         assert sum(s["end"] - s["start"] for s in r["removed_spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 20])
+def test_suffix_nodes_are_equal_words(depth):
+    words = np.random.default_rng(depth).integers(0, 3, size=400)
+    words[100:200] = words[:100]
+    nodes = substring_dedup.suffix_nodes(words, depth)
+    paths = [tuple(words[i : i + depth].tolist()) for i in range(len(words) - depth + 1)]
+    assert len(nodes) == len(paths) and len(set(zip(nodes.tolist(), paths))) == len(set(paths)) == len(set(nodes.tolist()))
+
+
+def test_a_crowded_prefix_and_a_common_passage(spark, monkeypatch):
+    """A phrase in most documents, each time in other words, and a passage that most share."""
+    monkeypatch.setattr(substring_dedup, "SUBTREE_RUNS", 20)
+    monkeypatch.setattr(substring_dedup, "CHUNK_RUNS", 16)
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 300, size=n)]
+    phrase, passage = words(8), words(45)
+    docs = [(i, " ".join([*words(30), *phrase, *words(30), *(passage if i % 3 else []), *words(5)])) for i in range(150)]
+    docs.append((200, docs[3][1]))
+    rows = substring_dedup.remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows}
+    assert got == plain_removal(docs, 20)
+
+
 def test_repeated_windows_edges(spark):
     got = substring_dedup.remove_repeated_windows(edge_documents(spark)).collect()
     assert len(got) == 14
