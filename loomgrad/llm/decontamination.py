@@ -264,9 +264,9 @@ def contaminated(
 ) -> DataFrame:
     """One row per (document, item) whose passage passes retrieval and verification, with its best scores.
 
-    Items with a question and an answer column use them; a lone text is compared as a whole. Words are lower-cased runs of letters and digits, over whole texts. The
-    items are cut into indexes of INDEX_ENTRIES entries, so what is broadcast is bounded; statistics
-    are those of all items. Documents are neither shuffled nor collected.
+    Items with a question and an answer column use them; a lone text is compared as a whole. Words are
+    lower-cased runs of letters and digits, over whole texts. The items are cut into indexes of INDEX_ENTRIES entries, each broadcast for one pass over the documents, so what
+    is broadcast is bounded; statistics are those of all items. Documents are neither shuffled nor collected.
 
     Null or empty texts and items, and items under LEAST_WORDS words, match nothing. Repeated
     documents or items are matched alike; rows with a null id appear with a null id. Other columns
@@ -315,7 +315,8 @@ def contaminated(
         # A plain tuple: executors without a copy of this package can read it.
         shared = spark.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(Index)))
         item_type = to_arrow_type(item.schema["item_id"].dataType)
-        part = texts.mapInArrow(_find(shared, item_type), _FOUND.format(kind))
+        part = cut_lineage(texts.mapInArrow(_find(shared, item_type), _FOUND.format(kind)))  # the matches only
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
     # An item with several entries gives one row; bridges give figures only if nothing else matches.
     columns = ("score", "question_overlap", "answer_overlap")

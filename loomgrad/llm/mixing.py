@@ -191,9 +191,11 @@ def mixture(
 def sample_to_targets(
     docs: DataFrame, temperature: float = TEMPERATURE, id_col: str = "doc_id", kept_share: float = KEPT_SHARE
 ) -> DataFrame:
-    """The sampled rows of ``docs``; all columns stay. Rows without an id are sampled by their cell too.
+    """The sampled rows of ``docs``; all columns stay.
 
-    About ``kept_share`` of the tokens stay, whatever the rarest cell holds.
+    About ``kept_share`` of the tokens stay, whatever the rarest cell holds. Null margins are a value of
+    their own. Rows with one id, and rows without an id but with one text, are sampled together. Null and
+    empty texts hold no tokens and go. No rows in, no rows out.
     """
     names = {m: fresh_name(docs, f"_mix_{m}") for m in MARGINS}
     keyed = docs.withColumns(
@@ -207,7 +209,8 @@ def sample_to_targets(
     cells = cell_probabilities(rows, temperature=temperature, kept_share=kept_share)
     chance = fresh_name(docs, "_mix_probability")
     cells = cells.select(*(F.col(m).alias(names[m]) for m in MARGINS), F.col("probability").alias(chance))
-    return _join_cells(keyed, cells, list(names.values())).filter(uniform(F.col(id_col), SEED) < F.col(chance)).select(*docs.columns)
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return _join_cells(keyed, cells, list(names.values())).filter(uniform(own, SEED) < F.col(chance)).select(*docs.columns)
 
 
 def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,20 @@ def test_expected_tokens_meet_given_targets(spark, sf_dir, monkeypatch, one_part
             assert got[value] == pytest.approx(weight / sum(weights.values()), abs=1e-3)
 
 
+def test_raking_has_converged_on_the_table(spark, sf_dir):
+    """Expected tokens of the registered query meet the tempered shares of every margin."""
+    rows = mixing.op8_raked_mixture(spark, sf_dir).collect()
+    total = sum(r["tokens"] * r["probability"] for r in rows)
+    for margin in mixing.MARGINS:
+        held, got = Counter(), Counter()
+        for r in rows:
+            held[r[margin]] += r["tokens"]
+            got[r[margin]] += r["tokens"] * r["probability"] / total
+        tempered = {k: v**mixing.TEMPERATURE for k, v in held.items() if v}
+        for k, v in tempered.items():
+            assert got[k] == pytest.approx(v / sum(tempered.values()), abs=1e-3)
+
+
 def test_values_without_a_target_are_not_sampled(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mixing.mixture(docs, {"language": {"en": 1}}).collect()
