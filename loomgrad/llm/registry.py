@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import decontamination, exact_dedup, language_id, licenses, mixing, secrets, sharding, simhash, substring_dedup, token_counts
+from loomgrad.llm import decontamination, exact_dedup, language_id, licenses, mixing, secrets, sharding, simhash, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_raked_mixture": mixing.op8_raked_mixture,
         "op9_bm25_decontamination": decontamination.op9_bm25_decontamination,
         "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
+        "op11_bit_sliced_whitening": whitening.op11_bit_sliced_whitening,
     }
 
 
