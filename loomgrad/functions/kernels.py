@@ -147,6 +147,13 @@ def affine_pass(
     return np.vstack([w, b]), s
 
 
+def affine_compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the updates of ``first`` and then those of ``second`` do: see :func:`affine_pass`."""
+    z, s = first
+    reached = np.vstack([z, np.eye(1, z.shape[1], z.shape[1] - 1)])  # [weights, bias, 1] after the first
+    return second[0] @ reached, s + reached.T @ second[1] @ reached
+
+
 def _stream_plan(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first row of each stream, longest stream first; the order of streams; streams still going at each step)."""
     order = np.argsort(-lengths, kind="stable")
@@ -233,6 +240,85 @@ def network_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float) -> tup
     return layers, squares
 
 
+# --- models side by side on one order of rows ---------------------------------------------------
+#
+# Unlike averaged streams these are exact: each model follows its own sequential rule, and the calls that a
+# row costs are shared. ``x`` is (models, rows, features), each model's own view of the same rows (its
+# scaling); ``mine`` (models, rows) tells which rows a model learns from.
+
+
+def stacked_network_pass(x: np.ndarray, y: np.ndarray, mine: np.ndarray, layers: Layers, lr: float) -> np.ndarray:
+    """What :func:`network_pass` does, for networks of one topology, in place. Returns their squared residuals.
+
+    ``layers``: weights (models, inputs, outputs) and biases (models, outputs).
+    """
+    squares, lines = np.zeros(len(x)), [(w, b[:, None, :]) for w, b in layers]
+    rows, learns = np.ascontiguousarray(x.transpose(1, 0, 2))[:, :, None, :], mine.T[:, :, None, None].astype(float)
+    for row, target, known in zip(rows, y.tolist(), learns, strict=True):
+        outputs = [row]
+        for w, b in lines:
+            out = np.matmul(outputs[-1], w)
+            out += b
+            _sigmoid_in_place(out)
+            outputs.append(out)
+        delta = (outputs[-1] - target) * known
+        squares += delta[:, 0, 0] ** 2
+        for k in range(len(lines) - 1, -1, -1):
+            w, b = lines[k]
+            below = outputs[k]
+            if k:
+                passed = np.matmul(delta, w.transpose(0, 2, 1))
+                passed *= below
+                passed *= 1.0 - below
+            delta *= lr
+            w -= below.transpose(0, 2, 1) * delta
+            b -= delta
+            if k:
+                delta = passed
+    return squares
+
+
+#: Rows of a block whose residuals are solved for at once, and the change at which they have settled.
+LOGISTIC_BLOCK, SETTLED = 32, 1e-15
+_EARLIER = np.tril(np.ones((LOGISTIC_BLOCK, LOGISTIC_BLOCK)), -1)
+
+
+def stacked_logistic_pass(x: np.ndarray, y: np.ndarray, mine: np.ndarray, flats: np.ndarray, lr: float) -> np.ndarray:
+    """One update per row of logistic models, in place; ``flats``: (models, features + 1). Returns their squared residuals.
+
+    Within a block the residuals solve e = sigmoid(first - pull e) - y, where ``pull`` reaches earlier rows
+    only. So each time the equation is applied at least one more row is right for good, and after as many
+    times as there are rows all are; in practice they settle much sooner.
+    """
+    squares = np.zeros(len(x))
+    for at in range(0, x.shape[1], LOGISTIC_BLOCK):
+        part, known = x[:, at : at + LOGISTIC_BLOCK], mine[:, at : at + LOGISTIC_BLOCK]
+        n, target = part.shape[1], y[at : at + LOGISTIC_BLOCK]
+        pull = (np.matmul(part, part.transpose(0, 2, 1)) + 1.0) * (lr * _EARLIER[:n, :n])
+        first = np.matmul(part, flats[:, :-1, None])[:, :, 0] + flats[:, -1:]
+        e = np.zeros(first.shape)
+        for _ in range(n + 1):
+            z = first - np.matmul(pull, e[:, :, None])[:, :, 0]
+            _sigmoid_in_place(z)
+            z -= target
+            z *= known
+            change, e = float(np.abs(z - e).max()), z
+            if change <= SETTLED:
+                break
+        squares += (e * e).sum(axis=1)
+        flats[:, :-1] -= lr * np.matmul(e[:, None, :], part)[:, 0]
+        flats[:, -1] -= lr * e.sum(axis=1)
+    return squares
+
+
+def stack(models: list[Layers]) -> Layers:
+    return [(np.stack([m[k][0] for m in models]), np.stack([m[k][1] for m in models])) for k in range(len(models[0]))]
+
+
+def unstack(layers: Layers) -> list[Layers]:
+    return [[(w[i].copy(), b[i].copy()) for w, b in layers] for i in range(len(layers[0][0]))]
+
+
 def network_streams_pass(x: np.ndarray, y: np.ndarray, layers: Layers, lr: float, streams: int | np.ndarray) -> tuple[Layers, float]:
     """Copies of the network learn from consecutive shares of the rows side by side, one row each per step,
     and are averaged by rows at the end. ``streams``: their lengths, or a number of nearly equal shares.

@@ -77,5 +77,5 @@ def array_sums(
 
 def count_with_parts(stored: DataFrame) -> tuple[int, int]:
     """(rows, partitions) of a persisted table, of which it keeps the number: one more than the last that has rows."""
-    got = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.spark_partition_id()).alias("last")).first()
+    got = stored.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).first()
     return got["n"], (got["last"] or 0) + 1

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrad.functions.activations import sigmoid
-from loomgrad.functions.kernels import Layers, flatten, glorot_layers, linear, logistic, network_forward, network_streams_pass, unflatten
+from loomgrad.functions.kernels import (
+    Layers,
+    flatten,
+    glorot_layers,
+    linear,
+    logistic,
+    network_forward,
+    network_pass,
+    network_streams_pass,
+    unflatten,
+)
 from loomgrad.functions.vectors import checked, linear_output
+from loomgrad.operators.chain import range_count, travel
 from loomgrad.operators.training import (
     BatchGradientDescent,
     EpochCallback,
@@ -22,6 +33,7 @@ from loomgrad.operators.training import (
     Trained,
     averaged_pass,
     deal_rows,
+    matrix_of,
 )
 from loomgrad.operators.validate import classify, validate_training_table
 
@@ -99,13 +111,35 @@ class NetworkOptions:
             raise ValueError("at least one epoch is needed")
 
 
+@dataclass(frozen=True)
+class _NetworkRows:
+    """The sequential rule of one network, as a learner that travels over ranges."""
+
+    epochs: int
+    topology: tuple[int, ...]
+    learning_rate: float
+
+    def order(self, epoch: int) -> str:
+        return "id"
+
+    def sort_columns(self, epoch: int) -> list[Column]:
+        return [F.col("id")]
+
+    def update(self, state: dict, batch, epoch: int) -> dict:
+        layers, squares = network_pass(*matrix_of(batch), state["layers"], self.learning_rate)
+        return state | {"layers": layers, "squares": state["squares"] + squares}
+
+    def close(self, state: dict, epoch: int) -> dict:
+        return state | {"cost": state["squares"], "squares": 0.0}
+
+
 class DeepNeuralNetwork:
     """A sigmoid network with topology (features, hidden ..., 1); ``probability`` is its output.
 
     One back-propagation update per row in the order of ids. One stream, the default, is the plain
-    sequential rule in one task, for a bounded number of rows. More ``streams`` are asked for by the
-    caller: rows are dealt by a hash of their id, and each epoch averages what the streams learned,
-    weighted by rows. ``start`` replaces the random weights that training begins with.
+    sequential rule on any number of rows: ranges of rows follow each other and hand the layers on. More
+    ``streams`` are asked for by the caller: rows are dealt by a hash of their id, and each epoch averages
+    what the streams learned, weighted by rows. ``start`` replaces the random weights that training begins with.
     """
 
     output = "probability"
@@ -126,9 +160,35 @@ class DeepNeuralNetwork:
         d = validated_features or validate_training_table(train, caller=type(self).__name__).features
         if d != self.topology[0]:
             raise ValueError(f"the table has {d} features, the topology {self.topology[0]}")
-        topology, lr, costs = self.topology, self.options.learning_rate, []
+        topology, costs = self.topology, []
         flat = flatten(self.start if self.start is not None else glorot_layers(topology, self.options.seed))
-        dealt, n = deal_rows(train.select("id", "features", "target"), self.streams)
+        rows = train.select("id", "features", "target")
+
+        def closed(epoch: int, now: np.ndarray, squares: float, n: int) -> None:
+            costs.append(squares / n)
+            if not np.all(np.isfinite(now)):
+                raise FloatingPointError(f"training diverged in epoch {epoch}")
+            if on_epoch:
+                on_epoch(epoch, costs[-1])
+
+        flat = (self._chained if self.streams == 1 else self._averaged)(rows, flat, closed)
+        self.layers, self.costs = unflatten(flat, topology), tuple(costs)
+        return self
+
+    def _chained(self, rows: DataFrame, flat: np.ndarray, closed) -> np.ndarray:
+        kept = rows.persist()
+        try:
+            n = kept.count()
+            learner = _NetworkRows(self.options.epochs, self.topology, self.options.learning_rate)
+            start = {"layers": unflatten(flat, self.topology), "squares": 0.0, "cost": 0.0}
+            report = lambda k, epoch, state: closed(epoch, flatten(state["layers"]), state["cost"], n)
+            return flatten(travel(kept, [learner], [start], range_count(n, 1, 1), report)[0]["layers"])
+        finally:
+            kept.unpersist()
+
+    def _averaged(self, rows: DataFrame, flat: np.ndarray, closed) -> np.ndarray:
+        topology, lr = self.topology, self.options.learning_rate
+        dealt, n = deal_rows(rows, self.streams)
         ordered = dealt.sortWithinPartitions("stream", "id").persist()  # once, as every epoch has the same order
         try:
             for epoch in range(self.options.epochs):
@@ -138,16 +198,11 @@ class DeepNeuralNetwork:
                     return flatten(layers) * len(y), squares
 
                 flat, squares = averaged_pass(ordered, update, len(flat), n)
-                costs.append(squares / n)
-                if not np.all(np.isfinite(flat)):
-                    raise FloatingPointError(f"training diverged in epoch {epoch}")
-                if on_epoch:
-                    on_epoch(epoch, costs[-1])
+                closed(epoch, flat, squares, n)
         finally:
             ordered.unpersist()
             dealt.unpersist()
-        self.layers, self.costs = unflatten(flat, topology), tuple(costs)
-        return self
+        return flat
 
     def _require(self) -> Layers:
         if self.layers is None:

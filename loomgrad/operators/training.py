@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgrad.functions.kernels import (
     Hypothesis,
+    affine_compose,
     affine_pass,
     affine_start,
     batches_pass,
@@ -22,17 +23,19 @@ from loomgrad.functions.kernels import (
     logistic_streams_pass,
     row_by_row_pass,
 )
+from loomgrad.operators.chain import range_count, travel
+from loomgrad.operators.merging import array_sums, count_with_parts, merged_states
 from loomgrad.operators.ranking import rank_in_groups
 from loomgrad.operators.splits import order_key
 
 #: Features up to which the linear statistics, (d + 2) squared numbers a task, are worth one pass.
 GRAM_FEATURES = 2000
-#: Features up to which the updates of a linear model are composed as matrices.
+#: Features up to which the updates of a linear model are composed as matrices. Beyond, ranges follow each other.
 AFFINE_FEATURES = 200
-#: Rows of a stream at most: its updates follow each other in one task.
+#: Rows of a range whose updates one task composes.
+COMPOSED_ROWS = 250_000
+#: Rows of one of several averaged streams at most: a task holds them.
 STREAM_ROWS = 1_000_000
-#: Numbers that each task returns to the driver at most; wider arrays are added up by Spark.
-DRIVER_WIDTH = 500
 
 
 @dataclass(frozen=True)
@@ -106,29 +109,20 @@ def matrix_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1), y
 
 
-def summed(df: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """The sum over all rows of ``partial(features, target)``: one array a partition, added up by Spark."""
+def summed(df: DataFrame, partial: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, parts: int | None = None) -> np.ndarray:
+    """The sum over all rows of ``partial(features, target)``: one array a task, merged in executors.
 
-    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``parts``: the number of partitions, if known.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
                 total += partial(*matrix_of(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-    return _added(df.select("features", "target").mapInArrow(per_partition, "sums array<double>"), width)
+        return total
 
-
-def _added(parts: DataFrame, width: int) -> np.ndarray:
-    """The sum of the arrays ``sums``, one row a task."""
-    out = np.zeros(width)
-    if width <= DRIVER_WIDTH:
-        for r in parts.collect():
-            out += r["sums"]
-        return out
-    for r in parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out
+    return array_sums(df.select("features", "target"), work, width, parts=parts)
 
 
 def gram_statistics(df: DataFrame, n_features: int) -> np.ndarray:
@@ -179,11 +173,11 @@ class BatchGradientDescent:
             return self._descend(theta, n, sums, on_epoch, costs)
         data = train.select("features", "target").persist()
         try:
-            n = float(data.count())
+            n, parts = count_with_parts(data)
 
             def sums(t: np.ndarray) -> tuple[np.ndarray, float]:
                 w, b = t[:-1].copy(), float(t[-1])
-                got = summed(data, lambda x, y: gradient_sums(x, y, w, b, predict), d + 2)
+                got = summed(data, lambda x, y: gradient_sums(x, y, w, b, predict), d + 2, parts)
                 return got[: d + 1], float(got[-1])
 
             return self._descend(theta, n, sums, on_epoch, costs)
@@ -209,17 +203,17 @@ def stream_of(streams: int, id_col: str = "id"):
 
 
 def deal_rows(train: DataFrame, streams: int) -> tuple[DataFrame, int]:
-    """(id, stream, features, target and other columns; number of rows), persisted with each stream whole in one partition.
+    """(id, stream, features, target and other columns; number of rows), persisted with each of several streams whole in one partition.
 
-    Streams longer than STREAM_ROWS on average are an error: the rule is never changed for a large table.
+    Streams longer than STREAM_ROWS on average are an error: the number of streams is never changed unasked.
     """
-    if streams < 1:
-        raise ValueError("at least one stream is needed")
+    if streams < 2:
+        raise ValueError("at least two streams are averaged")
     n = train.count()
     if n > streams * STREAM_ROWS:
-        raise ValueError(f"{n} rows in {streams} stream(s): at most {STREAM_ROWS} a stream; more streams are averaged each epoch")
+        raise ValueError(f"{n} rows in {streams} streams: at most {STREAM_ROWS} a stream; one stream takes any number")
     tasks = min(streams, max(train.sparkSession.sparkContext.defaultParallelism, math.ceil(n / STREAM_ROWS)))
-    rows = train.withColumn("stream", stream_of(streams) if streams > 1 else F.lit(0))
+    rows = train.withColumn("stream", stream_of(streams))
     return (rows.repartitionByRange(tasks, "stream") if tasks > 1 else rows.repartition(1)).persist(), n
 
 
@@ -233,43 +227,52 @@ def averaged_pass(rows: DataFrame, update: Callable, width: int, n: int) -> tupl
     """``update(features, target, lengths)`` -> (sum of stream parameters times stream rows, squares) on each
     partition, in its order; returns the mean of the parameters by rows, and all squares."""
 
-    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         # The update chain needs a partition's rows together: they are a bounded share of the table.
         parts = [(*matrix_of(b), b.column(b.schema.get_field_index("stream")).to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            x, y, streams = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            total, squares = update(x, y, stream_lengths(streams))
-            yield pa.RecordBatch.from_arrays([pa.array([[*total.tolist(), squares]], pa.list_(pa.float64()))], names=["sums"])
+        if not parts:
+            return np.zeros(width + 1)
+        x, y, streams = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return np.append(*update(x, y, stream_lengths(streams)))
 
-    total = _added(rows.select("stream", "features", "target").mapInArrow(per_partition, "sums array<double>"), width + 1)
+    total = array_sums(rows.select("stream", "features", "target"), work, width + 1)
     return total[:width] / n, float(total[-1])
 
 
-def _composed(rows: DataFrame, d: int, batch: int, lr: float, penalty: float, regularise_bias: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The composed updates of each range of ``rows`` (key, place, features, target), in their order."""
+def _composed(
+    rows: DataFrame, n: int, d: int, batch: int, lr: float, penalty: float, regularise_bias: bool
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The composed updates of runs of ``rows`` (key, place, features, target), in their order.
+
+    Ranges are composed side by side and their maps merged in executors, in order: the driver gets at most 64.
+    """
+    cut = (d + 1) * (d + 2)
 
-    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, state, rest = None, affine_start(d), None
+    def packed(z: np.ndarray, s: np.ndarray) -> bytes:
+        return np.concatenate([z.ravel(), s.ravel()]).tobytes()
+
+    def unpacked(state: bytes) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.frombuffer(state)
+        return numbers[:cut].reshape(d + 1, d + 2), numbers[cut:].reshape(d + 2, d + 2)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        state, rest = affine_start(d), None
         for b in batches:
             if not b.num_rows:
                 continue
-            if first is None:
-                first = (b.column(0)[0].as_py(), b.column(1)[0].as_py())
             now = matrix_of(b)
             x, y = now if rest is None else tuple(np.concatenate([r, v]) for r, v in zip(rest, now, strict=True))
-            cut = len(y) // batch * batch  # a batch may go on in the next Arrow batch, never in another partition
-            state, rest = affine_pass(x[:cut], y[:cut], state, batch, lr, penalty, regularise_bias), (x[cut:], y[cut:])
-        if first is not None:
-            z, s = affine_pass(*rest, state, batch, lr, penalty, regularise_bias)
-            columns = [[first[0]], [first[1]], [z.ravel().tolist()], [s.ravel().tolist()]]
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "place", "z", "s"])
+            whole = len(y) // batch * batch  # a batch may go on in the next Arrow batch, never in another partition
+            state, rest = affine_pass(x[:whole], y[:whole], state, batch, lr, penalty, regularise_bias), (x[whole:], y[whole:])
+        return None if rest is None else packed(*affine_pass(*rest, state, batch, lr, penalty, regularise_bias))
+
+    def combine(first: bytes, second: bytes) -> bytes:
+        return packed(*affine_compose(unpacked(first), unpacked(second)))
 
+    parts = max(math.ceil(n / COMPOSED_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, n))
     by = ["key", "place"] if batch == 1 else [F.floor(F.col("place") / batch)]
-    ordered = rows.select("key", "place", "features", "target").repartitionByRange(*by).sortWithinPartitions("key", "place")
-    got = ordered.mapInArrow(per_partition, "key string, place long, z array<double>, s array<double>").collect()
-    got.sort(key=lambda r: (r["key"], r["place"]))
-    return [(np.array(r["z"]).reshape(d + 1, d + 2), np.array(r["s"]).reshape(d + 2, d + 2)) for r in got]
+    ordered = rows.select("key", "place", "features", "target").repartitionByRange(parts, *by).sortWithinPartitions("key", "place")
+    return [unpacked(state) for state in merged_states(ordered, work, combine, parts)]
 
 
 def _in_order(rows: DataFrame, seed: int | None, epoch: int, batch: int) -> DataFrame:
@@ -287,30 +290,81 @@ def _in_order(rows: DataFrame, seed: int | None, epoch: int, batch: int) -> Data
     return rank_in_groups(rows.withColumn("key", F.lit("")), ["key"], bucket, order, "place")
 
 
+@dataclass(frozen=True)
+class _OneByOne:
+    """The sequential rule of one model, as a learner that travels over ranges. A short batch waits for its rows."""
+
+    epochs: int
+    seed: int | None
+    predict: Hypothesis
+    batch: int
+    rate: Callable[[int], float]
+    penalty: float
+    regularise_bias: bool
+
+    def order(self, epoch: int):
+        return "id" if self.seed is None else ("key", self.seed, epoch)
+
+    def sort_columns(self, epoch: int) -> list:
+        return [F.col("id")] if self.seed is None else [order_key(self.seed, epoch), F.col("id")]
+
+    def update(self, state: dict, batch: pa.RecordBatch, epoch: int) -> dict:
+        x, y = matrix_of(batch)
+        if state["rest"] is not None:
+            x, y = np.concatenate([state["rest"][0], x]), np.concatenate([state["rest"][1], y])
+        whole = len(y) // self.batch * self.batch
+        rest = (x[whole:].copy(), y[whole:].copy()) if whole < len(y) else None
+        return self._learn(state, x[:whole], y[:whole], epoch) | {"rest": rest}
+
+    def close(self, state: dict, epoch: int) -> dict:
+        if state["rest"] is not None:
+            state = self._learn(state, *state["rest"], epoch)
+        return state | {"rest": None, "cost": state["squares"], "squares": 0.0}
+
+    def _learn(self, state: dict, x: np.ndarray, y: np.ndarray, epoch: int) -> dict:
+        w, b, rule = state["flat"][:-1], float(state["flat"][-1]), (self.rate(epoch), self.penalty, self.regularise_bias)
+        if self.batch == 1 and self.predict in (linear, logistic):
+            w, b, squares = row_by_row_pass(x, y, w, b, "linear" if self.predict is linear else "logistic", *rule)
+        else:
+            w, b, squares = batches_pass(x, y, w, b, self.predict, self.batch, *rule)
+        return state | {"flat": np.append(w, b), "squares": state["squares"] + squares}
+
+
 @dataclass(frozen=True)
 class _Sequential:
     """Updates follow each other in the order of the epoch.
 
-    A linear model of up to AFFINE_FEATURES features trains exactly on any number of rows: ranges of rows
-    are composed side by side (see :func:`affine_pass`), and the driver chains one matrix a range.
-
-    Other hypotheses run in ``streams``. One stream is the plain sequential rule, for at most
-    STREAM_ROWS rows. More are an approximation that scales and that the caller asks for: streams, made
-    by a hash of the id, start each epoch from the same parameters, which are then averaged weighted by
-    rows. The result depends on the number of streams, never on partitions.
+    A linear model of up to AFFINE_FEATURES features is composed: ranges of rows work side by side (see
+    :func:`affine_pass`). Other models run in ``streams``. One stream is the plain sequential rule on any
+    number of rows: ranges follow each other and hand the parameters on (see :mod:`~loomgrad.operators.chain`).
+    More are an approximation that the caller asks for, as it works on all cores: streams, made by a hash of
+    the id, start each epoch from the same parameters, which are then averaged weighted by rows. The result
+    depends on the number of streams, never on partitions.
     """
 
     streams: int = 1
 
     def _optimise(self, train, start, predict, on_epoch, batch: int, rate: Callable[[int], float]) -> Trained:
         flat = np.array([*start.weights, start.bias])
-        epochs = self._linear_epochs if predict is linear and len(flat) <= AFFINE_FEATURES + 1 else self._stream_epochs
+        if self.streams < 1:
+            raise ValueError("at least one stream is needed")
         costs = []
-        for epoch, (flat, squares, n) in enumerate(epochs(train, flat, predict, batch, rate)):
-            _require_finite(flat, epoch)
+
+        def closed(epoch: int, now: np.ndarray, squares: float, n: int) -> None:
+            _require_finite(now, epoch)
             costs.append(squares / n)
             if on_epoch:
                 on_epoch(epoch, costs[-1])
+
+        if predict is not linear or len(flat) > AFFINE_FEATURES + 1:
+            if self.streams == 1:
+                flat = self._chained(train, flat, predict, batch, rate, closed)
+                return Trained(Parameters(tuple(flat[:-1].tolist()), float(flat[-1])), tuple(costs))
+            epochs = self._stream_epochs
+        else:
+            epochs = self._linear_epochs
+        for epoch, (flat, squares, n) in enumerate(epochs(train, flat, predict, batch, rate)):
+            closed(epoch, flat, squares, n)
         return Trained(Parameters(tuple(flat[:-1].tolist()), float(flat[-1])), tuple(costs))
 
     def _linear_epochs(self, train, flat, predict, batch, rate):
@@ -321,7 +375,7 @@ class _Sequential:
             for epoch in range(options.epochs):
                 if parts is None or options.shuffle or rate(epoch) != rate(epoch - 1):
                     ordered = _in_order(rows, seed, epoch, batch)
-                    parts = _composed(ordered, d, batch, rate(epoch), options.l2 / n, options.regularise_bias)
+                    parts = _composed(ordered, n, d, batch, rate(epoch), options.l2 / n, options.regularise_bias)
                 squares = 0.0
                 for z, s in parts:
                     one = np.append(flat, 1.0)
@@ -331,6 +385,19 @@ class _Sequential:
         finally:
             rows.unpersist()
 
+    def _chained(self, train, flat, predict, batch, rate, closed):
+        options = self.options
+        rows = train.select("id", "features", "target").persist()
+        try:
+            n = rows.count()
+            seed = options.seed if options.shuffle else None
+            learner = _OneByOne(options.epochs, seed, predict, batch, rate, options.l2 / n, options.regularise_bias)
+            start = {"flat": flat, "squares": 0.0, "rest": None, "cost": 0.0}
+            states = travel(rows, [learner], [start], range_count(n, 1, 1), lambda k, epoch, state: closed(epoch, state["flat"], state["cost"], n))
+            return states[0]["flat"]
+        finally:
+            rows.unpersist()
+
     def _stream_epochs(self, train, flat, predict, batch, rate):
         options, d = self.options, len(flat) - 1
         dealt, n = deal_rows(train.select("id", "features", "target"), self.streams)

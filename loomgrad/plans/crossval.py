@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrad.functions.kernels import (
@@ -21,12 +21,18 @@ from loomgrad.functions.kernels import (
     network_forward,
     network_streams_pass,
     row_by_row_pass,
+    stack,
+    stacked_logistic_pass,
+    stacked_network_pass,
     unflatten,
+    unstack,
 )
 from loomgrad.functions.metrics import METRIC_COLUMNS, binary_metrics, fold_summary
+from loomgrad.operators.chain import range_count, travel
+from loomgrad.operators.merging import array_sums, count_with_parts
 from loomgrad.operators.scaling import Scaler, training_statistics_per_fold
-from loomgrad.operators.splits import stratified_kfold, test_of, train_of, training_views
-from loomgrad.operators.training import _added, deal_rows, matrix_of, stream_lengths
+from loomgrad.operators.splits import order_key, stratified_kfold, test_of, train_of, training_views
+from loomgrad.operators.training import deal_rows, matrix_of, stream_lengths
 from loomgrad.operators.validate import validate_training_table
 
 
@@ -54,9 +60,14 @@ def scaled_views(folded: DataFrame, n_features: int, folds: int) -> tuple[DataFr
 
 
 class Learner(Protocol):
-    """A model that trains by additive contributions of partitions, one round an epoch."""
+    """A model that trains by additive contributions of partitions, one round an epoch.
+
+    A ``sequential`` one updates after each row, so its contributions are those of streams; it also has
+    :class:`SequentialLearner`'s exact form.
+    """
 
     epochs: int
+    sequential: bool
 
     def start(self, d: int) -> np.ndarray:
         """The parameters before the first epoch."""
@@ -71,12 +82,26 @@ class Learner(Protocol):
         """Probabilities."""
 
 
+class SequentialLearner(Learner, Protocol):
+    """A model that learns row by row; several of one kind, say those of all folds, learn side by side."""
+
+    def order(self, epoch: int):
+        """See :class:`~loomgrad.operators.chain.Traveller`."""
+
+    def sort_columns(self, epoch: int) -> list[Column]:
+        """See :class:`~loomgrad.operators.chain.Traveller`."""
+
+    def learn(self, x: np.ndarray, y: np.ndarray, mine: np.ndarray, flats: np.ndarray, epoch: int) -> np.ndarray:
+        """The parameters (models, width) after rows ``x`` (models, rows, features), of which each model takes ``mine``."""
+
+
 @dataclass(frozen=True)
 class BatchLogistic:
     """All rows per update."""
 
     learning_rate: float
     epochs: int
+    sequential: ClassVar[bool] = False
 
     def start(self, d: int) -> np.ndarray:
         return np.zeros(d + 1)
@@ -97,6 +122,18 @@ class StochasticLogistic(BatchLogistic):
 
     seed: int = 42
     decay: float = 0.0
+    sequential: ClassVar[bool] = True
+
+    def order(self, epoch):
+        return "key", self.seed, epoch
+
+    def sort_columns(self, epoch):
+        return [order_key(self.seed, epoch), F.col("id")]
+
+    def learn(self, x, y, mine, flats, epoch):
+        flats = flats.copy()
+        stacked_logistic_pass(x, y, mine, flats, self.learning_rate / (1 + self.decay * epoch))
+        return flats
 
     def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
         keys = np.array([hashlib.md5(f"{i}:{self.seed}:{epoch}".encode()).digest() for i in ids.tolist()], dtype="S16")
@@ -119,6 +156,19 @@ class SigmoidNetwork:
     learning_rate: float
     epochs: int
     seed: int = 42
+    sequential: ClassVar[bool] = True
+
+    def order(self, epoch):
+        return "id"
+
+    def sort_columns(self, epoch):
+        return [F.col("id")]
+
+    def learn(self, x, y, mine, flats, epoch):
+        topology = self._topology(x.shape[2])
+        layers = stack([unflatten(flat, topology) for flat in flats])
+        stacked_network_pass(x, y, mine, layers, self.learning_rate)
+        return np.stack([flatten(one) for one in unstack(layers)])
 
     def _topology(self, d: int) -> tuple[int, ...]:
         return (d, *self.hidden, 1)
@@ -145,12 +195,15 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 Scales = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def train_side_by_side(dealt: DataFrame, scales: Scales, n_train: Mapping[int, int], learners: Mapping[str, Learner]) -> dict[tuple[str, int], np.ndarray]:
+def train_side_by_side(
+    dealt: DataFrame, scales: Scales, n_train: Mapping[int, int], learners: Mapping[str, Learner], parts: int | None = None
+) -> dict[tuple[str, int], np.ndarray]:
     """(model, fold) -> parameters: every model on the rows of the other folds, scaled by the statistics of those.
 
     All models of all folds train in the same job, one an epoch: a task passes over its own rows only and
-    returns one array, so no fold is copied, shuffled or held by a task. ``dealt``: rows of
-    :func:`~loomgrad.operators.training.deal_rows` with ``fold``, sorted by stream and id.
+    returns one array, so no fold is copied or shuffled. A task holds one Arrow batch, or its streams if a
+    learner is sequential. ``dealt``: rows with ``fold`` and ``stream``, for sequential learners those of
+    :func:`~loomgrad.operators.training.deal_rows`, sorted by stream and id. ``parts``: the number of partitions, if known.
     """
     d = len(next(iter(scales.values()))[0])
     now = {(name, held): learner.start(d) for name, learner in learners.items() for held in scales}
@@ -159,24 +212,25 @@ def train_side_by_side(dealt: DataFrame, scales: Scales, n_train: Mapping[int, i
         sizes = [len(flat) for flat in going.values()]
         at = dict(zip(going, np.cumsum(sizes) - sizes, strict=True))
 
-        def per_partition(batches: Iterator[pa.RecordBatch], going=going, at=at, width=sum(sizes), epoch=epoch) -> Iterator[pa.RecordBatch]:
-            parts = [(*matrix_of(b), *(_column(b, c) for c in ("id", "stream", "fold"))) for b in batches if b.num_rows]
-            if not parts:
-                return
-            x, y, ids, streams, fold = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        def work(batches: Iterator[pa.RecordBatch], going=going, at=at, width=sum(sizes), epoch=epoch) -> np.ndarray:
             total = np.zeros(width)
-            for held, (centre, scale) in scales.items():
-                mine = fold != held
-                if not mine.any():
-                    continue
-                z = (x[mine] - centre) / scale
-                for (name, of), flat in going.items():
-                    if of == held:
-                        total[at[name, of] : at[name, of] + len(flat)] = learners[name].contribute(ids[mine], z, y[mine], streams[mine], flat, epoch)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-        columns = dealt.select("id", "stream", "fold", "features", "target")
-        total = _added(columns.mapInArrow(per_partition, "sums array<double>"), sum(sizes))
+            whole = (b for b in batches if b.num_rows)
+            if any(learners[name].sequential for name, _ in going):  # streams need their rows together
+                found = list(whole)
+                whole = [pa.Table.from_batches(found).combine_chunks().to_batches()[0]] if found else []
+            for b in whole:
+                (x, y), ids, streams, fold = matrix_of(b), *(_column(b, c) for c in ("id", "stream", "fold"))
+                for held, (centre, scale) in scales.items():
+                    mine = fold != held
+                    if not mine.any():
+                        continue
+                    z = (x[mine] - centre) / scale
+                    for (name, of), flat in going.items():
+                        if of == held:
+                            total[at[name, of] : at[name, of] + len(flat)] += learners[name].contribute(ids[mine], z, y[mine], streams[mine], flat, epoch)
+            return total
+
+        total = array_sums(dealt.select("id", "stream", "fold", "features", "target"), work, sum(sizes), parts=parts)
         for (name, held), flat in going.items():
             start = at[name, held]
             after = learners[name].finish(total[start : start + len(flat)], flat, n_train[held])
@@ -186,6 +240,60 @@ def train_side_by_side(dealt: DataFrame, scales: Scales, n_train: Mapping[int, i
     return now
 
 
+#: Numbers that the scaled views of a run of rows take at most.
+VIEW_NUMBERS = 2_000_000
+
+
+@dataclass(frozen=True)
+class _FoldsOf:
+    """The models of all folds of one learner, as one learner that travels over ranges."""
+
+    learner: SequentialLearner
+    scales: Scales
+
+    @property
+    def epochs(self) -> int:
+        return self.learner.epochs
+
+    def order(self, epoch: int):
+        return self.learner.order(epoch)
+
+    def sort_columns(self, epoch: int) -> list[Column]:
+        return self.learner.sort_columns(epoch)
+
+    def update(self, flats: np.ndarray, batch: pa.RecordBatch, epoch: int) -> np.ndarray:
+        (x, y), fold = matrix_of(batch), _column(batch, "fold")
+        centres, scales = (np.stack([s[i] for s in self.scales.values()])[:, None, :] for i in range(2))
+        mine = fold != np.array(list(self.scales))[:, None]
+        step = max(1, VIEW_NUMBERS // (len(self.scales) * x.shape[1]))
+        for at in range(0, len(y), step):
+            rows = slice(at, at + step)
+            flats = self.learner.learn((x[rows] - centres) / scales, y[rows], mine[:, rows], flats, epoch)
+        return flats
+
+    def close(self, flats: np.ndarray, epoch: int) -> np.ndarray:
+        return flats
+
+
+def train_in_waves(folded: DataFrame, n: int, scales: Scales, learners: Mapping[str, SequentialLearner]) -> dict[tuple[str, int], np.ndarray]:
+    """(model, fold) -> parameters: every model by its own sequential rule, whatever the number of rows.
+
+    Learners follow each other over ranges of rows (see :mod:`~loomgrad.operators.chain`), the models of all
+    folds of a learner side by side. ``folded``: persisted rows with ``fold``, ``n`` of them. No task holds
+    more than one learner's parameters and one batch of rows while there are as many ranges as learners.
+    """
+    d, names = len(next(iter(scales.values()))[0]), list(learners)
+
+    def closed(k: int, epoch: int, flats: np.ndarray) -> None:
+        if not np.all(np.isfinite(flats)):
+            raise FloatingPointError(f"{names[k]}: training diverged in epoch {epoch}")
+
+    start = [np.stack([learners[name].start(d)] * len(scales)) for name in names]
+    parts = range_count(n, len(names), folded.sparkSession.sparkContext.defaultParallelism)
+    found = travel(folded, [_FoldsOf(learners[name], scales) for name in names], start, parts, closed)
+    return {(name, held): flats[i] for name, flats in zip(names, found, strict=True) for i, held in enumerate(scales)}
+
+
 def score_side_by_side(folded: DataFrame, scales: Scales, parameters: Mapping[tuple[str, int], np.ndarray], learners: Mapping[str, Learner]) -> DataFrame:
     """model, eval_fold, id, target, probability: each row scored by the models that haven't seen its fold."""
 
@@ -212,8 +320,9 @@ def cross_validate(
     """(metrics per model and fold, mean and sample deviation per model).
 
     Folds are stratified; each fold's rows are scored by models, and scaled by statistics, that have
-    seen the other folds only. Sequential learners run in ``streams``, see
-    :class:`~loomgrad.operators.training.StochasticGradientDescent`; batch learners don't depend on them.
+    seen the other folds only. Sequential learners follow their exact rule, or run in several ``streams``
+    if asked, see :class:`~loomgrad.operators.training.StochasticGradientDescent`; batch learners take one
+    job an epoch.
     """
     facts = validate_training_table(df, binary=True, caller="cross_validate")
     folded = stratified_kfold(df.select("id", "features", "target"), folds, seed).persist()
@@ -223,14 +332,20 @@ def cross_validate(
         scales[r["eval_fold"]] = (np.array(fitted.centre), np.array(fitted.scale))
     counts = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     n_train = {held: sum(counts.values()) - counts[held] for held in counts}
-    # Batch learners need no streams, so their rows stay as they are.
-    sequential = any(type(learner) is not BatchLogistic for learner in learners.values())
-    dealt = deal_rows(folded, streams)[0] if sequential else folded.withColumn("stream", F.lit(0))
-    ordered = dealt.sortWithinPartitions("stream", "id").persist() if sequential else dealt
-    try:
-        parameters = train_side_by_side(ordered, scales, n_train, learners)
-    finally:
-        if sequential:
+    sequential = {name: learner for name, learner in learners.items() if learner.sequential}
+    others = {name: learner for name, learner in learners.items() if not learner.sequential}
+    parameters: dict[tuple[str, int], np.ndarray] = {}
+    if others:
+        parts = count_with_parts(folded)[1]
+        parameters |= train_side_by_side(folded.withColumn("stream", F.lit(0)), scales, n_train, others, parts)
+    if sequential and streams == 1:
+        parameters |= train_in_waves(folded, facts.rows, scales, sequential)
+    elif sequential:
+        dealt, _ = deal_rows(folded, streams)
+        ordered = dealt.sortWithinPartitions("stream", "id").persist()
+        try:
+            parameters |= train_side_by_side(ordered, scales, n_train, sequential)
+        finally:
             ordered.unpersist()
             dealt.unpersist()
     per_fold = binary_metrics(score_side_by_side(folded, scales, parameters, learners), group_cols=("model", "eval_fold"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrad.functions import kernels, metrics
-from loomgrad.operators import models, scaling, splits, training, validate
+from loomgrad.operators import chain, merging, models, scaling, splits, training, validate
 from loomgrad.operators.ranking import rank_in_groups
 from loomgrad.plans import crossval
 from loomgrad.plans.pipelines import BinaryClassificationPipeline, RegressionPipeline, score_binary_model
@@ -257,13 +257,148 @@ def test_logistic_streams_are_runs_of_their_own():
         assert found[0] == pytest.approx(total) and found[1] == pytest.approx(squares)
 
 
-def test_a_table_too_large_for_a_stream_is_refused_and_never_averaged_unasked(spark, monkeypatch):
-    monkeypatch.setattr(training, "STREAM_ROWS", 30)
+def test_averaged_streams_too_long_are_refused_and_one_stream_is_not(spark, monkeypatch):
+    monkeypatch.setattr(training, "STREAM_ROWS", 20)
     df = table(spark, [((i / 50,), i % 2) for i in range(50)])
+    sgd = lambda streams: training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1), streams=streams)
     with pytest.raises(ValueError, match="streams"):
-        training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1)).optimise(df, training.Parameters.zeros(1), kernels.logistic)
-    assert training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1), streams=2).optimise(df, training.Parameters.zeros(1), kernels.logistic)
-    assert training.StochasticGradientDescent(options=training.StochasticOptions(0.05, 1)).optimise(df, training.Parameters.zeros(1))
+        sgd(2).optimise(df, training.Parameters.zeros(1), kernels.logistic)
+    with pytest.raises(ValueError, match="stream"):
+        sgd(0).optimise(df, training.Parameters.zeros(1), kernels.logistic)
+    assert sgd(3).optimise(df, training.Parameters.zeros(1), kernels.logistic) and sgd(1).optimise(df, training.Parameters.zeros(1), kernels.logistic)
+
+
+def plain_order(n: int, shuffle: bool, epoch: int) -> list[int]:
+    return sorted(range(n), key=lambda i: (hashlib.md5(f"{i}:42:{epoch}".encode()).hexdigest(), i) if shuffle else i)
+
+
+@pytest.mark.parametrize("batch,shuffle", [(1, True), (1, False), (7, True), (7, False)])
+@pytest.mark.parametrize("predict", [kernels.logistic, lambda x, w, b: np.tanh(x @ w + b)])
+def test_ranges_that_follow_each_other_are_one_loop(spark, monkeypatch, batch, shuffle, predict):
+    """Parameters travel over seven ranges, a batch may cross them, and an Arrow batch holds nine rows."""
+    monkeypatch.setattr(chain, "RANGE_ROWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 3))
+    y = (rng.random(260) > 0.4).astype(float)
+    df = table(spark, list(zip(x.tolist(), y))).repartition(5)
+    if batch == 1:
+        options = training.StochasticOptions(0.05, 2, l2=2.0, regularise_bias=True, shuffle=shuffle, decay=0.3)
+        optimiser, rate = training.StochasticGradientDescent(options=options), lambda e: 0.05 / (1 + 0.3 * e)
+    else:
+        options = training.MiniBatchOptions(0.05, 2, l2=2.0, regularise_bias=True, shuffle=shuffle, batch_size=batch)
+        optimiser, rate = training.MiniBatchGradientDescent(options=options), lambda e: 0.05
+    w, b, costs = np.zeros(3), 0.0, []
+    for epoch in range(2):
+        order = plain_order(260, shuffle, epoch)
+        w, b, squares = kernels.batches_pass(x[order], y[order], w, b, predict, batch, rate(epoch), 2.0 / 260, True)
+        costs.append(squares / 260)
+    try:
+        got = optimiser.optimise(df, training.Parameters.zeros(3), predict)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [*got.parameters.weights, got.parameters.bias] == pytest.approx([*w, b]) and got.costs == pytest.approx(costs)
+
+
+def test_wide_linear_models_are_exact(spark, monkeypatch):
+    """Beyond AFFINE_FEATURES ranges follow each other instead of being composed."""
+    monkeypatch.setattr(chain, "RANGE_ROWS", 50)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(120, 250)) / 16
+    y = x @ rng.normal(size=250)
+    w, b, _ = kernels.batches_pass(x, y, np.zeros(250), 0.0, kernels.linear, 1, 0.05, 0.0, False)
+    options = training.StochasticOptions(0.05, 1, shuffle=False)
+    got = training.StochasticGradientDescent(options=options).optimise(table(spark, list(zip(x.tolist(), y))).repartition(4), training.Parameters.zeros(250))
+    assert [*got.parameters.weights, got.parameters.bias] == pytest.approx([*w, b])
+
+
+def test_a_network_over_ranges_is_one_loop(spark, monkeypatch):
+    monkeypatch.setattr(chain, "RANGE_ROWS", 30)
+    rng = np.random.default_rng(19)
+    x, y = rng.normal(size=(130, 3)), (rng.random(130) > 0.5).astype(float)
+    net = models.DeepNeuralNetwork((3, 4, 2, 1), models.NetworkOptions(0.2, 3)).fit(table(spark, list(zip(x.tolist(), y))).repartition(4))
+    layers, costs = kernels.glorot_layers((3, 4, 2, 1), 42), []
+    for _ in range(3):
+        layers, squares = kernels.network_pass(x, y, layers, 0.2)
+        costs.append(squares / 130)
+    assert kernels.flatten(net.layers) == pytest.approx(kernels.flatten(layers)) and net.costs == pytest.approx(costs)
+
+
+def test_models_side_by_side_are_models_of_their_own():
+    rng = np.random.default_rng(20)
+    x, y, mine = rng.normal(size=(4, 75, 3)), (rng.random(75) > 0.5).astype(float), rng.random((4, 75)) > 0.3
+    for topology, lr in (((3, 5, 1), 0.3), ((3, 4, 2, 1), 0.3)):
+        start = [kernels.glorot_layers(topology, k) for k in range(4)]
+        layers = kernels.stack(start)
+        squares = kernels.stacked_network_pass(x, y, mine, layers, lr)
+        for k, got in enumerate(kernels.unstack(layers)):
+            want, s = kernels.network_pass(x[k, mine[k]], y[mine[k]], start[k], lr)
+            assert kernels.flatten(got) == pytest.approx(kernels.flatten(want)) and squares[k] == pytest.approx(s)
+    for lr in (0.05, 3.0):  # far from settling at once
+        flats = start = rng.normal(size=(4, 4))
+        flats = flats.copy()
+        squares = kernels.stacked_logistic_pass(x, y, mine, flats, lr)
+        for k in range(4):
+            w, b, s = kernels.batches_pass(x[k, mine[k]], y[mine[k]], start[k, :3], start[k, 3], kernels.logistic, 1, lr, 0.0, False)
+            assert flats[k] == pytest.approx([*w, b], rel=1e-9) and squares[k] == pytest.approx(s)
+
+
+@pytest.mark.parametrize("range_rows", [1_000_000, 25])
+def test_waves_of_models_follow_their_own_rules(spark, monkeypatch, range_rows):
+    """Three kinds of models, all folds, over three or more ranges: each equals a plain loop over its training rows."""
+    monkeypatch.setattr(chain, "RANGE_ROWS", range_rows)
+    rng = np.random.default_rng(21)
+    x, n = rng.normal(size=(120, 3)), 120
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    folded = splits.stratified_kfold(table(spark, list(zip(x.tolist(), y))), 3).persist()
+    fold = np.array([r["fold"] for r in folded.orderBy("id").collect()])
+    scales = {k: (x[fold != k].mean(axis=0), x[fold != k].std(axis=0)) for k in range(3)}
+    learners = {"logistic": crossval.StochasticLogistic(0.1, 3, decay=0.2), "two": crossval.SigmoidNetwork((4,), 0.2, 2), "deep": crossval.SigmoidNetwork((4, 3), 0.3, 1)}
+    got = crossval.train_in_waves(folded, n, scales, learners)
+    assert len(got) == 9
+    for (name, held), flat in got.items():
+        learner, want = learners[name], learners[name].start(3)
+        for epoch in range(learner.epochs):
+            order = [i for i in (plain_order(n, True, epoch) if name == "logistic" else range(n)) if fold[i] != held]
+            z = (x[order] - scales[held][0]) / scales[held][1]
+            if name == "logistic":
+                w, b, _ = kernels.batches_pass(z, y[order], want[:3], want[3], kernels.logistic, 1, 0.1 / (1 + 0.2 * epoch), 0.0, False)
+                want = np.append(w, b)
+            else:
+                topology = (3, *learner.hidden, 1)
+                want = kernels.flatten(kernels.network_pass(z, y[order], kernels.unflatten(want, topology), learner.learning_rate)[0])
+        assert flat == pytest.approx(want)
+    folded.unpersist()
+
+
+def test_no_task_of_a_wave_holds_all_models_or_all_rows(spark, monkeypatch):
+    seen, work = [], chain._work
+    monkeypatch.setattr(chain, "_work", lambda units: seen.append(units) or work(units))
+    rows = table(spark, [((i / 90, i % 7), i % 2) for i in range(90)])
+    learners = {f"m{k}": crossval.SigmoidNetwork((2,), 0.1, 2) for k in range(3)}
+    crossval.cross_validate(rows, learners, 3)
+    assert all(len(here) == 1 for units in seen for here in units.values())
+    assert max(map(len, seen)) == 3 and {part for units in seen for part in units} == {0, 1, 2}
+    assert len(seen) == 2 * 3 + 2  # three models in little more than the steps of one
+
+
+def test_what_reaches_the_driver_is_bounded(spark):
+    """5,000 partitions: sums and affine maps are merged in executors, in order."""
+    rows = spark.range(20_000, numPartitions=5000).select("id", F.array(*[F.lit(0.5)] * 3).alias("features"), F.lit(1.0).alias("target"))
+    states = merging.merged_states(rows.select("id"), lambda batches: b"".join(b"%d," % i for b in batches for i in b.column(0).to_pylist()), lambda a, b: a + b, 5000)
+    assert len(states) <= merging.GROUPS and b"".join(states) == b"".join(b"%d," % i for i in range(20_000))
+    for parts in (None, 5000):
+        got = training.summed(rows, lambda x, y: np.array([x.sum(), y.sum()]), 2, parts)
+        assert got.tolist() == [30_000.0, 20_000.0]
+
+
+def test_affine_maps_compose():
+    rng = np.random.default_rng(22)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=50)
+    whole = kernels.affine_pass(x, y, kernels.affine_start(4), 1, 0.1, 0.01, True)
+    first, second = (kernels.affine_pass(x[p], y[p], kernels.affine_start(4), 1, 0.1, 0.01, True) for p in (slice(0, 17), slice(17, 50)))
+    for a, b in zip(whole, kernels.affine_compose(first, second), strict=True):
+        assert a == pytest.approx(b)
 
 
 def test_averaged_quality_is_near_the_exact_rule(spark):
