@@ -128,10 +128,16 @@ def _order(seed: int = 42, epoch: int | None = None) -> str:
 SPLIT_SQL = "CASE WHEN row_number() OVER (ORDER BY {order}) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split".format(
     order=_order()
 )
-FOLD_SQL = f"""
+
+
+def fold_sql(rows: str) -> str:
+    return f"""
 SELECT d.*, ((lower + row_number() OVER (PARTITION BY d.target ORDER BY {_order()}) - 1) % 5)::INT AS fold
-FROM ({EVENT_FLAG_SQL}) d JOIN (SELECT target AS t, coalesce(sum(n) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lower
-  FROM (SELECT target, count(*) AS n FROM ({EVENT_FLAG_SQL}) GROUP BY 1)) s ON s.t = d.target"""
+FROM ({rows}) d JOIN (SELECT target AS t, coalesce(sum(n) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lower
+  FROM (SELECT target, count(*) AS n FROM ({rows}) GROUP BY 1)) s ON s.t = d.target"""
+
+
+FOLD_SQL = fold_sql(EVENT_FLAG_SQL)
 
 
 @query(f"SELECT id, {SPLIT_SQL} FROM ({ORDER_VALUE_SQL})")
@@ -534,6 +540,37 @@ def t3_stochastic_averaged(spark, sf_dir):
     return _weights(spark, trained).withColumns({f"cost{i}": F.lit(round(c, 6)) for i, c in enumerate(trained.costs)})
 
 
+@query(
+    f"WITH RECURSIVE {averaged_sql(doc_label_sql(), 1, SGD_NAMES, [0.0] * 5, SGD_STEPS, SGD_UPDATE, 2, lambda e: _order(42, e))} SELECT {SCALED_WEIGHTS}, round(a1.cost, 6) AS cost0, round(a2.cost, 6) AS cost1 FROM a2, (SELECT cost FROM a1) a1"
+)
+def t3_stochastic_logistic(spark, sf_dir):
+    """The sequential rule of a logistic model, on any number of rows."""
+    trained = StochasticGradientDescent(options=StochasticOptions(0.05, 2)).optimise(doc_label(spark, sf_dir), Parameters.zeros(4), logistic)
+    return _weights(spark, trained).withColumns({f"cost{i}": F.lit(round(c, 6)) for i, c in enumerate(trained.costs)})
+
+
+def minibatch_logistic_sql(rows: str, batch: int, lr: float, epochs: int, l2: float) -> str:
+    """One recursion step a batch of the shuffled order; a step averages the gradients of its rows."""
+    x = [f"x{j}" for j in range(4)] + ["1"]
+    ordered = " UNION ALL ".join(f"SELECT *, {e} AS epoch, row_number() OVER (ORDER BY {_order(42, e)}) - 1 AS place FROM ({rows})" for e in range(epochs))
+    update = [f"any_value({n}) - {lr} * (avg(residual * {v}){f' + {l2} / any_value(n) * any_value({n})' if n != 'b' else ''}) AS {n}" for n, v in zip(SGD_NAMES, x, strict=True)]
+    inner = "SELECT * FROM passes JOIN batches ON step = k + 1"
+    for step in SGD_STEPS:
+        inner = f"SELECT *, {step} FROM ({inner})"
+    return f"""WITH RECURSIVE batches AS MATERIALIZED (
+      SELECT dense_rank() OVER (ORDER BY epoch, place // {batch}) AS step, x0, x1, x2, x3, target, (SELECT count(*)::DOUBLE FROM ({rows})) AS n FROM ({ordered})),
+    passes AS (SELECT 0::BIGINT AS k, {', '.join(f'0.0::DOUBLE AS {n}' for n in SGD_NAMES)}
+      UNION ALL SELECT any_value(k) + 1, {', '.join(update)} FROM ({inner}) HAVING count(*) > 0)
+    SELECT {SCALED_WEIGHTS} FROM passes ORDER BY k DESC LIMIT 1"""
+
+
+@query(minibatch_logistic_sql(doc_label_sql(), 16, 0.05, 2, 1.5))
+def t2_minibatch_logistic(spark, sf_dir):
+    """Mini-batches of a logistic model, on any number of rows."""
+    optimiser = MiniBatchGradientDescent(options=MiniBatchOptions(0.05, 2, l2=1.5, batch_size=16))
+    return _weights(spark, optimiser.optimise(doc_label(spark, sf_dir), Parameters.zeros(4), logistic))
+
+
 @query(f"WITH RECURSIVE {linear_descent_sql(ORDER_VALUE_SQL, 4, 0.05, 100)} SELECT id, round({_dot([f'x{j}' for j in range(4)], [f'w{j}' for j in range(4)])} + b, 6) AS prediction FROM ({ORDER_VALUE_SQL}), descent WHERE epoch = 100")
 def t5_linear_regression(spark, sf_dir):
     data = order_value(spark, sf_dir)
@@ -569,11 +606,11 @@ def t7_t8_network_forward(spark, sf_dir):
     return net.predict(doc_label(spark, sf_dir)).select("id", F.round("probability", 6).alias("probability"))
 
 
-def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs: int, streams: int) -> str:
-    """Back-propagation by averaged streams from given weights, and the probabilities of the rows."""
-    names, start, forward, update = [], [], [], {}
+def network_parts(topology: tuple[int, ...], layers) -> tuple[list[str], list[float], list[str], list[str], str]:
+    """(parameters, their start, forward steps, back-propagation steps, output) of a network as SQL expressions."""
+    names, start, forward = [], [], []
     below = [f"x{j}" for j in range(topology[0])]
-    sums, outputs = [], [below]
+    outputs = [below]
     for k, (w, b) in enumerate(layers):
         here = [f"o{k}_{j}" for j in range(topology[k + 1])]
         for j in range(topology[k + 1]):
@@ -582,11 +619,11 @@ def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs:
                 start.append(float(w[i, j]))
             names.append(f"c{k}_{j}")
             start.append(float(b[j]))
-        sums.append(", ".join(f"c{k}_{j} + {' + '.join(f'v{k}_{i}_{j} * {o}' for i, o in enumerate(below))} AS z{k}_{j}" for j in range(topology[k + 1])))
-        forward += [sums[-1], ", ".join(f"{_sigmoid_sql(f'z{k}_{j}')} AS {o}" for j, o in enumerate(here))]
+        sums = ", ".join(f"c{k}_{j} + {' + '.join(f'v{k}_{i}_{j} * {o}' for i, o in enumerate(below))} AS z{k}_{j}" for j in range(topology[k + 1]))
+        forward += [sums, ", ".join(f"{_sigmoid_sql(f'z{k}_{j}')} AS {o}" for j, o in enumerate(here))]
         outputs.append(here)
         below = here
-    steps = [*forward, f"{below[0]} - target AS residual", f"residual AS d{len(layers) - 1}_0"]
+    steps = [f"{below[0]} - target AS residual", f"residual AS d{len(layers) - 1}_0"]
     for k in range(len(layers) - 1, 0, -1):
         steps.append(
             ", ".join(
@@ -594,20 +631,37 @@ def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs:
                 for i, o in enumerate(outputs[k])
             )
         )
+    return names, start, forward, steps, below[0]
+
+
+def network_training_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs: int, streams: int) -> str:
+    """CTEs that end in ``a<epochs>``: back-propagation by averaged streams from given weights; one stream is the plain rule."""
+    names, start, forward, back, _ = network_parts(topology, layers)
+    outputs, update = [[f"x{j}" for j in range(topology[0])]] + [[f"o{k}_{j}" for j in range(n)] for k, n in enumerate(topology[1:])], {}
     for k in range(len(layers)):
         for j in range(topology[k + 1]):
             update |= {f"v{k}_{i}_{j}": f"v{k}_{i}_{j} - {lr} * {o} * d{k}_{j}" for i, o in enumerate(outputs[k])}
             update[f"c{k}_{j}"] = f"c{k}_{j} - {lr} * d{k}_{j}"
-    trained = averaged_sql("SELECT * FROM scaled", streams, names, start, steps, update, epochs, lambda e: "id")
-    scored = f"SELECT id, target, {', '.join(f'x{j}' for j in range(topology[0]))}, {', '.join(names)} FROM scaled, a{epochs}"
+    return averaged_sql(rows, streams, names, start, [*forward, *back], update, epochs, lambda e: "id")
+
+
+def network_scored_sql(rows: str, topology: tuple[int, ...], layers, epochs: int) -> str:
+    """id, target, probability of ``rows`` by the network that ``a<epochs>`` holds."""
+    names, _, forward, _, output = network_parts(topology, layers)
+    scored = f"SELECT id, target, {', '.join(f'x{j}' for j in range(topology[0]))}, {', '.join(names)} FROM ({rows}), a{epochs}"
     for step in forward:
         scored = f"SELECT *, {step} FROM ({scored})"
+    return f"SELECT id, target, {output} AS probability FROM ({scored})"
+
+
+def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs: int, streams: int) -> str:
+    """Z-scored rows, back-propagation from given weights, and the probabilities of the rows."""
     z = ", ".join(f"(h.x{j} - s.m{j}) / s.d{j} AS x{j}" for j in range(topology[0]))
     stats = ", ".join(f"avg(x{j}) AS m{j}, stddev_pop(x{j}) AS d{j}" for j in range(topology[0]))
     return f"""WITH RECURSIVE given AS MATERIALIZED ({rows}),
     scaled AS MATERIALIZED (SELECT id, target, {z} FROM given h, (SELECT {stats} FROM given) s),
-    {trained}
-    SELECT id, target, round({below[0]}, 6) AS probability FROM ({scored})"""
+    {network_training_sql("SELECT * FROM scaled", topology, layers, lr, epochs, streams)}
+    SELECT id, target, round(probability, 6) AS probability FROM ({network_scored_sql("SELECT * FROM scaled", topology, layers, epochs)})"""
 
 
 TWO_LAYERS, DEEP = (4, 8, 1), (4, 5, 3, 1)
@@ -629,6 +683,23 @@ def t8_deep_network(spark, sf_dir):
     return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
 
 
+@query(network_sql(doc_label_sql(), TWO_LAYERS, glorot_layers(TWO_LAYERS, 7), 0.05, 2, 1))
+def t7_basic_network_sequential(spark, sf_dir):
+    """The plain rule: one update per row in the order of ids."""
+    data = doc_label(spark, sf_dir)
+    scaled = Scaler("z_score").fit(data).transform(data)
+    net = BasicNeuralNetwork(8, NetworkOptions(0.05, 2), start=glorot_layers(TWO_LAYERS, 7))
+    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+
+
+@query(network_sql(doc_label_sql(), DEEP, glorot_layers(DEEP, 42), 0.1, 2, 1))
+def t8_deep_network_sequential(spark, sf_dir):
+    """The plain rule: one update per row in the order of ids."""
+    data = doc_label(spark, sf_dir)
+    scaled = Scaler("z_score").fit(data).transform(data)
+    return DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2)).fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+
+
 @query()
 def t8_wide_deep_network(spark, sf_dir):
     """All 64 features of the embeddings."""
@@ -695,10 +766,40 @@ def t9_l6_cross_validation(spark, sf_dir):
     return summary
 
 
-def _fold_scaled(d: int, held: int) -> str:
+def _fold_scaled(d: int, held: int, folds: str = FOLD_SQL) -> str:
     z = ", ".join(f"(f.x{j} - s.m{j}) / s.d{j} AS x{j}" for j in range(d))
     stats = ", ".join(f"avg(x{j}) AS m{j}, stddev_pop(x{j}) AS d{j}" for j in range(d))
-    return f"SELECT id, target, fold, {z} FROM ({FOLD_SQL}) f, (SELECT {stats} FROM ({FOLD_SQL}) WHERE fold <> {held}) s"
+    return f"SELECT id, target, fold, {z} FROM ({folds}) f, (SELECT {stats} FROM ({folds}) WHERE fold <> {held}) s"
+
+
+def compared_models_sql(rows: str, networks: dict[str, tuple[int, ...]], lr: float, epochs: int) -> str:
+    """Per-row logistic regression and networks, each trained on the rows of four folds in turn and scored on the fifth."""
+    found = []
+    for held in range(5):
+        scaled, train, test = _fold_scaled(4, held, fold_sql(rows)), f"SELECT * FROM sc WHERE fold <> {held}", f"SELECT * FROM sc WHERE fold = {held}"
+        update = {n: f"{n} - {lr} * residual * {x}" for n, x in zip(SGD_NAMES, ["x0", "x1", "x2", "x3", "1"], strict=True)}
+        runs = {"logistic": (averaged_sql(train, 1, SGD_NAMES, [0.0] * 5, SGD_STEPS, update, epochs, lambda e: _order(42, e)), None)}
+        for name, topology in networks.items():
+            layers = glorot_layers(topology, 42)
+            runs[name] = (network_training_sql(train, topology, layers, lr, epochs, 1), network_scored_sql(test, topology, layers, epochs))
+        for name, (trained, scored) in runs.items():
+            scored = scored or f"SELECT id, target, {_sigmoid_sql('(b + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3)')} AS probability FROM ({test}), a{epochs}"
+            whole = BINARY_METRICS_SQL.replace("round(", "(").replace(", 6)", ")")
+            found.append(f"(WITH RECURSIVE sc AS MATERIALIZED ({scaled}), {trained} SELECT '{name}' AS model, {whole} FROM ({_binary_rows(scored)}))")
+    summary = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in metrics.METRIC_COLUMNS)
+    return f"SELECT model, count(*) AS folds, {summary} FROM ({' UNION ALL '.join(found)}) GROUP BY model"
+
+
+COMPARED = {"two_layer": (4, 4, 1), "deep": (4, 3, 2, 1)}
+
+
+@query(compared_models_sql(doc_label_sql("toxic"), COMPARED, 0.1, 2))
+def t9_compared_models(spark, sf_dir):
+    """Three per-row models under one budget, each by its own sequential rule, five folds: what trains in waves."""
+    learners = {"logistic": crossval.StochasticLogistic(0.1, 2)}
+    learners |= {name: crossval.SigmoidNetwork(topology[1:-1], 0.1, 2) for name, topology in COMPARED.items()}
+    _, summary = crossval.cross_validate(doc_label(spark, sf_dir, "toxic"), learners)
+    return _rounded(summary)
 
 
 @query(
