@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: States that reach the driver at most, however many tasks there are.
 GROUPS = 64
+#: Numbers that these states hold together, about.
+DRIVER_NUMBERS = 8_000_000
 
 
 def _states(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -27,19 +29,20 @@ def merged_states(
     work: Callable[[Iterator[pa.RecordBatch]], bytes | None],
     combine: Callable[[bytes, bytes], bytes],
     parts: int | None = None,
+    groups: int = GROUPS,
 ) -> list[bytes]:
-    """At most GROUPS states: ``work`` makes one of each partition, ``combine`` merges those of a group in executors.
+    """At most ``groups`` states: ``work`` makes one of each partition, ``combine`` merges those of a group in executors.
 
     States merge in the order of their partitions, so sums don't depend on which task ends first. With
     ``parts``, the number of partitions, groups are runs of partitions and the list keeps their order, as
-    ``combine`` that doesn't commute needs; up to GROUPS partitions nothing is left to merge. Without it,
+    ``combine`` that doesn't commute needs; up to ``groups`` partitions nothing is left to merge. Without it,
     groups are dealt round.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, part = work(batches), TaskContext.get().partitionId()
         if state is not None:
-            yield _states([(part % GROUPS if parts is None else part * GROUPS // parts, part, state)])
+            yield _states([(part % groups if parts is None else part * groups // parts, part, state)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, b""
@@ -56,21 +59,26 @@ def merged_states(
             yield _states([(now, 0, state)])
 
     states = rows.mapInArrow(made, _SCHEMA)
-    if parts is None or parts > GROUPS:
+    if parts is None or parts > groups:
         states = states.repartition("grp").sortWithinPartitions("grp", "part").mapInArrow(merge, _SCHEMA)
     return [bytes(r["state"]) for r in sorted(states.collect(), key=lambda r: (r["grp"], r["part"]))]
 
 
 def array_sums(
-    rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int, kind: type = np.float64, parts: int | None = None
+    rows: DataFrame,
+    work: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
+    width: int,
+    kind: type = np.float64,
+    parts: int | None = None,
 ) -> np.ndarray:
-    """The sum of the arrays of ``width`` numbers that ``work`` makes of each partition."""
+    """The sum of the arrays of ``width`` numbers that ``work`` makes of each partition; wide ones merge into fewer."""
 
     def add(a: bytes, b: bytes) -> bytes:
         return (np.frombuffer(a, dtype=kind) + np.frombuffer(b, dtype=kind)).tobytes()
 
     out = np.zeros(width, dtype=kind)
-    for state in merged_states(rows, lambda batches: work(batches).astype(kind, copy=False).tobytes(), add, parts):
+    groups = max(1, min(GROUPS, DRIVER_NUMBERS // width))
+    for state in merged_states(rows, lambda batches: work(batches).astype(kind, copy=False).tobytes(), add, parts, groups):
         out += np.frombuffer(state, dtype=kind)
     return out
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrad.functions.vectors import affine, checked
+from loomgrad.operators.merging import array_sums, count_with_parts, merged_states
 from loomgrad.operators.validate import validate_training_table
-from loomgrad.session import cut_lineage
 
 KINDS = ("min_max", "mean", "z_score", "max_abs", "robust", "none")
 
@@ -49,45 +52,107 @@ def column_statistics(df: DataFrame, n_features: int, group_cols: tuple[str, ...
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), *[F.array(*v).alias(k) for k, v in arrays.items()])
 
 
-def exact_percentiles(df: DataFrame, shares: tuple[float, ...], partitions: int | None = None) -> dict[int, list[float]]:
+#: Bits that a pass over the rows tells apart, and values of a place that are few enough to be read.
+DIGIT_BITS, FEW_VALUES = 11, 1000
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order: negative ones inverted, others above them. Both zeros are one."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _digit_counts(features: DataFrame, prefixes: list[np.ndarray], known: int, bits: int, parts: int) -> np.ndarray:
+    """(prefix, digit) counts, prefixes of all features in turn: how the values that begin with each prefix go on."""
+    starts, size = np.cumsum([0, *map(len, prefixes)]), 1 << bits
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        counts = np.zeros(int(starts[-1]) * size, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = ordered_bits(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            for j, known_prefixes in enumerate(prefixes):
+                if not len(known_prefixes):
+                    continue
+                head = u[:, j] >> np.uint64(64 - known) if known else np.zeros(len(u), dtype=np.uint64)
+                at = np.minimum(np.searchsorted(known_prefixes, head), len(known_prefixes) - 1)
+                mine = known_prefixes[at] == head
+                digit = (u[mine, j] >> np.uint64(64 - known - bits)) & np.uint64(size - 1)
+                counts[starts[j] * size : starts[j + 1] * size] += np.bincount(at[mine] * size + digit.astype(np.int64), minlength=len(known_prefixes) * size)
+        return counts
+
+    return array_sums(features, work, int(starts[-1]) * size, np.int64, parts).reshape(-1, size)
+
+
+def exact_percentiles(df: DataFrame, shares: tuple[float, ...], n_features: int) -> list[list[float]]:
     """Feature -> interpolated percentiles at position share * (n - 1), for any number of rows.
 
-    The long form (feature, value) is range-partitioned and sorted; counts per partition turn places
-    in a partition into ranks, and only the few ranks next to a percentile are collected. Equal to
-    ``percentile``, whose one buffer per feature grows with the distinct values.
+    Radix selection: counts of leading bits tell in which range a rank lies, and the next pass tells the
+    values of that range apart, for all features and shares at once. Once a range holds few values they are
+    read. Two to six passes over stored features; no row is shuffled, and the driver gets counts only. Equal
+    to ``percentile``, whose one buffer a feature grows with the distinct values.
     """
-    spark = df.sparkSession
-    long = df.select(F.posexplode("features").alias("j", "value"))
-    n_partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = long.repartitionByRange(n_partitions, "j", "value").sortWithinPartitions("j", "value")
-    # The generated id holds the partition above bit 33 and the place in it below.
-    placed = cut_lineage(dealt.withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33).alias("part")
-    counts = placed.groupBy("j", part).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    before = Window.partitionBy("j").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("j")
-    ranges = counts.select(
-        F.col("j").alias("k"), F.col("part"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total")
-    )
-    ranked = placed.join(ranges, (F.col("j") == F.col("k")) & (F.shiftright("place", 33) == F.col("part")))
-    rank = F.col("place") - F.col("first") + F.col("offset")
-    wanted = F.array(*[f(F.lit(float(q)) * (F.col("total") - 1)) for q in shares for f in (F.floor, F.ceil)])
-    rows = ranked.withColumn("rank", rank).filter(F.array_contains(wanted, F.col("rank"))).select("j", "rank", "value", "total").collect()
-    found: dict[int, dict[int, float]] = {}
-    totals: dict[int, int] = {}
-    for r in rows:
-        found.setdefault(r["j"], {})[r["rank"]] = r["value"]
-        totals[r["j"]] = r["total"]
-    out = {}
-    for j, by_rank in found.items():
-        out[j] = []
-        for q in shares:
-            at = q * (totals[j] - 1)
-            low, high = math.floor(at), math.ceil(at)
-            out[j].append(by_rank[low] + (at - low) * (by_rank[high] - by_rank[low]))
+    features = df.select("features").persist()
+    try:
+        n, parts = count_with_parts(features)
+        ranks = sorted({f(q * (n - 1)) for q in shares for f in (math.floor, math.ceil)})
+        # (feature, rank) -> (prefix, rank among the values with that prefix)
+        places = {(j, r): (0, r) for j in range(n_features) for r in ranks}
+        known, found = 0, {}
+        while places and known < 64:
+            bits = min(DIGIT_BITS, 64 - known)
+            prefixes = [np.array(sorted({p for (k, _), (p, _) in places.items() if k == j}), dtype=np.uint64) for j in range(n_features)]
+            counts, row = _digit_counts(features, prefixes, known, bits, parts), 0
+            known, sizes, after = known + bits, {}, {}
+            below = {}
+            for j, of in enumerate(prefixes):
+                for p in of.tolist():
+                    below[j, p], row = (np.cumsum(counts[row]), counts[row]), row + 1
+            for (j, r), (p, rank) in places.items():
+                upto, here = below[j, p]
+                digit = int(np.searchsorted(upto, rank, side="right"))
+                after[j, r] = (p << bits | digit, rank - int(upto[digit] - here[digit]))
+                sizes[j, r] = int(here[digit])
+            places = after
+            if known < 64 and max(sizes.values()) <= FEW_VALUES:
+                found = _values_below(features, places, known, parts)
+                places = {}
+        for key, (p, _) in places.items():  # all bits are known
+            bits = np.array([p], dtype=np.uint64)
+            found[key] = float(np.where(bits >> np.uint64(63) == 1, bits ^ np.uint64(1 << 63), ~bits).view(np.float64)[0])
+    finally:
+        features.unpersist()
+    out = []
+    for j in range(n_features):
+        at = [(q * (n - 1), found[j, math.floor(q * (n - 1))], found[j, math.ceil(q * (n - 1))]) for q in shares]
+        out.append([low + (place - math.floor(place)) * (high - low) for place, low, high in at])
     return out
 
 
+def _values_below(features: DataFrame, places: dict, known: int, parts: int) -> dict[tuple[int, int], float]:
+    """The values at ``places``, whose prefixes have FEW_VALUES values each at most, which are read."""
+    wanted: dict[int, np.ndarray] = {}
+    for (j, _), (p, _) in places.items():
+        wanted[j] = np.unique(np.append(wanted.get(j, np.empty(0, dtype=np.uint64)), np.uint64(p)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        out = []
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for j, prefixes in wanted.items():
+                    mine = x[np.isin(ordered_bits(x[:, j]) >> np.uint64(64 - known), prefixes), j]
+                    out.append(np.column_stack([np.full(len(mine), float(j)), mine]))
+        return np.concatenate(out).tobytes() if out else None
+
+    states = merged_states(features, work, lambda a, b: a + b, parts)
+    rows = np.concatenate([np.frombuffer(s).reshape(-1, 2) for s in states])
+    by_feature = {j: np.sort(rows[rows[:, 0] == j, 1]) for j in wanted}
+    heads = {j: ordered_bits(x) >> np.uint64(64 - known) for j, x in by_feature.items()}
+    return {(j, r): float(by_feature[j][heads[j] == np.uint64(p)][rank]) for (j, r), (p, rank) in places.items()}
+
+
 @dataclass(frozen=True)
 class Scaler:
     """A scaling rule. ``fit`` reads training rows only and returns a :class:`FittedScaler`.
@@ -95,7 +160,7 @@ class Scaler:
     min_max: to [target_min, target_max], a constant feature to the middle. mean: by mean and range, a
     constant feature to 0. z_score: population deviation. max_abs. robust: median and interquartile
     range. In the last three a zero divisor counts as 1. none: as it is.
-    ``percentiles`` (robust): 'exact' for one buffer per feature, 'distributed' for any size,
+    ``percentiles`` (robust): 'exact' for radix selection, on any size ('distributed' means the same),
     'approx' for Spark's approximate percentiles, which don't interpolate.
     """
 
@@ -142,12 +207,10 @@ class Scaler:
 
     def _fit_robust(self, train: DataFrame, d: int) -> FittedScaler:
         shares = (0.25, 0.5, 0.75)
-        if self.percentiles == "distributed":
-            found = exact_percentiles(train, shares)
-            quartiles = [found[j] for j in range(d)]
+        if self.percentiles == "approx":
+            quartiles = train.agg(F.array(*[F.percentile_approx(F.col("features")[j], list(shares)) for j in range(d)])).first()[0]
         else:
-            percentile = F.percentile if self.percentiles == "exact" else F.percentile_approx
-            quartiles = train.agg(F.array(*[percentile(F.col("features")[j], list(shares)) for j in range(d)])).first()[0]
+            quartiles = exact_percentiles(train, shares, d)
         return self._scaler([q[1] for q in quartiles], [(q[2] - q[0]) or 1.0 for q in quartiles])
 
     def _scaler(self, centre, scale, factor=None, base=None) -> FittedScaler:

@@ -83,6 +83,29 @@ def test_split_sizes_and_repeatability(spark):
     assert a != {r["id"]: r["split"] for r in splits.train_test_split(df, seed=1).collect()}
 
 
+@pytest.mark.parametrize("few", [1000, 2])
+def test_splits_take_the_first_rows_of_the_order_and_move_none(spark, monkeypatch, few):
+    monkeypatch.setattr(splits, "FEW_ROWS", few)
+    rows = table(spark, [((i,), i % 3) for i in range(400)])
+    key = {i: hashlib.md5(f"{i}:42".encode()).hexdigest() for i in range(400)}
+    whole = splits.train_test_split(rows)
+    assert {r["id"] for r in whole.filter("split = 'train'").collect()} == set(sorted(key, key=key.get)[:320])
+    strata = splits.stratified_split(rows, 0.7)
+    want = {i for t in range(3) for i in sorted((i for i in key if i % 3 == t), key=key.get)[: math.floor(sum(i % 3 == t for i in key) * 0.7)]}
+    assert {r["id"] for r in strata.filter("split = 'train'").collect()} == want
+    for df in (whole, strata):
+        assert not any(kind in df._jdf.queryExecution().executedPlan().toString() for kind in ("hashpartitioning", "rangepartitioning", "SinglePartition"))
+    monkeypatch.setattr(splits, "STRATA", 2)
+    assert {r["id"] for r in splits.stratified_split(rows, 0.7).filter("split = 'train'").collect()} == want
+
+
+def test_rows_that_share_an_id_stay_together(spark):
+    rows = spark.createDataFrame([(i if i < 40 else None if i < 60 else 1000, [1.0], 0.0) for i in range(2000)], SCHEMA)
+    for df in (splits.train_test_split(rows), splits.stratified_split(rows)):
+        sides = {(r["id"], r["split"]) for r in df.collect()}
+        assert len(sides) == 42 and (None, "train") in sides and df.filter("split = 'train'").count() <= 1600
+
+
 @pytest.mark.parametrize("ratio", [0.0, 1.0, float("nan"), 0.05])
 def test_bad_splits_are_refused(spark, ratio):
     with pytest.raises(ValueError):
@@ -157,12 +180,27 @@ def test_scaler_options_and_wide_rows(spark):
     assert got == pytest.approx((x - x.mean(0)) / x.std(0))
 
 
-def test_distributed_percentiles_equal_numpy(spark):
+@pytest.mark.parametrize("few", [1000, 3, 0])
+def test_selected_percentiles_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(scaling, "FEW_VALUES", few)  # 0: down to the last bit
     rng = np.random.default_rng(1)
-    x = np.column_stack([rng.normal(size=501), rng.integers(0, 4, size=501), np.full(501, 3.0)])
-    found = scaling.exact_percentiles(table(spark, [(r, 0) for r in x.tolist()]).repartition(5), (0.1, 0.25, 0.5, 0.75), 7)
-    for j in range(3):
-        assert found[j] == pytest.approx(np.quantile(x[:, j], [0.1, 0.25, 0.5, 0.75]))
+    n = 501
+    columns = [rng.normal(size=n), rng.integers(-3, 4, size=n), np.full(n, 3.0), rng.normal(size=n) * 1e-300, rng.choice([-0.0, 0.0, 5e-324, -1e308], size=n)]
+    x = np.column_stack(columns)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    found = scaling.exact_percentiles(table(spark, [(r, 0) for r in x.tolist()]).repartition(5), shares, 5)
+    for j in range(5):
+        assert found[j] == pytest.approx(np.quantile(x[:, j], shares), abs=0)
+    df = table(spark, [(r, 0) for r in x.tolist()])
+    built_in = df.agg(*[F.percentile(F.col("features")[j], list(shares)) for j in range(5)]).first()
+    assert [list(built_in[j]) for j in range(5)] == [pytest.approx(f) for f in found]
+
+
+def test_robust_scaling_moves_no_row(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(scaling, "array_sums", lambda rows, *a, sums=scaling.array_sums: plans.append(rows._jdf.queryExecution().toString()) or sums(rows, *a))
+    scaling.Scaler("robust").fit(table(spark, [((i, -i), 0) for i in range(50)]))
+    assert plans and not any("Exchange" in p for p in plans)
 
 
 # --- training ---------------------------------------------------------------------------------
