@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -257,52 +259,73 @@ class Matcher:
         return at, number[at]
 
     def best(self, at: np.ndarray, number: np.ndarray) -> dict[str, tuple[float, int, int, int]]:
-        """Licence -> (coefficient, template, first word, end word) of its best window, from the hits of a text.
+        """Licence -> (coefficient, template, first word, end word) of its best match, from the hits of a text.
 
-        A best window begins and ends with a shared bigram. Ties: the earliest, then the shortest window,
-        then the first template. A licence whose best window overlaps that of a better match is left out.
+        Matches are chosen among all windows of words, the most similar first, so that none overlaps one chosen
+        before: a notice belongs to the licence that it is most like, and another beside it is still found. A
+        window begins and ends with a shared bigram. Ties: the earliest, then the shortest window, then the
+        first template. The heap holds the best window of each start; one that meets a chosen match is
+        searched again for what ends before that.
         """
         if len(at) < self.need.min():
             return {}
-        best: dict[str, tuple] = {}
+        starts: list[tuple] = []
         for row in np.flatnonzero(self.within[number].sum(axis=0) >= self.need).tolist():
-            template = self.templates[row]
             mine = self.times[row, number] > 0
-            for key in self._windows(at[mine], number[mine], row):
-                if template.licence not in best or key < best[template.licence]:
-                    best[template.licence] = key
-        # Licences that share their words find the same notice: it belongs to the one that it is most like.
-        out: dict[str, tuple] = {}
-        for licence, (score, start, size, template) in sorted(best.items(), key=lambda item: item[1]):
-            end = start + size + 1
-            if all(end <= other[2] or start >= other[3] for other in out.values()):
-                out[licence] = (-score, template, start, end)
+            windows = _Windows(self, at[mine], number[mine], row)
+            starts += [(*key, row, i, windows) for i in windows.starts if (key := windows.best(i))]
+        heapify(starts)
+        begins, ends, out = [], [], {}
+        while starts:
+            score, start, size, template, row, i, windows = heappop(starts)
+            end, place = start + size + 1, bisect_right(begins, start)
+            if place and ends[place - 1] > start:
+                continue
+            if place < len(begins) and begins[place] < end:
+                if key := windows.best(i, begins[place]):
+                    heappush(starts, (*key, row, i, windows))
+                continue
+            begins.insert(place, start)
+            ends.insert(place, end)
+            out.setdefault(self.templates[row].licence, (-score, template, start, end))
         return out
 
-    def _windows(self, at: np.ndarray, number: np.ndarray, row: int) -> Iterator[tuple[float, int, int, int]]:
-        template = self.templates[row]
-        low, high = size_bounds(template.size, self.least)
+
+class _Windows:
+    """The windows of a text that can match one template, by the hit that they start with."""
+
+    def __init__(self, matcher: Matcher, at: np.ndarray, number: np.ndarray, row: int) -> None:
+        self.at, self.template, self.least = at, matcher.templates[row], matcher.least
+        self.low, high = size_bounds(self.template.size, self.least)
         index = np.arange(len(at))
-        last = np.searchsorted(at, at + high, side="left") - 1  # of the windows within the size bound
-        starts = np.flatnonzero(last - index + 1 >= self.need[row])
-        if not len(starts):
-            return
+        self.last = np.searchsorted(at, at + high, side="left") - 1  # of the windows within the size bound
+        self.starts = np.flatnonzero(self.last - index + 1 >= matcher.need[row]).tolist()
         # A hit counts in a window if fewer than the template's times of its bigram come before it there:
         # ``before`` is the hit that has to lie outside.
         order = np.lexsort((index, number))
         group = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
         first = np.repeat(group, np.diff(np.concatenate([group, [len(at)]])))
-        back = index - self.times[row, number[order]]
-        before = np.empty(len(at), dtype=np.int64)
-        before[order] = np.where(back >= first, order[np.maximum(back, 0)], -1)
-        for i in starts.tolist():
-            j = int(last[i]) + 1
-            size = at[i:j] - at[i] + 1
-            score = 2 * np.cumsum(before[i:j] < i) / (size + template.size)
-            score[size < low] = 0.0
-            k = int(np.argmax(score))
-            if score[k] >= self.least - 1e-9:
-                yield -float(score[k]), int(at[i]), int(size[k]), template.number
+        back = index - matcher.times[row, number[order]]
+        self.before = np.empty(len(at), dtype=np.int64)
+        self.before[order] = np.where(back >= first, order[np.maximum(back, 0)], -1)
+
+    def __lt__(self, other: _Windows) -> bool:
+        return False  # keys, templates and starts tell entries of a heap apart
+
+    def best(self, i: int, before_word: int | None = None) -> tuple[float, int, int, int] | None:
+        """(-coefficient, first word, bigrams, template) of the best window from hit ``i``, that ends before a word if given."""
+        j = int(self.last[i]) + 1
+        if before_word is not None:
+            j = min(j, int(np.searchsorted(self.at, before_word - 1)))
+        if j <= i:
+            return None
+        size = self.at[i:j] - self.at[i] + 1
+        score = 2 * np.cumsum(self.before[i:j] < i) / (size + self.template.size)
+        score[size < self.low] = 0.0
+        k = int(np.argmax(score))
+        if score[k] < self.least - 1e-9:
+            return None
+        return -float(score[k]), int(self.at[i]), int(size[k]), self.template.number
 
 
 def best_matches(text: str, templates: list[Template], least: float) -> dict[str, tuple[float, int, int, int]]:
@@ -351,7 +374,8 @@ def scan_licences(
 
     Words are lower-cased runs of letters and digits of the whole text. All windows of words within the
     size bounds are compared with the templates of ``notices`` (licence -> texts; the driver's argument,
-    shipped with the tasks) as bags of word bigrams; of overlapping matches the best stays. A row of ``docs`` without enough known bigrams is
+    shipped with the tasks) as bags of word bigrams. Matches are chosen among all windows, the best first, without
+    overlap. A row of ``docs`` without enough known bigrams is
     passed over after one vectorised test; nothing is shuffled.
 
     Null or empty texts match nothing. Repeated rows are matched alike; null ids stay null. Templates

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from llm.helpers import documents, edge_documents, empty_documents
@@ -57,9 +58,9 @@ def plain_words(text: str) -> list[str]:
 
 
 def plain_scan(text: str, notices: dict[str, list[str]], least: float) -> dict[str, float]:
-    """All windows of words against all templates, without bounds; the best of overlapping licences."""
+    """Matches chosen among all windows of words and all templates, the best first, without overlap."""
     grams = list(zip(plain_words(text), plain_words(text)[1:]))
-    best: dict[str, tuple] = {}
+    found, order = [], {(x.licence, x.number): k for k, x in enumerate(licenses.load_templates(notices))}
     for licence, texts in notices.items():
         for number, template in enumerate(map(plain_words, texts)):
             there = Counter(zip(template, template[1:]))
@@ -71,21 +72,46 @@ def plain_scan(text: str, notices: dict[str, list[str]], least: float) -> dict[s
                     shared += seen[grams[j]] < there[grams[j]]
                     seen[grams[j]] += 1
                     score = 2 * shared / (j - i + 1 + there.total())
-                    key = (-score, i, j - i + 1, number)
-                    if score >= least - 1e-9 and key < best.get(licence, (0,)):
-                        best[licence] = key
+                    if score >= least - 1e-9:
+                        found.append((-score, i, j - i + 1, number, order[licence, number], licence))
     taken, out = set(), {}
-    for licence, (score, i, size, _) in sorted(best.items(), key=lambda item: item[1]):
+    for score, i, size, *_, licence in sorted(found):
         words = set(range(i, i + size + 1))
         if not words & taken:
             taken |= words
-            out[licence] = -score
+            out.setdefault(licence, -score)
     return out
 
 
+def test_a_notice_beside_a_similar_one_is_found():
+    templates, mit = licenses.load_templates(licenses.NOTICES), licenses.NOTICES["MIT"][-1]
+    words = licenses.NOTICES["MIT-0"][-1].split()
+    for k in range(len(words) // 9):
+        words[9 * k + 4] = f"changed{k}"
+    altered = " ".join(words)
+    alone = licenses.best_matches(altered, templates, 0.7)["MIT-0"][0]
+    for text in (mit + " and besides " + altered, altered + " and besides " + mit):
+        got = licenses.best_matches(text, templates, 0.7)
+        assert got["MIT"][0] > 0.99 and got["MIT-0"][0] == pytest.approx(alone, abs=0.02)
+        assert {k: v[0] for k, v in got.items()} == pytest.approx(plain_scan(text, licenses.NOTICES, 0.7))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_of_crowded_texts_equal_brute_force(seed):
+    """Few words, so that templates overlap each other at every place."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: " ".join(rng.choice(["a", "b", "c", "d", "e"], size=n))
+    notices = {"x": [words(6), words(4)], "y": [words(7)], "z": [words(5)]}
+    templates = licenses.load_templates(notices)
+    for _ in range(60):
+        text = words(40)
+        got = {k: v[0] for k, v in licenses.best_matches(text, templates, 0.7).items()}
+        assert got == pytest.approx(plain_scan(text, notices, 0.7))
+
+
 def test_licence_query_equals_brute_force(spark, sf_dir):
     got = {(r["doc_id"], r["licence"]): r["dice"] for r in licenses.op4_dice_licences(spark, sf_dir).collect()}
-    docs = [(d, t) for d, t in documents(spark, sf_dir) if d < 250 and len(t) < 4000]
+    docs = [(d, t) for d, t in documents(spark, sf_dir) if len(t) < 30_000]
     ids = {d for d, _ in docs}
     want = {(d, k): v for d, t in docs for k, v in plain_scan(t, licenses.NOTICES, 0.8).items()}
     assert {k: v for k, v in got.items() if k[0] in ids} == pytest.approx(want, abs=1e-6) and want
