@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrad.llm.common import id_and_text, read_table
+from loomgrad.llm.common import broadcast_if_small, id_and_text, read_table
 from loomgrad.llm.wordhash import mix, pieces, run_hashes, sliding_argmin, word_hash_pairs, word_spans
-from loomgrad.session import materialise
+from loomgrad.session import cut_lineage, materialise
 
 WINDOW_WORDS = 20
 PREFIX_WORDS = 6
@@ -166,10 +166,7 @@ def _grow_subtrees(window: int):
 
     def covered(rows: pa.Table) -> pa.RecordBatch:
         did, place = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        # A repeated row of the input is the same leaf.
-        fresh = np.concatenate([[True], (did[1:] != did[:-1]) | (place[1:] != place[:-1])])
-        did, place, words = did[fresh], place[fresh], rows.column(3).filter(pa.array(fresh)).to_pylist()
-        run, offset = repeated_windows(words, did, place, window)
+        run, offset = repeated_windows(rows.column(3).to_pylist(), did, place, window)
         begins = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(run) else run
         n = np.diff(np.concatenate([begins, [len(run)]])).astype(np.int32)
         return pa.RecordBatch.from_arrays(
@@ -249,12 +246,22 @@ def _remove(window: int):
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(kept, pa.string()),
                 ],
-                names=["did", "n_words", "n_removed", "removed_spans", "kept_text"],
+                names=["doc_id", "n_words", "n_removed", "removed_spans", "kept_text"],
             )
 
     return remove
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """One of the rows (did, th, text) that are equal. Ids are counted first: without repeats no text is moved."""
+    again = cut_lineage(texts.groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("did", "th"))
+    if not again.limit(1).count():
+        return texts
+    listed = broadcast_if_small(again)
+    alone = texts.join(listed, ["did", "th"], "left_anti")
+    return alone.unionByName(materialise(texts.join(listed, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])))
+
+
 def remove_repeated_windows(
     docs: DataFrame,
     window_words: int = WINDOW_WORDS,
@@ -275,18 +282,17 @@ def remove_repeated_windows(
     more paths is lengthened to the window. Counts and minima are partially aggregated and rows return to
     their text by id, so a passage that a third of all documents share is never gathered in one task.
 
-    Null or empty text has no words. Null ids come first. Rows with one id and different texts are
-    ordered by a text hash; fully repeated rows count as one document and get equal results. Other
-    columns are ignored. No rows in, no rows out.
+    Null or empty text has no words. Null ids come first, in the order of a text hash. Rows with one id and
+    different texts are ordered by a text hash; fully repeated rows count as one document, of which one
+    is worked on, and get equal results. Other columns are ignored. No rows in, no rows out.
     """
     if not 1 <= prefix_words <= window_words:
         raise ValueError("prefix_words must be between 1 and window_words")
     base = id_and_text(docs, id_col, text_col)
-    texts = base.select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"),
-        F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"),
-        "text",
-    )
+    hashed = F.xxhash64("text")
+    nameless = F.lit(_NO_ID) + F.shiftrightunsigned(hashed, 2)  # rows without an id are told apart by 62 more bits
+    rows = base.select("doc_id", F.coalesce("doc_id", nameless).alias("did"), hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), "text")
+    texts = _one_of_each(rows.drop("doc_id"))
     runs = texts.mapInArrow(
         _emit_runs(window_words, prefix_words), "prefix long, path long, did long, place long, n int"
     )
@@ -330,14 +336,12 @@ def remove_repeated_windows(
     marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("kind", "start", "n")).alias("marks"))
     none = F.array().cast("array<struct<kind:int,start:int,n:int>>")
     return (
-        texts.join(marks, ["did", "th"], "left")
-        .select("did", "th", "text", F.coalesce("marks", none).alias("marks"))
+        rows.join(marks, ["did", "th"], "left")
+        .select("doc_id", "th", "text", F.coalesce("marks", none).alias("marks"))
         .mapInArrow(
             _remove(window_words),
-            "did long, n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_text string",
+            "doc_id long, n_words long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_text string",
         )
-        .withColumn("doc_id", F.nullif("did", F.lit(_NO_ID)))
-        .select("doc_id", "n_words", "n_removed", "removed_spans", "kept_text")
     )
 
 

@@ -406,3 +406,24 @@ def test_repeated_windows_edges(spark):
     assert substring_dedup.remove_repeated_windows(empty_documents(spark)).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.remove_repeated_windows(edge_documents(spark), 3, 4)
+
+
+def test_many_repeated_rows_cost_no_more_than_distinct_ones(spark):
+    """Rows with one id, or none, and one text are one document; each gets its result."""
+    rng = np.random.default_rng(15)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 50, size=400))
+    n = 3000
+    repeated = spark.createDataFrame([(None, text)] * n + [(7, text)] * n + [(8, "a " + text)], "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeated_windows(repeated).collect())
+    want = plain_removal([(-1, text), (7, text), (8, "a " + text)], 20)
+    assert sum(got.values()) == 2 * n + 1 and len(got) == 3
+    for (d, n_words, n_removed, kept), times in got.items():
+        assert times == (1 if d == 8 else n)
+        assert (n_words, n_removed) == want[-1 if d is None else d][:2] and n_words == 400 + (d == 8)
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    texts = [" ".join(f"{k}x{i}" for i in range(30)) for k in range(300)]
+    rows = spark.createDataFrame([(None, t) for t in texts] + [(5, texts[3])], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeated_windows(rows).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0)] * 300 + [(5, 30)], key=str)
