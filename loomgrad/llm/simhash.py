@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loomgrad.llm.common import broadcast_if_small, fresh_name, id_and_text, read_table, unsigned_hex
 from loomgrad.llm.components import connected_components
+from loomgrad.llm.exact_links import exact_components
 from loomgrad.llm.wordhash import mix, pieces, run_hashes, word_hashes, word_spans
 from loomgrad.session import cut_lineage, materialise
 
@@ -21,6 +22,8 @@ HASH_SEED = 42
 MAX_DISTANCE = 4
 #: Rows of an anchor that one task compares with each other; larger anchors are cut into a grid.
 ANCHOR_ROWS = 4096
+#: Pairs of a cell up to which it is compared together with others.
+SMALL_CELL = 4096
 #: Pairs that a task compares at once: what bounds its memory.
 PAIRS_AT_ONCE = 100_000
 #: Hot anchors up to this many are broadcast: 16 bytes each.
@@ -181,8 +184,17 @@ def distances(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints ^ other).sum(axis=-1, dtype=np.int64)
 
 
+#: (n, columns) and (columns) or (n, columns) -> how far apart the rows are.
+Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def spanning_links(
-    homes: np.ndarray, home_nodes: np.ndarray, others: np.ndarray, other_nodes: np.ndarray, max_distance: int = MAX_DISTANCE
+    homes: np.ndarray,
+    home_nodes: np.ndarray,
+    others: np.ndarray,
+    other_nodes: np.ndarray,
+    max_distance: int = MAX_DISTANCE,
+    distance: Distance = distances,
 ) -> list[tuple[int, int]]:
     """Links that connect all that the pairs (home, other) within the distance connect: a spanning forest.
 
@@ -201,7 +213,7 @@ def spanning_links(
             unvisited = left[not is_home]
             if not len(unvisited):
                 continue
-            near = distances(prints[not is_home][unvisited], prints[is_home][at]) <= max_distance
+            near = distance(prints[not is_home][unvisited], prints[is_home][at]) <= max_distance
             if not near.any():
                 continue
             for y in unvisited[near].tolist():
@@ -212,27 +224,22 @@ def spanning_links(
     return links
 
 
-def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bool = False):
-    """Rows come sorted by cell: the anchor, the part of its grid (with the lowest bit: home), fingerprints.
+def compare_cells(n_prints: int, max_distance: int, named: bool = False, distance: Distance = distances):
+    """(u, v): links that connect what the pairs of each cell connect that are within the distance.
 
-    ``named``: a column with the node's id follows; links have their distance, and those of dense
-    cells are marked. ``labelled``: a label follows too; all pairs with different labels are links,
-    dense cells or not.
+    Rows come sorted by cell: the anchor, the part of its grid (with the lowest bit: home), fingerprints.
+    ``named``: a column with the node's id follows.
     """
-    bound = ANCHOR_ROWS * ANCHOR_ROWS if named else 4096
-    n_columns = n_prints + named + labelled
-    schema_names = ["u", "v", "dense", "apart"] if named else ["u", "v"]
 
     def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         prints = np.ascontiguousarray(rows[:, :n_prints]).view(np.uint64)
         node = np.ascontiguousarray(rows[:, n_prints]) if named else node_ids(prints)
-        label = np.ascontiguousarray(rows[:, n_prints + 1]) if labelled else node
         edge = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
         begins, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(prints)]])
         n_home = np.add.reduceat(home.astype(np.int64), begins)
         size = ends - begins
-        us, vs, far = ([np.empty(0, dtype=np.int64)] for _ in range(3))
-        small = (n_home > 0) & (size > 1) & ((n_home * size <= bound) | labelled)
+        us, vs = ([np.empty(0, dtype=np.int64)] for _ in range(2))
+        small = (n_home > 0) & (size > 1) & (n_home * size <= SMALL_CELL)
         dense = (n_home > 0) & (size > 1) & ~small
         if small.any():  # many small cells at once: each home row against each row of its cell
             cell_of = np.repeat(np.arange(len(begins)), size)
@@ -242,28 +249,20 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
                 left = np.repeat(part, reps)
                 ahead = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
                 right = np.repeat(begins[cell_of[part]], reps) + ahead
-                apart = distances(prints[left], prints[right])
-                near = (apart <= max_distance) & (label[left] != label[right]) & ~(home[right] & (left > right))
-                left, right, apart = left[near], right[near], apart[near]
+                near = (distance(prints[left], prints[right]) <= max_distance) & (node[left] != node[right]) & ~(home[right] & (left > right))
+                left, right = left[near], right[near]
                 # A cell with more near pairs than rows is a dense group: a forest will do.
-                if not labelled:
-                    dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
+                dense |= np.bincount(cell_of[left], minlength=len(begins)) > size
                 few = ~dense[cell_of[left]]
                 us.append(node[left[few]])
                 vs.append(node[right[few]])
-                far.append(apart[few])
-        plain = sum(map(len, us))
         for k in np.flatnonzero(dense):
             mine, own = slice(begins[k], ends[k]), home[begins[k] : ends[k]]
-            # Named nodes are verified afterwards: a forest of close ones holds when one of far ones does not.
-            for reach in (max_distance // 4, max_distance) if named else (max_distance,):
-                if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], reach):
-                    pair = np.array(found, dtype=np.int64)
-                    us.append(pair[:, 0])
-                    vs.append(pair[:, 1])
-                    far.append(np.full(len(pair), reach))
-        out = [np.concatenate(us), np.concatenate(vs)]
-        return [*out, np.arange(len(out[0])) >= plain, np.concatenate(far).astype(np.int32)] if named else out
+            if found := spanning_links(prints[mine][own], node[mine][own], prints[mine], node[mine], max_distance, distance):
+                pair = np.array(found, dtype=np.int64)
+                us.append(pair[:, 0])
+                vs.append(pair[:, 1])
+        return [np.concatenate(us), np.concatenate(vs)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -271,19 +270,17 @@ def _compare(n_prints: int, max_distance: int, named: bool = False, labelled: bo
             if not batch.num_rows:
                 continue
             cell = _longs(batch, range(2))
-            now = (cell >> np.array([0, 1]), (cell[:, 1] & 1).astype(bool), _longs(batch, range(2, 2 + n_columns)))
+            now = (cell >> np.array([0, 1]), (cell[:, 1] & 1).astype(bool), _longs(batch, range(2, 2 + n_prints + named)))
             if kept is not None:
                 now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
             cell = now[0]
             last = np.flatnonzero(np.any(cell != cell[-1], axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
             if cut:
-                found = links_of(*(x[:cut] for x in now))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema_names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(*(x[:cut] for x in now))], names=["u", "v"])
             kept = tuple(x[cut:] for x in now)
         if kept is not None and len(kept[0]):
-            found = links_of(*kept)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema_names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(*kept)], names=["u", "v"])
 
     return compare
 
@@ -300,12 +297,12 @@ def fingerprint_links(nodes: DataFrame, n_prints: int = 1, max_distance: int = M
     of the anchor is left out. The list of hot anchors is broadcast while it is short, else joined.
     """
     names = [f"f{i}" for i in range(n_prints)]
-    dealt = _dealt(nodes.select(*names), _covering(n_prints), names)
-    return dealt.mapInArrow(_compare(n_prints, max_distance), "u long, v long")
+    dealt = deal_entries(nodes.select(*names), _covering(n_prints), names)
+    return dealt.mapInArrow(compare_cells(n_prints, max_distance), "u long, v long")
 
 
-def _dealt(nodes: DataFrame, entries_of: Entries, names: list[str], counted: int = 1) -> DataFrame:
-    """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`_compare`.
+def deal_entries(nodes: DataFrame, entries_of: Entries, names: list[str], counted: int = 1) -> DataFrame:
+    """The entries of ``nodes`` with the columns ``names``, dealt and sorted by cell for :func:`compare_cells`.
 
     ``part`` is 2 * (line * 2**31 + column) of the anchor's grid, plus 1 for a home row. Hot anchors are
     found on one of ``counted`` nodes, by the hash of the first column: what a count gets wrong changes
@@ -422,7 +419,7 @@ def shingle_set(text: str, shingle_words: int) -> np.ndarray:
     return next(shingle_sets(pa.array([text]), shingle_words))[1]
 
 
-def _set_id(shingles: np.ndarray) -> int:
+def set_id(shingles: np.ndarray) -> int:
     """One long per shingle set: texts with equal sets are one node."""
     whole = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
     return int(mix(np.array([whole], dtype=np.uint64)).view(np.int64)[0])
@@ -445,7 +442,7 @@ def _set_prints(shingle_words: int):
                 counts = np.zeros((part.num_rows, SIMILAR_PRINTS, 64), dtype=np.int64)
                 n, node = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows, dtype=np.int64)
                 for row, found in shingle_sets(part.column(1), shingle_words):
-                    counts[row], n[row], node[row] = bit_counts(found, SIMILAR_PRINTS), len(found), _set_id(found)
+                    counts[row], n[row], node[row] = bit_counts(found, SIMILAR_PRINTS), len(found), set_id(found)
                 both = np.concatenate([majority(counts, n), weak_bits(counts, n)], axis=1).view(np.int64)
                 names = ["doc_id", "node", *_PRINTS, *_WEAK]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *(pa.array(c) for c in both.T.copy())], names=names)
@@ -474,63 +471,33 @@ def weak_entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.ones(len(owner), dtype=bool), owner
 
 
-def _emit_sets(shingle_words: int):
+def set_emitter(shingle_words: int):
+    """From (root, node, text) to (root, node, members): the shingle set of each text that is the node's."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            for row, found in shingle_sets(batch.column(1), shingle_words):
-                if _set_id(found) == node[row]:
-                    out.append((node[row], found.view(np.int64)))
-            columns = [pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "s"])
+            root, node, out = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)), [])
+            for row, found in shingle_sets(batch.column(2), shingle_words):
+                if set_id(found) == node[row]:
+                    out.append((root[row], node[row], found.view(np.int64)))
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["root", "node", "members"])
 
     return emit
 
 
-def _sets_of(linked: DataFrame, nodes: DataFrame, base: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, s): the shingle sets of the ``linked`` nodes, stored.
-
-    The text of one document of a node is read again, by its id; another text under the same id has
-    another node id and is left out.
-    """
-    wanted = cut_lineage(nodes.join(linked, "node", "left_semi").select("node", F.col("first_id").alias("doc_id")))
-    texts = base.join(broadcast_if_small(wanted), "doc_id").select("node", "text")
-    return materialise(texts.mapInArrow(_emit_sets(shingle_words), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
-
-
-def _verified(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, by exact intersection."""
-    left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    both = links.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("a", "b"))  # shared / (a + b - shared) >= 4 / 5
-    return cut_lineage(both.filter(shared * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
-
-
-def _both_ways(links: DataFrame, *more: str) -> DataFrame:
-    return links.select("u", "v", *more).unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), *more))
-
-
-def _nearest(links: DataFrame) -> DataFrame:
-    """The link of each node to the nearest other: at most as many links as nodes."""
-    best = _both_ways(links, "apart").groupBy("u").agg(F.min(F.struct("apart", "v")).alias("b"))
-    return best.select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
-
-
-def _crossing(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links between nodes that are not yet in one component."""
-    of_u, of_v = roots.toDF("u", "root_u"), roots.toDF("v", "root_v")
-    joined = links.join(of_u, "u", "left").join(of_v, "v", "left")
-    return joined.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
+def smallest_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest id of the component of each of the ``nodes`` (node, first_id)."""
+    rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(named, "root").select("node", "component_id")
 
 
 def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every row with an id: the smallest id that links of similarity 0.8 or more reach.
 
-    Candidates are pairs that share an anchor and are near; each is verified by exact similarity before
-    it links. Only what can change a component is verified: first the nearest candidate of each node,
-    then every candidate between nodes that are still apart. A dense cell first yields forests of
-    candidates; what they leave apart goes round again, when every candidate pair of its nodes that is
-    not yet in one component is verified.
+    Candidates are pairs that share an anchor and are near. What they connect is a cluster, in which the
+    shingle sets themselves are linked (:func:`~loomgrad.llm.exact_links.exact_components`).
 
     Null or wordless texts have the empty set and are one node. Repeated rows share a component. Other
     columns are ignored. No rows in, no rows out.
@@ -541,31 +508,10 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, id_col: str = "d
     tasks = min(ENTRY_TASKS, -(-printed.count() // ENTRY_NODES)) or 1
     nodes = materialise(printed.groupBy("node", *_PRINTS, *_WEAK).agg(F.min("doc_id").alias("first_id")).repartition(tasks, "node"))
     carried = [*_PRINTS[:COMPARED_PRINTS], "node"]
-    schema = "u long, v long, dense boolean, apart int"
-    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    dealt = _dealt(nodes.select(*_PRINTS, *_WEAK, "node"), weak_entries, carried, COUNTED_NODES)
-    found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), schema)
-    links = materialise(found.select(*ordered, "dense", "apart").groupBy("u", "v").agg(F.max("dense").alias("dense"), F.min("apart").alias("apart")))
-    sets = _sets_of(_both_ways(links).select(F.col("u").alias("node")).distinct(), nodes, base, shingle_words)
-    roots = connected_components(_verified(_nearest(links), sets))
-    joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    still = cut_lineage(_crossing(links, roots).select("u", "v"))
-    if still.limit(1).count():
-        roots = connected_components(joined.unionByName(_verified(still, sets)))
-        joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    crowd = _both_ways(links.filter("dense")).select(F.col("u").alias("node")).distinct()
-    labelled = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left")
-    again = materialise(labelled.select(*_PRINTS, *_WEAK, "node", F.coalesce("root", "node").alias("label")))
-    if again.select("label").distinct().limit(2).count() > 1:
-        dealt = _dealt(again, weak_entries, [*carried, "label"], COUNTED_NODES)
-        found = dealt.mapInArrow(_compare(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True, labelled=True), schema)
-        more = cut_lineage(found.select(*ordered).distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"))
-        if more.limit(1).count():
-            roots = connected_components(joined.unionByName(_verified(more, sets)))
-    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("node", "component_id")
-    return printed.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    dealt = deal_entries(nodes.select(*_PRINTS, *_WEAK, "node"), weak_entries, carried, COUNTED_NODES)
+    candidates = dealt.mapInArrow(compare_cells(COMPARED_PRINTS, SIMILAR_DISTANCE, named=True), "u long, v long")
+    roots = exact_components(nodes, candidates, base, set_emitter(shingle_words))
+    return printed.select("doc_id", "node").join(smallest_ids(nodes, roots), "node").select("doc_id", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
