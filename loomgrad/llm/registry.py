@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrad.llm import decontamination, exact_dedup, hard_negatives, language_id, licenses, mixing, secrets, sharding, simhash, substring_dedup, token_counts, whitening
+from loomgrad.llm import decontamination, exact_dedup, hard_negatives, language_id, licenses, minhash, mixing, secrets, sharding, simhash, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bm25_decontamination": decontamination.op9_bm25_decontamination,
         "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
         "op11_bit_sliced_whitening": whitening.op11_bit_sliced_whitening,
+        "op12_minhash_inverted_join": minhash.op12_minhash_inverted_join,
         "op13_hyperplane_tree_negatives": hard_negatives.op13_hyperplane_tree_negatives,
     }
 
