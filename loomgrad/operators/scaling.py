@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomgrad.functions.vectors import affine, checked
 from loomgrad.operators.merging import array_sums, count_with_parts, merged_states
-from loomgrad.operators.validate import validate_training_table
+from loomgrad.operators.validate import TableFacts, check_facts, fact_columns
 
 KINDS = ("min_max", "mean", "z_score", "max_abs", "robust", "none")
 
@@ -42,14 +42,18 @@ class FittedScaler:
 
 def column_statistics(df: DataFrame, n_features: int, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """n, and per feature min, max, mean and population variance as arrays: one aggregate."""
-    x = [F.col("features")[j] for j in range(n_features)]
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), *_statistics(n_features))
+
+
+def _statistics(n_features: int) -> list[Column]:
+    x = [F.get("features", F.lit(j)) for j in range(n_features)]  # null where a row is too short
     arrays = {
         "lows": [F.min(c) for c in x],
         "highs": [F.max(c) for c in x],
         "means": [F.avg(c) for c in x],
         "variances": [F.var_pop(c) for c in x],
     }
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), *[F.array(*v).alias(k) for k, v in arrays.items()])
+    return [F.array(*v).alias(k) for k, v in arrays.items()]
 
 
 #: Bits that a pass over the rows tells apart, and values of a place that are few enough to be read.
@@ -182,14 +186,34 @@ class Scaler:
         """``validated_features``: their number, if the caller has validated the table already."""
         if self.kind == "none":
             return FittedScaler("none")
-        d = validated_features or validate_training_table(train, caller=f"{self.kind} scaler").features
+        if not validated_features:
+            return self.fit_checked(train, caller=f"{self.kind} scaler")[1]
         if self.kind == "robust":
-            return self._fit_robust(train, d)
+            return self._fit_robust(train, validated_features)
+        return self._from_row(train.agg(*self._columns(validated_features)).first(), validated_features)
+
+    def fit_checked(self, train: DataFrame, binary: bool = False, caller: str = "fit") -> tuple[TableFacts, FittedScaler]:
+        """The facts of a table that is fit for training, and the scaler: checks and statistics in one pass.
+
+        The number of features is that of any one row; if others differ, the pass tells.
+        """
+        some = train.select(F.size("features").alias("d")).head()
+        columns = self._columns(some["d"]) if some and (some["d"] or 0) > 0 else []
+        row = train.agg(*fact_columns(), *columns).first()
+        facts = check_facts(row, binary, caller)
+        return facts, self._fit_robust(train, facts.features) if self.kind == "robust" else self._from_row(row, facts.features)
+
+    def _columns(self, d: int) -> list[Column]:
+        if self.kind == "max_abs":
+            return [F.array(*[F.max(F.abs(F.get("features", F.lit(j)))) for j in range(d)]).alias("tops")]
+        return _statistics(d) if self.kind in ("min_max", "mean", "z_score") else []
+
+    def _from_row(self, row: Row, d: int) -> FittedScaler:
+        if self.kind == "none":
+            return FittedScaler("none")
         if self.kind == "max_abs":
-            top = train.agg(F.array(*[F.max(F.abs(F.col("features")[j])) for j in range(d)])).first()[0]
-            return self._scaler([0.0] * d, [m or 1.0 for m in top])
-        s = column_statistics(train, d).first()
-        return self.from_statistics(s["lows"], s["highs"], s["means"], s["variances"])
+            return self._scaler([0.0] * d, [m or 1.0 for m in row["tops"]])
+        return self.from_statistics(row["lows"], row["highs"], row["means"], row["variances"])
 
     def from_statistics(self, lows: list[float], highs: list[float], means: list[float], variances: list[float]) -> FittedScaler:
         constant = [a == b for a, b in zip(lows, highs, strict=True)]

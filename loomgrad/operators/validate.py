@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomgrad.functions.vectors import array_is_finite, is_finite
@@ -37,16 +37,21 @@ class TableFacts:
     features: int
 
 
-def table_facts(df: DataFrame) -> DataFrame:
-    """One row: n_rows, least and most features, rows with a bad feature or target, targets not 0 or 1."""
-    return df.agg(
+def fact_columns() -> list[Column]:
+    """What :func:`check_facts` needs, as aggregates: they fit into any pass over the table."""
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.min(F.size("features")).alias("least_features"),
         F.max(F.size("features")).alias("most_features"),
         F.count_if(~array_is_finite(F.col("features"))).alias("bad_features"),
         F.count_if(~is_finite(F.col("target"))).alias("bad_targets"),
         F.count_if(~F.coalesce(F.col("target").isin(0.0, 1.0), F.lit(False))).alias("not_binary"),
-    )
+    ]
+
+
+def table_facts(df: DataFrame) -> DataFrame:
+    """One row: n_rows, least and most features, rows with a bad feature or target, targets not 0 or 1."""
+    return df.agg(*fact_columns())
 
 
 def validate_training_table(df: DataFrame, binary: bool = False, caller: str = "fit") -> TableFacts:
@@ -55,7 +60,11 @@ def validate_training_table(df: DataFrame, binary: bool = False, caller: str = "
     Needed: rows, equally many features (at least one) in all of them, and no null, NaN or infinite
     value; with ``binary`` also targets of 0 or 1 only.
     """
-    facts = table_facts(df).first()
+    return check_facts(table_facts(df).first(), binary, caller)
+
+
+def check_facts(facts: Row, binary: bool = False, caller: str = "fit") -> TableFacts:
+    """As :func:`validate_training_table`, of :func:`fact_columns` that are already there."""
     if not facts["n_rows"]:
         raise ValueError(f"{caller}: the table is empty")
     if facts["least_features"] is None or facts["least_features"] < 1:

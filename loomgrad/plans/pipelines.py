@@ -23,10 +23,13 @@ class _Pipeline:
         self.fitted_scaler: FittedScaler | None = None
 
     def fit(self, train: DataFrame, on_epoch: EpochCallback | None = None):
-        """One validating aggregate, one for the scaler, then training on scaled rows."""
+        """One aggregate that validates the table and fits the scaler, then training on scaled rows."""
         self.fitted_scaler = None
-        facts = validate_training_table(train, self.model.binary, type(self).__name__)
-        scaler = self.scaler.fit(train, facts.features)
+        if hasattr(self.scaler, "fit_checked"):
+            facts, scaler = self.scaler.fit_checked(train, self.model.binary, type(self).__name__)
+        else:  # a scaler of the caller's own
+            facts = validate_training_table(train, self.model.binary, type(self).__name__)
+            scaler = self.scaler.fit(train, facts.features)
         scaled = scaler.transform(train.select("id", "features", "target"), check=False)
         self.model.fit(scaled, on_epoch, facts.features)
         self.fitted_scaler = scaler

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +29,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, name = _hadoop_path(spark, path)
+    return files.exists(name)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, name = _hadoop_path(spark, path)
+    files.delete(name, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as compressed Parquet into the shared checkpoint folder and read it back.
 
     Like :func:`cut_lineage`, for larger tables: columnar and compressed, so it costs less disk. The
     files stay until :func:`release_materialised`, as results that build on them read them late.
     """
+    return materialise_with_release(df)[0]
+
+
+def materialise_with_release(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """:func:`materialise`, and what deletes this one table."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/loomgrad-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def release() -> None:
+        if path in _written:
+            _written.remove(path)
+            delete_path(spark, path)
+
+    return spark.read.schema(df.schema).parquet(path), release
 
 
 def release_materialised(spark: SparkSession) -> int:
     """Delete what :func:`materialise` has written in this process; results built on it end with it."""
-    context, count = spark.sparkContext, len(_written)
+    count = len(_written)
     while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, _written.pop())
     return count

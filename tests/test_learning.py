@@ -681,19 +681,70 @@ def test_csv_errors_name_the_line(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_writers(spark, tmp_path):
-    scored = spark.createDataFrame([(4.0, 5.0), (8.0, 7.0)], "target double, prediction double")
+@pytest.mark.parametrize("block", ["17", "64", "100000"])
+def test_many_files_are_read_once(spark, tmp_path, block):
+    """Every file has a header; blocks begin anywhere; the text is scanned once, but for its first lines."""
+    want, folder = set(), tmp_path / "many"
+    folder.mkdir()
+    for k in range(4):
+        rows = [(k * 100 + i, -i / 4) for i in range(5 * k + 1)]
+        want |= {((float(a),), b) for a, b in rows}
+        (folder / f"part-{k}.csv").write_text("left,right\n" + "".join(f"{a},{b}\n" for a, b in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = tables.read_labelled_csv(spark, str(folder))
+        rows = got.collect()
+        assert {(tuple(r["features"]), r["target"]) for r in rows} == want and len(rows) == len(want) == len({r["id"] for r in rows})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "text" not in got._jdf.queryExecution().executedPlan().toString().lower()  # what is read from now on is the checked table
+
+
+def counted(spark, df, column):
+    """``df`` whose ``column`` counts how often it is evaluated."""
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(value):
+        times.add(1)
+        return value
+
+    return df.withColumn(column, same.asNondeterministic()(F.col(column))), times
+
+
+def test_writers_evaluate_once(spark, tmp_path):
+    scored, times = counted(spark, spark.createDataFrame([(2.5, 3.25), (-6.0, -6.5), (0.0, 9.0)], "target double, prediction double"), "prediction")
     tables.write_regression(scored, str(tmp_path / "r"))
     back = spark.read.csv(str(tmp_path / "r"), header=True, inferSchema=True).collect()
-    assert sorted(tuple(r) for r in back) == [(4, 5, 1), (8, 7, -1)]
-    classes = spark.createDataFrame([(1.0, 0.75), (0.0, 0.25)], "target double, probability double")
-    tables.write_classification(classes, str(tmp_path / "c"), file_format="parquet")
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [(0, 0.25, 0, 1), (1, 0.75, 1, 1)]
-    assert tuple(tables.classification_output(classes.limit(1).withColumn("target", F.lit(0.5)), 0.8).first()) == (0, 0.75, 0, 1)
-    with pytest.raises(ValueError):
-        tables.write_regression(scored.limit(0), str(tmp_path / "e"))
-    with pytest.raises(ValueError):
-        tables.write_regression(scored.withColumn("prediction", F.lit(float("inf"))), str(tmp_path / "i"))
+    assert sorted(tuple(r) for r in back) == [(-6.0, -6.5, -0.5), (0.0, 9.0, 9.0), (2.5, 3.25, 0.75)] and times.value == 3
+    classes = spark.createDataFrame([(1.0, 0.61), (0.0, 0.58), (1.0, 0.07)], "target double, probability double")
+    tables.write_classification(classes, str(tmp_path / "c"), 0.6, "parquet")
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [(0, 0.58, 0, 1), (1, 0.07, 0, 0), (1, 0.61, 1, 1)]
+
+
+def test_refused_output_is_not_published(spark, tmp_path):
+    scored = spark.createDataFrame([(2.5, 3.25), (1.0, 2.0)], "target double, prediction double")
+    for rows, what in ((scored.limit(0), "nothing"), (scored.withColumn("prediction", F.col("prediction") / F.lit(1e-320) / 1e-320), "finite")):
+        with pytest.raises(ValueError, match=what):
+            tables.write_regression(rows, str(tmp_path / "no"))
+        assert not (tmp_path / "no").exists()
+    with pytest.raises(ValueError, match="format"):
+        tables.write_regression(scored, str(tmp_path / "no"), "table")
+    tables.write_regression(scored, str(tmp_path / "yes"))
+    with pytest.raises(Exception, match="exists"):
+        tables.write_regression(scored, str(tmp_path / "yes"))
+    assert spark.read.csv(str(tmp_path / "yes"), header=True).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["min_max", "z_score", "max_abs", "robust", "none"])
+def test_checks_ride_on_the_pass_of_the_scaler(spark, kind):
+    good = table(spark, [((i, i * i), i % 2) for i in range(30)])
+    facts, fitted = scaling.Scaler(kind).fit_checked(good, binary=True)
+    assert facts == validate.TableFacts(30, 2) and fitted == scaling.Scaler(kind).fit(good)
+    short = good.unionByName(spark.createDataFrame([(99, [1.0], 1.0)], SCHEMA))
+    for bad in (short, good.limit(0), good.withColumn("target", F.lit(0.5)), good.withColumn("features", F.array(F.lit(float("nan")), F.lit(1.0)))):
+        with pytest.raises(ValueError):
+            scaling.Scaler(kind).fit_checked(bad, binary=True)
 
 
 def test_a_stream_is_scored(spark, tmp_path):
