@@ -16,14 +16,18 @@ def order_key(seed: int, epoch: int | None = None, id_col: str = "id") -> Column
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(tail)))
 
 
+def rank_digits(n: int) -> int:
+    """Hex digits of a key that cut ``n`` rows into buckets of about a million rows at most, and at least a few."""
+    return max(1, math.ceil(math.log(max(n, 1) / 1_000_000, 16)))
+
+
 def _ranked(df: DataFrame, keys: list[str], seed: int, id_col: str, n: int) -> DataFrame:
     """Buckets are the first hex digits, as many as give about a million rows a bucket of a group of ``n`` rows.
 
     They lead the order, so ranks equal a plain row_number whatever their number.
     """
-    digits = max(3, math.ceil(math.log(max(n, 1) / 1_000_000, 16)))
     keyed = df.withColumn("_lg_key", order_key(seed, id_col=id_col))
-    return rank_in_groups(keyed, keys, F.substring("_lg_key", 1, digits), [F.col("_lg_key"), F.col(id_col)], "_lg_rank").drop("_lg_key")
+    return rank_in_groups(keyed, keys, F.substring("_lg_key", 1, max(3, rank_digits(n))), [F.col("_lg_key"), F.col(id_col)], "_lg_rank").drop("_lg_key")
 
 
 #: Rows with a common prefix that are few enough to be read, and counts that a pass returns at most, about.

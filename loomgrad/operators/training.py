@@ -26,7 +26,7 @@ from loomgrad.functions.kernels import (
 from loomgrad.operators.chain import range_count, travel
 from loomgrad.operators.merging import array_sums, count_with_parts, merged_states
 from loomgrad.operators.ranking import rank_in_groups
-from loomgrad.operators.splits import order_key
+from loomgrad.operators.splits import order_key, rank_digits
 
 #: Features up to which the linear statistics, (d + 2) squared numbers a task, are worth one pass.
 GRAM_FEATURES = 2000
@@ -275,18 +275,19 @@ def _composed(
     return [unpacked(state) for state in merged_states(ordered, work, combine, parts)]
 
 
-def _in_order(rows: DataFrame, seed: int | None, epoch: int, batch: int) -> DataFrame:
+def _in_order(rows: DataFrame, n: int, seed: int | None, epoch: int, batch: int) -> DataFrame:
     """``rows`` with key and place, whose order is that of the epoch (ids without a seed); places count rows if batches need it."""
     key = F.lit("") if seed is None else order_key(seed, epoch)
     if batch == 1:
         return rows.withColumns({"key": key, "place": F.col("id").cast("long")})
     if seed is None:
-        cuts = sorted(set(rows.approxQuantile("id", [i / 1000 for i in range(1, 1000)], 0.0005)))
+        shares = max(2, min(1000, n // 1000))
+        cuts = sorted(set(rows.approxQuantile("id", [i / shares for i in range(1, shares)], 0.0005)))
         bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
         order = [F.col("id")]
     else:
         rows = rows.withColumn("order_key", key)
-        bucket, order = F.substring("order_key", 1, 3), [F.col("order_key"), F.col("id")]
+        bucket, order = F.substring("order_key", 1, rank_digits(n)), [F.col("order_key"), F.col("id")]
     return rank_in_groups(rows.withColumn("key", F.lit("")), ["key"], bucket, order, "place")
 
 
@@ -374,7 +375,7 @@ class _Sequential:
             n, seed, parts = rows.count(), options.seed if options.shuffle else None, None
             for epoch in range(options.epochs):
                 if parts is None or options.shuffle or rate(epoch) != rate(epoch - 1):
-                    ordered = _in_order(rows, seed, epoch, batch)
+                    ordered = _in_order(rows, n, seed, epoch, batch)
                     parts = _composed(ordered, n, d, batch, rate(epoch), options.l2 / n, options.regularise_bias)
                 squares = 0.0
                 for z, s in parts:

@@ -35,7 +35,7 @@ from loomgrad.operators.validate import class_profile, classify, drop_feature, t
 from loomgrad.plans import crossval
 from loomgrad.plans.datasets import EVENT_FLAG_SQL, ORDER_VALUE_SQL, doc_label, doc_label_sql, event_flag, order_value, vec_label, vec_label_sql
 from loomgrad.plans.pipelines import BinaryClassificationPipeline, RegressionPipeline, score_binary_model
-from loomgrad.session import ensure_checkpoint_dir
+from loomgrad.session import ensure_checkpoint_dir, settled
 from loomgrad.sources.tables import classification_output, read_labelled_csv, regression_output
 from loomgrad.streaming.scoring import score_stream, write_scores
 
@@ -729,8 +729,15 @@ def _split_and_scaled(rows: str, d: int) -> str:
 def l1_l2_regression_pipeline(spark, sf_dir):
     split = train_test_split(order_value(spark, sf_dir)).persist()
     pipeline = RegressionPipeline(optimiser=BatchGradientDescent(GradientDescentOptions(0.1, 100)))
+    return _evaluated(pipeline, split)
+
+
+def _evaluated(pipeline, split: DataFrame, **options) -> DataFrame:
+    """Metrics on the test rows; the split table is released."""
     pipeline.fit(split.filter("split = 'train'"))
-    return _rounded(pipeline.evaluate(split.filter("split = 'test'")))
+    found = settled(_rounded(pipeline.evaluate(split.filter("split = 'test'"), **options)))
+    split.unpersist()
+    return found
 
 
 PIPELINE_P = "1 / (1 + exp(-(b + w0 * x0 + w1 * x1 + w2 * x2)))"
@@ -743,8 +750,7 @@ PIPELINE_P = "1 / (1 + exp(-(b + w0 * x0 + w1 * x1 + w2 * x2)))"
 def l3_l4_binary_pipeline(spark, sf_dir):
     split = train_test_split(event_flag(spark, sf_dir)).persist()
     pipeline = BinaryClassificationPipeline(optimiser=BatchGradientDescent(GradientDescentOptions(0.5, 5)))
-    pipeline.fit(split.filter("split = 'train'"))
-    return _rounded(pipeline.evaluate(split.filter("split = 'test'"), threshold=0.3))
+    return _evaluated(pipeline, split, threshold=0.3)
 
 
 @query(f"SELECT {BINARY_METRICS_SQL} FROM ({_binary_rows(EVENT_SCORED_SQL)})")
@@ -854,8 +860,7 @@ def u4_swapped_parts(spark, sf_dir):
     """A pipeline with another scaler and another optimiser."""
     split = train_test_split(order_value(spark, sf_dir)).persist()
     pipeline = RegressionPipeline(Scaler("min_max"), BatchGradientDescent(GradientDescentOptions(0.2, 40, l2=1.0)))
-    pipeline.fit(split.filter("split = 'train'"))
-    return _rounded(pipeline.evaluate(split.filter("split = 'test'")))
+    return _evaluated(pipeline, split)
 
 
 @query(

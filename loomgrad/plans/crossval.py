@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ from loomgrad.operators.scaling import Scaler, training_statistics_per_fold
 from loomgrad.operators.splits import order_key, stratified_kfold, test_of, train_of, training_views
 from loomgrad.operators.training import deal_rows, matrix_of, stream_lengths
 from loomgrad.operators.validate import validate_training_table
+from loomgrad.session import settled
 
 
 def scaled_views(folded: DataFrame, n_features: int, folds: int) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +73,8 @@ class Learner(Protocol):
     def start(self, d: int) -> np.ndarray:
         """The parameters before the first epoch."""
 
-    def contribute(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, streams: np.ndarray, flat: np.ndarray, epoch: int) -> np.ndarray:
-        """What some rows, sorted by stream and id, add to the epoch."""
+    def contribute(self, place: np.ndarray, x: np.ndarray, y: np.ndarray, streams: np.ndarray, flat: np.ndarray, epoch: int) -> np.ndarray:
+        """What some rows, sorted by stream and id, add to the epoch; ``place`` sorts them into its order, for sequential learners."""
 
     def finish(self, total: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
         """The parameters after the epoch, from the contributions of all ``n`` training rows."""
@@ -106,7 +107,7 @@ class BatchLogistic:
     def start(self, d: int) -> np.ndarray:
         return np.zeros(d + 1)
 
-    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
+    def contribute(self, place, x, y, streams, flat, epoch) -> np.ndarray:
         return gradient_sums(x, y, flat[:-1], float(flat[-1]), logistic)[:-1]
 
     def finish(self, total, flat, n) -> np.ndarray:
@@ -135,9 +136,8 @@ class StochasticLogistic(BatchLogistic):
         stacked_logistic_pass(x, y, mine, flats, self.learning_rate / (1 + self.decay * epoch))
         return flats
 
-    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
-        keys = np.array([hashlib.md5(f"{i}:{self.seed}:{epoch}".encode()).digest() for i in ids.tolist()], dtype="S16")
-        order, lr, lengths = np.lexsort((ids, keys, streams)), self.learning_rate / (1 + self.decay * epoch), stream_lengths(streams)
+    def contribute(self, place, x, y, streams, flat, epoch) -> np.ndarray:
+        order, lr, lengths = np.lexsort((place, streams)), self.learning_rate / (1 + self.decay * epoch), stream_lengths(streams)
         w, b = flat[:-1], float(flat[-1])
         if len(lengths) > 1:
             return logistic_streams_pass(x[order], y[order], w, b, lengths, lr, 0.0, False)[0]
@@ -176,7 +176,7 @@ class SigmoidNetwork:
     def start(self, d: int) -> np.ndarray:
         return flatten(glorot_layers(self._topology(d), self.seed))
 
-    def contribute(self, ids, x, y, streams, flat, epoch) -> np.ndarray:
+    def contribute(self, place, x, y, streams, flat, epoch) -> np.ndarray:
         layers = unflatten(flat, self._topology(x.shape[1]))
         return len(y) * flatten(network_streams_pass(x, y, layers, self.learning_rate, stream_lengths(streams))[0])
 
@@ -191,6 +191,14 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def _ranks(keys: pa.StructArray) -> np.ndarray:
+    """The place of each row in the order of its keys."""
+    table = pa.Table.from_arrays(keys.flatten(), names=[f"k{i}" for i in range(keys.type.num_fields)])
+    out = np.empty(len(keys), dtype=np.int64)
+    out[pc.sort_indices(table, [(name, "ascending") for name in table.column_names]).to_numpy()] = np.arange(len(keys))
+    return out
+
+
 #: Fold -> (centre, scale) of its training rows.
 Scales = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -212,14 +220,20 @@ def train_side_by_side(
         sizes = [len(flat) for flat in going.values()]
         at = dict(zip(going, np.cumsum(sizes) - sizes, strict=True))
 
-        def work(batches: Iterator[pa.RecordBatch], going=going, at=at, width=sum(sizes), epoch=epoch) -> np.ndarray:
+        # The keys of an epoch's order are columns: md5 in the JVM, once for all learners that share it.
+        orders = {learners[name].order(epoch): learners[name] for name, _ in going if learners[name].sequential}
+        keys = {f"key{i}": F.struct(*learner.sort_columns(epoch)) for i, learner in enumerate(orders.values())}
+        column_of = dict(zip(orders, keys, strict=True))
+
+        def work(batches: Iterator[pa.RecordBatch], going=going, at=at, width=sum(sizes), epoch=epoch, column_of=column_of) -> np.ndarray:
             total = np.zeros(width)
             whole = (b for b in batches if b.num_rows)
-            if any(learners[name].sequential for name, _ in going):  # streams need their rows together
+            if column_of:  # streams need their rows together
                 found = list(whole)
                 whole = [pa.Table.from_batches(found).combine_chunks().to_batches()[0]] if found else []
             for b in whole:
-                (x, y), ids, streams, fold = matrix_of(b), *(_column(b, c) for c in ("id", "stream", "fold"))
+                (x, y), streams, fold = matrix_of(b), *(_column(b, c) for c in ("stream", "fold"))
+                places = {name: _ranks(b.column(b.schema.get_field_index(c))) for name, c in column_of.items()}
                 for held, (centre, scale) in scales.items():
                     mine = fold != held
                     if not mine.any():
@@ -227,10 +241,13 @@ def train_side_by_side(
                     z = (x[mine] - centre) / scale
                     for (name, of), flat in going.items():
                         if of == held:
-                            total[at[name, of] : at[name, of] + len(flat)] += learners[name].contribute(ids[mine], z, y[mine], streams[mine], flat, epoch)
+                            learner = learners[name]
+                            place = places[learner.order(epoch)][mine] if learner.sequential else np.arange(int(mine.sum()))
+                            total[at[name, of] : at[name, of] + len(flat)] += learner.contribute(place, z, y[mine], streams[mine], flat, epoch)
             return total
 
-        total = array_sums(dealt.select("id", "stream", "fold", "features", "target"), work, sum(sizes), parts=parts)
+        columns = [F.col(c) for c in ("stream", "fold", "features", "target")] + [c.alias(k) for k, c in keys.items()]
+        total = array_sums(dealt.select(*columns), work, sum(sizes), parts=parts)
         for (name, held), flat in going.items():
             start = at[name, held]
             after = learners[name].finish(total[start : start + len(flat)], flat, n_train[held])
@@ -348,7 +365,8 @@ def cross_validate(
         finally:
             ordered.unpersist()
             dealt.unpersist()
-    per_fold = binary_metrics(score_side_by_side(folded, scales, parameters, learners), group_cols=("model", "eval_fold"))
+    per_fold = settled(binary_metrics(score_side_by_side(folded, scales, parameters, learners), group_cols=("model", "eval_fold")))
+    folded.unpersist()
     return per_fold, fold_summary(per_fold)
 
 
@@ -371,4 +389,6 @@ def cross_validate_distributed(
             model = factory().fit(train, validated_features=facts.features)
             row = binary_metrics(model.predict(test)).select(F.lit(name).alias("model"), F.lit(held).alias("eval_fold"), *METRIC_COLUMNS)
             per_fold = row if per_fold is None else per_fold.unionByName(row)
+    per_fold = settled(per_fold)
+    folded.unpersist()
     return per_fold, fold_summary(per_fold)

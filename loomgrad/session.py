@@ -26,6 +26,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(few: DataFrame) -> DataFrame:
+    """The rows of a small result (metrics of models and folds), so that what it was made of can be released."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 _written: list[str] = []
 
 
