@@ -224,11 +224,29 @@ def spanning_links(
     return links
 
 
+def stars(links: np.ndarray) -> np.ndarray:
+    """Links (u, v) as links of each node to the least one that it reaches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for u, v in links.tolist():
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.array([(x, r) for x in root if (r := find(x)) != x], dtype=np.int64).reshape(-1, 2)
+
+
 def compare_cells(n_prints: int, max_distance: int, named: bool = False, distance: Distance = distances):
     """(u, v): links that connect what the pairs of each cell connect that are within the distance.
 
     Rows come sorted by cell: the anchor, the part of its grid (with the lowest bit: home), fingerprints.
-    ``named``: a column with the node's id follows.
+    ``named``: a column with the node's id follows, and what the cells of a batch connect is linked to its least
+    node. Cells of one group share their least nodes, so a node has few different links however many cells it is in.
     """
 
     def links_of(cell: np.ndarray, home: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -262,7 +280,8 @@ def compare_cells(n_prints: int, max_distance: int, named: bool = False, distanc
                 pair = np.array(found, dtype=np.int64)
                 us.append(pair[:, 0])
                 vs.append(pair[:, 1])
-        return [np.concatenate(us), np.concatenate(vs)]
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return list(stars(np.column_stack([u, v])).T) if named else [u, v]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
