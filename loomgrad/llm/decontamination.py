@@ -23,7 +23,7 @@ from loomgrad.session import cut_lineage
 ENTRY_WORDS = 64
 #: Entries of one index. Items beyond it go to further indexes, and documents are read once for each.
 INDEX_ENTRIES = 20_000
-#: An item with fewer words than this is no evidence and never matches.
+#: An item with fewer words than this is no evidence and doesn't match, unless the caller asks for less.
 LEAST_WORDS = 5
 #: A last entry with fewer words than this is evidence only together with the words before it.
 LEAST_TAIL = 13
@@ -64,31 +64,35 @@ def split_question(text: str) -> tuple[str, str]:
 CUT, BRIDGE, TAIL = 0, 1, 2
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(least_words: int):
     """Items as entries: word hashes, how many of them belong to the question, and the kind.
 
     Items over ENTRY_WORDS words also give bridges, full entries half way between two others and at
     the end, so a quote of ENTRY_WORDS words shares three quarters of some entry wherever it begins.
     """
-    for batch in batches:
-        rows = []
-        for item, question, answer in zip(batch["item_id"], batch["question"], batch["answer"], strict=True):
-            found = [w for _, _, w, _ in words_of(pa.array([question or ""]))][0]
-            more = [w for _, _, w, _ in words_of(pa.array([answer or ""]))][0]
-            words = np.concatenate([found, more])
-            if len(words) < LEAST_WORDS:
-                continue
-            for at in range(0, len(words), ENTRY_WORDS):
-                part = words[at : at + ENTRY_WORDS]
-                if len(part) >= LEAST_WORDS:
-                    kind = TAIL if at and len(part) < LEAST_TAIL else CUT
-                    rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), kind))
-            last = len(words) - ENTRY_WORDS
-            for at in sorted({*range(ENTRY_WORDS // 2, last, ENTRY_WORDS), last} if last > 0 else ()):
-                if at % ENTRY_WORDS:
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, question, answer in zip(batch["item_id"], batch["question"], batch["answer"], strict=True):
+                found = [w for _, _, w, _ in words_of(pa.array([question or ""]))][0]
+                more = [w for _, _, w, _ in words_of(pa.array([answer or ""]))][0]
+                words = np.concatenate([found, more])
+                if len(words) < least_words:
+                    continue
+                for at in range(0, len(words), ENTRY_WORDS):
                     part = words[at : at + ENTRY_WORDS]
-                    rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), BRIDGE))
-        yield pd.DataFrame(rows, columns=["item_id", "words", "n_question", "kind"])
+                    if not at or len(part) >= LEAST_WORDS:
+                        kind = TAIL if at and len(part) < LEAST_TAIL else CUT
+                        rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), kind))
+                last = len(words) - ENTRY_WORDS
+                for at in sorted({*range(ENTRY_WORDS // 2, last, ENTRY_WORDS), last} if last > 0 else ()):
+                    if at % ENTRY_WORDS:
+                        part = words[at : at + ENTRY_WORDS]
+                        rows.append((item, part.view(np.int64).tolist(), int(np.clip(len(found) - at, 0, len(part))), BRIDGE))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "n_question", "kind"])
+
+    return entries
 
 
 @dataclass(frozen=True)
@@ -261,6 +265,7 @@ def contaminated(
     question_col: str | None = None,
     answer_col: str | None = None,
     item_text_col: str = "text",
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """One row per (document, item) whose passage passes retrieval and verification, with its best scores.
 
@@ -268,7 +273,7 @@ def contaminated(
     lower-cased runs of letters and digits, over whole texts. The items are cut into indexes of INDEX_ENTRIES entries, each broadcast for one pass over the documents, so what
     is broadcast is bounded; statistics are those of all items. Documents are neither shuffled nor collected.
 
-    Null or empty texts and items, and items under LEAST_WORDS words, match nothing. Repeated
+    Null or empty texts and items, and items under ``least_words`` words (1: every item counts), match nothing. Repeated
     documents or items are matched alike; rows with a null id appear with a null id. Other columns
     are ignored. No documents or no items in, no rows out.
     """
@@ -293,7 +298,7 @@ def contaminated(
     elif answer_col is None:
         item = item.withColumn("answer", F.lit(""))
     kind = item.schema["item_id"].dataType.simpleString()
-    entries = item.mapInPandas(_entries, f"item_id {kind}, words array<long>, n_question int, kind int")
+    entries = item.mapInPandas(_entries(max(1, least_words)), f"item_id {kind}, words array<long>, n_question int, kind int")
     entries = cut_lineage(entries.withColumn("shard_key", F.xxhash64("item_id", "words")))
     counted = entries.filter(F.col("kind") != BRIDGE)
     n, mean_words = counted.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is a piece of its own. A hash takes some 40
-#: bytes of working memory per byte, so this bounds what a task needs beside its batch.
+#: Bytes of text that are worked on at once. Hashing takes some 40 bytes of working memory per byte, so this
+#: bounds it; a longer text is a piece of its own, whose words take some 10 bytes per byte.
 PIECE_BYTES = 500_000
 #: Bytes between words: white space, or all of ASCII but letters and digits.
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -78,17 +78,21 @@ def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between:
     if not len(starts):
         return tuple(np.empty(0, dtype=np.uint64) for _ in tables)
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    letters = raw[~between[raw]]
-    slot, long = place % _POSITIONS, int(lengths.max()) > _POSITIONS
-    out = []
-    for table in tables:
-        value = table[slot, letters]
-        if long:
-            value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
-        out.append(mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(_STEP)))
-    return tuple(out)
+    first, total = np.cumsum(lengths) - lengths, int(lengths.sum())
+    letters, long = raw[~between[raw]], int(lengths.max()) > _POSITIONS
+    sums = [np.zeros(len(starts), dtype=np.uint64) for _ in tables]
+    for at in range(0, total, PIECE_BYTES):  # a text, or a word, of any length takes no more memory than this
+        to = min(at + PIECE_BYTES, total)
+        mine = slice(int(np.searchsorted(first, at, side="right")) - 1, int(np.searchsorted(first, to, side="left")))
+        begins = np.maximum(first[mine], at)
+        place = np.arange(at, to) - np.repeat(first[mine], np.diff(np.append(begins, to)))
+        slot = place % _POSITIONS
+        for table, out in zip(tables, sums, strict=True):
+            value = table[slot, letters[at:to]]
+            if long:
+                value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
+            out[mine] += np.add.reduceat(value, begins - at)
+    return tuple(mix(out + lengths.astype(np.uint64) * np.uint64(_STEP)) for out in sums)
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:

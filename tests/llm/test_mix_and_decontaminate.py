@@ -166,6 +166,13 @@ def test_decontamination_edges(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_match_if_asked_for(spark):
+    items = spark.createDataFrame([(4, "one"), (5, "runs away"), (6, "brown")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(edge_documents(spark), items, least_words=1).collect()}
+    assert got == {(8, 4), (1, 5), (2, 5), (1, 6), (2, 6), (-11, 6)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(edge_documents(spark), items, least_words=2).collect()} == {(1, 5), (2, 5)}
+
+
 def test_question_and_answer_columns(spark):
     docs = spark.createDataFrame([(1, "what is the capital of france it is called paris by all of us"), (2, "what is the capital of france nobody knows it")], "doc_id long, text string")
     items = spark.createDataFrame([("a", "What is the capital of France?", "It is called Paris by all.")], "item_id string, q string, a string")

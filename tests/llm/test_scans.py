@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.helpers import documents, edge_documents, empty_documents
-from loomgrad.llm import language_id, secrets
+from loomgrad.llm import language_id, secrets, wordhash
 
 # --- op3 --------------------------------------------------------------------------------------
 
@@ -247,3 +247,16 @@ def test_secret_edges(spark):
     rows = secrets.find_secrets(edge_documents(spark)).collect()
     assert len(rows) == 14 and all(r["spans"] == "" for r in rows)
     assert secrets.find_secrets(empty_documents(spark)).count() == 0
+
+
+def test_word_hashes_in_pieces_are_those_of_the_whole(monkeypatch):
+    """Texts and words longer than a piece, and words longer than the hash table."""
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("abcdé€"), size=int(rng.integers(1, 9)))) for _ in range(300)] + ["x" * 5000, "y" * 33]
+    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    starts, ends, _ = wordhash.word_spans(raw, np.array([0, len(raw)]))
+    whole = wordhash.word_hash_pairs(raw, starts, ends)
+    for size in (1, 7, 100, 4096):
+        monkeypatch.setattr(wordhash, "PIECE_BYTES", size)
+        assert all((a == b).all() for a, b in zip(whole, wordhash.word_hash_pairs(raw, starts, ends), strict=True))
+    assert len(set(whole[0].tolist())) == len(set(words))
