@@ -35,7 +35,7 @@ from loomgrad.operators.validate import class_profile, classify, drop_feature, t
 from loomgrad.plans import crossval
 from loomgrad.plans.datasets import EVENT_FLAG_SQL, ORDER_VALUE_SQL, doc_label, doc_label_sql, event_flag, order_value, vec_label, vec_label_sql
 from loomgrad.plans.pipelines import BinaryClassificationPipeline, RegressionPipeline, score_binary_model
-from loomgrad.session import ensure_checkpoint_dir, settled
+from loomgrad.session import ensure_checkpoint_dir, materialise, settled
 from loomgrad.sources.tables import classification_output, read_labelled_csv, regression_output
 from loomgrad.streaming.scoring import score_stream, write_scores
 
@@ -667,37 +667,34 @@ def network_sql(rows: str, topology: tuple[int, ...], layers, lr: float, epochs:
 TWO_LAYERS, DEEP = (4, 8, 1), (4, 5, 3, 1)
 
 
+def _fitted_on_itself(data: DataFrame, net: DeepNeuralNetwork) -> DataFrame:
+    """The network's probabilities of the Z-scored rows that it has learned from. Their table is made once, as Parquet."""
+    stored = materialise(data)
+    facts, scaler = Scaler("z_score").fit_checked(stored)
+    scaled = scaler.transform(stored, check=False)
+    return net.fit(scaled, validated_features=facts.features).predict(scaled, check=False).select("id", "target", F.round("probability", 6).alias("probability"))
+
+
 @query(network_sql(doc_label_sql(), TWO_LAYERS, glorot_layers(TWO_LAYERS, 7), 0.05, 2, 4))
 def t7_basic_network(spark, sf_dir):
-    data = doc_label(spark, sf_dir)
-    scaled = Scaler("z_score").fit(data).transform(data)
-    net = BasicNeuralNetwork(8, NetworkOptions(0.05, 2), streams=4, start=glorot_layers(TWO_LAYERS, 7))
-    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+    return _fitted_on_itself(doc_label(spark, sf_dir), BasicNeuralNetwork(8, NetworkOptions(0.05, 2), streams=4, start=glorot_layers(TWO_LAYERS, 7)))
 
 
 @query(network_sql(doc_label_sql(), DEEP, glorot_layers(DEEP, 42), 0.1, 2, 3))
 def t8_deep_network(spark, sf_dir):
-    data = doc_label(spark, sf_dir)
-    scaled = Scaler("z_score").fit(data).transform(data)
-    net = DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2), streams=3)
-    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+    return _fitted_on_itself(doc_label(spark, sf_dir), DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2), streams=3))
 
 
 @query(network_sql(doc_label_sql(), TWO_LAYERS, glorot_layers(TWO_LAYERS, 7), 0.05, 2, 1))
 def t7_basic_network_sequential(spark, sf_dir):
     """The plain rule: one update per row in the order of ids."""
-    data = doc_label(spark, sf_dir)
-    scaled = Scaler("z_score").fit(data).transform(data)
-    net = BasicNeuralNetwork(8, NetworkOptions(0.05, 2), start=glorot_layers(TWO_LAYERS, 7))
-    return net.fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+    return _fitted_on_itself(doc_label(spark, sf_dir), BasicNeuralNetwork(8, NetworkOptions(0.05, 2), start=glorot_layers(TWO_LAYERS, 7)))
 
 
 @query(network_sql(doc_label_sql(), DEEP, glorot_layers(DEEP, 42), 0.1, 2, 1))
 def t8_deep_network_sequential(spark, sf_dir):
     """The plain rule: one update per row in the order of ids."""
-    data = doc_label(spark, sf_dir)
-    scaled = Scaler("z_score").fit(data).transform(data)
-    return DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2)).fit(scaled).predict(scaled).select("id", "target", F.round("probability", 6).alias("probability"))
+    return _fitted_on_itself(doc_label(spark, sf_dir), DeepNeuralNetwork(DEEP, NetworkOptions(0.1, 2)))
 
 
 @query()
