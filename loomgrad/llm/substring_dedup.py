@@ -3,13 +3,14 @@
 Suffixes are sampled: of each window, the one that begins at its least-hash prefix of six words. Equal
 windows have it at equal distances, so no repeat is lost, and neighbouring windows share it: a run. The
 prefix says in which subtree a run hangs. Subtrees that hold several different runs and fit into memory
-are built in tasks, on the words themselves. Where a prefix has more runs than that, it is lengthened to
-the whole window for each of its windows.
+are built in tasks, on the words themselves. Where a prefix has more runs than that, the prefixes of its
+windows are lengthened, to twelve words and at last to the whole window, until every subtree fits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -28,15 +29,17 @@ SUBTREE_RUNS = 4096
 #: Runs whose subtrees are built together.
 CHUNK_RUNS = 8192
 _NO_ID = -(2**63)
-_RUN, _FIRST_RUN, _CROWDED_RUN, _FIRST_WINDOW, _COVERED = range(5)
+#: Marks of a level of prefixes, in the order in which they are applied; the next level follows.
+_RUN, _FIRST_RUN, _COVERED, _KINDS = range(4)
 
 
-def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
+def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int, wanted: tuple[np.ndarray, ...] | None = None):
     """The windows of some texts as runs that hang below one prefix.
 
     The prefix of a window is the one with the least hash among those that start in it and fit into
     it (the leftmost of equal ones). It depends on the window's words alone, so equal windows have
-    equal prefixes at equal distances, and neighbouring windows mostly share one: a run. Returns
+    equal prefixes at equal distances, and neighbouring windows mostly share one: a run. ``wanted``:
+    (text, first window, windows) of the windows that count, or None for all. Returns
     (prefix, path, text, first window, windows) arrays, one entry a run; path is a hash of the whole run,
     independent of that of the prefix.
     """
@@ -47,12 +50,19 @@ def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     if len(words) < window:
         return empty
     inside = doc[: len(words) - window + 1] == doc[window - 1 :]
+    if wanted is not None:
+        text, first, count = wanted
+        at = np.searchsorted(doc, text, side="left") + first
+        steps = np.zeros(len(inside) + 1, dtype=np.int64)
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + count, -1)
+        inside &= np.cumsum(steps[:-1]) > 0
     at = np.flatnonzero(inside)
     if not len(at):
         return empty
     prefixes = mix(run_hashes(words, prefix))
     anchor = sliding_argmin(prefixes, window - prefix + 1)[at]  # differs between texts, and between the repeats of a periodic text
-    begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    begins = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     n = np.diff(np.concatenate([begins, [len(at)]]))
     # The path of a run: its windows' hashes, each mixed with its place, summed.
     place = (np.arange(len(at)) - np.repeat(begins, n)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -66,13 +76,26 @@ def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (th.astype(np.int64) << 32) | start
 
 
+def _listed(lists: pa.ListArray, row: int, end: int, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(owner, fields) of the structs in the lists of some rows, rows counted from the first."""
+    at = lists.offsets.to_numpy()[row : end + 1]
+    values = [lists.values.field(i).to_numpy(zero_copy_only=False)[int(at[0]) : int(at[-1])] for i in range(fields)]
+    return np.repeat(np.arange(end - row), np.diff(at)), values
+
+
 def _emit_runs(window: int, prefix: int):
+    """(did, th, text), and the windows that count if they are listed, as runs."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, _, raw, bounds in pieces(batch.column(2)):
-                *keys, doc, start, n = _runs_of(raw, bounds, window, prefix)
+            for row, end, raw, bounds in pieces(batch.column(2)):
+                wanted = None
+                if batch.num_columns > 3:
+                    owner, found = _listed(batch.column(3), row, end, 2)
+                    wanted = (owner, *(f.astype(np.int64) for f in found))
+                *keys, doc, start, n = _runs_of(raw, bounds, window, prefix, wanted)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array(k.view(np.int64)) for k in keys),
@@ -90,40 +113,21 @@ def _emit_runs(window: int, prefix: int):
 
 
 def _emit_leaves(window: int):
-    """The contested runs of each text: a row with the words of the run, or one per window if its prefix is crowded.
-
-    Keys are the prefix and 0, or two hashes of the window, which is then the prefix.
-    """
+    """The contested runs of each text (did, th, text, runs), with their words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "key2", "did", "place", "n", "words"]
         for batch in batches:
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
-            lists = batch.column(3)
-            list_at = lists.offsets.to_numpy()
-            prefix, first, count, crowded = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for row, end, raw, bounds in pieces(batch.column(2)):
                 starts, ends, doc = word_spans(raw, bounds)
-                text_start = np.searchsorted(doc, np.arange(end - row), side="left")
-                mine = slice(int(list_at[row]), int(list_at[end]))
-                owner = np.repeat(np.arange(end - row), np.diff(list_at[row : end + 1]))
-                whole = ~crowded[mine].astype(bool)
-                start, n = first[mine][whole].astype(np.int64), count[mine][whole]
-                at = text_start[owner[whole]] + start
+                owner, (prefix, start, n) = _listed(batch.column(3), row, end, 3)
+                start = start.astype(np.int64)
+                at = np.searchsorted(doc, owner, side="left") + start
                 data = raw.tobytes()
                 words = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True)]
-                who = owner[whole] + row
-                columns = [prefix[mine][whole], np.zeros(len(at), dtype=np.int64), did[who], _place(th[who], start), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=names)
-                if not whole.all():
-                    n = count[mine][~whole].astype(np.int64)
-                    who = np.repeat(owner[~whole], n)
-                    start = np.repeat(first[mine][~whole].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    at = text_start[who] + start
-                    nodes = [mix(run_hashes(w, window))[at].view(np.int64) for w in word_hash_pairs(raw, starts, ends)]
-                    columns = [*nodes, did[who + row], _place(th[who + row], start), np.ones(len(at), dtype=np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names=names)
+                columns = [prefix, did[owner + row], _place(th[owner + row], start)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=["key", "did", "place", "words"])
 
     return emit
 
@@ -196,16 +200,15 @@ def _grow_subtrees(window: int):
 
 
 def covered_windows(n_windows: int, kind: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which windows of a text occur earlier, from its marks.
+    """Which windows of a text occur earlier, from its marks, level by level.
 
     A run that isn't the first with its path is covered whole. A first run is uncovered, but for the
-    windows that its subtree found to repeat. In a first run of a crowded prefix, the windows that are
-    first with their words are uncovered.
+    windows that its subtree found to repeat, or that are looked at again with longer prefixes.
     """
     out = np.zeros(n_windows, dtype=bool)
-    for marked, value in ((_RUN, True), (_FIRST_RUN, False), (_CROWDED_RUN, True), (_FIRST_WINDOW, False), (_COVERED, True)):
+    for marked in np.unique(kind).tolist():
         for s, k in zip(start[kind == marked].tolist(), n[kind == marked].tolist(), strict=True):
-            out[s : s + k] = value
+            out[s : s + k] = marked % _KINDS != _FIRST_RUN
     return out
 
 
@@ -262,6 +265,43 @@ def _one_of_each(texts: DataFrame) -> DataFrame:
     return alone.unionByName(materialise(texts.join(listed, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])))
 
 
+def _level(texts: DataFrame, wanted: DataFrame | None, window: int, prefix: int, level: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Marks (did, th, kind, start, n) of the windows below prefixes of one length, and the windows whose prefixes are too crowded.
+
+    ``wanted``: (did, th, windows) of those that count, or None for all.
+    """
+    source = texts if wanted is None else texts.join(wanted, ["did", "th"])
+    runs = source.mapInArrow(_emit_runs(window, prefix), "prefix long, path long, did long, place long, n int")
+    shared = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("prefix")
+    repeated = materialise(runs.join(materialise(shared), "prefix"))  # both sides are plain shuffles, so skew is split
+
+    firsts = materialise(
+        repeated.groupBy("prefix", "path").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
+    )
+    many = materialise(
+        firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded"))
+    )
+    contested = materialise(firsts.join(many, "prefix"))
+    crowded = contested.filter("crowded") if prefix < window and contested.filter("crowded").limit(1).count() else None
+    small = contested if crowded is None else contested.filter("NOT crowded")
+
+    th = F.shiftright("place", 32).cast("int").alias("th")
+    start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
+    by_text = small.select("did", th, "prefix", start, "n").groupBy("did", "th").agg(F.collect_list(F.struct("prefix", "start", "n")).alias("runs"))
+    leaves = texts.join(by_text, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(
+        _emit_leaves(window), "key long, did long, place long, words binary"
+    )
+    covered = leaves.repartition("key").sortWithinPartitions("key", "did", "place").mapInArrow(_grow_subtrees(window), "did long, place long, n int")
+    marks = [
+        rows.select("did", th, F.lit(level * _KINDS + kind).alias("kind"), start, "n")
+        for rows, kind in ((repeated, _RUN), (firsts, _FIRST_RUN), (covered, _COVERED))
+    ]
+    again = None
+    if crowded is not None:
+        again = materialise(crowded.select("did", th, start, "n").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("windows")))
+    return marks, again
+
+
 def remove_repeated_windows(
     docs: DataFrame,
     window_words: int = WINDOW_WORDS,
@@ -278,8 +318,9 @@ def remove_repeated_windows(
     independent 64-bit hashes; 1e13 runs, at most SUBTREE_RUNS different ones a prefix, expect 0.001 false
     matches) all but the first repeat it. The first runs of prefixes that have several
     paths form subtrees of at most SUBTREE_RUNS runs, built in tasks on the words: the nodes at the
-    window depth that have several leaves are the repeats, which join to maximal spans. A prefix with
-    more paths is lengthened to the window. Counts and minima are partially aggregated and rows return to
+    window depth that have several leaves are the repeats, which join to maximal spans. The windows of a
+    prefix with more paths go round again with prefixes of twice the length, the window's at last, below
+    which all windows are equal. Counts and minima are partially aggregated and rows return to
     their text by id, so a passage that a third of all documents share is never gathered in one task.
 
     Null or empty text has no words. Null ids come first, in the order of a text hash. Rows with one id and
@@ -293,46 +334,14 @@ def remove_repeated_windows(
     nameless = F.lit(_NO_ID) + F.shiftrightunsigned(hashed, 2)  # rows without an id are told apart by 62 more bits
     rows = base.select("doc_id", F.coalesce("doc_id", nameless).alias("did"), hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), "text")
     texts = _one_of_each(rows.drop("doc_id"))
-    runs = texts.mapInArrow(
-        _emit_runs(window_words, prefix_words), "prefix long, path long, did long, place long, n int"
-    )
-    shared = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("prefix")
-    repeated = materialise(runs.join(materialise(shared), "prefix"))  # both sides are plain shuffles, so skew is split
-
-    firsts = materialise(
-        repeated.groupBy("prefix", "path").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
-    )
-    many = materialise(
-        firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded"))
-    )
-    contested = materialise(firsts.join(many, "prefix"))
-
-    th = F.shiftright("place", 32).cast("int").alias("th")
-    start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
-    by_text = (
-        contested.select("did", th, "prefix", start, "n", "crowded")
-        .groupBy("did", "th")
-        .agg(F.collect_list(F.struct("prefix", "start", "n", "crowded")).alias("runs"))
-    )
-    leaves = materialise(
-        texts.join(by_text, ["did", "th"])
-        .select("did", "th", "text", "runs")
-        .mapInArrow(_emit_leaves(window_words), "key long, key2 long, did long, place long, n int, words binary")
-    )
-    subtrees = leaves.filter("words IS NOT NULL").select("key", "did", "place", "words")
-    covered = subtrees.repartition("key").sortWithinPartitions("key", "did", "place").mapInArrow(_grow_subtrees(window_words), "did long, place long, n int")
-    marks = (
-        repeated.select("did", th, F.lit(_RUN).alias("kind"), start, "n")
-        .unionByName(firsts.select("did", th, F.lit(_FIRST_RUN).alias("kind"), start, "n"))
-        .unionByName(covered.select("did", th, F.lit(_COVERED).alias("kind"), start, "n"))
-    )
-    if contested.filter("crowded").limit(1).count():
-        windows = leaves.filter("words IS NULL")
-        ends = windows.groupBy("key", "key2").agg(F.min(F.struct("did", "place")).alias("at")).select("at.did", "at.place", F.lit(1).alias("n"))
-        crowded = contested.filter("crowded").select("did", "place", "n", F.lit(_CROWDED_RUN).alias("kind"))
-        marks = marks.unionByName(crowded.select("did", th, "kind", start, "n")).unionByName(
-            ends.select("did", th, F.lit(_FIRST_WINDOW).alias("kind"), start, "n")
-        )
+    found, wanted, length, level = [], None, prefix_words, 0
+    while True:
+        marks, wanted = _level(texts, wanted, window_words, length, level)
+        found += marks
+        if wanted is None:
+            break
+        length, level = min(2 * length, window_words), level + 1
+    marks = reduce(DataFrame.unionByName, found)
     marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("kind", "start", "n")).alias("marks"))
     none = F.array().cast("array<struct<kind:int,start:int,n:int>>")
     return (
