@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a range, about; its sort is one task's.
+#: Rows of a range, about; its sort is one task's, and spills.
 RANGE_ROWS = 1_000_000
+#: Ranges at most, as each step looks at all of them: beyond, they get longer.
+MOST_RANGES = 1000
 
 
 class Traveller(Protocol):
@@ -84,8 +86,8 @@ def _work(units: dict[int, list[tuple[int, Traveller, Any, int]]]):
 
 
 def range_count(n: int, learners: int, cores: int) -> int:
-    """Ranges of about RANGE_ROWS rows, and enough for learners to work side by side."""
-    return max(1, math.ceil(n / RANGE_ROWS), min(learners, cores, n))
+    """Ranges of about RANGE_ROWS rows, MOST_RANGES at most, and enough for learners to work side by side."""
+    return max(1, min(math.ceil(n / RANGE_ROWS), MOST_RANGES), min(learners, cores, n))
 
 
 def travel(
