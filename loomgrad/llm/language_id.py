@@ -212,7 +212,7 @@ def predict_column(text: Column, profiles: dict[str, list[str]]) -> Column:
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a column ``out``: struct(lang_pred, score).
+    """``docs`` with a column ``out``: struct(lang_pred, score). A column of that name is replaced.
 
     Null text, text without a letter, or no profiles: ``und`` with score 0. Every row gets its own
     result, repeated ones and those without an id too. No rows in, no rows out.

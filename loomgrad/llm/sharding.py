@@ -68,12 +68,13 @@ def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     order that depends on ids only.
 
     The driver sees the histogram of exact group sizes, never groups: D distinct sizes need at least
-    D * D / 2 bytes of text, so a hundred terabytes have at most 14 million of them, at 16 bytes each.
+    D * D / 2 bytes of text, so a hundred terabytes have at most 14 million of them. A size takes 16 bytes, and
+    its places in the plan 20 bytes for each shard that gets groups of it, so at most ``n_shards`` times that.
     Ranks within a size and within a shard come from bucket counts, so no task holds a size or a shard.
     Texts are read once. A group larger than an even share makes its shard larger than the others: it has to stay together.
 
     Null text counts as empty and shares the group of empty texts. Repeated rows get a slot each.
-    Null ids sort first. Other columns are ignored. No rows in, no rows out.
+    Rows without an id are ordered by their text. Other columns are ignored. No rows in, no rows out.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -100,10 +101,11 @@ def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     home = F.element_at(F.filter("homes", lambda x: x["start"] <= F.col("group_rank")), -1)["shard"]
     homes = ranked.join(placed, F.col("group_bytes") == F.col("class_size")).select(F.col("group_key").alias("home_key"), home.alias("shard"))
     sharded = materialise(base.join(homes, F.col("group_key") == F.col("home_key")).drop("home_key"))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("group_key")).otherwise(F.xxhash64("doc_id"))
     return rank_in_groups(
         sharded,
         ["shard"],
-        F.pmod(F.xxhash64("doc_id"), F.lit(RANK_BUCKETS)),
+        F.pmod(own, F.lit(RANK_BUCKETS)),
         [F.col("doc_id"), F.col("text_crc32"), F.col("group_key")],
         "slot",
     )
