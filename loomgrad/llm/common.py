@@ -26,13 +26,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 #: Rows of an Arrow batch of texts. At Spark's default of 10,000 a batch of 2 kB texts is 20 MB, held several
 #: times by each worker and by the executor that feeds it.
 BATCH_ROWS = 1_000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def use_small_batches(spark: SparkSession) -> None:
     """Have tasks pass texts in batches of BATCH_ROWS rows, unless the session asks for fewer or for another number."""
-    if spark.conf.get(_BATCH_SETTING) == "10000":
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def fresh_name(df: DataFrame, base: str) -> str:
