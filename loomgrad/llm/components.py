@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrad.session import cut_lineage
 
 
+def stars(links: np.ndarray) -> np.ndarray:
+    """Links (u, v) as links of each node to the least one that it reaches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for u, v in links.tolist():
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.array([(x, r) for x in root if (r := find(x)) != x], dtype=np.int64).reshape(-1, 2)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer links (u, v) with the same components: those of a batch, with all of a node's close together, become stars.
+
+    For links that come many times over, as when each of many cells links what it holds to its least node.
+    """
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = stars(np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in links.T.copy()], names=["u", "v"])
+
+    near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return near.repartition("u").sortWithinPartitions("u").mapInArrow(contract, "u long, v long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours over to the smallest node it knows."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrad.llm.common import broadcast_if_small
-from loomgrad.llm.components import connected_components
+from loomgrad.llm.components import connected_components, contracted
 from loomgrad.session import cut_lineage, materialise
 
 #: Sets, and members of sets, in a block; a larger cluster is a grid of blocks, each compared with each.
@@ -117,7 +117,7 @@ def exact_components(
     is a map over Arrow batches from (root, node, text) to (root, node, members), which leaves out a text
     that isn't the node's: the set of a node is made again from the text of one of its documents, once.
     """
-    clusters = connected_components(candidates)
+    clusters = connected_components(contracted(candidates))
     wanted = cut_lineage(nodes.join(clusters, "node").select("root", "node", F.col("first_id").alias("doc_id")))
     texts = base.join(broadcast_if_small(wanted), "doc_id").select("root", "node", "text")
     found = texts.mapInArrow(members, "root long, node long, members array<long>")

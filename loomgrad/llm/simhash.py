@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrad.llm.common import broadcast_if_small, fresh_name, id_and_text, read_table, unsigned_hex
-from loomgrad.llm.components import connected_components
+from loomgrad.llm.components import connected_components, stars
 from loomgrad.llm.exact_links import exact_components
 from loomgrad.llm.wordhash import mix, pieces, run_hashes, word_hashes, word_spans
 from loomgrad.session import cut_lineage, materialise
@@ -224,23 +224,6 @@ def spanning_links(
     return links
 
 
-def stars(links: np.ndarray) -> np.ndarray:
-    """Links (u, v) as links of each node to the least one that it reaches."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
-    for u, v in links.tolist():
-        a, b = find(u), find(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.array([(x, r) for x in root if (r := find(x)) != x], dtype=np.int64).reshape(-1, 2)
-
-
 def compare_cells(n_prints: int, max_distance: int, named: bool = False, distance: Distance = distances):
     """(u, v): links that connect what the pairs of each cell connect that are within the distance.
 

@@ -339,6 +339,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 # --- op10 -------------------------------------------------------------------------------------
 
 
+def test_contracted_links_keep_their_components(spark):
+    rng = np.random.default_rng(16)
+    links = np.concatenate([rng.integers(0, 3000, size=(2500, 2)), np.column_stack([np.arange(4000, 6000), rng.integers(4000, 4010, size=2000)])] * 3)
+    table = spark.createDataFrame([tuple(map(int, r)) for r in links], "u long, v long").repartition(6)
+    few = [(r["u"], r["v"]) for r in components.contracted(table).collect()]
+    nodes = sorted(set(links.ravel().tolist()))
+    assert classes_of(few, nodes) == classes_of(links.tolist(), nodes) and len(few) < 5200
+    assert components.contracted(table.limit(0)).count() == 0
+
+
 def plain_removal(docs: list[tuple[int, str]], window: int) -> dict[int, tuple[int, int, str]]:
     seen, out = set(), {}
     for d, t in sorted(docs):
@@ -391,9 +401,12 @@ def test_a_crowded_prefix_and_a_common_passage(spark, monkeypatch):
     phrase, passage = words(8), words(45)
     docs = [(i, " ".join([*words(30), *phrase, *words(30), *(passage if i % 3 else []), *words(5)])) for i in range(150)]
     docs.append((200, docs[3][1]))
+    lengths, level = [], substring_dedup._level
+    monkeypatch.setattr(substring_dedup, "_level", lambda *a: lengths.append(a[3]) or level(*a))
     rows = substring_dedup.remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows}
     assert got == plain_removal(docs, 20)
+    assert lengths == [6, 12, 20]  # prefixes are lengthened until subtrees fit
 
 
 def test_repeated_windows_edges(spark):
