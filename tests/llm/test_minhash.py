@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from llm.helpers import documents, edge_documents, empty_documents
-from loomgrad.llm import exact_links, minhash, simhash
+from loomgrad.llm import exact_links, licenses, minhash, simhash, substring_dedup
 
 
 def plain_set(text: str) -> set[str]:
@@ -126,3 +126,24 @@ def test_edges(spark):
     assert minhash.minhash_components(empty_documents(spark)).count() == 0
     with pytest.raises(ValueError):
         minhash.minhash_components(edge_documents(spark), share=(1, 2))
+
+
+def test_very_long_texts(spark):
+    """Texts of 4 MB: near copies are linked, and a passage that comes again in one is removed."""
+    rng = np.random.default_rng(24)
+    words = [f"w{i}" for i in rng.integers(0, 10**7, size=450_000)]
+    other = list(words)
+    for i in range(0, len(other), 400):
+        other[i] = "changed"
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(f"v{i}" for i in range(450_000))), (4, " ".join([*passage, *(f"u{i}" for i in range(400_000)), *passage]))]
+    assert min(len(t) for _, t in docs) > 2_500_000
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {d: v[1:] for d, v in as_dict(minhash.minhash_components(table)).items()} == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+    assert {r["doc_id"] for r in simhash.keep_one_per_component(table).select("doc_id").collect()} == {1, 3, 4}
+    removed = substring_dedup.remove_repeated_windows(table.filter("doc_id > 2")).select("doc_id", "n_words", "n_removed", "removed_spans").collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], [tuple(s) for s in r["removed_spans"]]) for r in removed} == {
+        3: (450_000, 0, []),
+        4: (400_120, 60, [(400_060, 400_120)]),
+    }
+    assert licenses.scan_licences(spark.createDataFrame([(1, docs[2][1] + " Released under the MIT License. " + docs[2][1])], "doc_id long, text string")).first()["licence"] == "MIT"
