@@ -10,7 +10,7 @@ from loomgrad.llm import decontamination, language_id, mixing, registry, simhash
 
 def test_every_operator_is_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert {"pipeline", *names} <= set(__spark_entry__.queries())
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
