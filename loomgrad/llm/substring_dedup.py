@@ -33,78 +33,69 @@ _NO_ID = -(2**63)
 _RUN, _FIRST_RUN, _COVERED, _KINDS = range(4)
 
 
-def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int, wanted: tuple[np.ndarray, ...] | None = None):
+def _runs_of(raw: np.ndarray, bounds: np.ndarray, window: int, prefix: int):
     """The windows of some texts as runs that hang below one prefix.
 
     The prefix of a window is the one with the least hash among those that start in it and fit into
     it (the leftmost of equal ones). It depends on the window's words alone, so equal windows have
-    equal prefixes at equal distances, and neighbouring windows mostly share one: a run. ``wanted``:
-    (text, first window, windows) of the windows that count, or None for all. Returns
-    (prefix, path, text, first window, windows) arrays, one entry a run; path is a hash of the whole run,
-    independent of that of the prefix.
+    equal prefixes at equal distances, and neighbouring windows mostly share one: a run. Returns
+    (prefix, path, text, first window, windows, first byte, end byte) arrays, one entry a run; path is a
+    hash of the whole run, independent of that of the prefix.
     """
     starts, ends, doc = word_spans(raw, bounds)
     words, other = word_hash_pairs(raw, starts, ends)
     none = np.empty(0, dtype=np.int64)
-    empty = (none.view(np.uint64), none.view(np.uint64), none, none, none)
+    empty = (none.view(np.uint64), none.view(np.uint64), *[none] * 5)
     if len(words) < window:
         return empty
     inside = doc[: len(words) - window + 1] == doc[window - 1 :]
-    if wanted is not None:
-        text, first, count = wanted
-        at = np.searchsorted(doc, text, side="left") + first
-        steps = np.zeros(len(inside) + 1, dtype=np.int64)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + count, -1)
-        inside &= np.cumsum(steps[:-1]) > 0
     at = np.flatnonzero(inside)
     if not len(at):
         return empty
     prefixes = mix(run_hashes(words, prefix))
     anchor = sliding_argmin(prefixes, window - prefix + 1)[at]  # differs between texts, and between the repeats of a periodic text
-    begins = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
+    begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.concatenate([begins, [len(at)]]))
     # The path of a run: its windows' hashes, each mixed with its place, summed.
     place = (np.arange(len(at)) - np.repeat(begins, n)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     path = mix(np.add.reduceat(mix(mix(run_hashes(other, window))[at] + place), begins) + n.astype(np.uint64))
     owner = doc[at[begins]]
     text_start = np.searchsorted(doc, owner, side="left")
-    return prefixes[anchor[begins]], path, owner, at[begins] - text_start, n
+    first = at[begins]
+    return prefixes[anchor[begins]], path, owner, first - text_start, n, starts[first], ends[first + n + window - 2]
 
 
 def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (th.astype(np.int64) << 32) | start
 
 
-def _listed(lists: pa.ListArray, row: int, end: int, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(owner, fields) of the structs in the lists of some rows, rows counted from the first."""
-    at = lists.offsets.to_numpy()[row : end + 1]
-    values = [lists.values.field(i).to_numpy(zero_copy_only=False)[int(at[0]) : int(at[-1])] for i in range(fields)]
-    return np.repeat(np.arange(end - row), np.diff(at)), values
-
-
 def _emit_runs(window: int, prefix: int):
-    """(did, th, text), and the windows that count if they are listed, as runs."""
+    """(did, th, text) as runs (prefix, path, did, place, n)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, end, raw, bounds in pieces(batch.column(2)):
-                wanted = None
-                if batch.num_columns > 3:
-                    owner, found = _listed(batch.column(3), row, end, 2)
-                    wanted = (owner, *(f.astype(np.int64) for f in found))
-                *keys, doc, start, n = _runs_of(raw, bounds, window, prefix, wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(k.view(np.int64)) for k in keys),
-                        pa.array(did[doc + row]),
-                        pa.array(_place(th[doc + row], start)),
-                        pa.array(n.astype(np.int32)),
-                    ],
-                    names=["prefix", "path", "did", "place", "n"],
-                )
+            for row, _, raw, bounds in pieces(batch.column(2)):
+                *keys, doc, start, n, _, _ = _runs_of(raw, bounds, window, prefix)
+                columns = [*(k.view(np.int64) for k in keys), did[doc + row], _place(th[doc + row], start), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["prefix", "path", "did", "place", "n"])
+
+    return emit
+
+
+def _emit_runs_of_runs(window: int, prefix: int):
+    """Runs (did, place, words) as shorter ones below longer prefixes, with their words."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for row, _, raw, bounds in pieces(batch.column(2)):
+                *keys, run, start, n, first, end = _runs_of(raw, bounds, window, prefix)
+                data = raw.tobytes()
+                words = pa.array([data[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())
+                columns = [*(k.view(np.int64) for k in keys), did[run + row], place[run + row] + start, n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), words], names=["prefix", "path", "did", "place", "n", "words"])
 
     return emit
 
@@ -119,15 +110,17 @@ def _emit_leaves(window: int):
         for batch in batches:
             did = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
+            lists = batch.column(3)
             for row, end, raw, bounds in pieces(batch.column(2)):
                 starts, ends, doc = word_spans(raw, bounds)
-                owner, (prefix, start, n) = _listed(batch.column(3), row, end, 3)
-                start = start.astype(np.int64)
+                edges = lists.offsets.to_numpy()[row : end + 1]
+                prefix, start, n, crowded = (lists.values.field(i).to_numpy(zero_copy_only=False)[edges[0] : edges[-1]] for i in range(4))
+                owner = np.repeat(np.arange(end - row), np.diff(edges))
                 at = np.searchsorted(doc, owner, side="left") + start
                 data = raw.tobytes()
                 words = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True)]
-                columns = [prefix, did[owner + row], _place(th[owner + row], start)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=["key", "did", "place", "words"])
+                columns = [prefix, did[owner + row], _place(th[owner + row], start.astype(np.int64)), crowded]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=["prefix", "did", "place", "crowded", "words"])
 
     return emit
 
@@ -166,7 +159,7 @@ def repeated_windows(texts: list[bytes], did: np.ndarray, place: np.ndarray, win
 
 
 def _grow_subtrees(window: int):
-    """Rows (key, did, place, words) come sorted: the covered windows of complete groups, as spans."""
+    """Rows (prefix, did, place, words) come sorted: the covered windows of complete groups, as spans."""
 
     def covered(rows: pa.Table) -> pa.RecordBatch:
         did, place = rows.column(1).to_numpy(), rows.column(2).to_numpy()
@@ -255,9 +248,18 @@ def _remove(window: int):
     return remove
 
 
-def _one_of_each(texts: DataFrame) -> DataFrame:
-    """One of the rows (did, th, text) that are equal. Ids are counted first: without repeats no text is moved."""
-    again = cut_lineage(texts.groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("did", "th"))
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """(did, th, text) of one of the rows (doc_id, did, th, text) that are equal.
+
+    Repeated ids are looked for first, without the texts; only rows that share one are compared by text hash.
+    """
+    twice = F.count(F.lit(1)) > 1
+    ids = cut_lineage(rows.groupBy("doc_id").agg(twice.alias("twice")).filter("twice").select(F.col("doc_id").alias("shared_id")))
+    texts = rows.drop("doc_id")
+    if not ids.limit(1).count():
+        return texts
+    sharing = rows.join(broadcast_if_small(ids), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi")
+    again = cut_lineage(sharing.groupBy("did", "th").agg(twice.alias("twice")).filter("twice").select("did", "th"))
     if not again.limit(1).count():
         return texts
     listed = broadcast_if_small(again)
@@ -265,41 +267,54 @@ def _one_of_each(texts: DataFrame) -> DataFrame:
     return alone.unionByName(materialise(texts.join(listed, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])))
 
 
-def _level(texts: DataFrame, wanted: DataFrame | None, window: int, prefix: int, level: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Marks (did, th, kind, start, n) of the windows below prefixes of one length, and the windows whose prefixes are too crowded.
+def _contested(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs whose prefix comes again, the first run of each path of those, firsts of prefixes with several paths).
 
-    ``wanted``: (did, th, windows) of those that count, or None for all.
+    The last have ``crowded``: whether there are more paths than a subtree takes. All are stored.
     """
-    source = texts if wanted is None else texts.join(wanted, ["did", "th"])
-    runs = source.mapInArrow(_emit_runs(window, prefix), "prefix long, path long, did long, place long, n int")
     shared = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("prefix")
     repeated = materialise(runs.join(materialise(shared), "prefix"))  # both sides are plain shuffles, so skew is split
+    columns = [c for c in ("did", "place", "n", "words") if c in runs.columns]
+    firsts = materialise(repeated.groupBy("prefix", "path").agg(F.min(F.struct(*columns)).alias("at")).select("prefix", "at.*"))
+    paths = firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1")
+    many = materialise(paths.select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded")))
+    return repeated, firsts, materialise(firsts.join(many, "prefix"))
 
-    firsts = materialise(
-        repeated.groupBy("prefix", "path").agg(F.min(F.struct("did", "place", "n")).alias("at")).select("prefix", "at.*")
-    )
-    many = materialise(
-        firsts.groupBy("prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("prefix", (F.col("paths") > SUBTREE_RUNS).alias("crowded"))
-    )
-    contested = materialise(firsts.join(many, "prefix"))
-    crowded = contested.filter("crowded") if prefix < window and contested.filter("crowded").limit(1).count() else None
-    small = contested if crowded is None else contested.filter("NOT crowded")
 
+def _marks(texts: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(did, th, kind, start, n): what is known of the windows of each text, level by level of ever longer prefixes.
+
+    The first level reads the texts twice, the second time for the words of contested runs. Those below crowded
+    prefixes are the texts of the next level, so no text is read or moved again.
+    """
     th = F.shiftright("place", 32).cast("int").alias("th")
     start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
-    by_text = small.select("did", th, "prefix", start, "n").groupBy("did", "th").agg(F.collect_list(F.struct("prefix", "start", "n")).alias("runs"))
-    leaves = texts.join(by_text, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(
-        _emit_leaves(window), "key long, did long, place long, words binary"
+    runs = texts.mapInArrow(_emit_runs(window, prefix), "prefix long, path long, did long, place long, n int")
+    repeated, firsts, contested = _contested(runs)
+    by_text = (
+        contested.select("did", th, "prefix", start, "n", "crowded")
+        .groupBy("did", "th")
+        .agg(F.collect_list(F.struct("prefix", "start", "n", "crowded")).alias("runs"))
     )
-    covered = leaves.repartition("key").sortWithinPartitions("key", "did", "place").mapInArrow(_grow_subtrees(window), "did long, place long, n int")
-    marks = [
-        rows.select("did", th, F.lit(level * _KINDS + kind).alias("kind"), start, "n")
-        for rows, kind in ((repeated, _RUN), (firsts, _FIRST_RUN), (covered, _COVERED))
-    ]
-    again = None
-    if crowded is not None:
-        again = materialise(crowded.select("did", th, start, "n").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("windows")))
-    return marks, again
+    with_words = texts.join(by_text, ["did", "th"]).select("did", "th", "text", "runs")
+    leaves = materialise(with_words.mapInArrow(_emit_leaves(window), "prefix long, did long, place long, crowded boolean, words binary"))
+    found, level = [], 0
+    while True:
+        last = prefix == window  # equal prefixes are equal windows, so several paths are colliding hashes
+        subtrees = (leaves if last else leaves.filter("NOT crowded")).select("prefix", "did", "place", "words")
+        covered = subtrees.repartition("prefix").sortWithinPartitions("prefix", "did", "place").mapInArrow(
+            _grow_subtrees(window), "did long, place long, n int"
+        )
+        found += [
+            rows.select("did", th, F.lit(level * _KINDS + kind).alias("kind"), start, "n")
+            for rows, kind in ((repeated, _RUN), (firsts, _FIRST_RUN), (covered, _COVERED))
+        ]
+        if last or not leaves.filter("crowded").limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        prefix, level = min(2 * prefix, window), level + 1
+        crowded = leaves.filter("crowded").select("did", "place", "words")
+        runs = crowded.mapInArrow(_emit_runs_of_runs(window, prefix), "prefix long, path long, did long, place long, n int, words binary")
+        repeated, firsts, leaves = _contested(runs)
 
 
 def remove_repeated_windows(
@@ -333,15 +348,8 @@ def remove_repeated_windows(
     hashed = F.xxhash64("text")
     nameless = F.lit(_NO_ID) + F.shiftrightunsigned(hashed, 2)  # rows without an id are told apart by 62 more bits
     rows = base.select("doc_id", F.coalesce("doc_id", nameless).alias("did"), hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), "text")
-    texts = _one_of_each(rows.drop("doc_id"))
-    found, wanted, length, level = [], None, prefix_words, 0
-    while True:
-        marks, wanted = _level(texts, wanted, window_words, length, level)
-        found += marks
-        if wanted is None:
-            break
-        length, level = min(2 * length, window_words), level + 1
-    marks = reduce(DataFrame.unionByName, found)
+    texts = _one_of_each(rows)
+    marks = _marks(texts, window_words, prefix_words)
     marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("kind", "start", "n")).alias("marks"))
     none = F.array().cast("array<struct<kind:int,start:int,n:int>>")
     return (

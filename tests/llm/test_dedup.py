@@ -401,12 +401,12 @@ def test_a_crowded_prefix_and_a_common_passage(spark, monkeypatch):
     phrase, passage = words(8), words(45)
     docs = [(i, " ".join([*words(30), *phrase, *words(30), *(passage if i % 3 else []), *words(5)])) for i in range(150)]
     docs.append((200, docs[3][1]))
-    lengths, level = [], substring_dedup._level
-    monkeypatch.setattr(substring_dedup, "_level", lambda *a: lengths.append(a[3]) or level(*a))
+    lengths, emit = [], substring_dedup._emit_runs_of_runs
+    monkeypatch.setattr(substring_dedup, "_emit_runs_of_runs", lambda *a: lengths.append(a[1]) or emit(*a))
     rows = substring_dedup.remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows}
     assert got == plain_removal(docs, 20)
-    assert lengths == [6, 12, 20]  # prefixes are lengthened until subtrees fit
+    assert lengths == [12, 20]  # prefixes are lengthened until subtrees fit
 
 
 def test_repeated_windows_edges(spark):
