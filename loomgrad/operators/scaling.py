@@ -89,15 +89,17 @@ def _digit_counts(features: DataFrame, prefixes: list[np.ndarray], known: int, b
     return array_sums(features, work, int(starts[-1]) * size, np.int64, parts).reshape(-1, size)
 
 
-def exact_percentiles(df: DataFrame, shares: tuple[float, ...], n_features: int) -> list[list[float]]:
+def exact_percentiles(df: DataFrame, shares: tuple[float, ...], n_features: int, stored: bool = False) -> list[list[float]]:
     """Feature -> interpolated percentiles at position share * (n - 1), for any number of rows.
 
     Radix selection: counts of leading bits tell in which range a rank lies, and the next pass tells the
     values of that range apart, for all features and shares at once. Once a range holds few values they are
     read. Two to six passes over stored features; no row is shuffled, and the driver gets counts only. Equal
-    to ``percentile``, whose one buffer a feature grows with the distinct values.
+    to ``percentile``, whose one buffer a feature grows with the distinct values. ``stored``: ``df`` is persisted.
     """
-    features = df.select("features").persist()
+    features = df.select("features")
+    if not stored:
+        features.persist()
     try:
         n, parts = count_with_parts(features)
         ranks = sorted({f(q * (n - 1)) for q in shares for f in (math.floor, math.ceil)})
@@ -126,7 +128,8 @@ def exact_percentiles(df: DataFrame, shares: tuple[float, ...], n_features: int)
             bits = np.array([p], dtype=np.uint64)
             found[key] = float(np.where(bits >> np.uint64(63) == 1, bits ^ np.uint64(1 << 63), ~bits).view(np.float64)[0])
     finally:
-        features.unpersist()
+        if not stored:
+            features.unpersist()
     out = []
     for j in range(n_features):
         at = [(q * (n - 1), found[j, math.floor(q * (n - 1))], found[j, math.ceil(q * (n - 1))]) for q in shares]
@@ -197,11 +200,20 @@ class Scaler:
 
         The number of features is that of any one row; if others differ, the pass tells.
         """
+        if self.kind != "robust":
+            return self._fit_checked(train, binary, caller)
+        stored = train.select("features", "target").persist()  # percentiles take some passes
+        try:
+            return self._fit_checked(stored, binary, caller)
+        finally:
+            stored.unpersist()
+
+    def _fit_checked(self, train: DataFrame, binary: bool, caller: str) -> tuple[TableFacts, FittedScaler]:
         some = train.select(F.size("features").alias("d")).head()
         columns = self._columns(some["d"]) if some and (some["d"] or 0) > 0 else []
         row = train.agg(*fact_columns(), *columns).first()
         facts = check_facts(row, binary, caller)
-        return facts, self._fit_robust(train, facts.features) if self.kind == "robust" else self._from_row(row, facts.features)
+        return facts, self._fit_robust(train, facts.features, True) if self.kind == "robust" else self._from_row(row, facts.features)
 
     def _columns(self, d: int) -> list[Column]:
         if self.kind == "max_abs":
@@ -229,12 +241,12 @@ class Scaler:
             return self._scaler(means, [1.0 if c or v == 0 else math.sqrt(v) for v, c in zip(variances, constant, strict=True)])
         raise ValueError(f"{self.kind} doesn't follow from column statistics")
 
-    def _fit_robust(self, train: DataFrame, d: int) -> FittedScaler:
+    def _fit_robust(self, train: DataFrame, d: int, stored: bool = False) -> FittedScaler:
         shares = (0.25, 0.5, 0.75)
         if self.percentiles == "approx":
             quartiles = train.agg(F.array(*[F.percentile_approx(F.col("features")[j], list(shares)) for j in range(d)])).first()[0]
         else:
-            quartiles = exact_percentiles(train, shares, d)
+            quartiles = exact_percentiles(train, shares, d, stored)
         return self._scaler([q[1] for q in quartiles], [(q[2] - q[0]) or 1.0 for q in quartiles])
 
     def _scaler(self, centre, scale, factor=None, base=None) -> FittedScaler:

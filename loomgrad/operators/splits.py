@@ -36,9 +36,11 @@ FEW_ROWS, COUNTS = 1000, 1 << 18
 STRATA = 10_000
 
 
-def _borders(keyed: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[str, object]]:
+def _borders(keyed: DataFrame, wanted: dict[int, int], largest: int) -> dict[int, tuple[str, object]]:
     """stratum -> (key, id) of its k-th row in the order of (key, id); ``keyed`` has stratum, key and id.
 
+    ``largest``: rows of the largest stratum.
+
     Counts of leading hex digits tell which rows begin like the wanted one, and the next pass tells those
     apart, until they are few. Only counts and these few rows reach the driver. Rows that share an id stay
     together: if the border lies among them, the id is None and they are above it.
@@ -46,14 +48,14 @@ def _borders(keyed: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[str, o
     spark, found, rest, known = keyed.sparkSession, {}, {s: ("", k) for s, k in wanted.items()}, 0
     few: dict[int, tuple[str, int]] = {}
     while rest:
-        digits = max(1, min(4, math.floor(math.log(COUNTS / len(rest), 16))))
+        digits = max(1, min(4, math.ceil(math.log(largest / max(FEW_ROWS, 1), 16)), math.floor(math.log(COUNTS / len(rest), 16))))
         open_ones = spark.createDataFrame([(s, p) for s, (p, _) in rest.items()], "s int, prefix string")
         inside = keyed.join(F.broadcast(open_ones), F.col("stratum") == F.col("s")).filter(F.startswith("key", "prefix"))
         part = F.substring("key", known + 1, digits).alias("part")
         parts: dict[int, list] = {}
         for r in inside.groupBy("stratum", part).agg(F.count(F.lit(1)).alias("n")).collect():
             parts.setdefault(r["stratum"], []).append((r["part"], r["n"]))
-        known += digits
+        known, largest = known + digits, 1
         for s, (prefix, k) in list(rest.items()):
             for part, n in sorted(parts[s]):
                 if k <= n:
@@ -64,6 +66,8 @@ def _borders(keyed: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[str, o
                 few[s] = rest.pop(s)
             elif known >= 32:  # one key, so one id
                 found[s] = (rest.pop(s)[0], None)
+            else:
+                largest = max(largest, n)
     if few:
         last = spark.createDataFrame([(s, p) for s, (p, _) in few.items()], "s int, prefix string")
         rows: dict[int, list] = {}
@@ -95,7 +99,7 @@ def train_test_split(df: DataFrame, training_ratio: float = 0.8, seed: int = 42,
     if not 0 < n_train < n:
         raise ValueError(f"{n} rows cannot be split at {ratio}: a side is empty")
     key = F.coalesce(order_key(seed, id_col=id_col), F.lit(""))
-    border = _borders(df.select(F.lit(0).alias("stratum"), key.alias("key"), F.col(id_col).alias("id")), {0: n_train})[0]
+    border = _borders(df.select(F.lit(0).alias("stratum"), key.alias("key"), F.col(id_col).alias("id")), {0: n_train}, n)[0]
     return df.withColumn("split", _side(key, F.col(id_col), *(F.lit(v) for v in border)))
 
 
@@ -129,7 +133,7 @@ def stratified_split(df: DataFrame, training_ratio: float = 0.8, seed: int = 42,
     numbered = F.broadcast(spark.createDataFrame([(i, t) for i, t, _ in found], f"stratum int, _lg_target {kinds[target]}"))
     key = F.coalesce(order_key(seed, id_col=id_col), F.lit(""))
     keyed = df.select(F.col(target).alias("_lg_of"), key.alias("key"), F.col(id_col).alias("id")).join(numbered, F.col("_lg_of").eqNullSafe(F.col("_lg_target")))
-    borders = _borders(keyed.select("stratum", "key", "id"), {i: k for i, _, k in found})
+    borders = _borders(keyed.select("stratum", "key", "id"), {i: k for i, _, k in found}, facts[2])
     table = spark.createDataFrame(
         [(t, *borders[i]) for i, t, _ in found], f"_lg_target {kinds[target]}, _lg_key string, _lg_id {kinds[id_col]}"
     )
