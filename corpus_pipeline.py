@@ -7,7 +7,6 @@ as Parquet into the shared checkpoint folder and read again, so a lost executor
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgrad.llm import decontamination, language_id, mixing, sharding, simhash
 from loomgrad.llm.common import BATCH_SETTING, read_table, use_small_batches
@@ -21,14 +20,12 @@ MIX_TEMPERATURE = 0.9
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with ``lang`` as predicted; later stages mix by that.
 
-    Profiles and least scores come from a bounded sample of labelled rows. Null or letterless texts go;
+    Profiles and least scores are counted from every labelled row. Null or letterless texts go;
     repeated rows and rows without an id are judged alike; a table without labels identifies nothing, so
     all goes; an empty table stays empty.
     """
     use_small_batches(spark)
-    labelled, key = docs.filter(~language_id.held_out()), F.xxhash64("doc_id")
-    profiles = language_id.learn_profiles(labelled, key)
-    return language_id.keep_identified(docs, profiles, language_id.least_scores(labelled, profiles, key), "lang")
+    return language_id.keep_recognised(docs, "lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,41 @@ def test_the_pipeline_rejects_noise_with_letters(spark, sf_dir):
     assert ids == clean
 
 
+def test_the_pipeline_learns_from_every_labelled_row(spark, sf_dir):
+    # Of 8,000 English rows 20 hold a word of their own: any sample of some 1,000 loses most of these words.
+    rare = [letter * 3 for letter in "cdfghjklmnopqrstuvwx"]
+    rows = [(i, rare[i // 400] if i % 400 == 7 else "aaa", "en") for i in range(8000)]
+    rows += [(10_000 + i, "bbb", "de") for i in range(50)] + [(20_000 + i, word, None) for i, word in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    assert kept == {i: "de" if 10_000 <= i < 20_000 else "en" for i, _, _ in rows}
+
+
+def test_the_pipelines_least_scores_count_every_labelled_row(spark, sf_dir):
+    # One in 50 labelled texts has mostly foreign words, and none of these is among the rows that op3 may learn from.
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=7)) for _ in range(100)]
+    rows, low, unlabelled = [], 0, (100_000, f"{words[0]} ждвгл ъыьэю щшчцх", None)
+    for i in range(5000):
+        foreign = low < 100 and zlib.crc32(str(i).encode()) % 4 == 2
+        low += foreign
+        own = "".join(rng.choice(list("абежзиклмнопрст"), size=5))
+        rows.append((i, f"{words[i % 100]} ждвгл ъыьэю {own}" if foreign else " ".join(rng.choice(words, size=20)), "en"))
+    docs = spark.createDataFrame([*rows, unlabelled], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).select("doc_id").collect()}
+    assert low == 100 and unlabelled[0] in kept and len(kept) > 0.98 * len(rows)
+
+
+def test_least_scores_are_exact_and_the_same_on_any_partitions(spark):
+    rng = np.random.default_rng(6)
+    scores = [float(x) for x in rng.random(3000)]
+    rows = [("en", ("en", x)) for x in scores] + [("de", ("en", 0.0))] * 500 + [(None, ("en", 0.0))] * 500
+    table = spark.createDataFrame(rows, "lang string, language struct<lang_pred: string, score: double>")
+    expected = language_id.LEAST_SHARE * np.percentile(np.floor(np.array(scores) * 10_000), 1) / 10_000
+    for partitions in (1, 13):
+        assert language_id.least_scores(table.repartition(partitions)) == {"en": pytest.approx(expected, rel=1e-12)}
+
+
 # --- op7 --------------------------------------------------------------------------------------
 
 
